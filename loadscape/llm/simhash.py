@@ -22,33 +22,19 @@ from pyspark.sql import functions as F
 
 from loadscape.llm.components import connected_components
 from loadscape.llm.scratch import Scratch
+from loadscape.llm.text import word_chunks
 
 SHINGLE_WORDS, SEED, BITS, MAX_DIFF, MIN_SHARED = 3, 42, 64, 3, 5
 #: Byte positions that key the lists: the triples within either half.
 TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
 LIST_CAP = 8192
-#: Bytes of a text that are turned into words at once.
-CHUNK = 1 << 20
 _POPCOUNT = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 
 
-def _chunks(data: bytes, keep: int) -> Iterator[list[bytes]]:
-    """Words of a text, a block at a time; each block starts with the last ``keep`` words of the one before."""
-    at, last = 0, []
-    while at < len(data):
-        end = at + CHUNK
-        while end < len(data) and data[end] not in b" \t\n\v\f\r":
-            end += 1
-        words = last + data[at:end].split()
-        if len(words) > len(last):
-            yield words
-        last, at = words[max(0, len(words) - keep) :], end
-
-
 def fingerprint(text: bytes | None) -> int:
     """The fingerprint of one UTF-8 text, as an unsigned integer; null or no word: zero."""
     votes, total, words = np.zeros(BITS, np.int64), 0, []
-    for words in _chunks((text or b"").lower(), SHINGLE_WORDS - 1):
+    for words in word_chunks((text or b"").lower(), SHINGLE_WORDS - 1):
         if len(words) < SHINGLE_WORDS:
             continue
         line = b" ".join(words)
