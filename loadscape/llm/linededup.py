@@ -23,8 +23,8 @@ MIN_CHARS, MIN_DOCS = 40, 5
 #: Bits of a filter for each line expected, at an expected line length, and at most: the twice-filter that is sent to
 #: all tasks has at most MAX_BITS / 8 = 128 MB. A full filter only lets more lines be counted; the result is the same.
 BITS_PER_LINE, LINE_CHARS, MIN_BITS, MAX_BITS = 10, 80, 1 << 20, 1 << 30
+#: Filter words that are merged as one.
 SLICE = 1 << 14
-_CODE_START = np.array([(x & 0xC0) != 0x80 for x in range(256)])
 
 
 def line_keys(text: bytes | None, min_chars: int = MIN_CHARS) -> tuple[list[bytes], list[bytes | None]]:
@@ -160,7 +160,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = rows.schema["id"].dataType.simpleString()
     suspects = scratch.table(rows.mapInArrow(_suspects(held, min_chars), f"_llm_a bigint, _llm_b bigint, id {kind}, digest binary"))
     once = suspects.select("digest", "id").distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep"))
-    gone = suspects.join(once.where(F.col("n") >= min_docs), "digest").where(~F.col("id").eqNullSafe(F.col("keep")))
+    once = scratch.table(once.where(F.col("n") >= min_docs))
+    gone = suspects.join(once, "digest").where(~F.col("id").eqNullSafe(F.col("keep")))
     drops = gone.groupBy("_llm_a", "_llm_b").agg(F.collect_set("digest").alias("_llm_drops"))
     kept = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
     joined = docs.withColumns(dict(zip(("_llm_a", "_llm_b"), _row_keys(id_col, text_col)))).join(drops, ["_llm_a", "_llm_b"], "left")
