@@ -1,10 +1,6 @@
 """All queries of the library by name, with the SQL that each should equal."""
 
-from __future__ import annotations
+from loadscape.plans import cleaning, joins, profiles, scores, series  # noqa: F401
+from loadscape.plans.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
