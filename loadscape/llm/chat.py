@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loadscape.llm.arrow import map_batches
+
 HEAD, AFTER_ROLE, END = b"### ", b": ", b"</turn>\n"
 LOSS_ROLE = b"assistant"
 #: Text bytes of one conversation that are formatted at once; a longer one is given in parts.
@@ -134,7 +136,7 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: st
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "key").sortWithinPartitions("key", "turn", "role", "text").select("key", "role", "text")
     kind = rows.schema["key"].dataType.simpleString()
-    out = rows.mapInArrow(_format(part_bytes), f"key {kind}, part bigint, n_turns bigint, formatted string, loss_start array<bigint>, loss_length array<bigint>")
+    out = map_batches(rows, _format(part_bytes), f"key {kind}, part bigint, n_turns bigint, formatted string, loss_start array<bigint>, loss_length array<bigint>")
     return out.withColumnRenamed("key", id_col)
 
 
@@ -190,4 +192,4 @@ def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """
     rows = formatted.select(F.col(f"`{id_col}`").alias("key"), "part", "n_turns", "formatted", "loss_start", "loss_length")
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(_read_back, f"key {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint").withColumnRenamed("key", id_col)
+    return map_batches(rows, _read_back, f"key {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint").withColumnRenamed("key", id_col)

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loadscape.llm.arrow import map_batches
 from loadscape.llm.text import Known, plain, word_chunks
 
 K1, B = 1.2, 0.75
@@ -211,7 +212,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
         rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("_llm_text"))
         kind = rows.schema[0].dataType.simpleString()
-        one = rows.mapInArrow(run, f"`{id_col}` {kind}, `{item_col}` bigint, score double, overlap double, question_overlap double, answer_overlap double")
+        one = map_batches(rows, run, f"`{id_col}` {kind}, `{item_col}` bigint, score double, overlap double, question_overlap double, answer_overlap double")
         out = one if out is None else out.union(one)
     return out
 
@@ -231,5 +232,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                     yield part.select(kept).filter(pa.array(clean, pa.bool_()))
 
         rows = docs.withColumn("_llm_text", F.col(f"`{text_col}`").cast("string").cast("binary"))
-        docs = rows.mapInArrow(run, types)
+        docs = map_batches(rows, run, types)
     return docs

@@ -18,6 +18,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loadscape.llm.arrow import gathered, map_batches
 from loadscape.llm.scratch import Scratch
 
 START = "▁"
@@ -195,7 +196,7 @@ def _expected(model: Model):
         lattice, probs = Lattice(model.pieces), _table(model.probs, len(model.pieces))
         place = {x: i for i, x in enumerate(model.langs)}
         uses = np.zeros((len(model.langs), lattice.n + 1))
-        for batch in batches:
+        for batch in gathered(batches, 10_000):
             runs, weight = batch.column("run").to_pylist(), batch.column("n").to_numpy()
             langs = np.array([place[x] for x in batch.column("lang").to_pylist()], np.int64)
             for at, codes in _by_length(runs):
@@ -234,11 +235,11 @@ def fit(docs: DataFrame, vocabulary_path: str, learn: Column, text_col: str = "t
     share = docs.sparkSession.createDataFrame([(x, min(1.0, rows_per_lang / size[x])) for x in langs], "lang string, share double")
     u = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     chosen = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), u.alias("u")).join(F.broadcast(share), "lang").where("u < share")
-    counted = scratch.table(chosen.select("lang", "text").mapInArrow(_runs, "lang string, run string, n bigint").groupBy("lang", "run").agg(F.sum("n").alias("n")))
+    counted = scratch.table(map_batches(chosen.select("lang", "text"), _runs, "lang string, run string, n bigint").groupBy("lang", "run").agg(F.sum("n").alias("n")))
     model = Model(pieces, langs, np.full((len(pieces), len(langs)), 1.0 / len(pieces)))
     for _ in range(rounds):
         uses = np.full_like(model.probs, SMOOTH)
-        for lang, piece, n in counted.mapInArrow(_expected(model), "lang string, piece bigint, uses double").groupBy("lang", "piece").agg(F.sum("uses")).collect():
+        for lang, piece, n in map_batches(counted, _expected(model), "lang string, piece bigint, uses double").groupBy("lang", "piece").agg(F.sum("uses")).collect():
             uses[piece, langs.index(lang)] += n
         model.probs = uses / uses.sum(axis=0)
     scratch.drop(counted)
@@ -265,4 +266,4 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str
 
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias("_llm_text"))
     types = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_llm_text"] + [f"`{lang_out}` string", f"`{score_out}` double"])
-    return rows.mapInArrow(run, types)
+    return map_batches(rows, run, types)

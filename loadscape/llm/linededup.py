@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loadscape.llm.arrow import gathered, map_batches
 from loadscape.llm.scratch import Scratch
 
 SPACE = b" \t\n\v\f\r"
@@ -76,7 +77,7 @@ def _fill(words: int, min_chars: int):
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The twice-filter of each slice; a task holds the slices that it was dealt."""
     held: dict[int, np.ndarray] = {}
-    for batch in batches:
+    for batch in gathered(batches, 10_000):
         slices, words = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         once, twice = (batch.column(k).to_numpy().view(np.uint64) for k in (2, 3))
         for s in np.unique(slices).tolist():
@@ -92,10 +93,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def twice_seen(texts: DataFrame, words: int, min_chars: int = MIN_CHARS) -> np.ndarray:
     """The filter words of keys that at least two of the texts in the only column hold, and of few others."""
-    filled = texts.mapInArrow(_fill(words, min_chars), "slice bigint, word bigint, once bigint, twice bigint")
+    filled = map_batches(texts, _fill(words, min_chars), "slice bigint, word bigint, once bigint, twice bigint")
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = np.zeros(words, np.uint64)
-    for s, twice in filled.repartition(n, "slice").mapInArrow(_merge, "slice bigint, twice binary").collect():
+    for s, twice in map_batches(filled.repartition(n, "slice"), _merge, "slice bigint, twice binary").collect():
         out[s * SLICE : (s + 1) * SLICE] = np.frombuffer(twice, np.uint64)[: words - s * SLICE]
     return out
 
@@ -158,7 +159,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     held = spark.sparkContext.broadcast(twice_seen(docs.select(binary), bits // 64, min_chars))
     rows = docs.select(*_row_keys(id_col, text_col), one.alias("id"), binary)
     kind = rows.schema["id"].dataType.simpleString()
-    suspects = scratch.table(rows.mapInArrow(_suspects(held, min_chars), f"_llm_a bigint, _llm_b bigint, id {kind}, digest binary"))
+    suspects = scratch.table(map_batches(rows, _suspects(held, min_chars), f"_llm_a bigint, _llm_b bigint, id {kind}, digest binary"))
     once = suspects.select("digest", "id").distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep"))
     once = scratch.table(once.where(F.col("n") >= min_docs))
     gone = suspects.join(once, "digest").where(~F.col("id").eqNullSafe(F.col("keep")))
@@ -167,4 +168,4 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     joined = docs.withColumns(dict(zip(("_llm_a", "_llm_b"), _row_keys(id_col, text_col)))).join(drops, ["_llm_a", "_llm_b"], "left")
     joined = joined.select(*[F.col(f"`{c}`") for c in kept], text.cast("binary").alias("_llm_text"), "_llm_drops")
     types = ", ".join([f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in kept] + [f"`{text_col}` string, n_lines bigint, n_dropped bigint"])
-    return joined.mapInArrow(_drop(kept, text_col, min_chars), types)
+    return map_batches(joined, _drop(kept, text_col, min_chars), types)

@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loadscape.llm.arrow import gathered, map_batches
 from loadscape.llm.components import connected_components
 from loadscape.llm.scratch import Scratch
 from loadscape.llm.text import word_chunks
@@ -63,7 +64,7 @@ def _row_keys(id_col: str, text_col: str) -> list[Column]:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, row_a, row_b, fingerprint as signed long) of every row; row_a and row_b tell its id and text."""
     rows = docs.select(F.col(id_col).alias("id"), *_row_keys(id_col, text_col), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprint_batches, f"id {rows.schema['id'].dataType.simpleString()}, row_a bigint, row_b bigint, fingerprint bigint")
+    return map_batches(rows, _fingerprint_batches, f"id {rows.schema['id'].dataType.simpleString()}, row_a bigint, row_b bigint, fingerprint bigint")
 
 
 def _byte(position: int) -> Column:
@@ -142,7 +143,7 @@ def _search(list_cap: int, last: bool):
             return out(prints[at].view(np.int64), prints[labels[at]].view(np.int64), [None] * len(at))
 
         keys, prints, skip = np.empty(0, np.int64), np.empty(0, np.uint64), None
-        for batch in batches:
+        for batch in gathered(batches, 10_000):
             keys = np.concatenate((keys, batch.column(0).to_numpy()))
             prints = np.concatenate((prints, batch.column(1).to_numpy().view(np.uint64)))
             if skip is not None:
@@ -190,7 +191,7 @@ def links(prints: DataFrame, scratch: Scratch, list_cap: int = LIST_CAP) -> Data
     """
     fp = prints.select(F.col("fingerprint").alias("fp")).distinct()
     keys = F.explode(F.array(*[_pack(i, t) for i, t in enumerate(TRIPLES)]))
-    found = scratch.table(_sorted(fp.select(keys.alias("key"), "fp")).mapInArrow(_search(list_cap, False), _FOUND))
+    found = scratch.table(map_batches(_sorted(fp.select(keys.alias("key"), "fp")), _search(list_cap, False), _FOUND))
     out = found.where("long_list is null").select("u", "v")
     long_ = found.where("long_list is not null").select(F.col("long_list").alias("key"))
     if not long_.isEmpty():
@@ -198,7 +199,7 @@ def links(prints: DataFrame, scratch: Scratch, list_cap: int = LIST_CAP) -> Data
             rest = [p for p in range(8) if p not in t]
             inner = F.explode(F.array(*[F.shiftleft(F.shiftleft("key", 4).bitwiseOR(F.lit(j).cast("long")), 16).bitwiseOR(F.shiftleft(_byte(a), 8)).bitwiseOR(_byte(b)) for j, (a, b) in enumerate(combinations(rest, 2))]))
             members = fp.select(_pack(i, t).alias("key"), "fp").join(long_, "key", "left_semi").select(inner.alias("key"), "fp")
-            out = out.union(_sorted(members).mapInArrow(_search(list_cap, True), _FOUND).select("u", "v"))
+            out = out.union(map_batches(_sorted(members), _search(list_cap, True), _FOUND).select("u", "v"))
     return out
 
 
