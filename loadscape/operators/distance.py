@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def squared(a: Column, b: Column) -> Column:
@@ -34,7 +35,7 @@ def wasserstein_1d(a: Column, b: Column) -> Column:
     return squared(F.array_sort(a), F.array_sort(b)) / F.size(a)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def dtw(a: pd.Series, b: pd.Series, window: pd.Series) -> pd.Series:
     """Dynamic time warping distance within a band, of pairs of equal-length profiles, a batch at a time."""
     out = np.empty(len(a))

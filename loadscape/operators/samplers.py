@@ -67,3 +67,23 @@ def draw(queries: DataFrame, train: DataFrame, n: int, seed: str) -> DataFrame:
 def by_key(queries: DataFrame, train: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All training rows that share the query's keys."""
     return uniform(queries.join(train, list(keys)).select("test", "pick"))
+
+
+def weighted_draws(queries: DataFrame, train: DataFrame, group: str, weight: str, n: int, seed: str) -> DataFrame:
+    """(test, n, pick): n draws with replacement per test among the training rows of its group, by weight.
+
+    Each draw is a number decided by hash, which falls into one pick's share of the group's running weights.
+    """
+    w = Window.partitionBy(group).orderBy("pick")
+    shares = train.select("pick", group, F.col(weight).alias("_w"), F.sum(weight).over(w).alias("_hi"), F.sum(weight).over(Window.partitionBy(group)).alias("_total"))
+    draws = queries.select("test", group, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("n"))
+    key = F.concat(F.col("test").cast("string"), F.lit(":"), F.col("n").cast("string"))
+    u = F.conv(F.substring(_digest(key, seed), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+    at = F.col("_u") * F.col("_total")
+    return draws.withColumn("_u", u).join(shares, group).where((at >= F.col("_hi") - F.col("_w")) & (at < F.col("_hi"))).select("test", "n", "pick")
+
+
+def two_level(cluster_probs: DataFrame, members: DataFrame, cluster: str, same: Sequence[str]) -> DataFrame:
+    """(test, pick, p): a cluster's probability times an equal share among its members that agree in ``same``."""
+    sized = members.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(cluster, *same)))
+    return cluster_probs.join(sized, [cluster, *same]).select("test", "pick", (F.col("p") / F.col("_n")).alias("p"))

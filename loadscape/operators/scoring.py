@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loadscape.operators.distance import euclidean
 
@@ -85,7 +86,7 @@ def diebold_mariano(losses: DataFrame, a: str, b: str, by: str | None = None) ->
     return stats.withColumn("statistic", F.try_divide(F.col("mean_d"), F.sqrt(F.col("_v") / F.col("n")))).drop("_v")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def upper_tail(z: pd.Series) -> pd.Series:
     """1 - normal CDF."""
     from math import erfc, sqrt
