@@ -28,10 +28,21 @@ UNKNOWN = "und"
 RUN, PIECE = 24, 10
 #: Labelled rows that are learned from, about so many of each language, and languages at most (the most frequent ones).
 ROWS_PER_LANG, MAX_LANGS, ROUNDS, SMOOTH = 1000, 100, 2, 0.1
-CACHED_RUNS = 200_000
+CACHED_RUNS, BLOCK = 200_000, 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def letter_runs(text: str) -> Iterator[list[str]]:
+    """The lower-cased letter runs of a text, a block at a time, so that long texts stay small."""
+    at = 0
+    while at < len(text):
+        end = at + BLOCK
+        while end < len(text) and text[end].isalpha():
+            end += 1
+        yield LETTERS.findall(text[at:end].lower())
+        at = end
+
+
 def vocabulary(path: str) -> list[str]:
     """Lower-case pieces of letters, with or without the start mark, of a sentencepiece file."""
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -151,17 +162,19 @@ class Scorer:
             self.clear()
         seen, new, counts, places = self.seen, [], [], []
         for text in texts:
-            runs = LETTERS.findall(text.lower()) if text else []
-            at = list(map(seen.get, runs))
-            if None in at:
-                runs = [r[k : k + RUN] for r in runs for k in range(0, len(r), RUN)]
-                for r in runs:
-                    if r not in seen:
-                        seen[r] = len(seen)
-                        new.append(r)
+            parts = [np.empty(0, np.int64)]
+            for runs in letter_runs(text or ""):
                 at = list(map(seen.get, runs))
-            counts.append(len(at))
-            places.append(np.array(at, np.int64))
+                if None in at:
+                    runs = [r[k : k + RUN] for r in runs for k in range(0, len(r), RUN)]
+                    for r in runs:
+                        if r not in seen:
+                            seen[r] = len(seen)
+                            new.append(r)
+                    at = list(map(seen.get, runs))
+                parts.append(np.array(at, np.int64))
+            places.append(np.concatenate(parts))
+            counts.append(len(places[-1]))
         if new:
             self.logs = np.vstack((self.logs, self.log_probabilities(new)))
         langs, scores = [], []
@@ -182,7 +195,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: dict[tuple[str, str], int] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            for run in LETTERS.findall(text.lower()):
+            for run in (r for runs in letter_runs(text) for r in runs):
                 for k in range(0, len(run), RUN):
                     key = lang, run[k : k + RUN]
                     counts[key] = counts.get(key, 0) + 1
