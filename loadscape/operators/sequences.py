@@ -122,3 +122,20 @@ def strict_peaks(df: DataFrame, keys: Sequence[str], order: str, value: str) ->
     """Rows above both neighbours."""
     w = Window.partitionBy(*keys).orderBy(order)
     return df.select("*", F.lag(value).over(w).alias("_a"), F.lead(value).over(w).alias("_b")).where((F.col(value) > F.col("_a")) & (F.col(value) > F.col("_b"))).drop("_a", "_b")
+
+
+def decompose(df: DataFrame, keys: Sequence[str], pos: str, value: str, period: int, length: int) -> DataFrame:
+    """Adds trend (a centred mean of period + 1 values, NULL near the ends), season and rest of a series from 0 to length."""
+    half = period // 2
+    w = Window.partitionBy(*keys)
+    mean = F.avg(value).over(w.orderBy(pos).rowsBetween(-half, half))
+    rows = df.withColumn("trend", F.when(F.col(pos).between(half, length - half - 1), mean)).withColumn("_phase", F.col(pos) % period)
+    rows = rows.withColumn("season", F.avg(F.col(value) - F.col("trend")).over(Window.partitionBy(*keys, "_phase")))
+    return rows.withColumn("rest", F.col(value) - F.col("trend") - F.col("season")).drop("_phase")
+
+
+def context(df: DataFrame, keys: Sequence[str], day: str, value: str, reach: int, k: int) -> DataFrame:
+    """(keys, day, other, gap): for each row the k most alike values of its keys within ``reach`` days, ties by day."""
+    other = df.select(*keys, F.col(day).alias("other"), F.col(value).alias("_v"))
+    pairs = df.join(other, list(keys)).where((F.col(day) != F.col("other")) & (F.abs(F.col(day) - F.col("other")) <= reach)).withColumn("gap", F.abs(F.col(value) - F.col("_v")))
+    return pairs.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, day).orderBy("gap", "other"))).where(F.col("_k") <= k).drop("_k", "_v")
