@@ -81,3 +81,9 @@ def without_leap_day(df: DataFrame, ts: str, year: int) -> DataFrame:
     t = F.col(ts)
     moved = F.make_timestamp_ntz(F.lit(year), F.month(t), F.dayofmonth(t), F.hour(t), F.minute(t), F.second(t).cast("decimal(8,6)"))
     return df.where(~((F.month(t) == 2) & (F.dayofmonth(t) == 29))).withColumn(ts, moved)
+
+
+def known_counts(df: DataFrame) -> DataFrame:
+    """(name, known): the number of values of each column, in one pass."""
+    counts = df.agg(*[F.count(c).alias(c) for c in df.columns])
+    return counts.unpivot([], df.columns, "name", "known")

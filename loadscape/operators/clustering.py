@@ -58,3 +58,11 @@ def local_outlier_factor(pairs: DataFrame, group: str, k: int) -> DataFrame:
     density = ranked.join(named, [group, "j"]).groupBy(group, "i").agg((1 / F.avg(F.greatest("d", "kd_j"))).alias("lrd"))
     near = density.select(group, F.col("i").alias("j"), F.col("lrd").alias("lrd_j"))
     return ranked.join(near, [group, "j"]).join(density, [group, "i"]).groupBy(group, "i").agg((F.avg("lrd_j") / F.first("lrd")).alias("lof"))
+
+
+def chord_elbow(df: DataFrame, x: str, y: str) -> DataFrame:
+    """(x, d): the point furthest from the line between the first and the last point of a curve."""
+    ends = df.agg(F.min_by(F.struct(x, y), x).alias("a"), F.max_by(F.struct(x, y), x).alias("b"))
+    x1, y1, x2, y2 = F.col("a")[x], F.col("a")[y], F.col("b")[x], F.col("b")[y]
+    d = F.abs((y2 - y1) * F.col(x) - (x2 - x1) * F.col(y) + x2 * y1 - y2 * x1) / F.sqrt(F.pow(y2 - y1, F.lit(2)) + F.pow(x2 - x1, F.lit(2)))
+    return df.join(F.broadcast(ends)).select(x, d.alias("d")).orderBy(F.desc("d"), x).limit(1)
