@@ -252,8 +252,10 @@ def fit(docs: DataFrame, vocabulary_path: str, learn: Column, text_col: str = "t
     model = Model(pieces, langs, np.full((len(pieces), len(langs)), 1.0 / len(pieces)))
     for _ in range(rounds):
         uses = np.full_like(model.probs, SMOOTH)
-        for lang, piece, n in map_batches(counted, _expected(model), "lang string, piece bigint, uses double").groupBy("lang", "piece").agg(F.sum("uses")).collect():
-            uses[piece, langs.index(lang)] += n
+        found = map_batches(counted, _expected(model), "lang string, piece bigint, uses double").groupBy("lang", "piece").agg(F.sum("uses").alias("n")).toArrow()
+        at = np.array([langs.index(x) for x in found.column("lang").unique().to_pylist()], np.int64)
+        lang = found.column("lang").combine_chunks().dictionary_encode().indices.to_numpy()
+        uses[found.column("piece").to_numpy(), at[lang]] += found.column("n").to_numpy()
         model.probs = uses / uses.sum(axis=0)
     scratch.drop(counted)
     return model
