@@ -1,3 +1,4 @@
+import datetime
 import os
 import sys
 from pathlib import Path
@@ -38,6 +39,10 @@ def compare(got, want) -> None:
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got) == len(want)
     columns = sorted(got.columns)
+    for d in (got, want):
+        for c in columns:
+            if d[c].map(lambda x: isinstance(x, datetime.date)).any():
+                d[c] = pd.to_datetime(d[c])
     a, b = (d[columns].sort_values(columns).reset_index(drop=True) for d in (got, want))
     for c in columns:
         if pd.api.types.is_float_dtype(a[c]) or pd.api.types.is_float_dtype(b[c]):
