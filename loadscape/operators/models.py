@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.clustering import KMeans, PowerIterationClustering
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -49,3 +49,25 @@ def real_or_made(real: DataFrame, made: DataFrame, vals: str) -> DataFrame:
     model = LogisticRegression(featuresCol="_v", labelCol="y", maxIter=20, regParam=0.01).fit(both.where("_h > 0"))
     scored = model.transform(both.where("_h = 0")).select(vector_to_array("probability")[1].alias("s"), F.col("y").cast("int").alias("y"))
     return roc_auc(scored, "s", "y")
+
+
+def validated_tree(train: DataFrame, held: DataFrame, info: Sequence[str], label: str, depths: Sequence[int], seed: int = 1):
+    """The decision tree whose depth has the least log loss on held-out rows; (model, loss)."""
+    features = array_to_vector(F.array(*[F.col(c).cast("double") for c in info]))
+    train, held = train.withColumn("_x", features).cache(), held.withColumn("_x", features).cache()
+    best = None
+    for depth in depths:
+        model = DecisionTreeClassifier(labelCol=label, featuresCol="_x", maxDepth=depth, seed=seed).fit(train)
+        p = F.get(vector_to_array("probability"), F.col(label).cast("int"))
+        loss = model.transform(held).agg(F.avg(-F.ln(F.greatest(F.coalesce(p, F.lit(0.0)), F.lit(1e-12))))).first()[0]
+        if best is None or loss < best[1]:
+            best = model, loss
+    train.unpersist()
+    held.unpersist()
+    return best
+
+
+def power_iteration(pairs: DataFrame, k: int, scale: float) -> DataFrame:
+    """(id, cluster): power iteration clustering of distances (i, j, d), as similarities exp(-d / scale)."""
+    edges = pairs.select(F.col("i").cast("long").alias("src"), F.col("j").cast("long").alias("dst"), F.exp(-F.col("d") / scale).alias("weight"))
+    return PowerIterationClustering(k=k, maxIter=20, weightCol="weight").assignClusters(edges)

@@ -137,3 +137,32 @@ def a3_mean_over_meters(spark, sf_dir):
 def o2_first_row_per_meter(spark, sf_dir):
     w = Window.partitionBy("meter_id").orderBy("row_id")
     return readings(spark, sf_dir).withColumn("k", F.row_number().over(w)).where("k = 1").select("meter_id", F.round("value", 6).alias("v"))
+
+
+@query()
+def d13_direction_similarity(spark, sf_dir):
+    """Principal directions of each query profile (ids divisible by 20) against those of its cluster."""
+    from loadscape.operators.matching import direction_similarity
+
+    p = profiles(spark, sf_dir)
+    q = p.where("profile_id % 20 = 0").select(F.col("profile_id").alias("query"), "cluster", F.col("vals").alias("q"))
+    pairs = p.join(q, "cluster").where("query <> profile_id").withColumnRenamed("profile_id", "other")
+    return direction_similarity(pairs, "q", "vals", 8, 2, "similarity").select("query", "other", "similarity")
+
+
+@query()
+def c9_power_iteration(spark, sf_dir):
+    pairs = distance.pairs_within(profiles(spark, sf_dir), "cluster", "profile_id", "vals", distance.euclidean)
+    return models.power_iteration(pairs, 3, 1.0)
+
+
+@query()
+def m15_validated_tree(spark, sf_dir):
+    """Clusters predicted from the means of the profile's quarters, by the tree depth that does best on held-out rows."""
+    from loadscape.operators.samplers import fold_of
+
+    p = profiles(spark, sf_dir).withColumn("q", fold(F.col("vals"), 16)).withColumn("fold", fold_of(F.col("profile_id"), "tree", 5))
+    p = p.select("profile_id", F.col("cluster").cast("double").alias("y"), "fold", *[F.col("q")[i].alias(f"x{i}") for i in range(4)])
+    info = [f"x{i}" for i in range(4)]
+    model, loss = models.validated_tree(p.where("fold > 0"), p.where("fold = 0"), info, "y", [2, 4, 6])
+    return spark.createDataFrame([(model.depth, loss)], "depth int, log_loss double")
