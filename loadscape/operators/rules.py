@@ -51,3 +51,30 @@ def after_gap(df: DataFrame, found: DataFrame, key: str, pos: str, value: str, w
     at = lambda c: F.max(F.when(c, F.col(value)))
     rest = F.when(F.col("_k") > 0, F.col(value))
     return rows.groupBy(key, "start", "gap").agg(at(F.col("_k") == 0).alias("v1"), at(F.col("_k") == 1).alias("v2"), F.round(F.avg(rest), 4).alias("mean"), F.max(rest).alias("hi"))
+
+
+def rare_values(df: DataFrame, key: str, value: str, width: float, least: float) -> DataFrame:
+    """Adds ``rare``: the value's histogram cell holds less than a share ``least`` of its key's values.
+
+    Densities come from counts of cells, which are combined before the shuffle.
+    """
+    cell = F.floor(F.col(value) / width)
+    counts = df.groupBy(key, cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+    share = counts.withColumn("_share", F.col("_n") / F.sum("_n").over(Window.partitionBy(key))).drop("_n")
+    return df.withColumn("_cell", cell).join(share, [key, "_cell"]).withColumn("rare", F.col("_share") < least).drop("_cell", "_share")
+
+
+def real_or_cumulative(df: DataFrame, found: DataFrame, key: str, pos: str, value: str, period: int, days: int) -> DataFrame:
+    """(key, start, end, cumulative): is the value after a gap more like that hour on a day nearby, or like its sum?
+
+    For each of the ``days`` days before and after, the value is held against the same hour and against the sum of the
+    gap's hours and that hour; unread hours count as 0 in the sum. NULL where nothing can be compared.
+    """
+    near = F.explode(F.filter(F.sequence(F.lit(-days), F.lit(days)), lambda d: d != 0))
+    asked = found.join(df.select(key, F.col(pos).alias("end"), F.col(value).alias("_v")), [key, "end"]).where("_v is not null").withColumn("_d", near)
+    spread = asked.select("*", F.explode(F.sequence(F.col("start"), F.col("end"))).alias("_p")).withColumn(pos, (F.col("_p") + F.col("_d") * period).cast(df.schema[pos].dataType))
+    seen = spread.join(df.select(key, pos, F.col(value).alias("_w")), [key, pos])
+    by_day = seen.groupBy(key, "start", "end", "_v", "_d").agg(F.max(F.when(F.col("_p") == F.col("end"), F.col("_w"))).alias("_real"), F.coalesce(F.round(F.sum("_w"), 6), F.lit(0.0)).alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    by_day = by_day.where(F.col("_n") == F.col("end") - F.col("start") + 1)
+    best = by_day.groupBy(key, "start", "end").agg(F.min(F.round(F.abs(F.col("_v") - F.col("_real")), 6)).alias("_a"), F.min(F.round(F.abs(F.col("_v") - F.col("_sum")), 6)).alias("_b"))
+    return best.select(key, "start", "end", (F.col("_b") < F.col("_a")).alias("cumulative"))

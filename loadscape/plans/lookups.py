@@ -158,3 +158,19 @@ def o7_one_per_stratum(spark, sf_dir):
     key = F.md5(F.concat(F.lit("sub:"), F.col("row_id").cast("string")).cast("binary"))
     w = Window.partitionBy("meter_id", "kind").orderBy(key, "row_id")
     return readings(spark, sf_dir).withColumn("k", F.row_number().over(w)).where("k = 1").select("meter_id", "kind", "row_id")
+
+
+@query(with_tables("readings") + ", c AS (SELECT meter_id, CAST(floor(value / 10) AS BIGINT) AS cell, count(*) AS n FROM readings GROUP BY 1, 2), s AS (SELECT meter_id, cell, n / CAST(sum(n) OVER (PARTITION BY meter_id) AS DOUBLE) AS share FROM c) SELECT row_id, share < 0.02 AS rare FROM readings r JOIN s ON s.meter_id = r.meter_id AND s.cell = CAST(floor(value / 10) AS BIGINT)")
+def q12_rare_values(spark, sf_dir):
+    """Readings in sparse cells of their meter's own distribution."""
+    return rules.rare_values(readings(spark, sf_dir), "meter_id", "value", 10.0, 0.02).select("row_id", "rare")
+
+
+@query(HOURLY + """, asked AS (SELECT r.meter_id, start, "end", h.value AS v, d FROM runs r JOIN hourly h ON h.meter_id = r.meter_id AND h.pos = "end" AND h.value IS NOT NULL, (SELECT unnest(range(-3, 4)) AS d) WHERE d <> 0),
+seen AS (SELECT a.meter_id, start, "end", v, d, max(CASE WHEN h.pos - d * 24 = "end" THEN h.value END) AS real, coalesce(round(sum(h.value), 6), 0) AS total FROM asked a JOIN hourly h ON h.meter_id = a.meter_id AND h.pos BETWEEN start + d * 24 AND "end" + d * 24 GROUP BY 1, 2, 3, 4, 5 HAVING count(*) = "end" - start + 1)
+SELECT meter_id, start, "end", min(round(abs(v - total), 6)) < min(round(abs(v - real), 6)) AS cumulative FROM seen GROUP BY 1, 2, 3""")
+def q14_real_or_cumulative(spark, sf_dir):
+    """Values after gaps held against the same hours of the three days before and after."""
+    rows = hourly(spark, sf_dir)
+    found = seq.runs(rows, ["meter_id"], "pos", F.col("value").isNull())
+    return rules.real_or_cumulative(rows, found, "meter_id", "pos", "value", 24, 3)
