@@ -2,8 +2,8 @@
 
 Words and word pairs are hashed into BUCKETS; one multinomial is counted over trusted documents, one over all. A
 document's score is the mean over its n-grams of the log of the ratio of the two, so length does not matter, and the
-document is kept if the score reaches the threshold. The threshold comes from trusted documents that the multinomial has
-not seen: half of them, by a hash of their id, are counted, and all but a small share of the other half pass.
+document is kept if the score reaches the threshold. The threshold comes from trusted documents, each scored as if it were
+not one of them (its own n-grams are taken off the trusted counts): all but a small share of them pass, at every size.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from loadscape.llm.arrow import map_batches
 from loadscape.llm.text import Known, word_chunks
 
 #: Hash buckets and smoothing counts of each bucket. The threshold lies MARGIN below the score that all but UNSEEN_SHARE
-#: of the unseen trusted rows reach; with fewer than MIN_UNSEEN of those it is FIXED.
+#: of the trusted rows reach when left out of the trusted counts.
 BUCKETS, SMOOTH = 1 << 16, 1.0
-UNSEEN_SHARE, MARGIN, MIN_UNSEEN, FIXED = 0.005, 0.05, 50, -0.35
+UNSEEN_SHARE, MARGIN = 0.005, 0.05
 #: Trusted rows that are used, at most: those with the smallest hash of their id.
 MAX_TRUSTED = 20_000
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -126,11 +126,22 @@ class Model:
         return [float(self.ratios[x].mean()) if len(x) else 0.0 for x in found]
 
 
-def _score(held):
+def left_out(counts: np.ndarray, found: np.ndarray) -> float:
+    """The score of a trusted document by ``counts`` (trusted, all) without its own n-grams among the trusted."""
+    if not len(found):
+        return 0.0
+    used, own = np.unique(found, return_counts=True)
+    smooth = SMOOTH * counts.shape[1]
+    target = np.log(counts[0, used] - own + SMOOTH) - np.log(counts[0].sum() - len(found) + smooth)
+    raw = np.log(counts[1, used] + SMOOTH) - np.log(counts[1].sum() + smooth)
+    return float(own @ (target - raw) / len(found))
+
+
+def _left_out(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams(len(held.value.ratios))
+        grams = Grams(held.value.shape[1])
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(held.value.scores(grams, [t.as_py() or b"" for t in batch.column("text")]), pa.float64())], names=["score"])
+            yield pa.RecordBatch.from_arrays([pa.array([left_out(held.value, grams(t.as_py() or b"")) for t in batch.column("text")], pa.float64())], names=["score"])
 
     return run
 
@@ -139,30 +150,26 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
     """Learn from the corpus, and from the rows whose ids are in ``id_col`` of ``trusted``.
 
     The corpus is counted over every row of ``docs``; of trusted ids the ``max_trusted`` with the smallest hash are taken,
-    one half to count and one to set the threshold. Without a trusted row to count, or over an empty table, all ratios
-    are zero and nothing is let go. Null ids are not trusted.
+    all of them to count and each, left out of the counts, to set the threshold. Without a trusted row, or over an empty
+    table, all ratios are zero and nothing is let go. Null ids are not trusted.
     """
     spark = docs.sparkSession
     order = F.xxhash64(F.lit("quality"), "_llm_id")
     ids = trusted.select(F.col(id_col).alias("_llm_id")).where("_llm_id is not null").distinct().withColumn("_llm_order", order)
-    ids = ids.orderBy("_llm_order", "_llm_id").limit(max_trusted).select("_llm_id", (F.pmod("_llm_order", F.lit(2)) == 0).alias("_llm_count"))
+    ids = ids.orderBy("_llm_order", "_llm_id").limit(max_trusted).select("_llm_id")
     ids = F.broadcast(spark.createDataFrame(ids.collect(), ids.schema))
     text = F.col(f"`{text_col}`").cast("string").cast("binary").alias("text")
-    rows = docs.join(ids, F.col(id_col) == F.col("_llm_id"), "left").select(text, F.coalesce("_llm_count", F.lit(False)).alias("trusted"))
+    rows = docs.join(ids, F.col(id_col) == F.col("_llm_id"), "left").select(text, F.col("_llm_id").isNotNull().alias("trusted"))
     counts = np.zeros((2, buckets))
     counted = map_batches(rows, _count(buckets), "bucket bigint, target bigint, raw bigint").groupBy("bucket").agg(F.sum("target"), F.sum("raw"))
     for bucket, target, raw in counted.collect():
         counts[:, bucket] = target, raw
     if not counts[0].any():
-        return Model(np.zeros(buckets), FIXED)
+        return Model(np.zeros(buckets), -np.inf)
     p = (counts + SMOOTH) / (counts + SMOOTH).sum(axis=1, keepdims=True)
-    model = Model(np.log(p[0] / p[1]), FIXED)
-    unseen = docs.join(ids, (F.col(id_col) == F.col("_llm_id")) & ~F.col("_llm_count")).select(text)
-    scored = map_batches(unseen, _score(spark.sparkContext.broadcast(model)), "score double")
-    n, low = scored.agg(F.count(F.lit(1)), F.percentile("score", F.lit(UNSEEN_SHARE))).first()
-    if n >= MIN_UNSEEN:
-        model.threshold = low - MARGIN
-    return model
+    own = docs.join(ids, F.col(id_col) == F.col("_llm_id")).select(text)
+    scored = map_batches(own, _left_out(spark.sparkContext.broadcast(counts)), "score double")
+    return Model(np.log(p[0] / p[1]), scored.agg(F.percentile("score", F.lit(UNSEEN_SHARE))).first()[0] - MARGIN)
 
 
 def judge(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
