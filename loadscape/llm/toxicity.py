@@ -3,7 +3,8 @@
 One weight per feature is shared across the ordered thresholds: P(grade <= k) = logistic(threshold_k - w.x). The expected
 severity of a text is the sum over k of P(grade > k). Features are hashed words and the letter runs of GRAM letters in
 them (so that inflected and compounded words are known by their stems), kept if they tell toxic from clean labelled texts
-beyond chance, with log(1 + count) as value, so that a long clean text does not gather weight.
+beyond chance, with log(1 + count) as value, so that a long clean text does not gather weight. A run without spaces that
+is longer than a word is read in blocks, which count like words.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ from loadscape.llm.scratch import Scratch
 from loadscape.llm.text import Known, plain, word_chunks
 
 BUCKETS, GRAM = 1 << 22, 5
-#: Labelled rows that are learned from, at most: those with the smallest hash of their id. Features at most, the least
-#: likelihood-ratio statistic (G2) of a feature, and the least share of toxic texts among those that hold it.
-MAX_ROWS, MAX_FEATURES, MIN_G2, MIN_SHARE = 20_000, 1024, 22.0, 0.6
+#: Letter runs that start in one block of a word; words of no more bytes are remembered.
+BLOCK = 100
+#: Labelled rows that are learned from, at most: those with the smallest hash of their id. The least likelihood-ratio
+#: statistic (G2) of a feature, and the least share of toxic texts among those that hold it.
+MAX_ROWS, MIN_G2, MIN_SHARE = 20_000, 22.0, 0.6
 #: Toxic rows with so many toxic words or more have the next grade.
 GRADE_AT = 3
 STEPS, RATE, L2 = 600, 0.1, 1e-4
@@ -33,11 +36,26 @@ STEPS, RATE, L2 = 600, 0.1, 1e-4
 FLAG_AT = 0.25
 
 
+def blocks_of(word: bytes) -> Iterator[tuple[int, ...]]:
+    """Buckets of a word and of its runs of GRAM letters, the ends of the word included, a block of BLOCK runs at a time."""
+    w = plain(word)
+    marked = f"<{w}>" if w else ""
+    for at in range(0, max(len(marked) - GRAM + 1, bool(w)), BLOCK):
+        block = marked[at : at + BLOCK + GRAM - 1]
+        runs = (block[i : i + GRAM] for i in range(len(block) - GRAM + 1))
+        yield tuple({zlib.crc32(x.encode()) % BUCKETS for x in ((marked, *runs) if at == 0 else runs)})
+
+
 def buckets_of(word: bytes) -> tuple[int, ...]:
-    """Buckets of a word and of its runs of GRAM letters, the ends of the word included."""
-    w = plain(word)[:100]
-    marked = f"<{w}>"
-    return tuple({zlib.crc32(x.encode()) % BUCKETS for x in (marked, *(marked[i : i + GRAM] for i in range(len(marked) - GRAM + 1)))}) if w else ()
+    """Buckets of a word of one block."""
+    return next(blocks_of(word), ())
+
+
+def split_long(words: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+    """Words of at most BLOCK bytes, and those above."""
+    if max(map(len, words)) <= BLOCK:
+        return words, []
+    return [w for w in words if len(w) <= BLOCK], [w for w in words if len(w) > BLOCK]
 
 
 @dataclass
@@ -61,7 +79,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, grade in zip(batch.column("text"), batch.column("grade").to_pylist()):
             own: set[int] = set()
             for words in word_chunks(text.as_py() or b""):
+                words, long = split_long(words)
                 own.update(*map(known.__getitem__, {*words}))
+                for word in {*long}:
+                    own.update(*blocks_of(word))
             (toxic if grade else clean)[np.fromiter(own, np.int64, len(own))] += 1
     used = np.flatnonzero(clean + toxic)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(clean[used].astype(np.int64)), pa.array(toxic[used].astype(np.int64))], names=["bucket", "clean", "toxic"])
@@ -71,28 +92,32 @@ class Features:
     """Counts of the model's features in a text. Words are known by the group of features that they hold."""
 
     def __init__(self, buckets: list[int]):
-        self.place, self.n = {b: i for i, b in enumerate(buckets)}, len(buckets)
+        self.place = {b: i for i, b in enumerate(buckets)}
         self.groups: list[list[int]] = [[]]
         self.numbers: dict[tuple[int, ...], int] = {(): 0}
-        self.known = Known(self._group)
+        self.known = Known(lambda word: self._group(buckets_of(word)))
 
-    def _group(self, word: bytes) -> int:
-        own = tuple(sorted(self.place[b] for b in buckets_of(word) if b in self.place))
+    def _group(self, block: tuple[int, ...]) -> int:
+        own = tuple(sorted(self.place[b] for b in block if b in self.place))
         if own not in self.numbers:
             self.numbers[own] = len(self.groups)
             self.groups.append([*own])
         return self.numbers[own]
 
-    def __call__(self, text: bytes | None) -> tuple[np.ndarray, int]:
-        """(count of each feature, number of words with a feature)."""
-        out, hits = np.zeros(self.n), 0
+    def __call__(self, text: bytes | None) -> tuple[list[int], list[int], int]:
+        """(features in the text, count of each, number of words with a feature)."""
+        out: Counter[int] = Counter()
         for words in word_chunks(text or b""):
+            words, long = split_long(words)
             found = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            found = found[found > 0].tolist()
-            for g in found:
-                out[self.groups[g]] += 1
-            hits += len(found)
-        return out, hits
+            out.update(found[found > 0].tolist())
+            out.update(g for word in long for g in map(self._group, blocks_of(word)) if g)
+        counts: Counter[int] = Counter()
+        for g, n in out.items():
+            for i in self.groups[g]:
+                counts[i] += n
+        at = sorted(counts)
+        return at, [counts[i] for i in at], sum(out.values())
 
 
 def _vectors(buckets: list[int]):
@@ -101,21 +126,37 @@ def _vectors(buckets: list[int]):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows, hits = zip(*[features(t.as_py()) for t in batch.column("text")])
-            at = [np.flatnonzero(r).tolist() for r in rows]
-            values = [r[a].tolist() for r, a in zip(rows, at)]
-            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(hits, pa.int64()), pa.array(at, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64()))], names=["grade", "hits", "at", "n"])
+            at, values, hits = zip(*[features(t.as_py()) for t in batch.column("text")])
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(hits, pa.int64()), pa.array(at, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.int64()))], names=["grade", "hits", "at", "n"])
 
     return run
 
 
-def _regress(x: np.ndarray, y: np.ndarray, grades: int, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Sparse:
+    """Values at (row, column) of a matrix of the given shape, zero elsewhere."""
+
+    row: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+    shape: tuple[int, int]
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.column], self.shape[0])
+
+    def transposed_times(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, self.value * g[self.row], self.shape[1])
+
+
+def _regress(x: np.ndarray | Sparse, y: np.ndarray, grades: int, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds of the most likely cumulative-link model, by gradient steps (Adam).
 
     ``weight`` says how many texts each row stands for: most texts hold no feature and are one row.
     """
-    d, x = x.shape[1], x.astype(np.float64)
-    weight = np.ones(len(x)) if weight is None else weight
+    if not isinstance(x, Sparse):
+        x = Sparse(*np.nonzero(x), x[np.nonzero(x)].astype(np.float64), x.shape)
+    d = x.shape[1]
+    weight = np.ones(x.shape[0]) if weight is None else weight
     weight = weight / weight.sum()
     share = np.array([weight[y <= k].sum() for k in range(grades - 1)]).clip(1e-6, 1 - 1e-6)
     start = np.log(share / (1 - share))
@@ -123,15 +164,16 @@ def _regress(x: np.ndarray, y: np.ndarray, grades: int, weight: np.ndarray | Non
     m, v = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, STEPS + 1):
         w, cuts = p[:d], p[d] + np.concatenate(([0.0], np.cumsum(np.exp(p[d + 1 :]))))
-        low = np.concatenate(([-np.inf], cuts))[y] - x @ w
-        high = np.concatenate((cuts, [np.inf]))[y] - x @ w
+        score = x.times(w)
+        low = np.concatenate(([-np.inf], cuts))[y] - score
+        high = np.concatenate((cuts, [np.inf]))[y] - score
         f_low, f_high = 1 / (1 + np.exp(-low.clip(-500, 500))), 1 / (1 + np.exp(-high.clip(-500, 500)))
         f_low, f_high = np.where(np.isneginf(low), 0.0, f_low), np.where(np.isposinf(high), 1.0, f_high)
         chance = np.maximum(f_high - f_low, 1e-12)
         g_low, g_high = -weight * f_low * (1 - f_low) / chance, weight * f_high * (1 - f_high) / chance
         by_cut = np.array([g_high[y == k].sum() + g_low[y == k + 1].sum() for k in range(grades - 1)])
         tail = np.cumsum(by_cut[::-1])[::-1]
-        g = -np.concatenate((-(x.T @ (g_low + g_high)) - L2 * w, tail[:1], tail[1:] * np.exp(p[d + 1 :])))
+        g = -np.concatenate((-x.transposed_times(g_low + g_high) - L2 * w, tail[:1], tail[1:] * np.exp(p[d + 1 :])))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     return p[:d], p[d] + np.concatenate(([0.0], np.cumsum(np.exp(p[d + 1 :]))))
@@ -157,19 +199,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n, share = F.col("toxic") + F.col("clean"), size[True] / sum(size.values())
     g2 = 2 * (F.col("toxic") * F.log(F.col("toxic") / (n * share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (n * (1 - share)))).otherwise(0.0))
     chosen = counts.where((F.col("toxic") > 0) & (F.col("toxic") >= MIN_SHARE * n)).withColumn("g2", g2).where(F.col("g2") >= MIN_G2)
-    buckets = sorted(r[0] for r in chosen.orderBy(F.desc("g2"), "bucket").limit(MAX_FEATURES).collect())
+    buckets = sorted(r[0] for r in chosen.select("bucket").collect())
     if not buckets:
         return Model()
-    held = map_batches(rows.select("text", "grade"), _vectors(buckets), "grade int, hits bigint, at array<bigint>, n array<double>").collect()
+    held = map_batches(rows.select("text", "grade"), _vectors(buckets), "grade int, hits bigint, at array<bigint>, n array<bigint>").collect()
     if max(r[0] for r in held) <= 1:
         held = [(max(0, r[0]) * (1 + (r[1] >= GRADE_AT)), *r[1:]) for r in held]
     alike = Counter((max(0, grade), tuple(at), tuple(n)) for grade, _, at, n in held)
-    x, weight = np.zeros((len(alike), len(buckets))), np.array([*alike.values()], np.float64)
-    for i, (_, at, n) in enumerate(alike):
-        x[i, list(at)] = n
+    weight = np.array([*alike.values()], np.float64)
+    row = np.repeat(np.arange(len(alike)), [len(at) for _, at, _ in alike])
+    column, n = (np.array([i for k in alike for i in k[part]], np.int64) for part in (1, 2))
+    x = Sparse(row, column, np.log1p(n), (len(alike), len(buckets)))
     y = np.unique([k[0] for k in alike], return_inverse=True)[1]
     scratch.drop(rows)
-    weights, thresholds = _regress(np.log1p(x), y, int(y.max()) + 1, weight)
+    weights, thresholds = _regress(x, y, int(y.max()) + 1, weight)
     return Model(buckets, weights, thresholds)
 
 
@@ -187,7 +230,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", flag_at: floa
         model = held.value
         features = Features(model.buckets)
         for batch in batches:
-            x = np.array([np.log1p(features(t.as_py())[0]) @ model.weights for t in batch.column("_llm_text")], np.float64)
+            found = [features(t.as_py()) for t in batch.column("_llm_text")]
+            x = np.array([np.log1p(n) @ model.weights[at] if at else 0.0 for at, n, _ in found], np.float64)
             above = model.severity(x)
             chance = np.hstack((np.ones((len(x), 1)), above)) - np.hstack((above, np.zeros((len(x), 1))))
             expected = above.sum(axis=1)
