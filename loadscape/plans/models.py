@@ -141,12 +141,12 @@ def o2_first_row_per_meter(spark, sf_dir):
 
 @query()
 def d13_direction_similarity(spark, sf_dir):
-    """Principal directions of each query profile (ids divisible by 20) against those of its cluster."""
+    """Principal directions of each query profile (ids divisible by 20) against those of all other profiles."""
     from loadscape.operators.matching import direction_similarity
 
     p = profiles(spark, sf_dir)
-    q = p.where("profile_id % 20 = 0").select(F.col("profile_id").alias("query"), "cluster", F.col("vals").alias("q"))
-    pairs = p.join(q, "cluster").where("query <> profile_id").withColumnRenamed("profile_id", "other")
+    q = p.where("profile_id % 20 = 0").select(F.col("profile_id").alias("query"), F.col("vals").alias("q"))
+    pairs = p.join(F.broadcast(q), F.col("query") != F.col("profile_id")).withColumnRenamed("profile_id", "other")
     return direction_similarity(pairs, "q", "vals", 8, 2, "similarity").select("query", "other", "similarity")
 
 

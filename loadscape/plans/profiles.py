@@ -46,11 +46,9 @@ def d9_wasserstein(spark, sf_dir):
 
 @query()
 def d4_dynamic_time_warping(spark, sf_dir):
-    """Banded DTW between each query profile (ids divisible by 20) and all of its cluster."""
+    """Banded DTW between each query profile (ids divisible by 20) and all other profiles."""
     p = profiles(spark, sf_dir)
-    q = p.where("profile_id % 20 = 0").select(F.col("profile_id").alias("query"), "cluster", F.col("vals").alias("q"))
-    pairs = p.join(q, "cluster").where("query <> profile_id")
-    return pairs.select("query", F.col("profile_id").alias("other"), distance.dtw("q", "vals", F.lit(4)).alias("d"))
+    return distance.pairs_with_queries(p, p.where("profile_id % 20 = 0"), "profile_id", "vals", lambda a, b: distance.dtw(a, b, F.lit(4)))
 
 
 @query(_PAIRS + """, sums AS (SELECT cluster, i, round(sum(d), 6) AS total FROM sym GROUP BY 1, 2)

@@ -78,9 +78,9 @@ def d8_one_to_one_days(spark, sf_dir):
 
 @query()
 def d6_assigned_days(spark, sf_dir):
-    """Days matched at least total cost (Hungarian method in batches of pairs), over each query's cluster."""
+    """Days matched at least total cost (Hungarian method in batches of pairs), of query profiles (ids divisible by 20) with all others."""
     p = profiles(spark, sf_dir)
-    return matching.assigned(p.where("profile_id % 20 = 0"), p, "cluster", "profile_id", "vals", 16)
+    return matching.assigned(p.where("profile_id % 20 = 0"), p, "profile_id", "vals", 16)
 
 
 @query(with_tables("slots") + """, e AS (SELECT min(value) AS a, max(value) AS b FROM slots), h AS (SELECT cluster, least(CAST(floor((value - a) / (b - a) * 10) AS INT), 9) AS bin, count(*) AS n FROM slots, e GROUP BY 1, 2),
