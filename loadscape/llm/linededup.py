@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadscape.llm.arrow import gathered, map_batches
+from loadscape.llm.arrow import free, gathered, map_batches, named, with_made
 from loadscape.llm.scratch import Scratch
 
 SPACE = b" \t\n\v\f\r"
@@ -102,8 +102,9 @@ def twice_seen(texts: DataFrame, words: int, min_chars: int = MIN_CHARS) -> np.n
 
 
 def _row_keys(id_col: str, text_col: str) -> list[Column]:
-    one, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
-    return [F.xxhash64(one, text).alias("_llm_a"), F.xxhash64(text, F.lit("b"), one).alias("_llm_b")]
+    """128 bits that tell a row's id and text."""
+    one, text = named(id_col), named(text_col).cast("string")
+    return [F.xxhash64(one, text), F.xxhash64(text, F.lit("b"), one)]
 
 
 def _suspects(held, min_chars: int):
@@ -119,26 +120,24 @@ def _suspects(held, min_chars: int):
                         rows.append(i)
                         digests.append(hashlib.sha256(keys[k]).digest())
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[c.take(at) for c in batch.columns[:3]], pa.array(digests, pa.binary())], names=["_llm_a", "_llm_b", "id", "digest"])
+            yield pa.RecordBatch.from_arrays([*[c.take(at) for c in batch.columns[:3]], pa.array(digests, pa.binary())], names=["row_a", "row_b", "id", "digest"])
 
     return run
 
 
-def _drop(kept: list[str], text_col: str, min_chars: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total, gone, texts = [], [], []
-            for text, drops in zip(batch.column("_llm_text"), batch.column("_llm_drops").to_pylist()):
-                lines, keys = line_keys(text.as_py(), min_chars)
-                drops = {*(drops or ())}
-                left = [x for x, k in zip(lines, keys) if k is None or hashlib.sha256(k).digest() not in drops] if drops else lines
-                total.append(len(lines))
-                gone.append(len(lines) - len(left))
-                texts.append(b"\n".join(left))
-            new = {text_col: pa.array(texts, pa.binary()).cast(pa.string()), "n_lines": pa.array(total, pa.int64()), "n_dropped": pa.array(gone, pa.int64())}
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *new.values()], names=[*kept, *new])
+def _drop(min_chars: int):
+    def work(batch: pa.RecordBatch) -> list[pa.Array]:
+        total, gone, texts = [], [], []
+        for text, drops in zip(batch.column("text"), batch.column("drops").to_pylist()):
+            lines, keys = line_keys(text.as_py(), min_chars)
+            drops = {*(drops or ())}
+            left = [x for x, k in zip(lines, keys) if k is None or hashlib.sha256(k).digest() not in drops] if drops else lines
+            total.append(len(lines))
+            gone.append(len(lines) - len(left))
+            texts.append(b"\n".join(left))
+        return [pa.array(texts, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())]
 
-    return run
+    return work
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_bits: int = MAX_BITS) -> DataFrame:
@@ -147,25 +146,27 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A line's key is the line stripped of ASCII white space and with A-Z lower-cased. Keys of at least ``min_chars`` code
     points that at least ``min_docs`` ids hold lose all their lines, but in the rows of the largest of those ids. A null
     or empty text is one empty line. Rows that repeat an id count as one document; all null ids count as one, which is
-    the smallest. Lines of any length are told by digest. Existing columns n_lines and n_dropped are replaced.
+    the smallest. Lines of any length are told by digest. Existing columns n_lines and n_dropped are replaced, all
+    others go along whatever their names; an empty table stays empty. Beyond ``max_bits`` the filters let ever more
+    lines be counted exactly: the result stays the same, and what is shuffled grows to one digest for each line.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "linededup")
-    one, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
+    one, text = named(id_col), named(text_col).cast("string")
     lines = (docs.agg(F.sum(F.length(text))).first()[0] or 0) / LINE_CHARS
     bits = MIN_BITS
     while bits < min(max_bits, lines * BITS_PER_LINE):
         bits *= 2
     binary = text.cast("binary").alias("text")
     held = spark.sparkContext.broadcast(twice_seen(docs.select(binary), bits // 64, min_chars))
-    rows = docs.select(*_row_keys(id_col, text_col), one.alias("id"), binary)
+    row_a, row_b = _row_keys(id_col, text_col)
+    rows = docs.select(row_a.alias("row_a"), row_b.alias("row_b"), one.alias("id"), binary)
     kind = rows.schema["id"].dataType.simpleString()
-    suspects = scratch.table(map_batches(rows, _suspects(held, min_chars), f"_llm_a bigint, _llm_b bigint, id {kind}, digest binary"))
+    suspects = scratch.table(map_batches(rows, _suspects(held, min_chars), f"row_a bigint, row_b bigint, id {kind}, digest binary"))
     once = suspects.select("digest", "id").distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep"))
     once = scratch.table(once.where(F.col("n") >= min_docs))
     gone = suspects.join(once, "digest").where(~F.col("id").eqNullSafe(F.col("keep")))
-    drops = gone.groupBy("_llm_a", "_llm_b").agg(F.collect_set("digest").alias("_llm_drops"))
-    kept = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    joined = docs.withColumns(dict(zip(("_llm_a", "_llm_b"), _row_keys(id_col, text_col)))).join(drops, ["_llm_a", "_llm_b"], "left")
-    joined = joined.select(*[F.col(f"`{c}`") for c in kept], text.cast("binary").alias("_llm_text"), "_llm_drops")
-    types = ", ".join([f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in kept] + [f"`{text_col}` string, n_lines bigint, n_dropped bigint"])
-    return map_batches(joined, _drop(kept, text_col, min_chars), types)
+    a, b, lost = free(docs, "_row_a", "_row_b", "_drops")
+    drops = gone.groupBy(F.col("row_a").alias(a), F.col("row_b").alias(b)).agg(F.collect_set("digest").alias(lost))
+    joined = docs.withColumns({a: row_a, b: row_b}).join(drops, [a, b], "left").select(*map(named, docs.columns), lost)
+    out = with_made(joined, {"text": text.cast("binary"), "drops": F.col(lost)}, lambda: _drop(min_chars), {text_col: "string", "n_lines": "bigint", "n_dropped": "bigint"})
+    return out.drop(lost)

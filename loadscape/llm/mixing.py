@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loadscape.llm.arrow import free, named, others
 from loadscape.llm.scratch import Scratch
 
 WEIGHTS, MAX_RATE, SEED = (5, 2, 1), 3, "mix"
@@ -46,28 +47,36 @@ def rates(sizes: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS
     return table.select("source", "source_size", F.when(full, most).otherwise(F.col("weight") * F.lit(level)).alias("target"))
 
 
-def assign_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, max_rate: int = MAX_RATE) -> DataFrame:
-    """``docs`` with _llm_size, _llm_source_size, _llm_target and _llm_copies (0 to ``max_rate``).
+#: What ``assign_copies`` adds: words, words of the source, words wanted of the source, and copies to take.
+ADDED = ("_llm_size", "_llm_source_size", "_llm_target", "_llm_copies")
+
+
+def assign_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, max_rate: int = MAX_RATE, added: tuple[str, str, str, str] = ADDED) -> DataFrame:
+    """``docs`` with the columns ``added`` (in place of any so called): size, source size, target, copies (0 to ``max_rate``).
 
     rate = target / source size; a document is taken floor(rate) times, and once more if a number decided by seed and id
     lies below the fraction. Reruns agree, rows that repeat an id fare alike. Null texts have size 0; null ids share one
-    number; a null source is a source. Sources without a word get no copies. Sizes are summed per source before the
-    shuffle, and documents stay where they are unless there are too many sources to send.
+    number; a null source is a source. Sources without a word get no copies, an empty table stays empty. Sizes are
+    summed per source before the shuffle, and documents stay where they are unless there are too many sources to send.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    sized = docs.withColumn("_llm_size", size_of(F.col(f"`{text_col}`")))
-    by = sized.groupBy(F.col(f"`{source_col}`").cast("string").alias("source")).agg(F.sum("_llm_size").alias("source_size"))
-    table = scratch.table(rates(by, scratch, weights, max_rate)).select(F.col("source").alias("_llm_source"), F.col("source_size").alias("_llm_source_size"), F.col("target").alias("_llm_target"))
-    n, size = table.agg(F.count(F.lit(1)), F.sum(F.octet_length("_llm_source"))).first()
-    small = n <= SENT_SOURCES and (size or 0) <= SENT_BYTES
-    joined = sized.join(F.broadcast(table) if small else table, F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("_llm_source")))
-    rate = F.coalesce(F.try_divide(F.col("_llm_target"), F.col("_llm_source_size").cast("double")), F.lit(0.0))
-    extra = uniform(seed, F.col(f"`{id_col}`")) < rate - F.floor(rate)
-    return joined.withColumn("_llm_copies", (F.floor(rate) + extra.cast("int")).cast("int")).drop("_llm_source")
+    size, source_size, target, copies = added
+    (own,) = free(docs, "_llm_source")
+    by = docs.groupBy(named(source_col).cast("string").alias("source")).agg(F.sum(size_of(named(text_col))).alias("source_size"))
+    table = scratch.table(rates(by, scratch, weights, max_rate))
+    n, bytes_ = table.agg(F.count(F.lit(1)), F.sum(F.octet_length("source"))).first()
+    small = n <= SENT_SOURCES and (bytes_ or 0) <= SENT_BYTES
+    table = table.select(F.col("source").alias(own), F.col("source_size").alias(source_size), F.col("target").alias(target))
+    sized = docs.select(*map(named, others(docs, added)), size_of(named(text_col)).alias(size))
+    joined = sized.join(F.broadcast(table) if small else table, named(source_col).cast("string").eqNullSafe(F.col(own)))
+    rate = F.coalesce(F.try_divide(F.col(target), F.col(source_size).cast("double")), F.lit(0.0))
+    extra = uniform(seed, named(id_col)) < rate - F.floor(rate)
+    return joined.withColumn(copies, (F.floor(rate) + extra.cast("int")).cast("int")).drop(own)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
-    """Each row of ``docs`` as many times as ``assign_copies`` says, with its own columns."""
-    rows = assign_copies(docs, id_col, text_col, source_col, seed).where("_llm_copies > 0")
-    rows = rows.withColumn("_llm_copy", F.explode(F.sequence(F.lit(1), F.col("_llm_copies"))))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Each row of ``docs`` as many times as ``assign_copies`` says, with its own columns, whatever their names."""
+    *added, copy = free(docs, *ADDED, "_llm_copy")
+    rows = assign_copies(docs, id_col, text_col, source_col, seed, added=tuple(added)).where(F.col(added[3]) > 0)
+    rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(added[3]))))
+    return rows.select(*map(named, docs.columns))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadscape.llm.arrow import map_batches
+from loadscape.llm.arrow import map_batches, named, with_made
 from loadscape.llm.text import Known, word_chunks
 
 #: Hash buckets and smoothing counts of each bucket. The threshold lies MARGIN below the score that all but UNSEEN_SHARE
@@ -154,12 +154,11 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
     table, all ratios are zero and nothing is let go. Null ids are not trusted.
     """
     spark = docs.sparkSession
-    order = F.xxhash64(F.lit("quality"), "_llm_id")
-    ids = trusted.select(F.col(id_col).alias("_llm_id")).where("_llm_id is not null").distinct().withColumn("_llm_order", order)
-    ids = ids.orderBy("_llm_order", "_llm_id").limit(max_trusted).select("_llm_id")
+    ids = trusted.select(named(id_col).alias("trusted_id")).where("trusted_id is not null").distinct()
+    ids = ids.orderBy(F.xxhash64(F.lit("quality"), "trusted_id"), "trusted_id").limit(max_trusted)
     ids = F.broadcast(spark.createDataFrame(ids.collect(), ids.schema))
-    text = F.col(f"`{text_col}`").cast("string").cast("binary").alias("text")
-    rows = docs.join(ids, F.col(id_col) == F.col("_llm_id"), "left").select(text, F.col("_llm_id").isNotNull().alias("trusted"))
+    texts = docs.select(named(id_col).alias("id"), named(text_col).cast("string").cast("binary").alias("text"))
+    rows = texts.join(ids, F.col("id") == F.col("trusted_id"), "left").select("text", F.col("trusted_id").isNotNull().alias("trusted"))
     counts = np.zeros((2, buckets))
     counted = map_batches(rows, _count(buckets), "bucket bigint, target bigint, raw bigint").groupBy("bucket").agg(F.sum("target"), F.sum("raw"))
     for bucket, target, raw in counted.collect():
@@ -167,7 +166,7 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
     if not counts[0].any():
         return Model(np.zeros(buckets), -np.inf)
     p = (counts + SMOOTH) / (counts + SMOOTH).sum(axis=1, keepdims=True)
-    own = docs.join(ids, F.col(id_col) == F.col("_llm_id")).select(text)
+    own = texts.join(ids, F.col("id") == F.col("trusted_id")).select("text")
     scored = map_batches(own, _left_out(spark.sparkContext.broadcast(counts)), "score double")
     return Model(np.log(p[0] / p[1]), scored.agg(F.percentile("score", F.lit(UNSEEN_SHARE))).first()[0] - MARGIN)
 
@@ -177,18 +176,18 @@ def judge(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     Words are runs of anything but ASCII white space. base_failed: fewer than MIN_WORDS words, or over
     MAX_REPEAT_PERCENT percent of them in repeated windows. kept: not base_failed, and the score at or above the model's
-    threshold. Null and empty texts have no words, score 0 and fail. Equal texts are judged alike; other columns are
-    passed on, those of the names above replaced.
+    threshold. Null and empty texts have no words, score 0 and fail. Equal texts are judged alike, an empty table stays
+    empty; other columns are passed on whatever their names, those of the names above replaced.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
     new = {"n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "score": "double", "kept": "boolean"}
-    kept = [c for c in docs.columns if c not in new]
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         model = held.value
         grams = Grams(len(model.ratios))
-        for batch in batches:
-            texts = batch.column("_llm_text").cast(pa.large_binary()).fill_null(b"")
+
+        def work(batch: pa.RecordBatch) -> list[pa.Array]:
+            texts = batch.column("text").cast(pa.large_binary()).fill_null(b"")
             out = byte_counts(texts)
             dup, repeat, score = [], [], []
             for text in texts:
@@ -199,8 +198,8 @@ def judge(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             n, repeated, scores = out["n_words"], np.array(repeat, np.int64), np.array(score, np.float64)
             failed = (n < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n)
             columns = [*out.values(), np.array(dup, np.int64), repeated, failed, scores, ~failed & (scores >= model.threshold)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *map(pa.array, columns)], names=[*kept, *new])
+            return [*map(pa.array, columns)]
+
+        return work
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").cast("binary").alias("_llm_text"))
-    types = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept] + [f"{k} {v}" for k, v in new.items()]
-    return map_batches(rows, run, ", ".join(types))
+    return with_made(docs, {"text": named(text_col).cast("string").cast("binary")}, make, new)

@@ -7,16 +7,32 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that this process has written, for ``clean``.
+_written: list[str] = []
+
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests), a temporary one of this machine."""
+    """The folder in spark.checkpoint.dir. Only a local master may leave that unset: it gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="loadscape-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete every table that this process wrote; results that were not yet read or written elsewhere are lost with them."""
+    while _written:
+        _delete(spark, _written.pop())
+
+
 class Scratch:
     """Tables written under one folder of their own. ``drop`` deletes one that nothing reads any longer."""
 
@@ -25,6 +41,8 @@ class Scratch:
         self._paths: dict[int, tuple[DataFrame, str]] = {}
 
     def table(self, df: DataFrame) -> DataFrame:
+        if not self._paths:
+            _written.append(self.base)
         path = f"{self.base}/{len(self._paths)}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
@@ -32,7 +50,4 @@ class Scratch:
         return out
 
     def drop(self, df: DataFrame) -> None:
-        path = self._paths[id(df)][1]
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(self.spark, self._paths[id(df)][1])

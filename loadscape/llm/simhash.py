@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadscape.llm.arrow import gathered, map_batches
+from loadscape.llm.arrow import free, gathered, map_batches, named
 from loadscape.llm.components import connected_components
 from loadscape.llm.scratch import Scratch
 from loadscape.llm.text import word_chunks
@@ -57,13 +57,13 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def _row_keys(id_col: str, text_col: str) -> list[Column]:
     """128 bits that tell a row's id and text."""
-    one, text = F.col(id_col), F.col(text_col).cast("string")
+    one, text = named(id_col), named(text_col).cast("string")
     return [F.xxhash64(one, text).alias("row_a"), F.xxhash64(text, F.lit("b"), one).alias("row_b")]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, row_a, row_b, fingerprint as signed long) of every row; row_a and row_b tell its id and text."""
-    rows = docs.select(F.col(id_col).alias("id"), *_row_keys(id_col, text_col), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(named(id_col).alias("id"), *_row_keys(id_col, text_col), named(text_col).cast("string").alias("text"))
     return map_batches(rows, _fingerprint_batches, f"id {rows.schema['id'].dataType.simpleString()}, row_a bigint, row_b bigint, fingerprint bigint")
 
 
@@ -142,10 +142,16 @@ def _search(list_cap: int, last: bool):
             at = np.flatnonzero(labels != np.arange(len(labels)))
             return out(prints[at].view(np.int64), prints[labels[at]].view(np.int64), [None] * len(at))
 
-        keys, prints, skip = np.empty(0, np.int64), np.empty(0, np.uint64), None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        skip = None
+
+        def close():
+            if held:
+                yield from _whole(*map(np.concatenate, zip(*held)), list_cap, last, links, out)
+            held.clear()
+
         for batch in gathered(batches, 10_000):
-            keys = np.concatenate((keys, batch.column(0).to_numpy()))
-            prints = np.concatenate((prints, batch.column(1).to_numpy().view(np.uint64)))
+            keys, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
             if skip is not None:
                 keep = keys != skip
                 keys, prints = keys[keep], prints[keep]
@@ -153,14 +159,16 @@ def _search(list_cap: int, last: bool):
                 continue
             cut = np.searchsorted(keys, keys[-1])
             if cut:
-                yield from _whole(keys[:cut], prints[:cut], list_cap, last, links, out)
-                keys, prints = keys[cut:], prints[cut:]
-            if not last and len(keys) > list_cap:
-                skip = keys[0]
+                held.append((keys[:cut], prints[:cut]))
+                yield from close()
+            elif held and held[-1][0][-1] != keys[0]:
+                yield from close()
+            held.append((keys[cut:], prints[cut:]))
+            if not last and sum(len(k) for k, _ in held) > list_cap:
+                skip = keys[-1]
                 yield out([None], [None], [skip])
-                keys, prints = keys[:0], prints[:0]
-        if len(keys):
-            yield from _whole(keys, prints, list_cap, last, links, out)
+                held.clear()
+        yield from close()
 
     return run
 
@@ -235,10 +243,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", li
     Of rows that share that id one stays, whatever their other columns; a null id stays where its group has no other.
     Only ids and fingerprints are shuffled to find the groups; the texts move once, to meet the decision.
     """
-    seen = near_duplicates(docs, id_col, text_col, list_cap).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    kept = seen.groupBy("class_fp").agg(F.min(F.struct("row_a", "row_b")).alias("row"))
-    kept = kept.select(F.col("row.row_a").alias("_llm_a"), F.col("row.row_b").alias("_llm_b"))
-    keys = dict(zip(("_llm_a", "_llm_b"), _row_keys(id_col, text_col)))
-    joined = docs.withColumns(keys).join(kept, ["_llm_a", "_llm_b"], "left_semi")
-    turn = F.row_number().over(Window.partitionBy("_llm_a", "_llm_b").orderBy("_llm_a"))
-    return joined.withColumn("_llm_turn", turn).where("_llm_turn = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    a, b, nth = free(docs, "_row_a", "_row_b", "_nth")
+    seen = near_duplicates(docs.select(named(id_col).alias("id"), named(text_col).alias("text")), "id", "text", list_cap)
+    kept = seen.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("class_fp").agg(F.min(F.struct("row_a", "row_b")).alias("row"))
+    kept = kept.select(F.col("row.row_a").alias(a), F.col("row.row_b").alias(b))
+    joined = docs.withColumns(dict(zip((a, b), _row_keys(id_col, text_col)))).join(kept, [a, b], "left_semi")
+    turn = F.row_number().over(Window.partitionBy(a, b).orderBy(a))
+    return joined.withColumn(nth, turn).where(F.col(nth) == 1).select(*map(named, docs.columns))
