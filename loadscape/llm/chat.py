@@ -15,15 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadscape.llm.arrow import map_batches
+from loadscape.llm.arrow import map_batches, named
 
 HEAD, AFTER_ROLE, END = b"### ", b": ", b"</turn>\n"
 LOSS_ROLE = b"assistant"
-#: Text bytes of one conversation that are formatted at once; a longer one is given in parts.
-PART_BYTES = 16 << 20
+#: Role and text bytes, and turns, of one conversation that are formatted at once; a longer one is given in parts.
+PART_BYTES, PART_TURNS = 16 << 20, 100_000
 _TURN = re.compile(rb"### ((?:[^\\:]|\\.)*): (.*)", re.S)
 _MARK = re.compile(rb"\\(.)", re.S)
 
@@ -74,69 +75,72 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return out, starts, text_at, lengths[1]
 
 
-def _format(part_bytes: int):
-    def flush(table: pa.Table, part: int) -> pa.RecordBatch:
-        """Conversations of a table of whole turns, each as one row."""
+def _starts(keys: pa.Array) -> np.ndarray:
+    """Where each run of equal keys starts, and the end; null equals null."""
+    ends = pc.run_end_encode(keys, run_end_type=pa.int64()).run_ends.to_numpy()
+    return np.concatenate(([0], ends))
+
+
+def _format(part_bytes: int, part_turns: int):
+    def flush(batches: list[pa.RecordBatch], part: int) -> pa.RecordBatch:
+        """Conversations of whole turns, each as one row; ``part`` numbers the first one's."""
+        table = pa.Table.from_batches(batches)
         keys = table.column("key").combine_chunks()
         roles, texts = (table.column(c).combine_chunks().cast(pa.large_binary()).fill_null(b"") for c in ("role", "text"))
         out, starts, at, n = assemble(roles, texts)
-        new = np.concatenate(([True], _differs(keys)))
-        firsts = np.flatnonzero(new)
-        own = np.cumsum(new) - 1
-        text_ends = starts[np.append(firsts, len(keys))]
-        loss = np.array([r.as_py() == LOSS_ROLE for r in roles], bool)
+        bounds = _starts(keys)
+        firsts, turns = bounds[:-1], np.diff(bounds)
+        own = np.repeat(np.arange(len(firsts)), turns)
+        text_ends = starts[bounds]
+        loss = pc.equal(roles, pa.scalar(LOSS_ROLE, pa.large_binary())).to_numpy(zero_copy_only=False)
         spans = np.append(0, np.cumsum(np.bincount(own[loss], minlength=len(firsts))))
         formatted = pa.Array.from_buffers(pa.large_utf8(), len(firsts), [None, pa.py_buffer(text_ends.astype(np.int64)), pa.py_buffer(out)]).cast(pa.string())
         relative = at[loss] - text_ends[:-1][own[loss]]
         lists = [pa.ListArray.from_arrays(pa.array(spans.astype(np.int32)), pa.array(x)) for x in (relative, n[loss])]
-        turns = pa.array(np.diff(np.append(firsts, len(keys))))
         parts = np.zeros(len(firsts), np.int64)
         parts[0] = part
-        return pa.RecordBatch.from_arrays([keys.take(pa.array(firsts)), pa.array(parts), turns, formatted, *lists], names=["key", "part", "n_turns", "formatted", "loss_start", "loss_length"])
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(firsts)), pa.array(parts), pa.array(turns), formatted, *lists], names=["key", "part", "n_turns", "formatted", "loss_start", "loss_length"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, part, cut = None, 0, None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = pa.concat_tables([held, table]) if held is not None and held.num_rows else table
-            if not held.num_rows:
-                continue
-            keys = held.column("key").combine_chunks()
-            if cut is not None and cut[0] != keys[0].as_py():
-                part = 0
-            cut = None
-            last = np.flatnonzero(np.concatenate(([True], _differs(keys))))[-1]
-            if last:
-                yield flush(held.slice(0, last), part)
-                held, part = held.slice(last), 0
-            if held.column("text").nbytes > part_bytes:
+        held: list[pa.RecordBatch] = []  # turns of the last conversation, not given yet
+        key, part, turns, size = None, 0, 0, 0  # that conversation, its parts given, and what is held of it
+        for batch in (b for b in batches if b.num_rows):
+            last = int(_starts(batch.column("key"))[-2])
+            goes_on = key is not None and batch.column("key")[0].equals(key)
+            if not goes_on or last:
+                done = [*held, *([batch.slice(0, last)] if goes_on and last else [])]
+                if done:
+                    yield flush(done, part)
+                if last and not goes_on:
+                    yield flush([batch.slice(0, last)], 0)
+                held, part, turns, size = [], 0, 0, 0
+            rest = batch.slice(last)
+            held.append(rest)
+            key, turns, size = rest.column("key")[0], turns + rest.num_rows, size + rest.column("text").nbytes + rest.column("role").nbytes
+            if turns >= part_turns or size > part_bytes:
                 yield flush(held, part)
-                held, part, cut = held.slice(0, 0), part + 1, [keys[-1].as_py()]
-        if held is not None and held.num_rows:
+                held, part, turns, size = [], part + 1, 0, 0
+        if held:
             yield flush(held, part)
 
     return run
 
 
-def _differs(keys: pa.Array) -> np.ndarray:
-    """Whether each key but the first differs from the one before; null equals null."""
-    a, b = keys.slice(0, len(keys) - 1).to_pylist(), keys.slice(1).to_pylist()
-    return np.array([x != y for x, y in zip(a, b)], bool)
-
-
-def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
+def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part_bytes: int = PART_BYTES, part_turns: int = PART_TURNS) -> DataFrame:
     """(id_col, part, n_turns, formatted, loss_start, loss_length): each conversation's turns, in order, as one text.
 
     loss_start and loss_length are the byte spans of the assistant contents within ``formatted``: the loss mask. Null
     roles and texts are empty; turns are ordered by turn (null first), then role and text, so repeated turns all stay and
-    ties have one order. Null ids are one conversation. A conversation of over ``part_bytes`` of text comes in several
-    rows, numbered by ``part``, so no task holds it whole; rows of a conversation follow each other in one partition.
+    ties have one order. Null ids are one conversation. A conversation of over ``part_bytes`` of roles and texts, or of
+    ``part_turns`` turns or more, comes in several rows, numbered by ``part`` and cut between Arrow batches, so no task
+    holds it whole; rows of a conversation follow each other in one partition. Other columns are not read; an empty table
+    gives no rows.
     """
-    rows = turns.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{turn_col}`").alias("turn"), F.col(f"`{role_col}`").cast("string").alias("role"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = turns.select(named(id_col).alias("key"), named(turn_col).alias("turn"), named(role_col).cast("string").alias("role"), named(text_col).cast("string").alias("text"))
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "key").sortWithinPartitions("key", "turn", "role", "text").select("key", "role", "text")
     kind = rows.schema["key"].dataType.simpleString()
-    out = map_batches(rows, _format(part_bytes), f"key {kind}, part bigint, n_turns bigint, formatted string, loss_start array<bigint>, loss_length array<bigint>")
+    out = map_batches(rows, _format(part_bytes, part_turns), f"key {kind}, part bigint, n_turns bigint, formatted string, loss_start array<bigint>, loss_length array<bigint>")
     return out.withColumnRenamed("key", id_col)
 
 
@@ -150,7 +154,7 @@ def turns_of(formatted: bytes) -> list[tuple[bytes, bytes]]:
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    key, state, done = None, None, []
+    key, state, done, last = None, None, [], -1
 
     def close():
         if state:
@@ -162,6 +166,9 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if part == 0:
                 close()
                 key, state = k, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+            elif state is None or k != key or part != last + 1:
+                raise ValueError(f"part {part} of conversation {k} does not follow part {part - 1}; read_back takes unordered parts with ordered=False")
+            last = part
             data = formatted.encode()
             for role, text in turns_of(data):
                 state[0] += 1
@@ -184,12 +191,16 @@ def _digests(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["key", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
 
-def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
+def read_back(formatted: DataFrame, id_col: str = "conv_id", ordered: bool = True) -> DataFrame:
     """(id_col, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), parsed from formatted conversations.
 
     The input is what ``format_conversations`` gives, in its partitions and order, so a conversation's parts follow each
-    other and are digested one after another. Texts under the loss mask are digested unescaped, in order.
+    other and are digested one after another; where they do not, as in a table written and read again, it is an error
+    unless ``ordered`` is False: then they are shuffled and sorted. Texts under the loss mask are digested unescaped, in
+    order. Null ids are one conversation; an empty table gives no rows.
     """
-    rows = formatted.select(F.col(f"`{id_col}`").alias("key"), "part", "n_turns", "formatted", "loss_start", "loss_length")
+    rows = formatted.select(named(id_col).alias("key"), "part", "n_turns", "formatted", "loss_start", "loss_length")
+    if not ordered:
+        rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "part")
     kind = rows.schema["key"].dataType.simpleString()
     return map_batches(rows, _read_back, f"key {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint").withColumnRenamed("key", id_col)
