@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loadscape.llm.arrow import free, named
 from loadscape.llm.components import connected_components
 from loadscape.llm.scratch import Scratch
 
@@ -38,10 +39,25 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _query_of(url: Column) -> Column:
+    return F.coalesce(F.regexp_extract(_rest(url), r"^[^?#]*(\?[^#]*)?", 1), F.lit(""))
+
+
+def _without_dots(path: Column) -> Column:
+    """The path with ``.`` left out and ``..`` taking back the segment before; no path is the root."""
+
+    def step(done: Column, segment: Column) -> Column:
+        back = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))
+        return F.when(segment == "..", back).when(segment == ".", done).otherwise(F.concat(done, F.array(segment)))
+
+    clean = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step, lambda done: F.array_join(done, "/"))
+    end = F.when(path.rlike(r"/\.\.?$"), "/").otherwise("")
+    return F.when(path == "", "/").when(path.contains("/."), F.concat(clean, end)).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """What tells a resource: host, path and query, without scheme and fragment; null without a host."""
-    query = F.coalesce(F.regexp_extract(_rest(url), r"^[^?#]*(\?[^#]*)?", 1), F.lit(""))
-    return F.when(host_of(url) != "", F.concat(host_of(url), path_of(url), query))
+    """What tells a resource: host, path (dots resolved) and query, without scheme and fragment; null without a host."""
+    return F.when(host_of(url) != "", F.concat(host_of(url), _without_dots(path_of(url)), _query_of(url)))
 
 
 def _compiled(rules: Sequence[Rule], host: Column, path: Column) -> Column:
@@ -58,46 +74,69 @@ def match_rules(rows: DataFrame, rules: Sequence[Rule], host_col: str, path_col:
 
     Many rules are joined on the suffixes of distinct (host, path) pairs instead of being tried one by one.
     """
-    host, path = F.col(host_col), F.col(path_col)
+    host, path = named(host_col), named(path_col)
     if len(rules) <= COMPILED:
         return rows.withColumn(out_col, _compiled(rules, host, path))
     table = rows.sparkSession.createDataFrame([tuple(r) for r in rules], "r_verdict string, r_host string, r_path string")
-    suffixes = F.expr(f"transform(sequence(1, size(split(`{host_col}`, '[.]'))), i -> array_join(slice(split(`{host_col}`, '[.]'), i, size(split(`{host_col}`, '[.]'))), '.'))")
-    pairs = rows.select(host.alias("_llm_host"), path.alias("_llm_path"), F.explode(suffixes).alias("r_host")).distinct()
+    labels = F.split(host, "[.]")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    own_host, own_path = free(rows, "_host", "_path")
+    pairs = rows.select(host.alias(own_host), path.alias(own_path), F.explode(suffixes).alias("r_host")).distinct()
     rule = F.concat("r_host", "r_path")
-    found = pairs.join(table, "r_host").where(F.col("_llm_path").startswith(F.col("r_path")))
-    found = found.groupBy("_llm_host", "_llm_path").agg(F.max_by(F.struct(rule.alias("rule"), F.col("r_verdict").alias("verdict")), F.struct(F.length(rule), rule)).alias(out_col))
-    return rows.join(found, (host == F.col("_llm_host")) & (path == F.col("_llm_path")), "left").drop("_llm_host", "_llm_path")
+    found = pairs.join(table, "r_host").where(F.col(own_path).startswith(F.col("r_path")))
+    found = found.groupBy(own_host, own_path).agg(F.max_by(F.struct(rule.alias("rule"), F.col("r_verdict").alias("verdict")), F.struct(F.length(rule), rule)).alias(out_col))
+    return rows.join(found, (host == F.col(own_host)) & (path == F.col(own_path)), "left").drop(own_host, own_path)
 
 
-def alias_of(url: Column, html: Column) -> Column:
-    """The node that a page's canonical link, or else its refresh redirect, names; null without one.
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute of a tag, in double, single or no quotes; empty without it."""
+    pattern = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])
 
-    Absolute targets, targets without scheme and targets from the host's root are followed.
+
+def _resolved(target: Column, url: Column) -> Column:
+    """The absolute form of a link on the page ``url``; null for a link to the page itself or of another kind of scheme."""
+    root = F.concat(F.lit("http://"), host_of(url))
+    folder = F.coalesce(F.nullif(F.regexp_extract(path_of(url), r"^(.*/)", 1), F.lit("")), F.lit("/"))
+    out = F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.startswith("//"), F.concat(F.lit("http:"), target))
+    out = out.when((target == "") | target.startswith("#") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None)).when(target.startswith("/"), F.concat(root, target))
+    return out.when(target.startswith("?"), F.concat(root, path_of(url), target)).otherwise(F.concat(root, folder, target))
+
+
+def aliases_of(url: Column, html: Column) -> Column:
+    """The nodes that a page's canonical links and refresh redirects name, all of them.
+
+    Absolute targets, targets without scheme, from the host's root and relative to the page are followed; a base element
+    is not read.
     """
-    link = F.regexp_extract(html, r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0)
-    refresh = F.regexp_extract(html, r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", 0)
-    named = F.regexp_extract(link, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    moved = F.regexp_extract(refresh, r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1)
-    target = F.replace(F.when(named != "", named).otherwise(F.when(moved != "", moved)), F.lit("&amp;"), F.lit("&"))
-    whole = F.when(target.contains("://"), target).when(target.startswith("//"), F.concat(F.lit("http:"), target))
-    return node_of(whole.when(target.startswith("/"), F.concat(F.lit("http://"), host_of(url), target)))
+
+    def target(tag: Column) -> Column:
+        canonical = tag.rlike("(?i)^<link") & F.lower(_attribute(tag, "rel")).rlike(r"(^|\s)canonical(\s|$)")
+        refresh = tag.rlike("(?i)^<meta") & (F.lower(F.trim(_attribute(tag, "http-equiv"))) == "refresh")
+        moved = F.regexp_extract(_attribute(tag, "content"), r"""(?i)\burl\s*=\s*["']?\s*([^"'\s]+)""", 1)
+        link = F.when(canonical, F.trim(_attribute(tag, "href"))).when(refresh, moved)
+        return node_of(_resolved(F.replace(link, F.lit("&amp;"), F.lit("&")), url))
+
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link|meta)\s[^>]*>)"), F.lit(1))
+    telling = F.filter(tags, lambda tag: tag.rlike("(?i)canonical|refresh"))
+    return F.array_compact(F.transform(telling, target))
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", redirects: DataFrame | None = None) -> DataFrame:
     """(id_col, host, path, rule, verdict, component): one row per row of ``pages``.
 
-    The longest fitting rule decides. Where none fits, the page's aliases do: pages are joined by canonical links and
+    The longest fitting rule decides. Where none fits, the page's aliases do: pages are joined by all canonical links and
     refresh redirects of their HTML and by ``redirects`` (from_url, to_url), and a group with a blocked member is blocked
     unless a member is explicitly allowed. All else is allowed. component is the group's smallest node (host, path and
     query), null for a page without aliases. A null URL, or one without a host, has no rule and no alias; null or empty
-    HTML names none; repeated rows are judged alike. HTML is read once and never shuffled.
+    HTML names none; repeated rows are judged alike; an empty table gives no rows. Other columns are not read. HTML is
+    read once and never shuffled.
     """
     scratch = Scratch(pages.sparkSession, "urlfilter")
-    url, html = F.col(f"`{url_col}`").cast("string"), F.col(f"`{html_col}`").cast("string")
-    rows = pages.select(F.col(f"`{id_col}`").alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"), alias_of(url, html).alias("target"))
+    url, html = named(url_col).cast("string"), named(html_col).cast("string")
+    rows = pages.select(named(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"), aliases_of(url, html).alias("targets"))
     rows = scratch.table(rows)
-    edges = rows.select(F.col("node").alias("a"), F.col("target").alias("b"))
+    edges = rows.select(F.col("node").alias("a"), F.explode("targets").alias("b"))
     if redirects is not None:
         edges = edges.union(redirects.select(node_of(F.col("from_url").cast("string")), node_of(F.col("to_url").cast("string"))))
     groups = connected_components(edges, "a", "b", scratch)
