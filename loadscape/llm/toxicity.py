@@ -1,8 +1,8 @@
 """Toxicity: cumulative-link ordinal regression on sparse word features.
 
 One weight per feature is shared across the ordered thresholds: P(grade <= k) = logistic(threshold_k - w.x). The expected
-severity of a text is the sum over k of P(grade > k). Features are hashed words and the letter runs of GRAM letters in
-them (so that inflected and compounded words are known by their stems), kept if they tell toxic from clean labelled texts
+severity of a text is the sum over k of P(grade > k). Features are hashed words, their beginnings and the letter runs of
+GRAM letters in them (so that inflected and compounded words are known by their stems), kept if they tell toxic from clean labelled texts
 beyond chance, with log(1 + count) as value, so that a long clean text does not gather weight. A run without spaces that
 is longer than a word is read in blocks, which count like words.
 """
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadscape.llm.arrow import map_batches
+from loadscape.llm.arrow import map_batches, named, with_made
 from loadscape.llm.scratch import Scratch
 from loadscape.llm.text import Known, plain, word_chunks
 
@@ -28,7 +28,7 @@ BUCKETS, GRAM = 1 << 22, 5
 BLOCK = 100
 #: Labelled rows that are learned from, at most: those with the smallest hash of their id. The least likelihood-ratio
 #: statistic (G2) of a feature, and the least share of toxic texts among those that hold it.
-MAX_ROWS, MIN_G2, MIN_SHARE = 20_000, 22.0, 0.6
+MAX_ROWS, MIN_G2, MIN_SHARE = 20_000, 15.0, 0.6
 #: Toxic rows with so many toxic words or more have the next grade.
 GRADE_AT = 3
 STEPS, RATE, L2 = 600, 0.1, 1e-4
@@ -37,13 +37,13 @@ FLAG_AT = 0.25
 
 
 def blocks_of(word: bytes) -> Iterator[tuple[int, ...]]:
-    """Buckets of a word and of its runs of GRAM letters, the ends of the word included, a block of BLOCK runs at a time."""
+    """Buckets of a word, its beginning and its runs of GRAM letters, the ends of the word included, BLOCK runs at a time."""
     w = plain(word)
     marked = f"<{w}>" if w else ""
     for at in range(0, max(len(marked) - GRAM + 1, bool(w)), BLOCK):
         block = marked[at : at + BLOCK + GRAM - 1]
         runs = (block[i : i + GRAM] for i in range(len(block) - GRAM + 1))
-        yield tuple({zlib.crc32(x.encode()) % BUCKETS for x in ((marked, *runs) if at == 0 else runs)})
+        yield tuple({zlib.crc32(x.encode()) % BUCKETS for x in ((marked, marked[: GRAM - 1], *runs) if at == 0 else runs)})
 
 
 def buckets_of(word: bytes) -> tuple[int, ...]:
@@ -187,13 +187,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Without toxic or without clean texts, or without a telling feature: a model that gives every text severity 0.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "toxicity")
-    known = labels.select(F.col(id_col).alias("_llm_id"), F.col(grade_col).cast("int").alias("grade")).where("_llm_id is not null and grade is not null")
-    known = known.groupBy("_llm_id").agg(F.max("grade").alias("grade")).orderBy(F.xxhash64("_llm_id"), "_llm_id").limit(max_rows)
+    known = labels.select(named(id_col).alias("id"), named(grade_col).cast("int").alias("grade")).where("id is not null and grade is not null")
+    known = known.groupBy("id").agg(F.max("grade").alias("grade")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
     known = spark.createDataFrame(known.collect(), known.schema)
-    rows = docs.join(F.broadcast(known), F.col(id_col) == F.col("_llm_id")).select(F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"), "grade")
+    rows = docs.select(named(id_col).alias("id"), named(text_col).cast("string").cast("binary").alias("text")).join(F.broadcast(known), "id")
     rows = scratch.table(rows.groupBy("text").agg(F.max("grade").alias("grade")))
     size = {bool(g): n for g, n in rows.groupBy((F.col("grade") > 0).alias("g")).count().collect()}
     if len(size) < 2:
+        scratch.drop(rows)
         return Model()
     counts = map_batches(rows, _count, "bucket bigint, clean bigint, toxic bigint").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     n, share = F.col("toxic") + F.col("clean"), size[True] / sum(size.values())
@@ -201,6 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = counts.where((F.col("toxic") > 0) & (F.col("toxic") >= MIN_SHARE * n)).withColumn("g2", g2).where(F.col("g2") >= MIN_G2)
     buckets = sorted(r[0] for r in chosen.select("bucket").collect())
     if not buckets:
+        scratch.drop(rows)
         return Model()
     held = map_batches(rows.select("text", "grade"), _vectors(buckets), "grade int, hits bigint, at array<bigint>, n array<bigint>").collect()
     if max(r[0] for r in held) <= 1:
@@ -220,24 +222,24 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", flag_at: floa
     """``docs`` with expected_severity (0 to the highest grade), severity_grade (the likeliest) and toxic_flag.
 
     The flag is an expected severity of at least ``flag_at``. Whole texts are read, a block at a time. Null and empty
-    texts hold no feature and are judged like any text without one. Existing columns of these names are replaced.
+    texts hold no feature and are judged like any text without one; repeated rows are judged alike, an empty table stays
+    empty. Existing columns of the new names are replaced, all others go along whatever their names.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    new = {"expected_severity": "double", "severity_grade": "int", "toxic_flag": "boolean"}
-    kept = [c for c in docs.columns if c not in new]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         model = held.value
         features = Features(model.buckets)
-        for batch in batches:
-            found = [features(t.as_py()) for t in batch.column("_llm_text")]
+
+        def work(batch: pa.RecordBatch) -> list[pa.Array]:
+            found = [features(t.as_py()) for t in batch.column("text")]
             x = np.array([np.log1p(n) @ model.weights[at] if at else 0.0 for at, n, _ in found], np.float64)
             above = model.severity(x)
             chance = np.hstack((np.ones((len(x), 1)), above)) - np.hstack((above, np.zeros((len(x), 1))))
             expected = above.sum(axis=1)
-            columns = [pa.array(expected), pa.array(chance.argmax(axis=1).astype(np.int32)), pa.array(expected >= flag_at)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *columns], names=[*kept, *new])
+            return [pa.array(expected), pa.array(chance.argmax(axis=1).astype(np.int32)), pa.array(expected >= flag_at)]
+
+        return work
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").cast("binary").alias("_llm_text"))
-    types = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept] + [f"{k} {v}" for k, v in new.items()]
-    return map_batches(rows, run, ", ".join(types))
+    new = {"expected_severity": "double", "severity_grade": "int", "toxic_flag": "boolean"}
+    return with_made(docs, {"text": named(text_col).cast("string").cast("binary")}, make, new)

@@ -33,7 +33,7 @@ def test_toxicity_reads_unspaced_texts_to_their_end(spark):
     w = "ab\u0301c" * 70
     runs = [b for block in toxicity.blocks_of(w.encode()) for b in block]
     marked = f"<{w}>"
-    assert {*runs} == {toxicity.zlib.crc32(x.encode()) % toxicity.BUCKETS for x in (marked, *(marked[i : i + 5] for i in range(len(marked) - 4)))}
+    assert {*runs} == {toxicity.zlib.crc32(x.encode()) % toxicity.BUCKETS for x in (marked, marked[:4], *(marked[i : i + 5] for i in range(len(marked) - 4)))}
     assert [*toxicity.blocks_of(b"!!")] == [] and len([*toxicity.blocks_of(b"a")]) == 1
 
 
