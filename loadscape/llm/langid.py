@@ -3,7 +3,9 @@
 A text is its maximal runs of letters, lower-cased; each run, marked at its start, is written as pieces of the public
 vocabulary in every possible way. A language gives each piece a probability, and a run's probability is the sum over all
 its segmentations of the product of their pieces, computed forward one letter at a time. Piece probabilities are learned
-by expectation-maximisation (forward-backward expected counts) from labelled texts.
+by expectation-maximisation (forward-backward expected counts) from labelled texts. Beside the languages stands one model
+of unknown text: single letters as all languages use them, and any piece a little likelier than in a language that never
+uses it. What it explains better than every language is in none of them.
 """
 
 from __future__ import annotations
@@ -18,17 +20,22 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadscape.llm.arrow import gathered, map_batches
+from loadscape.llm.arrow import gathered, map_batches, named, with_made
 from loadscape.llm.scratch import Scratch
 
 START = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-#: Longest run that is scored as one; longer runs are cut into runs of this length, longest piece that is looked up.
-RUN, PIECE = 24, 10
-#: Labelled rows that are learned from, about so many of each language, and languages at most (the most frequent ones).
-ROWS_PER_LANG, MAX_LANGS, ROUNDS, SMOOTH = 1000, 100, 2, 0.1
-CACHED_RUNS, BLOCK = 200_000, 1 << 20
+#: Runs of more letters are summed in logarithms, one at a time (40 letters of the least probability still fit a double).
+LONG = 40
+#: Labelled rows that are learned from, about so many of each language.
+ROWS_PER_LANG, ROUNDS, SMOOTH = 1000, 2, 0.1
+#: Probability of a letter that is no piece, in a language and in unknown text, and the share of unknown text's letters
+#: that are any letter of the vocabulary alike. In unknown text a piece is at least so many times as likely as in a
+#: language that never uses it.
+LONE, UNKNOWN_LONE, ANY_LETTER, UNSEEN = 1e-7, 1e-4, 0.1, 10
+#: Numbers (runs times languages) that a task remembers or computes at once; letters of a text that are read at once.
+CACHED, AT_ONCE, BLOCK = 1_000_000, 1 << 17, 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,30 +53,35 @@ def letter_runs(text: str) -> Iterator[list[str]]:
 def vocabulary(path: str) -> list[str]:
     """Lower-case pieces of letters, with or without the start mark, of a sentencepiece file."""
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = {p for i in range(sp.get_piece_size()) if LETTERS.fullmatch((p := sp.id_to_piece(i).lower()).replace(START, "", 1)) and len(p) <= PIECE}
+    pieces = {p for i in range(sp.get_piece_size()) if LETTERS.fullmatch((p := sp.id_to_piece(i).lower()).replace(START, "", 1))}
     return sorted(pieces | {START})
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+
+
 class Lattice:
     """Looks up every substring of many runs at once: substrings are told by a rolling hash of their code points."""
 
     def __init__(self, pieces: list[str]):
-        hashes = np.array([self._hash(np.frombuffer(p.encode("utf-32-le"), "<u4").astype(np.uint64)) for p in pieces], np.uint64)
+        hashes, lengths = np.zeros(len(pieces), np.uint64), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        for n in np.unique(lengths):
+            at = np.flatnonzero(lengths == n)
+            for codes in _codes("".join([pieces[i] for i in at.tolist()])).reshape(-1, n).T:
+                hashes[at] = self._step(hashes[at], codes)
         self.order = np.argsort(hashes)
-        self.hashes, self.n = hashes[self.order], len(pieces)
+        self.hashes, self.n, self.longest = hashes[self.order], len(pieces), int(lengths.max())
         bits = 18
         self.shift = np.uint64(64 - bits)
         self.slot = np.searchsorted(self.hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift)
         self.most = int(np.bincount((self.hashes >> self.shift).astype(np.int64)).max())
 
     @staticmethod
-    def _hash(codes: np.ndarray) -> np.uint64:
-        h = np.uint64(0)
+    def _step(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            for c in codes:
-                h = (h ^ c) * _MIX
-                h ^= h >> np.uint64(29)
-        return h
+            h = (h ^ codes) * _MIX
+        return h ^ (h >> np.uint64(29))
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Piece number of each hash, or n."""
@@ -85,35 +97,37 @@ class Lattice:
     def edges(self, codes: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
         """For runs of one length (a row of code points each): the pieces from i to j, for all i < j."""
         out, n = {}, codes.shape[1]
-        with np.errstate(over="ignore"):
-            for i in range(n):
-                h = np.zeros(len(codes), np.uint64)
-                for j in range(i + 1, min(n, i + PIECE) + 1):
-                    h = (h ^ codes[:, j - 1]) * _MIX
-                    h ^= h >> np.uint64(29)
-                    out[i, j] = self.find(h)
+        for i in range(n):
+            h = np.zeros(len(codes), np.uint64)
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                h = self._step(h, codes[:, j - 1])
+                out[i, j] = self.find(h)
         return out
 
+    def ending(self, codes: np.ndarray) -> np.ndarray:
+        """For one run: row j - 1 holds the pieces of 1, 2, ... letters that end after letter j."""
+        n = len(codes)
+        out, h = np.full((n, self.longest), self.n, np.int32), np.zeros(n, np.uint64)
+        for k in range(min(n, self.longest)):
+            h = self._step(h[: n - k], codes[k:])
+            out[k:, k] = self.find(h)
+        return out
 
-def _by_length(runs: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, code points) of the runs, marked at the start, of each length, a few thousand at a time."""
+
+def _by_length(runs: list[str], rows: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, code points) of the runs, marked at the start, of each length, so many at a time; a long one alone."""
     lengths = np.fromiter(map(len, runs), np.int64, len(runs))
     for n in np.unique(lengths):
-        for at in np.array_split(found := np.flatnonzero(lengths == n), -(-len(found) // 8192)):
-            text = "".join([START + runs[i] for i in at.tolist()])
-            yield at, np.frombuffer(text.encode("utf-32-le"), "<u4").reshape(len(at), -1).astype(np.uint64)
-
-
-def _table(probs: np.ndarray, n: int) -> np.ndarray:
-    """Piece probabilities by language with a last row for what is no piece; a lone unknown letter has its own chance."""
-    return np.vstack((probs, np.zeros((1, probs.shape[1])))).astype(np.float64)
+        for at in np.array_split(found := np.flatnonzero(lengths == n), -(-len(found) // (rows if n <= LONG else 1))):
+            yield at, _codes("".join([START + runs[i] for i in at.tolist()])).reshape(len(at), -1)
 
 
-def _forward(lattice: Lattice, edges: dict, n: int, size: int, probs: np.ndarray, lone: float) -> list[np.ndarray]:
+def _forward(lattice: Lattice, edges: dict, n: int, size: int, probs: np.ndarray, lone: np.ndarray) -> np.ndarray:
+    """Probability of each run by each column of ``probs``, whose last row is for what is no piece."""
     alpha = [np.ones((size, probs.shape[1]))]
     for j in range(1, n + 1):
         total = np.zeros((size, probs.shape[1]))
-        for i in range(max(0, j - PIECE), j):
+        for i in range(max(0, j - lattice.longest), j):
             piece = edges[i, j]
             if i == j - 1:
                 total += alpha[i] * np.where((piece == lattice.n)[:, None], lone, probs[piece])
@@ -121,17 +135,61 @@ def _forward(lattice: Lattice, edges: dict, n: int, size: int, probs: np.ndarray
                 hit = np.flatnonzero(piece < lattice.n)
                 total[hit] += alpha[i][hit] * probs[piece[hit]]
         alpha.append(total)
-    return alpha
+    return alpha[n]
+
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    top = x.max(axis=0)
+    return top + np.log(np.exp(x - top).sum(axis=0))
+
+
+def _log_forward(ending: np.ndarray, logs: np.ndarray, none: int, lone: np.ndarray) -> np.ndarray:
+    """As _forward, for one run of any length, in logarithms: row j is the sum up to letter j."""
+    n, longest = ending.shape
+    out = np.zeros((n + 1, logs.shape[1]))
+    for j in range(1, n + 1):
+        lo = max(0, j - longest)
+        step = logs[ending[j - 1, : j - lo]]
+        if ending[j - 1, 0] == none:
+            step[0] = lone
+        out[j] = _log_sum(out[lo:j][::-1] + step)
+    return out
+
+
+def _log_backward(ending: np.ndarray, logs: np.ndarray, none: int, lone: np.ndarray) -> np.ndarray:
+    """Row i is the sum over what follows letter i."""
+    n, longest = ending.shape
+    out = np.zeros((n + 1, logs.shape[1]))
+    for i in range(n - 1, -1, -1):
+        k = np.arange(min(longest, n - i))
+        piece = ending[i + k, k]
+        step = logs[piece]
+        if piece[0] == none:
+            step[0] = lone
+        out[i] = _log_sum(out[i + 1 + k] + step)
+    return out
 
 
 @dataclass
 class Model:
-    """langs: values that can be predicted. probs: pieces x langs. lone: probability of a letter that is no piece."""
+    """langs: values that can be predicted. probs: pieces x langs. unknown: of the pieces, in unknown text.
+
+    lone, unknown_lone: probability of a letter that is no piece. The model takes 8 bytes for each piece and language.
+    """
 
     pieces: list[str]
     langs: list[str]
     probs: np.ndarray
-    lone: float = 1e-7
+    unknown: np.ndarray | None = None
+    lone: float = LONE
+    unknown_lone: float = UNKNOWN_LONE
+
+    def columns(self) -> tuple[np.ndarray, np.ndarray]:
+        """(probabilities with a last row for what is no piece, lone) by language and, if learned, unknown text."""
+        probs, lone = self.probs, [self.lone] * len(self.langs)
+        if self.unknown is not None:
+            probs, lone = np.column_stack((probs, self.unknown)), [*lone, self.unknown_lone]
+        return np.vstack((probs, np.zeros((1, probs.shape[1])))).astype(np.float64), np.array(lone)
 
     def scorer(self) -> Scorer:
         return Scorer(self)
@@ -139,55 +197,77 @@ class Model:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.lattice, self.table = model, Lattice(model.pieces), _table(model.probs, len(model.pieces))
+        self.model, self.lattice = model, Lattice(model.pieces)
+        self.table, self.lone = model.columns()
+        with np.errstate(divide="ignore"):
+            self.log_table, self.log_lone = np.log(self.table), np.log(self.lone)
+        self.width = max(1, self.table.shape[1])
+        self.most = max(1000, CACHED // self.width)
         self.clear()
 
     def clear(self) -> None:
         self.seen: dict[str, int] = {}
-        self.logs = np.empty((0, len(self.model.langs)), np.float32)
+        self.logs = np.empty((0, self.table.shape[1]), np.float32)
 
     def log_probabilities(self, runs: list[str]) -> np.ndarray:
-        """Of each run and language, summed over all segmentations."""
-        out = np.empty((len(runs), len(self.model.langs)), np.float32)
-        for at, codes in _by_length(runs):
+        """Of each run by each language (and unknown text), summed over all segmentations."""
+        out = np.empty((len(runs), self.table.shape[1]), np.float32)
+        for at, codes in _by_length(runs, max(64, AT_ONCE // self.width // 4)):
             n = codes.shape[1]
-            edges = self.lattice.edges(codes)
-            alpha = _forward(self.lattice, edges, n, len(at), self.table, self.model.lone)
-            out[at] = np.log(np.maximum(alpha[n], 1e-300))
+            if n > LONG + 1:
+                out[at] = _log_forward(self.lattice.ending(codes[0]), self.log_table, self.lattice.n, self.log_lone)[n]
+            else:
+                out[at] = np.log(np.maximum(_forward(self.lattice, self.lattice.edges(codes), n, len(at), self.table, self.lone), 1e-320))
         return out
 
-    def texts(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Language and score of each text; null or without a letter: und and 0."""
-        if len(self.seen) > CACHED_RUNS:
-            self.clear()
-        seen, new, counts, places = self.seen, [], [], []
-        for text in texts:
-            parts = [np.empty(0, np.int64)]
+    def judged(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """(language, score, evidence) of each text; null or without a letter: und, 0 and 0.
+
+        Evidence is the log-probability of the whole text by its language less that by unknown text.
+        """
+        total, count = np.zeros((len(texts), self.table.shape[1])), np.zeros(len(texts), np.int64)
+        new: list[str] = []
+        waiting: list[tuple[int, np.ndarray]] = []
+
+        def settle() -> None:
+            if new:
+                self.logs = np.vstack((self.logs, self.log_probabilities(new)))
+                new.clear()
+            for i, at in waiting:
+                place, n = np.unique(at, return_counts=True)
+                total[i] += n @ self.logs[place].astype(np.float64)
+                count[i] += len(at)
+            waiting.clear()
+            if len(self.seen) > self.most:
+                self.clear()
+
+        for i, text in enumerate(texts):
             for runs in letter_runs(text or ""):
-                at = list(map(seen.get, runs))
-                if None in at:
-                    runs = [r[k : k + RUN] for r in runs for k in range(0, len(r), RUN)]
-                    for r in runs:
-                        if r not in seen:
-                            seen[r] = len(seen)
-                            new.append(r)
-                    at = list(map(seen.get, runs))
-                parts.append(np.array(at, np.int64))
-            places.append(np.concatenate(parts))
-            counts.append(len(places[-1]))
-        if new:
-            self.logs = np.vstack((self.logs, self.log_probabilities(new)))
-        langs, scores = [], []
-        for n, at in zip(counts, places):
-            if not n:
-                langs.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            mean = self.logs[at].sum(axis=0, dtype=np.float64) / n
+                for k in range(0, len(runs), self.most):
+                    part, seen = runs[k : k + self.most], self.seen
+                    at = list(map(seen.get, part))
+                    if None in at:
+                        for r in part:
+                            if r not in seen:
+                                seen[r] = len(seen)
+                                new.append(r)
+                        at = list(map(seen.get, part))
+                    waiting.append((i, np.array(at, np.int64)))
+                    if len(new) > self.most:
+                        settle()
+        settle()
+        langs, scores, evidence = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+        k = len(self.model.langs)
+        for i in np.flatnonzero(count).tolist() if k else ():
+            mean = total[i, :k] / count[i]
             best = int(mean.argmax())
-            langs.append(self.model.langs[best])
-            scores.append(float(1 / np.exp(mean - mean[best]).sum()))
-        return langs, scores
+            langs[i], scores[i] = self.model.langs[best], float(1 / np.exp(mean - mean[best]).sum())
+            evidence[i] = float(total[i, best] - total[i, -1]) if self.model.unknown is not None else 0.0
+        return langs, scores, evidence
+
+    def texts(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Language and score of each text."""
+        return self.judged(texts)[:2]
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,38 +276,66 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, str], int] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             for run in (r for runs in letter_runs(text) for r in runs):
-                for k in range(0, len(run), RUN):
-                    key = lang, run[k : k + RUN]
-                    counts[key] = counts.get(key, 0) + 1
+                counts[lang, run] = counts.get((lang, run), 0) + 1
         yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in counts], pa.string()), "run": pa.array([k[1] for k in counts], pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
 
 
-def _expected(model: Model):
-    """Expected uses of each piece by each language over counted runs (forward-backward), summed within a task."""
+def expected_uses(model: Model, lattice: Lattice, runs: list[str], langs: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """(languages, pieces + 1): expected uses of each piece over runs of given languages and weights (forward-backward)."""
+    probs, _ = Model(model.pieces, model.langs, model.probs, None, model.lone).columns()
+    with np.errstate(divide="ignore"):
+        logs, lone = np.log(probs), np.log(model.lone)
+    uses = np.zeros((len(model.langs), lattice.n + 1))
+    for at, codes in _by_length(runs):
+        n, lang = codes.shape[1], langs[at]
+        if n > LONG + 1:
+            ending, own = lattice.ending(codes[0]), logs[:, lang]
+            alpha, beta = (f(ending, own, lattice.n, np.array([lone])) for f in (_log_forward, _log_backward))
+            for k in range(min(n, lattice.longest)):
+                piece = ending[k:, k]
+                hit = np.flatnonzero(piece < lattice.n)
+                gamma = np.exp(alpha[hit, 0] + own[piece[hit], 0] + beta[hit + k + 1, 0] - alpha[n, 0]) * weight[at[0]]
+                uses[lang[0]] += np.bincount(piece[hit], gamma, lattice.n + 1)
+            continue
+        edges = lattice.edges(codes)
+        chance = {k: np.where(p == lattice.n, model.lone if k[1] - k[0] == 1 else 0.0, probs[p, lang]) for k, p in edges.items()}
+        alpha = [np.ones(len(at))]
+        for j in range(1, n + 1):
+            alpha.append(sum(alpha[i] * chance[i, j] for i in range(max(0, j - lattice.longest), j)))
+        beta = [np.ones(len(at))]
+        for i in range(n - 1, -1, -1):
+            beta.insert(0, sum(chance[i, j] * beta[j - i - 1] for j in range(i + 1, min(n, i + lattice.longest) + 1)))
+        for (i, j), piece in edges.items():
+            hit = np.flatnonzero(piece < lattice.n)
+            gamma = alpha[i][hit] * chance[i, j][hit] * beta[j][hit] / np.maximum(alpha[n][hit], 1e-320) * weight[at][hit]
+            np.add.at(uses, (lang[hit], piece[hit]), gamma)
+    return uses
+
+
+def letter_counts(lattice: Lattice, runs: list[str], weight: np.ndarray) -> np.ndarray:
+    """Uses of each piece of one letter, and of the start mark, when every run is written in single letters."""
+    out = np.zeros(lattice.n + 1)
+    for at, codes in _by_length(runs):
+        piece = lattice.find(lattice._step(np.zeros(codes.size, np.uint64), codes.ravel()))
+        out += np.bincount(piece, np.repeat(weight[at], codes.shape[1]), lattice.n + 1)
+    return out
+
+
+def _expected(held, letters: bool):
+    """Expected uses of each piece by each language over counted runs, summed within a task; a null language: letters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, probs = Lattice(model.pieces), _table(model.probs, len(model.pieces))
-        place = {x: i for i, x in enumerate(model.langs)}
-        uses = np.zeros((len(model.langs), lattice.n + 1))
+        model = held.value
+        lattice, place = Lattice(model.pieces), {x: i for i, x in enumerate(model.langs)}
+        uses, single = np.zeros((len(model.langs), lattice.n + 1)), np.zeros(lattice.n + 1)
         for batch in gathered(batches, 10_000):
-            runs, weight = batch.column("run").to_pylist(), batch.column("n").to_numpy()
-            langs = np.array([place[x] for x in batch.column("lang").to_pylist()], np.int64)
-            for at, codes in _by_length(runs):
-                n, edges, lang = codes.shape[1], lattice.edges(codes), langs[at]
-                own = lambda piece, lang=lang: probs[piece, lang]
-                chance = {k: np.where(p == lattice.n, model.lone if k[1] - k[0] == 1 else 0.0, own(p)) for k, p in edges.items()}
-                alpha = [np.ones(len(at))]
-                for j in range(1, n + 1):
-                    alpha.append(sum(alpha[i] * chance[i, j] for i in range(max(0, j - PIECE), j)))
-                beta = [np.ones(len(at))]
-                for i in range(n - 1, -1, -1):
-                    beta.insert(0, sum(chance[i, j] * beta[j - i - 1] for j in range(i + 1, min(n, i + PIECE) + 1)))
-                for (i, j), piece in edges.items():
-                    gamma = alpha[i] * chance[i, j] * beta[j] / np.maximum(alpha[n], 1e-300) * weight[at]
-                    np.add.at(uses, (lang, piece), gamma)
-        for i, lang in enumerate(model.langs):
-            used = np.flatnonzero(uses[i, :-1] > 1e-6)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int64()), pa.array(uses[i, used])], names=["lang", "piece", "uses"])
+            runs, weight = batch.column("run").to_pylist(), batch.column("n").to_numpy().astype(np.float64)
+            uses += expected_uses(model, lattice, runs, np.array([place[x] for x in batch.column("lang").to_pylist()], np.int64), weight)
+            if letters:
+                single += letter_counts(lattice, runs, weight)
+        for lang, n in [*zip(model.langs, uses), (None, single)]:
+            used = np.flatnonzero(n[:-1] > 1e-6)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int64()), pa.array(n[used])], names=["lang", "piece", "uses"])
 
     return run
 
@@ -236,49 +344,57 @@ def fit(docs: DataFrame, vocabulary_path: str, learn: Column, text_col: str = "t
     """Learn from rows where ``learn`` holds and text and language are not null.
 
     About ``rows_per_lang`` rows of each language are taken, those with the smallest hash of their id; a language with
-    fewer gives all it has. Of over MAX_LANGS languages the most frequent ones are learned. What reaches the driver is
-    one number per piece and language. No labelled row: a model without languages, which predicts und only.
+    fewer gives all it has, and every labelled language is learned. What reaches the driver is one number per piece and
+    language. No labelled row, as in an empty table: a model without languages, which predicts und only.
     """
-    scratch, pieces = Scratch(docs.sparkSession, "langid"), vocabulary(vocabulary_path)
-    rows = docs.where(learn).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    size = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    spark, scratch, pieces = docs.sparkSession, Scratch(docs.sparkSession, "langid"), vocabulary(vocabulary_path)
+    rows = docs.where(learn).select(named(lang_col).cast("string").alias("lang"), named(text_col).cast("string").alias("text"), named(id_col).alias("id"))
+    rows = rows.where("text is not null and lang is not null")
+    size = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(size)
     if not langs:
         return Model(pieces, [], np.zeros((len(pieces), 0)))
-    share = docs.sparkSession.createDataFrame([(x, min(1.0, rows_per_lang / size[x])) for x in langs], "lang string, share double")
-    u = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), u.alias("u")).join(F.broadcast(share), "lang").where("u < share")
+    share = spark.createDataFrame([(x, min(1.0, rows_per_lang / size[x])) for x in langs], "lang string, share double")
+    u = F.pmod(F.xxhash64(F.lit("langid"), "id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    chosen = rows.join(F.broadcast(share), "lang").where(u < F.col("share"))
     counted = scratch.table(map_batches(chosen.select("lang", "text"), _runs, "lang string, run string, n bigint").groupBy("lang", "run").agg(F.sum("n").alias("n")))
     model = Model(pieces, langs, np.full((len(pieces), len(langs)), 1.0 / len(pieces)))
-    for _ in range(rounds):
-        uses = np.full_like(model.probs, SMOOTH)
-        found = map_batches(counted, _expected(model), "lang string, piece bigint, uses double").groupBy("lang", "piece").agg(F.sum("uses").alias("n")).toArrow()
-        at = np.array([langs.index(x) for x in found.column("lang").unique().to_pylist()], np.int64)
-        lang = found.column("lang").combine_chunks().dictionary_encode().indices.to_numpy()
-        uses[found.column("piece").to_numpy(), at[lang]] += found.column("n").to_numpy()
-        model.probs = uses / uses.sum(axis=0)
+    single = np.array([len(p) == 1 for p in pieces])
+    place = {x: i for i, x in enumerate(langs)}
+    for r in range(rounds):
+        uses, letters = np.full_like(model.probs, SMOOTH), np.zeros(len(pieces))
+        held = spark.sparkContext.broadcast(model)
+        found = map_batches(counted, _expected(held, r == 0), "lang string, piece bigint, uses double").groupBy("lang", "piece").agg(F.sum("uses").alias("n")).toArrow()
+        for lang, piece, n in zip(*(found.column(c).to_pylist() for c in ("lang", "piece", "n"))):
+            if lang is None:
+                letters[piece] += n
+            else:
+                uses[piece, place[lang]] += n
+        if r == 0:
+            alone = (1 - ANY_LETTER) * letters / max(letters.sum(), 1) + ANY_LETTER * single / single.sum()
+        model = Model(pieces, langs, uses / uses.sum(axis=0), np.maximum(alone, UNSEEN * (SMOOTH / uses.sum(axis=0)).max()))
     scratch.drop(counted)
     return model
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """``docs`` with a language and a score between 0 and 1 for the whole text of every row.
+def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score", evidence_out: str | None = None) -> DataFrame:
+    """``docs`` with a language and a score between 0 and 1 for the whole text of every row, and evidence if asked for.
 
-    The score is the share of the best language when run probabilities are averaged (geometrically) over the text. Null
-    texts and texts without a letter: und and 0. Existing columns of the two names are replaced. The model, of a size
-    bounded by vocabulary and MAX_LANGS, goes to every task.
+    The score is the share of the best language when run probabilities are averaged (geometrically) over the text.
+    Evidence, in nats over the whole text, is how much better the language explains it than unknown text does; below
+    zero, no learned language explains it. Null texts and texts without a letter: und, 0 and 0. Repeated rows are judged
+    alike; existing columns of the new names are replaced, all others go along. The model goes to every task.
     """
-    held, kept = docs.sparkSession.sparkContext.broadcast(model), [c for c in docs.columns if c not in (lang_out, score_out)]
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         scorer = held.value.scorer()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                langs, scores = scorer.texts(part.column("_llm_text").to_pylist())
-                columns = [part.column(c) for c in kept] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*kept, lang_out, score_out])
-
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias("_llm_text"))
-    types = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_llm_text"] + [f"`{lang_out}` string", f"`{score_out}` double"])
-    return map_batches(rows, run, types)
+
+        def work(batch: pa.RecordBatch) -> list[pa.Array]:
+            langs, scores, evidence = scorer.judged(batch.column("text").to_pylist())
+            return [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(evidence, pa.float64())][: 2 + bool(evidence_out)]
+
+        return work
+
+    new = {lang_out: "string", score_out: "double"} | ({evidence_out: "double"} if evidence_out else {})
+    return with_made(docs, {"text": named(text_col).cast("string")}, make, new)

@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,9 +40,27 @@ def test_language_id(spark, stages):
     before, after = stages[0], stages[1]
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     scorer = langid.fit(docs, VOCABULARY, ~held_out(F.col("doc_id"))).scorer()
-    langs, scores = scorer.texts(before.text.tolist())
-    want = {i for i, lang, s in zip(before.doc_id, langs, scores) if lang != "und" and s >= corpus_pipeline.MIN_SCORE}
-    assert set(after.doc_id) == want
+    langs, _, evidence = scorer.judged(before.text.tolist())
+    want = {i for i, lang, e in zip(before.doc_id, langs, evidence) if lang != "und" and e > -corpus_pipeline.REJECT}
+    assert set(after.doc_id) == want == set(before.doc_id)
+
+
+def test_language_id_rejects_and_fills_in(spark):
+    """Other languages, other scripts and letter salad go, though given as English (not learned from: ids held out)."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    own = {r.lang: r for r in docs.where("length(text) between 300 and 3000").groupBy("lang").agg(F.min_by("text", "doc_id").alias("text")).collect()}
+    salad = "".join(np.random.default_rng(2).choice([*"abcdefghijklmnopqrstuvwxyz     "], 300))
+    foreign = [
+        "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa",
+        "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan",
+        "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью и должны поступать в отношении друг друга",
+        "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待", salad, "12 345 !?", "", None,
+    ]
+    unseen = (i for i in range(-1, -99, -1) if zlib.crc32(str(i).encode()) % 3 == 1)
+    extra = [(i, t, "en", "new", 0) for i, t in zip(unseen, foreign)] + [(-100 - k, r.text, None, "new", 0) for k, r in enumerate(own.values())]
+    more = docs.select(*COLUMNS).union(spark.createDataFrame(extra, docs.select(*COLUMNS).schema))
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, more, DATA).where("source = 'new'").collect()}
+    assert got == {-100 - k: lang for k, lang in enumerate(own)}
 
 
 def test_near_dedup(stages):

@@ -207,16 +207,25 @@ def test_quality_base(spark, local):
 
 
 
-
 def brute_leaks(texts, items):
+    """(id, item) where the text holds 0.8 of the item's runs of five words, or all of a shorter one; nothing of the library is used."""
+
+    def words(text):
+        found = (re.sub(r"^[\W_]+|[\W_]+$", "", w.lower()) for w in re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+        return [w for w in found if w]
+
+    def runs(w, n):
+        return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+
+    read = {i: words(t) for i, t in texts.items()}
+    by_length = {n: {i: runs(w, n) for i, w in read.items()} for n in range(1, 6)}
     out = set()
     for item, text in items:
-        q, a = (decontam.tokens(x) for x in decontam.split_item(text))
-        whole = decontam.shingles(q + a)
-        for i, t in texts.items():
-            words = decontam.tokens(t or "")
-            if whole and decontam.share(whole, decontam.shingles(words)) >= decontam.OVERLAP:
-                out.add((i, item))
+        own = words(text)
+        if own:
+            n = min(5, len(own))
+            whole = runs(own, n)
+            out |= {(i, item) for i, r in by_length[n].items() if len(whole & r) >= 0.8 * len(whole)}
     return out
 
 
@@ -235,6 +244,35 @@ def test_decontamination(spark, docs, local):
     assert decontam.leaks(df.limit(0), bench).count() == 0 and decontam.leaks(df, bench.limit(0)).count() == 0
 
 
+def test_short_items_are_found_within_longer_texts(spark, monkeypatch):
+    items = [(1, "Two plus two"), (2, "Paris"), (3, "a b c d"), (4, "one two three four five"), (5, "What is two plus two?\nFour"), (6, "")]
+    texts = {1: "Why, two plus two, equals four today", 2: "two two plus", 3: "from PARIS.", 4: "x a b c d y", 5: "a b c x d", 6: "zero one two three four five six", 7: None, 8: "one two three four", 9: "what is two plus two? four", 10: "d c b a " * 500 + "two plus two"}
+    df, bench = spark.createDataFrame([*texts.items()], "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    want = {(1, 1), (3, 2), (4, 3), (6, 4), (9, 1), (9, 5), (10, 1)}
+    assert brute_leaks(texts, items) == want
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench).collect()} == want
+    monkeypatch.setattr(decontam, "INDEX_WORDS", 6)
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench).collect()} == want
+    assert sorted(r.doc_id for r in decontam.drop_leaks(df, bench).collect()) == [2, 5, 7, 8]
+
+
+def test_scores_are_bm25_and_the_index_is_bounded():
+    """Scores against the formula, word by word; the index takes at most 60 bytes a word."""
+    rng = np.random.default_rng(4)
+    items = [(i, " ".join(rng.choice([f"w{k}" for k in range(60)], 16))) for i in range(40)]
+    index = decontam.Index(items)
+    (c,) = index.classes
+    for i, text in items:
+        n, words = Counter(text.split()), sorted({w for _, t in items for w in t.split()})
+        idf = {w: np.log(1 + (len(items) - d + 0.5) / (d + 0.5)) for w in words for d in [sum(w in t.split() for _, t in items)]}
+        part = {w: idf[w] * m * 2.2 / (m + 1.2) for w, m in n.items()}
+        half = text.split()[:9]
+        place = np.array([int(np.flatnonzero(index.words == decontam.xxhash.xxh64_intdigest(w))[0]) for w in half])
+        assert np.isclose(c.score(i, np.unique(place)), sum(part[w] for w in {*half}) / sum(part.values()))
+    many = [(i, " ".join(rng.choice([f"v{k}" for k in range(9000)], 30))) for i in range(3000)]
+    assert decontam.Index(many).nbytes <= 60 * 90_000
+
+
 def test_leaks_across_blocks_of_a_long_text(spark, monkeypatch):
     item = " ".join(f"k{i}" for i in range(40))
     text = f"{'pad ' * 262_100}{item} {'pad ' * 1000}"
