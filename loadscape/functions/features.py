@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loadscape.operators.counted import numbered
+
 
 def wind(u: Column, v: Column) -> dict[str, Column]:
     """speed, energy (half its cube) and direction in degrees of a wind vector."""
@@ -20,9 +22,9 @@ def one_hot(df: DataFrame, col: str, values: Sequence) -> DataFrame:
 
 
 def ordinal(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Categories numbered from 0 in their order; only distinct values are ranked in one place."""
-    codes = df.select(F.col(col).alias("_c")).where("_c is not null").distinct().withColumn(out, F.row_number().over(Window.orderBy("_c")) - 1)
-    return df.join(F.broadcast(codes), F.col(col) == F.col("_c"), "left").drop("_c")
+    """Categories numbered from 0 in their order, range by range; Spark sends the codes to all tasks if they are few."""
+    codes = numbered(df, col).select(F.col("value").alias("_c"), F.col("number").cast("int").alias(out))
+    return df.join(codes, F.col(col) == F.col("_c"), "left").drop("_c")
 
 
 def standardise(df: DataFrame, fit_on: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loadscape.operators.counted import numbered, quantiles
+
 
 def nan_to_null(df: DataFrame, *cols: str) -> DataFrame:
     """NaN becomes NULL, so that aggregates skip it."""
@@ -65,14 +67,15 @@ def complete_grid(df: DataFrame, key: str, ts: str, start: str, end: str, step:
 def between_percentiles(df: DataFrame, cols: Sequence[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Outliers go column by column; each column's limits are taken from what the ones before left."""
     for c in cols:
-        limits = df.agg(F.percentile(c, F.lit(low)).alias("_lo"), F.percentile(c, F.lit(high)).alias("_hi"))
+        at = lambda q: F.max(F.when(F.col("level") == q, F.col("value")))
+        limits = quantiles(df, c, [low, high]).agg(at(low).alias("_lo"), at(high).alias("_hi"))
         df = df.join(F.broadcast(limits)).where(F.col(c).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
     return df
 
 
 def ordinal_ids(df: DataFrame, key: str, out: str, prefix: str) -> DataFrame:
-    """Keys renamed prefix0, prefix1, ... in their order; only distinct keys are ranked in one place."""
-    ids = df.select(key).distinct().withColumn(out, F.concat(F.lit(prefix), (F.row_number().over(Window.orderBy(key)) - 1).cast("string")))
+    """Keys renamed prefix0, prefix1, ... in their order; distinct keys are numbered range by range."""
+    ids = numbered(df, key).select(F.col("value").alias(key), F.concat(F.lit(prefix), F.col("number").cast("string")).alias(out))
     return df.join(ids, key)
 
 

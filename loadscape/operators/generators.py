@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loadscape.operators.counted import quantiles as exact_quantiles
+
 
 def random_scenarios(df: DataFrame, group: str, key: str, n: int, seed: str) -> DataFrame:
     """(day, s, pick): n members of each group drawn with replacement, decided by hash."""
@@ -32,7 +34,10 @@ def gaussian_copula(df: DataFrame, vals: str, width: int, n: int, seed: int, lev
     for (i, j), c in zip(pairs, found):
         r[i, j] = r[j, i] = c or 0.0
     grid = np.linspace(0, 1, levels)
-    quantiles = np.array(df.agg(*[F.percentile(c, F.array(*map(F.lit, grid.tolist()))) for c in x]).first())
+    long = df.select(F.posexplode(F.array(*x)).alias("slot", "value"))
+    quantiles = np.zeros((width, levels))
+    for slot, level, value in exact_quantiles(long, "value", grid.tolist(), ["slot"]).collect():
+        quantiles[slot, round(level * (levels - 1))] = value
     values, vectors = np.linalg.eigh(r)
     root = vectors * np.sqrt(np.maximum(values, 0))
 

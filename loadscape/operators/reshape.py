@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loadscape.operators.counted import nearest_quantiles
+
 
 def split_days(df: DataFrame, vals: str, width: int) -> DataFrame:
     """One row per day: an array cut into pieces of ``width``."""
@@ -20,15 +22,11 @@ def to_array(df: DataFrame, keys: Sequence[str], slot: str, value: str, out: str
     return df.groupBy(*keys).agg(F.transform(pairs, lambda x: x[value]).alias(out))
 
 
-def nearest_rank(values: Column, n: Column, percent: int | Column) -> Column:
-    """Of a sorted array the element nearest to a quantile's position, ties to even."""
-    return F.element_at(values, F.bround((n - 1) * percent / F.lit(100.0)).cast("int") + 1)
-
-
 def quantile_bands(df: DataFrame, key: str, value: str, lowers: Sequence[int]) -> DataFrame:
     """(key, band, lower, upper) with nearest-rank quantiles of lo and 100 - lo percent."""
-    s = df.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("v"), F.count(value).alias("n"))
-    rows = s.withColumn("lo", F.explode(F.array(*map(F.lit, lowers))))
+    found = nearest_quantiles(df, value, sorted({p for lo in lowers for p in (lo, 100 - lo)}), [key])
+    rows = found.withColumn("lo", F.explode(F.filter(F.array(*map(F.lit, lowers)), lambda lo: F.col("percent").isin(lo, 100 - lo))))
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     band = F.concat(two(F.col("lo")), F.lit("-"), two(100 - F.col("lo")))
-    return rows.select(key, band.alias("band"), nearest_rank(F.col("v"), F.col("n"), F.col("lo")).alias("lower"), nearest_rank(F.col("v"), F.col("n"), 100 - F.col("lo")).alias("upper"))
+    at = lambda p: F.max(F.when(F.col("percent") == p, F.col("value")))
+    return rows.groupBy(key, "lo").agg(at(F.col("lo")).alias("lower"), at(100 - F.col("lo")).alias("upper")).select(key, band.alias("band"), "lower", "upper")

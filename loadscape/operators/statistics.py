@@ -4,18 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loadscape.operators.counted import counted
 
-def with_average_rank(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Adds the average rank of a column over all rows.
 
-    Equal values are counted first, so only distinct values are ranked in one place.
-    """
-    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select("_x", (before + (F.col("_n") + 1) / 2).alias(out))
+def with_average_rank(df: DataFrame, col: str, out: str) -> DataFrame:
+    """Adds the average rank of a column over all rows. Equal values are counted first, distinct ones ranked range by range."""
+    ranks = counted(df, col).select(F.col("value").alias("_x"), (F.col("below") + (F.col("n") + 1) / 2).alias(out))
     return df.join(ranks, F.col(col) == F.col("_x"), "left").drop("_x")
 
 

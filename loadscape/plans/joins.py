@@ -108,8 +108,11 @@ def a15_crosstab(spark, sf_dir):
 
 @query(with_tables("slots") + "SELECT slot, round(quantile_cont(value, 0.05), 6) AS q05, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.95), 6) AS q95 FROM slots GROUP BY 1")
 def a18_slot_quantiles(spark, sf_dir):
-    q = F.percentile("value", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return slots(spark, sf_dir).groupBy("slot").agg(q.alias("q")).select("slot", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q05", "q50", "q95"))])
+    from loadscape.operators.counted import quantiles
+
+    at = {"q05": 0.05, "q50": 0.5, "q95": 0.95}
+    found = quantiles(slots(spark, sf_dir), "value", [*at.values()], ["slot"])
+    return found.groupBy("slot").agg(*[F.round(F.max(F.when(F.col("level") == q, F.col("value"))), 6).alias(n) for n, q in at.items()])
 
 
 @query(with_tables("slots") + """, s AS (SELECT slot, list_sort(list(value)) AS v, count(*) AS n FROM slots GROUP BY 1)

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loadscape.operators import scoring
+from loadscape.operators.counted import quantiles
 from loadscape.plans.registry import query
 from loadscape.sources.tables import profiles, readings, slots, table, with_tables
 
@@ -93,7 +94,7 @@ SELECT meter_id, round(avg(CASE WHEN value BETWEEN a AND b THEN 1.0 ELSE 0 END),
 def g11_quantile_band_share(spark, sf_dir):
     """Share of each meter's readings in two quantile bands of all readings, both ends included."""
     r = readings(spark, sf_dir)
-    q = r.agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = quantiles(r, "value", [0.25, 0.5, 0.75]).agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "value"))), lambda x: x["value"]).alias("q"))
     inside = lambda i: F.avg(F.col("value").between(F.col("q")[i], F.col("q")[i + 1]).cast("double"))
     return r.join(F.broadcast(q)).groupBy("meter_id").agg(F.round(inside(0), 6).alias("lower"), F.round(inside(1), 6).alias("upper"))
 
