@@ -35,31 +35,67 @@ def wasserstein_1d(a: Column, b: Column) -> Column:
     return squared(F.array_sort(a), F.array_sort(b)) / F.size(a)
 
 
+def banded(x: np.ndarray, y: np.ndarray, window: int) -> np.ndarray:
+    """Dynamic time warping distances of the rows of x and y, all pairs at once: a step for each cell of the band."""
+    n = x.shape[1]
+    before = np.full((n + 1, len(x)), np.inf)
+    before[0] = 0.0
+    for i in range(1, n + 1):
+        now = np.full((n + 1, len(x)), np.inf)
+        for j in range(max(1, i - window + 1), min(n, i + window - 1) + 1):
+            now[j] = (x[:, i - 1] - y[:, j - 1]) ** 2 + np.minimum(np.minimum(before[j - 1], before[j]), now[j - 1])
+        before = now
+    return np.sqrt(before[n])
+
+
 @F.pandas_udf(T.DoubleType())
 def dtw(a: pd.Series, b: pd.Series, window: pd.Series) -> pd.Series:
     """Dynamic time warping distance within a band, of pairs of equal-length profiles, a batch at a time."""
     out = np.empty(len(a))
-    for k, (x, y, w) in enumerate(zip(a, b, window)):
-        n, cost = len(x), (np.asarray(x)[:, None] - np.asarray(y)[None, :]) ** 2
-        total = np.full((n + 1, n + 1), np.inf)
-        total[0, 0] = 0.0
-        for i in range(1, n + 1):
-            for j in range(max(1, i - int(w) + 1), min(n, i + int(w) - 1) + 1):
-                total[i, j] = cost[i - 1, j - 1] + min(total[i - 1, j - 1], total[i - 1, j], total[i, j - 1])
-        out[k] = np.sqrt(total[n, n])
+    sizes = np.array([(len(x), w) for x, w in zip(a, window)]).reshape(-1, 2)
+    for n, w in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes == (n, w)).all(axis=1))
+        out[at] = banded(*(np.stack(s.to_numpy()[at]).astype(float) for s in (a, b)), int(w))
     return pd.Series(out)
 
 
+#: Rows of a query set up to which it is sent to all tasks; a larger one meets the rows block by block.
+SENT_ROWS = 20_000
+
+
+def meet(df: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every row of ``df`` with every row of a stated query set.
+
+    Up to SENT_ROWS queries are sent to the rows, which stay put. More are dealt into blocks of that size by hash, and the
+    rows go once to each block, so that what a task holds stays bounded; the number of pairs is what was asked for.
+    """
+    blocks = -(-queries.count() // SENT_ROWS)
+    if blocks <= 1:
+        return df.join(F.broadcast(queries))
+    q = queries.withColumn("_block", F.pmod(F.xxhash64(*queries.columns), F.lit(blocks)).cast("int"))
+    return df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(q, "_block").drop("_block")
+
+
 def pairs_with_queries(df: DataFrame, queries: DataFrame, key: str, vals: str, distance) -> DataFrame:
-    """(query, other, d): a stated set of queries against all rows. The queries are sent to the rows, which stay put."""
+    """(query, other, d): a stated set of queries against all rows."""
     q = queries.select(F.col(key).alias("query"), F.col(vals).alias("_q"))
-    return df.join(F.broadcast(q), F.col("query") != F.col(key)).select("query", F.col(key).alias("other"), distance(F.col("_q"), F.col(vals)).alias("d"))
+    return meet(df, q).where(F.col("query") != F.col(key)).select("query", F.col(key).alias("other"), distance(F.col("_q"), F.col(vals)).alias("d"))
+
+
+#: Blocks into which the rows of each group are dealt.
+BLOCKS = 4
 
 
 def pairs_within(df: DataFrame, group: str, key: str, vals: str, distance) -> DataFrame:
-    """(group, i, j, d) for i < j of the same group: the lower triangle of each group's distance matrix."""
-    b = df.select(F.col(group), F.col(key).alias("j"), F.col(vals).alias("_b"))
-    return df.select(F.col(group), F.col(key).alias("i"), F.col(vals).alias("_a")).join(b, group).where("i < j").select(group, "i", "j", distance(F.col("_a"), F.col("_b")).alias("d"))
+    """(group, i, j, d) for i < j of the same group: the lower triangle of each group's distance matrix.
+
+    Each group is dealt into blocks by hash, and a row goes to every pair of blocks with its own, so a large group's
+    pairs are made by many tasks. The result has a row for each pair, so it grows with the square of a group.
+    """
+    own, every = F.pmod(F.xxhash64(key), F.lit(BLOCKS)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
+    a = df.select(F.col(group), F.col(key).alias("i"), F.col(vals).alias("_a"), own.alias("_x"), every.alias("_y"))
+    b = df.select(F.col(group), F.col(key).alias("j"), F.col(vals).alias("_b"), every.alias("_x"), own.alias("_y"))
+    return a.join(b, [group, "_x", "_y"]).where("i < j").select(group, "i", "j", distance(F.col("_a"), F.col("_b")).alias("d"))
 
 
 def nearest(pairs: DataFrame, k: int) -> DataFrame:

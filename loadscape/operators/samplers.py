@@ -7,6 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loadscape.operators.distance import meet
+
+
+#: Cells of a group's running weights.
+CELLS = 256
+
 
 def _digest(key: Column, seed: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
@@ -56,10 +62,24 @@ def nearest_centroid(queries: DataFrame, train: DataFrame, x: str) -> DataFrame:
     return hit.select("test", F.col("b.cluster").alias("cluster"), (1 / F.col("b._n").cast("double")).alias("p"))
 
 
+def cross_validated_centroids(df: DataFrame, key: str, cluster: str, x: str, fold: str) -> DataFrame:
+    """``df`` with guess and d: the cluster whose mean, without the row's own fold, is nearest, and how far it is.
+
+    The means of all folds come from one pass: sums by cluster and fold, less the own fold's. They are few.
+    """
+    sums = df.groupBy(cluster, fold).agg(F.sum(x).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    total = sums.groupBy(cluster).agg(F.sum("_s").alias("_ts"), F.sum("_n").alias("_tn"))
+    all_ = df.select(fold).distinct().join(F.broadcast(total)).join(sums, [cluster, fold], "left").na.fill(0, ["_s", "_n"])
+    means = all_.where("_tn > _n").select(fold, F.struct(F.col(cluster).alias("c"), ((F.col("_ts") - F.col("_s")) / (F.col("_tn") - F.col("_n"))).alias("m")).alias("_c"))
+    means = means.groupBy(fold).agg(F.collect_list("_c").alias("_all"))
+    best = F.array_min(F.transform("_all", lambda c: F.struct(F.round(F.abs(F.col(x) - c["m"]), 12).alias("r"), c["c"].alias("c"), F.abs(F.col(x) - c["m"]).alias("d"))))
+    return df.join(F.broadcast(means), fold).withColumn("_best", best).withColumns({"guess": F.col("_best.c"), "d": F.col("_best.d")}).drop("_all", "_best")
+
+
 def draw(queries: DataFrame, train: DataFrame, n: int, seed: str) -> DataFrame:
-    """n picks without replacement per test, by hash of both keys. Tests are a stated query set, sent to all rows."""
+    """n picks without replacement per test, by hash of both keys. Tests are a stated query set, held against all rows."""
     key = F.concat(F.col("test").cast("string"), F.lit(":"), F.col("pick").cast("string"))
-    rows = train.join(F.broadcast(queries)).withColumn("_h", _digest(key, seed))
+    rows = meet(train, queries).withColumn("_h", _digest(key, seed))
     w = Window.partitionBy("test").orderBy("_h", "pick")
     return uniform(rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).select("test", "pick"))
 
@@ -72,7 +92,8 @@ def by_key(queries: DataFrame, train: DataFrame, keys: Sequence[str]) -> DataFra
 def weighted_draws(queries: DataFrame, train: DataFrame, group: str, weight: str, n: int, seed: str) -> DataFrame:
     """(test, n, pick): n draws with replacement per test among the training rows of its group, by weight.
 
-    Each draw is a number decided by hash, which falls into one pick's share of the group's running weights.
+    Each draw is a number decided by hash, which falls into one pick's share of the group's running weights. Shares and
+    draws meet in cells of the group's total, so a draw sees the picks of its cell only.
     """
     w = Window.partitionBy(group).orderBy("pick")
     shares = train.select("pick", group, F.col(weight).alias("_w"), F.sum(weight).over(w).alias("_hi"), F.sum(weight).over(Window.partitionBy(group)).alias("_total"))
@@ -80,7 +101,12 @@ def weighted_draws(queries: DataFrame, train: DataFrame, group: str, weight: str
     key = F.concat(F.col("test").cast("string"), F.lit(":"), F.col("n").cast("string"))
     u = F.conv(F.substring(_digest(key, seed), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
     at = F.col("_u") * F.col("_total")
-    return draws.withColumn("_u", u).join(shares, group).where((at >= F.col("_hi") - F.col("_w")) & (at < F.col("_hi"))).select("test", "n", "pick")
+    cell = lambda x: F.least(F.greatest(F.floor(x * CELLS), F.lit(0)), F.lit(CELLS - 1)).cast("int")
+    # a cell more on either side, so that rounding loses no draw
+    near = F.sequence(F.greatest(cell((F.col("_hi") - F.col("_w")) / F.col("_total")) - 1, F.lit(0)), F.least(cell(F.col("_hi") / F.col("_total")) + 1, F.lit(CELLS - 1)))
+    spread = shares.where(F.col("_total") > 0).withColumn("_cell", F.explode(near))
+    met = draws.withColumn("_u", u).withColumn("_cell", cell(F.col("_u"))).join(spread, [group, "_cell"])
+    return met.where((at >= F.col("_hi") - F.col("_w")) & (at < F.col("_hi"))).select("test", "n", "pick")
 
 
 def two_level(cluster_probs: DataFrame, members: DataFrame, cluster: str, same: Sequence[str]) -> DataFrame:

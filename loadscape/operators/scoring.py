@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loadscape.operators.distance import euclidean
+from loadscape.operators.distance import euclidean, meet
 
 
 def energy_score(samples: DataFrame, observed: DataFrame) -> DataFrame:
@@ -64,14 +64,13 @@ def reliability(quantile_rows: DataFrame, observed: DataFrame) -> DataFrame:
 def mmd2(x: DataFrame, y: DataFrame, vals: str, sigma: float) -> DataFrame:
     """One row: squared maximum mean discrepancy with a Gaussian kernel, the diagonals included.
 
-    The rows of both sets are sent to all tasks, so both must be samples of bounded size.
+    Every row meets every other one, so both sets should be samples; a large one is met block by block.
     """
     a, b = (d.select(F.col(vals).alias("v")) for d in (x, y))
 
     def total(p: DataFrame, q: DataFrame) -> DataFrame:
-        q = F.broadcast(q.withColumnRenamed("v", "w"))
         d = euclidean(F.col("v"), F.col("w"))
-        return p.join(q).agg(F.sum(F.exp(-d * d / (2 * sigma * sigma))).alias("t"), F.count(F.lit(1)).alias("n"))
+        return meet(p, q.withColumnRenamed("v", "w")).agg(F.sum(F.exp(-d * d / (2 * sigma * sigma))).alias("t"), F.count(F.lit(1)).alias("n"))
 
     xx, yy, xy = total(a, a), total(b, b), total(a, b)
     off = lambda c: F.col(c) - F.sqrt(F.col(c))  # noqa: E731  n(n-1) from n*n

@@ -1,5 +1,7 @@
 """Queries on two-level samplers, draws, scenario generators, matching distances and k-medoids."""
 
+from itertools import permutations
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -76,11 +78,16 @@ def d8_one_to_one_days(spark, sf_dir):
     return matching.one_to_one(p.where("profile_id % 20 = 0"), p, "cluster", "profile_id", "vals", 16).select("query", "other", F.round("d", 6).alias("d"))
 
 
-@query()
+_MATCHINGS = ", ".join(" + ".join(f"max(c) FILTER (i = {i} AND j = {j})" for i, j in enumerate(p)) for p in permutations(range(4)))
+
+
+@query(with_tables("slots") + """, d AS (SELECT profile_id, slot // 16 AS day, slot % 16 AS k, value FROM slots),
+c AS (SELECT q.profile_id AS query, d.profile_id AS other, q.day AS i, d.day AS j, sqrt(sum((q.value - d.value) * (q.value - d.value))) AS c FROM d q JOIN d ON q.k = d.k AND q.profile_id <> d.profile_id WHERE q.profile_id % 20 = 0 GROUP BY 1, 2, 3, 4)
+SELECT query, other, round(least(""" + _MATCHINGS + """), 6) AS d FROM c GROUP BY 1, 2""")
 def d6_assigned_days(spark, sf_dir):
-    """Days matched at least total cost (Hungarian method in batches of pairs), of query profiles (ids divisible by 20) with all others."""
+    """Days matched at least total cost, of query profiles (ids divisible by 20) with all others, batches of pairs at once."""
     p = profiles(spark, sf_dir)
-    return matching.assigned(p.where("profile_id % 20 = 0"), p, "profile_id", "vals", 16)
+    return matching.assigned(p.where("profile_id % 20 = 0"), p, "profile_id", "vals", 16).select("query", "other", F.round("d", 6).alias("d"))
 
 
 @query(with_tables("slots") + """, e AS (SELECT min(value) AS a, max(value) AS b FROM slots), h AS (SELECT cluster, least(CAST(floor((value - a) / (b - a) * 10) AS INT), 9) AS bin, count(*) AS n FROM slots, e GROUP BY 1, 2),
@@ -94,7 +101,7 @@ def d10_histogram_emd(spark, sf_dir):
 
 @query()
 def c2_k_medoids(spark, sf_dir):
-    """Three medoids within each cluster (a bounded group of profiles), by alternating assignment and update."""
+    """Three medoids within each cluster, chosen on a bounded sample by alternating assignment and update; all rows are assigned."""
     return matching.k_medoids(profiles(spark, sf_dir), "cluster", "profile_id", "vals", 3)
 
 
