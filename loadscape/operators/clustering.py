@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,30 @@ def kmeans(df: DataFrame, vals: str, k: int, seed: int = 1) -> DataFrame:
     return model.transform(vectors).drop("_v")
 
 
+def inertias(df: DataFrame, vals: str, ks: Sequence[int], repeats: int = 2, seed: int = 1) -> DataFrame:
+    """(k, inertia): k-means fitted for every k, the best of ``repeats`` starts by sum of squared distances to the centres.
+
+    No k above the number of rows is tried. One row a k reaches the driver; the fits are distributed.
+    """
+    vectors = df.select(array_to_vector(vals).alias("_v")).persist()
+    n, found = vectors.count(), []
+    for k in (k for k in ks if k <= n):
+        if k == 1:
+            spread = vectors.agg(Summarizer.variance(F.col("_v")).alias("s")).first().s
+            found.append((1, float(sum(spread) * (n - 1))))
+            continue
+        fits = (KMeans(k=k, seed=seed + r, featuresCol="_v", initSteps=2, maxIter=20).fit(vectors) for r in range(repeats))
+        found.append((k, min(float(m.summary.trainingCost) for m in fits)))
+    vectors.unpersist()
+    return df.sparkSession.createDataFrame(found, "k int, inertia double")
+
+
+def standardised(df: DataFrame, col: str) -> DataFrame:
+    """A short curve's column less its mean over its population deviation."""
+    s = F.broadcast(df.agg(F.avg(col).alias("_m"), F.stddev_pop(col).alias("_s")))
+    return df.join(s).withColumn(col, F.try_divide(F.col(col) - F.col("_m"), F.col("_s"))).drop("_m", "_s")
+
+
 def silhouette(means: DataFrame) -> DataFrame:
     """(id, s) from means (id, own, cluster, d): the mean distance of each member to each cluster, its own without itself."""
     a, b = F.max(F.when(F.col("own") == F.col("cluster"), F.col("d"))), F.min(F.when(F.col("own") != F.col("cluster"), F.col("d")))

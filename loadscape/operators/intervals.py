@@ -9,15 +9,15 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadscape.operators.sequences import neighbours, runs
+from loadscape.operators.sequences import runs_of_kinds
 
 
 def interval_table(df: DataFrame, keys: Sequence[str], pos: str, value: str, low: Column) -> DataFrame:
     """All NULL runs (interval_value NULL) and runs where ``low`` holds (interval_value 0), with their neighbours."""
-    nulls = runs(df, keys, pos, F.col(value).isNull()).withColumn("interval_value", F.lit(None).cast("double"))
-    lows = runs(df, keys, pos, low).withColumn("interval_value", F.lit(0.0))
-    found = nulls.unionByName(lows).withColumn("interval_length", (F.col("end") - F.col("start")).cast("int"))
-    return neighbours(df, found, keys, pos, value)
+    kind = F.when(F.col(value).isNull(), 1).when(F.coalesce(low, F.lit(False)), 2)
+    found = runs_of_kinds(df, keys, pos, value, kind)
+    length, zero = (F.col("end") - F.col("start")).cast("int"), F.when(F.col("kind") == 2, 0.0)
+    return found.withColumns({"interval_value": zero, "interval_length": length}).drop("kind")
 
 
 def mask(df: DataFrame, found: DataFrame, keys: Sequence[str], pos: str, value: str) -> DataFrame:
@@ -26,6 +26,23 @@ def mask(df: DataFrame, found: DataFrame, keys: Sequence[str], pos: str, value:
     return df.join(hit, [*keys, pos], "left").withColumn(value, F.when(F.col("_hit").isNull(), F.col(value))).drop("_hit")
 
 
+def mask_long_runs(df: DataFrame, keys: Sequence[str], pos: str, value: str, flag: Column, least: int) -> DataFrame:
+    """As ``mask`` for runs of ``least`` flagged positions or more, in one pass over each key's positions.
+
+    Positions follow each other without a gap. The length of a row's run is known from the last unflagged positions
+    before and after it.
+    """
+    w = Window.partitionBy(*keys).orderBy(pos)
+    off = F.when(~F.coalesce(flag, F.lit(False)), F.col(pos))
+    before = F.last(off, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(off, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    all_ = Window.partitionBy(*keys)
+    length = F.coalesce(after, F.max(pos).over(all_) + 1) - F.coalesce(before, F.min(pos).over(all_) - 1) - 1
+    rows = df.withColumn("_long", off.isNull() & (length >= least))
+    hit = F.col("_long") | F.coalesce(F.lag("_long").over(w), F.lit(False))
+    return rows.withColumn(value, F.when(~hit, F.col(value))).drop("_long")
+
+
 def boxplot_peaks(df: DataFrame, key: str, value: str, multiplier: float = 1.5, least_iqr: float = 0.25) -> DataFrame:
     """Adds is_peak: outside the quartiles by a multiple of the interquartile range, which is at least ``least_iqr``."""
     box = df.groupBy(key).agg(F.percentile(value, F.lit(0.25)).alias("_q1"), F.percentile(value, F.lit(0.75)).alias("_q3"))

@@ -18,16 +18,25 @@ def low_sides(before: Column, after: Column, low: float) -> Column:
     return F.when((F.abs(before) < low) & (F.abs(after) < low), False)
 
 
+def quartiles(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, _q1, _q3)."""
+    return df.groupBy(key).agg(F.percentile(value, F.lit(0.25)).alias("_q1"), F.percentile(value, F.lit(0.75)).alias("_q3"))
+
+
+def holds_more(v0: Column, v1: Column, q1: Column, q3: Column, capacity: float, multiplier: float = 1.5, least_iqr: float = 0.25) -> Column:
+    """Whether the value after a gap holds what was not read: above capacity it does, below the next value it does not,
+    outside the box plot it does."""
+    reach = multiplier * F.greatest(q3 - q1, F.lit(least_iqr))
+    return F.when(v0 > capacity, True).when(v0 < v1, False).when((v0 > q3 + reach) | (v0 < q1 - reach), True)
+
+
 def cumulative(df: DataFrame, found: DataFrame, key: str, pos: str, value: str, capacity: float, multiplier: float = 1.5, least_iqr: float = 0.25) -> DataFrame:
     """Adds ``cumulative``: does the value after a gap hold what was not read before it?
 
     Above capacity it does; else not if the next value is higher still; else if it lies outside the box plot.
     """
-    box = df.groupBy(key).agg(F.percentile(value, F.lit(0.25)).alias("_q1"), F.percentile(value, F.lit(0.75)).alias("_q3"))
-    reach = multiplier * F.greatest(F.col("_q3") - F.col("_q1"), F.lit(least_iqr))
-    v0, v1 = F.col("value_after"), F.col("second_after")
-    verdict = F.when(v0 > capacity, True).when(v0 < v1, False).when((v0 > F.col("_q3") + reach) | (v0 < F.col("_q1") - reach), True)
-    return neighbours(df, found, [key], pos, value).join(box, key).select(key, "start", "end", verdict.alias("cumulative"))
+    verdict = holds_more(F.col("value_after"), F.col("second_after"), F.col("_q1"), F.col("_q3"), capacity, multiplier, least_iqr)
+    return neighbours(df, found, [key], pos, value).join(quartiles(df, key, value), key).select(key, "start", "end", verdict.alias("cumulative"))
 
 
 def outside_normal(df: DataFrame, key: str, value: str, z: float) -> DataFrame:
@@ -64,6 +73,23 @@ def rare_values(df: DataFrame, key: str, value: str, width: float, least: float)
     return df.withColumn("_cell", cell).join(share, [key, "_cell"]).withColumn("rare", F.col("_share") < least).drop("_cell", "_share")
 
 
+def outside_density(df: DataFrame, key: str, value: str, width: float, bandwidth: float, reach: int, mass: float) -> DataFrame:
+    """Adds ``outside``: the value lies outside its key's densest cells, which together hold a share ``mass`` of its values.
+
+    Density is a Gaussian kernel over cells of ``width``, cut off ``reach`` cells away. Cells are counted before they meet
+    their neighbours, so the work grows with cells, not with pairs of values.
+    """
+    cell = F.floor(F.col(value) / width)
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+    offset = F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("_o")
+    given = counts.select(key, "_cell", "_n", offset).select(key, (F.col("_cell") + F.col("_o")).alias("_cell"), (F.col("_n") * F.exp(-0.5 * F.pow(F.col("_o") * width / bandwidth, F.lit(2)))).alias("_k"))
+    density = counts.join(given, [key, "_cell"]).groupBy(key, "_cell", "_n").agg(F.round(F.sum("_k"), 6).alias("_f"))
+    by = Window.partitionBy(key)
+    denser = F.sum("_n").over(by.orderBy(F.desc("_f"), "_cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    region = density.select(key, "_cell", (denser >= mass * F.sum("_n").over(by)).alias("outside"))
+    return df.withColumn("_cell", cell).join(region, [key, "_cell"]).drop("_cell")
+
+
 def real_or_cumulative(df: DataFrame, found: DataFrame, key: str, pos: str, value: str, period: int, days: int) -> DataFrame:
     """(key, start, end, cumulative): is the value after a gap more like that hour on a day nearby, or like its sum?
 

@@ -18,6 +18,22 @@ def runs(df: DataFrame, keys: Sequence[str], pos: str, flag: Column) -> DataFram
     return hit.withColumn("_run", F.col(pos) - rank).groupBy(*keys, "_run").agg(F.min(pos).alias("start"), (F.max(pos) + 1).alias("end")).drop("_run")
 
 
+def runs_of_kinds(df: DataFrame, keys: Sequence[str], pos: str, value: str, kind: Column) -> DataFrame:
+    """(keys, kind, start, end, ...): maximal runs of consecutive positions of one kind, with what ``neighbours`` adds.
+
+    ``kind`` is null where a position is in no run. Runs and neighbours come from one pass over each key's positions.
+    """
+    w = Window.partitionBy(*keys).orderBy(pos)
+    rows = df.select(
+        *keys, pos, kind.alias("kind"), F.lag(value).over(w).alias("_before"), F.lead(value).over(w).alias("_after"), F.lead(value, 2).over(w).alias("_second"),
+        F.lag(F.lit(1)).over(w).isNull().alias("_first"), F.lead(F.lit(1)).over(w).isNull().alias("_last"),
+    )
+    hit = rows.where("kind is not null")
+    hit = hit.withColumn("_run", F.col(pos) - F.row_number().over(Window.partitionBy(*keys, "kind").orderBy(pos)))
+    ends = {"value_before": F.min_by("_before", pos), "at_start": F.min_by("_first", pos), "value_after": F.max_by("_after", pos), "second_after": F.max_by("_second", pos), "at_end": F.max_by("_last", pos)}
+    return hit.groupBy(*keys, "kind", "_run").agg(F.min(pos).alias("start"), (F.max(pos) + 1).alias("end"), *[c.alias(n) for n, c in ends.items()]).drop("_run")
+
+
 def neighbours(df: DataFrame, intervals: DataFrame, keys: Sequence[str], pos: str, value: str) -> DataFrame:
     """Intervals with value_before, value_after, second_after, and at_start / at_end flags (no such position)."""
     w = Window.partitionBy(*keys).orderBy(pos)
@@ -134,6 +150,16 @@ def decompose(df: DataFrame, keys: Sequence[str], pos: str, value: str, period:
     return rows.withColumn("rest", F.col(value) - F.col("trend") - F.col("season")).drop("_phase")
 
 
+def decompose_robust(df: DataFrame, keys: Sequence[str], pos: str, value: str, period: int, length: int) -> DataFrame:
+    """As ``decompose`` with medians instead of means, so that single peaks move neither trend nor season; period is even."""
+    half = period // 2
+    around = F.array_sort(F.collect_list(value).over(Window.partitionBy(*keys).orderBy(pos).rowsBetween(-half, half)))
+    rows = df.withColumn("trend", F.when(F.col(pos).between(half, length - half - 1), around[half])).withColumn("_phase", F.col(pos) % period)
+    season = rows.groupBy(*keys, "_phase").agg(F.median(F.col(value) - F.col("trend")).alias("season"))
+    rows = rows.join(season, [*keys, "_phase"])
+    return rows.withColumn("rest", F.col(value) - F.col("trend") - F.col("season")).drop("_phase")
+
+
 def context(df: DataFrame, keys: Sequence[str], day: str, value: str, reach: int, k: int) -> DataFrame:
     """(keys, day, other, gap): for each row the k most alike values of its keys within ``reach`` days, ties by day."""
     other = df.select(*keys, F.col(day).alias("other"), F.col(value).alias("_v"))

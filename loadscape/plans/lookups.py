@@ -8,7 +8,7 @@ from loadscape.operators import sequences as seq
 from loadscape.plans.quality import _HOLES, _holes
 from loadscape.plans.registry import query
 from loadscape.plans.scores import _CASES, _cases
-from loadscape.plans.series import HOURLY, hourly
+from loadscape.plans.series import GAPS, HOURLY, hourly
 from loadscape.sources.tables import meters, profiles, readings, slots, table, with_tables
 
 
@@ -99,7 +99,7 @@ def d5_masked_time_warping(spark, sf_dir):
     """DTW of query profiles (ids divisible by 20) with all profiles whose total is near theirs; the mask comes first."""
     p = profiles(spark, sf_dir).withColumn("t", F.aggregate("vals", F.lit(0.0), lambda a, x: a + x))
     q = p.where("profile_id % 20 = 0").select(F.col("profile_id").alias("query"), F.col("vals").alias("q"), F.col("t").alias("tq"))
-    pairs = p.join(F.broadcast(q), (F.col("query") != F.col("profile_id")) & (F.abs(F.col("t") - F.col("tq")) < 1))
+    pairs = distance.meet(p, q).where((F.col("query") != F.col("profile_id")) & (F.abs(F.col("t") - F.col("tq")) < 1))
     return pairs.select("query", F.col("profile_id").alias("other"), distance.dtw("q", "vals", F.lit(4)).alias("d"))
 
 
@@ -109,10 +109,21 @@ def d7_season_window(spark, sf_dir):
     return profiles(spark, sf_dir).select("profile_id", matching.in_season(F.col("profile_id") % 366, F.lit(100), 30).alias("in_season"))
 
 
-@query("""WITH c(k, v) AS (VALUES (2, 90.0::DOUBLE), (3, 55.0), (4, 30.0), (5, 24.0), (6, 20.0), (7, 18.0)), d AS (SELECT k, abs((18.0 - 90.0) * k - (7 - 2) * v + 7 * 90.0 - 18.0 * 2) / sqrt(pow(18.0 - 90.0, 2) + pow(7 - 2, 2)) AS d FROM c) SELECT k, round(d, 6) AS d FROM d ORDER BY d DESC, k LIMIT 1""")
+@query()
+def d7_season_matching(spark, sf_dir):
+    """Eight days a profile, matched at least total cost, only days within two of each other around the end counting.
+
+    Query profiles (ids divisible by 20) against all others.
+    """
+    p = profiles(spark, sf_dir)
+    return matching.assigned(p.where("profile_id % 20 = 0"), p, "profile_id", "vals", 8, reach=2)
+
+
+@query()
 def c6_elbow_by_chord(spark, sf_dir):
-    curve = spark.createDataFrame([(2, 90.0), (3, 55.0), (4, 30.0), (5, 24.0), (6, 20.0), (7, 18.0)], "k int, v double")
-    return clustering.chord_elbow(curve, "k", "v").select("k", F.round("d", 6).alias("d"))
+    """The point furthest from the chord of fitted inertias, standardised."""
+    curve = clustering.standardised(clustering.inertias(profiles(spark, sf_dir), "vals", [2, 3, 4, 5, 6, 7, 8, 10]), "inertia")
+    return clustering.chord_elbow(curve, "k", "inertia").select("k", F.round("d", 6).alias("d"))
 
 
 @query(HOURLY + """SELECT meter_id, start, "end" FROM runs WHERE NOT ((start = 48 AND "end" = 49) OR (start = 100 AND "end" = 101))""")
@@ -123,18 +134,67 @@ def q2_drop_clock_artefacts(spark, sf_dir):
     return found.join(bad, ["start", "end"], "left_anti").select("meter_id", "start", "end")
 
 
-@query(HOURLY + """, n AS (SELECT r.meter_id, start, "end", x.value AS b, y.value AS a, count(*) OVER (PARTITION BY start) AS same FROM runs r LEFT JOIN hourly x ON x.meter_id = r.meter_id AND x.pos = start - 1 LEFT JOIN hourly y ON y.meter_id = r.meter_id AND y.pos = "end"),
-v AS (SELECT meter_id, start, "end", CASE WHEN "end" - start = 1 AND sign(b - 25) = -sign(a - 25) THEN false END AS s, CASE WHEN abs(b) < 10 AND abs(a) < 10 THEN false END AS l, CASE WHEN same >= 5 THEN true END AS c FROM n)
-SELECT meter_id, start, "end", CASE WHEN s = false OR l = false THEN false WHEN c THEN true END AS error FROM v""")
+_BOX = "box AS (SELECT meter_id, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM hourly GROUP BY 1)"
+_CUMULATIVE = "CASE WHEN after > 95 THEN true WHEN after < second THEN false WHEN after > q3 + 1.5 * greatest(q3 - q1, 0.25) OR after < q1 - 1.5 * greatest(q3 - q1, 0.25) THEN true END"
+
+
+@query(GAPS + ", " + _BOX + """, v AS (SELECT *, "end" - start AS len, ("end" - start = 1 AND sign(before - 25) = -sign(after - 25)) OR (abs(before) < 10 AND abs(after) < 10) AS normal FROM gaps),
+rest AS (SELECT * FROM v WHERE normal IS NOT TRUE), counts AS (SELECT start, len, count(*) AS c FROM rest GROUP BY 1, 2),
+modal AS (SELECT start, len AS mode, sum(c) OVER (PARTITION BY start) AS same FROM counts QUALIFY row_number() OVER (PARTITION BY start ORDER BY c DESC, len) = 1)
+SELECT v.meter_id, v.start, v."end", CASE WHEN normal THEN false WHEN same >= 5 AND abs(len - mode) <= 2 THEN true ELSE """ + _CUMULATIVE + """ END AS error
+FROM v JOIN box USING (meter_id) LEFT JOIN modal ON modal.start = v.start""")
 def q22_zero_interval_pipeline(spark, sf_dir):
-    """Sign change and low sides clear an interval; of the rest, a start that many share convicts."""
+    """Sign change and low sides clear an interval; of the rest, a start that many share with a like length convicts; of
+    what is left, the value after it tells whether it holds what was not read."""
     rows = hourly(spark, sf_dir)
-    found = seq.runs(rows, ["meter_id"], "pos", F.col("value").isNull())
-    starts = found.groupBy("start").agg(F.count(F.lit(1)).alias("same"))
-    near = seq.neighbours(rows, found, ["meter_id"], "pos", "value").join(starts, "start")
+    near = seq.runs_of_kinds(rows, ["meter_id"], "pos", "value", F.when(F.col("value").isNull(), 1))
     b, a = F.col("value_before"), F.col("value_after")
-    verdicts = rules.sign_change(F.col("end") - F.col("start"), b - 25, a - 25), rules.low_sides(b, a, 10.0), F.when(F.col("same") >= 5, True)
-    return near.select("meter_id", "start", "end", intervals.combine(*verdicts).alias("error"))
+    near = near.withColumn("normal", intervals.combine(rules.sign_change(F.col("end") - F.col("start"), b - 25, a - 25), rules.low_sides(b, a, 10.0)))
+    rest = intervals.collective(near.where("normal is null").select("meter_id", "start", "end"), 5, 2).select("meter_id", "start", "end", F.when(F.col("collective"), True).alias("shared"))
+    all_ = near.join(rest, ["meter_id", "start", "end"], "left").join(rules.quartiles(rows, "meter_id", "value"), "meter_id")
+    more = rules.holds_more(a, F.col("second_after"), F.col("_q1"), F.col("_q3"), 95.0)
+    return all_.select("meter_id", "start", "end", F.coalesce("normal", "shared", more).alias("error"))
+
+
+@query(with_tables("readings") + """, c AS (SELECT meter_id, CAST(floor(value / 5) AS BIGINT) AS cell, count(*) AS n FROM readings GROUP BY 1, 2),
+d AS (SELECT a.meter_id, a.cell, a.n, round(sum(b.n * exp(-0.5 * o * o)), 6) AS f FROM c a CROSS JOIN (SELECT unnest(range(-3, 4)) AS o) JOIN c b ON b.meter_id = a.meter_id AND b.cell = a.cell + o GROUP BY 1, 2, 3),
+r AS (SELECT *, sum(n) OVER (PARTITION BY meter_id ORDER BY f DESC, cell ROWS UNBOUNDED PRECEDING) - n AS denser, sum(n) OVER (PARTITION BY meter_id) AS total FROM d)
+SELECT row_id, denser >= 0.95 * total AS outside FROM readings JOIN r ON r.meter_id = readings.meter_id AND r.cell = CAST(floor(value / 5) AS BIGINT)""")
+def q11_density_region(spark, sf_dir):
+    """Readings outside the densest cells that hold 95 % of their meter's readings, by a Gaussian kernel over cells."""
+    return rules.outside_density(readings(spark, sf_dir), "meter_id", "value", width=5.0, bandwidth=5.0, reach=3, mass=0.95).select("row_id", "outside")
+
+
+@query(GAPS + """, asked AS (SELECT meter_id, start, "end", before, after, d FROM gaps CROSS JOIN (SELECT unnest(range(-3, 4)) AS d) WHERE d <> 0 AND after IS NOT NULL),
+seen AS (SELECT a.meter_id, start, "end", after, d, max(CASE WHEN h.pos - d * 24 = "end" THEN h.value END) AS real, coalesce(round(sum(h.value), 6), 0) AS total FROM asked a JOIN hourly h ON h.meter_id = a.meter_id AND h.pos BETWEEN start + d * 24 AND "end" + d * 24 GROUP BY 1, 2, 3, 4, 5 HAVING count(*) = "end" - start + 1),
+alike AS (SELECT meter_id, start, "end", min(round(abs(after - total), 6)) < min(round(abs(after - real), 6)) AS cumulative FROM seen GROUP BY 1, 2, 3),
+c AS (SELECT meter_id, CAST(floor(value / 10) AS BIGINT) AS cell, count(*) AS n FROM hourly WHERE value IS NOT NULL GROUP BY 1, 2), s AS (SELECT meter_id, cell, n / CAST(sum(n) OVER (PARTITION BY meter_id) AS DOUBLE) AS share FROM c)
+SELECT g.meter_id, g.start, g."end", CASE WHEN g.after > 95 THEN true WHEN a.cumulative IS NOT NULL THEN a.cumulative WHEN s.share < 0.02 THEN true WHEN abs(g.before) < 10 AND abs(g.after) < 10 THEN false END AS error
+FROM gaps g LEFT JOIN alike a USING (meter_id, start, "end") LEFT JOIN s ON s.meter_id = g.meter_id AND s.cell = CAST(floor(g.after / 10) AS BIGINT)""")
+def q15_detector_ensemble(spark, sf_dir):
+    """The first detector that has a verdict decides: capacity, likeness to days nearby, a rare value, low sides."""
+    rows = hourly(spark, sf_dir)
+    near = seq.runs_of_kinds(rows, ["meter_id"], "pos", "value", F.when(F.col("value").isNull(), 1))
+    alike = rules.real_or_cumulative(rows, near.select("meter_id", "start", "end"), "meter_id", "pos", "value", 24, 3)
+    cell = F.floor(F.col("value") / 10)
+    n = rows.where("value is not null").groupBy("meter_id", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    rare = n.select("meter_id", "cell", F.when(F.col("n") / F.sum("n").over(Window.partitionBy("meter_id")) < 0.02, True).alias("rare"))
+    all_ = near.join(alike, ["meter_id", "start", "end"], "left").withColumn("cell", F.floor(F.col("value_after") / 10)).join(rare, ["meter_id", "cell"], "left")
+    verdict = F.coalesce(F.when(F.col("value_after") > 95, True), F.col("cumulative"), F.col("rare"), rules.low_sides(F.col("value_before"), F.col("value_after"), 10.0))
+    return all_.select("meter_id", "start", "end", verdict.alias("error"))
+
+
+@query(with_tables("profiles") + """, p AS (SELECT profile_id, cluster, list_avg(vals) AS x, CAST(('0x' || substr(md5('fit:' || profile_id), 1, 8)) AS BIGINT) % 5 AS fold FROM profiles),
+f AS (SELECT a.fold, b.cluster, avg(b.x) AS m FROM (SELECT DISTINCT fold FROM p) a JOIN p b ON b.fold <> a.fold GROUP BY 1, 2),
+g AS (SELECT p.profile_id, p.fold, p.cluster, p.x, f.cluster AS guess, f.m FROM p JOIN f USING (fold) QUALIFY row_number() OVER (PARTITION BY p.profile_id ORDER BY round(abs(p.x - f.m), 12), f.cluster) = 1)
+SELECT CAST(fold AS INT) AS fold, count(*) AS n, round(avg(CASE WHEN guess = cluster THEN 1.0 ELSE 0 END), 6) AS accuracy, round(avg(abs(x - m)), 6) AS error FROM g GROUP BY 1""")
+def m16_cross_validated_fits(spark, sf_dir):
+    """Cluster means fitted without each fold, and the held-out fold's profiles given to the nearest one."""
+    mean = F.aggregate("vals", F.lit(0.0), lambda a, x: a + x) / F.size("vals")
+    p = profiles(spark, sf_dir).select("profile_id", "cluster", mean.alias("x"), samplers.fold_of(F.col("profile_id"), "fit", 5).alias("fold"))
+    scored = samplers.cross_validated_centroids(p, "profile_id", "cluster", "x", "fold")
+    hit = F.avg((F.col("guess") == F.col("cluster")).cast("double"))
+    return scored.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.round(hit, 6).alias("accuracy"), F.round(F.avg("d"), 6).alias("error"))
 
 
 @query("SELECT 'c_custkey' AS name, count(c_custkey) AS known FROM customer UNION ALL SELECT 'c_name', count(c_name) FROM customer UNION ALL SELECT 'c_acctbal', count(c_acctbal) FROM customer")

@@ -59,15 +59,27 @@ def w15_seasonal_decomposition(spark, sf_dir):
     return out.select("meter_id", "pos", *[F.round(c, 5).alias(c) for c in ("trend", "season", "rest")])
 
 
+@query(HOURLY + """, d AS (SELECT meter_id, pos, coalesce(value, 0) AS v, pos % 24 AS phase FROM hourly),
+t AS (SELECT *, CASE WHEN pos BETWEEN 12 AND 707 THEN median(v) OVER (PARTITION BY meter_id ORDER BY pos ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) END AS trend FROM d),
+s AS (SELECT meter_id, phase, median(v - trend) AS season FROM t GROUP BY 1, 2)
+SELECT meter_id, pos, round(trend, 5) AS trend, round(season, 5) AS season, round(v - trend - season, 5) AS rest FROM t JOIN s USING (meter_id, phase)""")
+def w15_robust_decomposition(spark, sf_dir):
+    """Trend by the median of a centred day, season by the median of what is left at each hour, and the rest."""
+    rows = hourly(spark, sf_dir).select("meter_id", "pos", F.coalesce("value", F.lit(0.0)).alias("v"))
+    out = seq.decompose_robust(rows, ["meter_id"], "pos", "v", 24, 720)
+    return out.select("meter_id", "pos", *[F.round(c, 5).alias(c) for c in ("trend", "season", "rest")])
+
+
 @query(HOURLY + """, h AS (SELECT meter_id, pos // 24 AS day, pos % 24 AS hour, value FROM hourly), m AS (SELECT meter_id, day, hour, value FROM h WHERE value IS NOT NULL),
-pairs AS (SELECT a.meter_id, a.day, a.hour, b.day AS other, abs(a.value - b.value) AS gap, b.value AS v FROM m a JOIN m b ON a.meter_id = b.meter_id AND a.hour = b.hour AND a.day <> b.day AND abs(a.day - b.day) <= 10),
-near AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY meter_id, day, hour ORDER BY gap, other) <= 3)
-SELECT meter_id, CAST(day AS BIGINT) AS day, hour, count(*) AS n, round(avg(CASE WHEN gap <= 10 THEN 1.0 ELSE 0 END), 6) AS alike FROM near GROUP BY 1, 2, 3""")
+pairs AS (SELECT a.meter_id, a.day, a.hour, b.day AS other, abs(a.value - b.value) AS gap, b.value AS v FROM m a JOIN m b ON a.meter_id = b.meter_id AND a.hour = b.hour AND a.day <> b.day AND abs(a.day - b.day) <= 25),
+near AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY meter_id, day, hour ORDER BY gap, other) <= 5)
+SELECT meter_id, CAST(day AS BIGINT) AS day, hour, count(*) AS n, round(avg(CASE WHEN gap <= 10 THEN 1.0 ELSE 0 END), 6) AS alike, avg(CASE WHEN gap <= 10 THEN 1.0 ELSE 0 END) >= 0.8 AS real FROM near GROUP BY 1, 2, 3""")
 def q13_context_vote(spark, sf_dir):
-    """Share of the three most alike values at the same hour within ten days that are close."""
+    """Share of the five most alike values at the same hour within 25 days that are close; real from four in five."""
     m = hourly(spark, sf_dir).where("value is not null").select("meter_id", F.floor(F.col("pos") / 24).alias("day"), (F.col("pos") % 24).alias("hour"), "value")
-    near = seq.context(m, ["meter_id", "hour"], "day", "value", reach=10, k=3)
-    return near.groupBy("meter_id", "day", "hour").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("gap") <= 10).cast("double")), 6).alias("alike"))
+    near = seq.context(m, ["meter_id", "hour"], "day", "value", reach=25, k=5)
+    share = F.avg((F.col("gap") <= 10).cast("double"))
+    return near.groupBy("meter_id", "day", "hour").agg(F.count(F.lit(1)).alias("n"), F.round(share, 6).alias("alike"), (share >= 0.8).alias("real"))
 
 
 @query("SELECT c_custkey FROM customer QUALIFY row_number() OVER (ORDER BY md5('hold:' || c_custkey), c_custkey) <= 50")
@@ -146,7 +158,7 @@ def d13_direction_similarity(spark, sf_dir):
 
     p = profiles(spark, sf_dir)
     q = p.where("profile_id % 20 = 0").select(F.col("profile_id").alias("query"), F.col("vals").alias("q"))
-    pairs = p.join(F.broadcast(q), F.col("query") != F.col("profile_id")).withColumnRenamed("profile_id", "other")
+    pairs = distance.meet(p, q).where("query <> profile_id").withColumnRenamed("profile_id", "other")
     return direction_similarity(pairs, "q", "vals", 8, 2, "similarity").select("query", "other", "similarity")
 
 

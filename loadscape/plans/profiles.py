@@ -95,9 +95,10 @@ def c14_mark_small_clusters(spark, sf_dir):
     return clustering.mark_small(p, "cluster", least, "kept").select("profile_id", "kept")
 
 
-@query("""WITH c(k, inertia) AS (VALUES (10, 100.0::DOUBLE), (15, 60.0), (20, 40.0), (25, 35.0), (30, 33.0), (35, 32.0)), g AS (SELECT k, 1 - (inertia - 32) / 68 - (k - 10) / 25 AS gap FROM c) SELECT k, round(gap, 6) AS gap FROM g ORDER BY gap DESC, k LIMIT 1""")
+@query()
 def c5_knee(spark, sf_dir):
-    curve = spark.createDataFrame([(10, 100.0), (15, 60.0), (20, 40.0), (25, 35.0), (30, 33.0), (35, 32.0)], "k int, inertia double")
+    """The knee of k-means fitted to the profiles for every k, the best of two starts each."""
+    curve = clustering.inertias(profiles(spark, sf_dir), "vals", [2, 4, 6, 8, 10, 12, 16])
     return clustering.knee(curve, "k", "inertia").select("k", F.round("gap", 6).alias("gap"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from loadscape.operators import rules
 from loadscape.operators import sequences as seq
 from loadscape.plans.registry import query
-from loadscape.plans.series import HOURLY, hourly
+from loadscape.plans.series import GAPS, HOURLY, hourly
 from loadscape.sources.tables import meters, profiles, readings, slots, table, with_tables
 
 _HOLES = "holes AS (SELECT profile_id, cluster, list_transform(vals, lambda x: CASE WHEN abs(x) > 0.3 THEN NULL WHEN abs(x) < 0.001 THEN 0 ELSE x END) AS vals FROM profiles)"
@@ -53,13 +53,11 @@ def q6_cumulative_rules(spark, sf_dir):
     return rules.cumulative(rows, found, "meter_id", "pos", "value", capacity=95.0)
 
 
-@query(HOURLY + """,
-n AS (SELECT r.meter_id, start, "end", x.value AS b, y.value AS a FROM runs r LEFT JOIN hourly x ON x.meter_id = r.meter_id AND x.pos = start - 1 LEFT JOIN hourly y ON y.meter_id = r.meter_id AND y.pos = "end")
-SELECT meter_id, start, "end", CASE WHEN "end" - start = 1 AND sign(b - 25) = -sign(a - 25) THEN false END AS sign_change, CASE WHEN abs(b) < 10 AND abs(a) < 10 THEN false END AS low_sides FROM n""")
+@query(GAPS + """
+SELECT meter_id, start, "end", CASE WHEN "end" - start = 1 AND sign(before - 25) = -sign(after - 25) THEN false END AS sign_change, CASE WHEN abs(before) < 10 AND abs(after) < 10 THEN false END AS low_sides FROM gaps""")
 def q8_zero_rules(spark, sf_dir):
     """A lone gap between opposite signs (around 25), and low values on both sides: both normal."""
-    rows = hourly(spark, sf_dir)
-    found = seq.neighbours(rows, seq.runs(rows, ["meter_id"], "pos", F.col("value").isNull()), ["meter_id"], "pos", "value")
+    found = seq.runs_of_kinds(hourly(spark, sf_dir), ["meter_id"], "pos", "value", F.when(F.col("value").isNull(), 1))
     b, a = F.col("value_before"), F.col("value_after")
     return found.select("meter_id", "start", "end", rules.sign_change(F.col("end") - F.col("start"), b - 25, a - 25).alias("sign_change"), rules.low_sides(b, a, 10.0).alias("low_sides"))
 

@@ -30,6 +30,13 @@ runs AS (SELECT meter_id, CAST(min(pos) AS INT) AS start, CAST(max(pos) + 1 AS I
 """
 
 
+#: NULL runs with the values around them; 1e300 stands for none where the last value of a run is picked.
+GAPS = HOURLY + """, around AS (SELECT meter_id, pos, value, coalesce(lag(value) OVER w, 1e300) AS before, coalesce(lead(value) OVER w, 1e300) AS after, coalesce(lead(value, 2) OVER w, 1e300) AS second FROM hourly WINDOW w AS (PARTITION BY meter_id ORDER BY pos)),
+unread AS (SELECT *, pos - row_number() OVER (PARTITION BY meter_id ORDER BY pos) AS g FROM around WHERE value IS NULL),
+gaps AS (SELECT meter_id, CAST(min(pos) AS INT) AS start, CAST(max(pos) + 1 AS INT) AS "end", nullif(arg_min(before, pos), 1e300) AS before, nullif(arg_max(after, pos), 1e300) AS after, nullif(arg_max(second, pos), 1e300) AS second FROM unread GROUP BY meter_id, g)
+"""
+
+
 @query(HOURLY + "SELECT * FROM hourly")
 def j2_grid_completion(spark, sf_dir):
     return hourly(spark, sf_dir)
@@ -151,8 +158,7 @@ SELECT h.meter_id, h.pos, CASE WHEN bool_or(m.start IS NOT NULL) THEN NULL ELSE
 def q7_mask_intervals(spark, sf_dir):
     """Long runs are masked to NULL, the value after each included."""
     rows = hourly(spark, sf_dir)
-    long_ = ops.runs(rows, ["meter_id"], "pos", F.col("value").isNull()).where("end - start >= 6")
-    return intervals.mask(rows, long_, ["meter_id"], "pos", "value")
+    return intervals.mask_long_runs(rows, ["meter_id"], "pos", "value", F.col("value").isNull(), 6)
 
 
 @query(with_tables("readings") + """,
