@@ -1,11 +1,12 @@
 """Queries on two-level samplers, draws, scenario generators, matching distances and k-medoids."""
 
+from functools import reduce
 from itertools import permutations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadscape.operators import generators, matching, samplers
+from loadscape.operators import densities, generators, matching, samplers
 from loadscape.operators.distance import euclidean
 from loadscape.plans.registry import query
 from loadscape.sources.tables import days, profiles, readings, slots, table, with_tables
@@ -163,3 +164,31 @@ def o17_unstack_with_average(spark, sf_dir):
     known = F.filter(F.array("F", "O"), lambda x: x.isNotNull())
     mean = F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known)
     return wide.select("l_returnflag", F.round("F", 6).alias("f"), F.round("O", 6).alias("o"), F.round(mean, 6).alias("average"))
+
+
+def _u(k):
+    return f"(CAST(('0x' || substr(md5('toy:0:' || i || ':{k}'), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE)"
+
+
+def _g(k):
+    return f"(sqrt(-2 * ln(1 - {_u(k)})) * cos(2 * pi() * {_u(k + 1)}))"
+
+
+_TOY = {
+    "1normal": (f"2 + 0.5 * {_g(0)}",),
+    "4gaussians": tuple(f"[{', '.join(str(c[k]) for c in densities.FOUR)}][CAST(floor({_u(0)} * 4) AS INT) + 1] + 0.75 * {_g(1 + 2 * k)}" for k in (0, 1)),
+    "checkerboard": (f"2 * ({_u(0)} * 4 - 2)", f"2 * ({_u(1)} - 2 * floor(2 * {_u(2)}) + (floor({_u(0)} * 4 - 2) + 4) % 2)"),
+    "cos": (f"{_u(0)} * 6 - 3", f"sin(({_u(0)} * 6 - 3) * 5) * 2.5 + 0.3 * {_g(1)}"),
+    "line-noisy": (f"{_u(0)} * 5 - 2.5", f"{_u(0)} * 5 - 2.5 + {_g(1)}"),
+    "moons": (
+        f"2 * (CASE WHEN {_u(1)} < 0.5 THEN cos(pi() * {_u(0)}) ELSE 1 - cos(pi() * {_u(0)}) END + 0.1 * {_g(2)}) - 1",
+        f"2 * (CASE WHEN {_u(1)} < 0.5 THEN sin(pi() * {_u(0)}) ELSE 0.5 - sin(pi() * {_u(0)}) END + 0.1 * {_g(4)}) - 0.2",
+    ),
+}
+
+
+@query("WITH ids AS (SELECT unnest(range(500)) AS i) " + " UNION ALL ".join(f"SELECT '{name}' AS density, i, {k} AS k, round({x}, 6) AS value FROM ids" for name, xs in _TOY.items() for k, x in enumerate(xs)))
+def s24_toy_densities(spark, sf_dir):
+    """Five hundred points of each of six densities, one row a coordinate."""
+    made = [densities.points(spark, name, 500).select(F.lit(name).alias("density"), "i", F.posexplode("point").alias("k", "value")) for name in _TOY]
+    return reduce(DataFrame.unionByName, made).select("density", "i", "k", F.round("value", 6).alias("value"))

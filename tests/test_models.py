@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import DATA
-from loadscape.operators import clustering, counted, distance, generators, intervals, matching, models, samplers, sequences
+from loadscape.operators import clustering, counted, densities, distance, generators, intervals, matching, models, samplers, sequences
 from loadscape.plans.catalog import QUERIES
 from loadscape.sources import dialects, stored
 from loadscape.sources.tables import profiles
@@ -250,3 +250,17 @@ def test_stored_tables(spark, tmp_path):
     stored.write_selectable(df, str(tmp_path / "by"))
     got = stored.selected(spark, str(tmp_path / "by"), measure="net", granularity="day")
     assert [tuple(r) for r in got.collect()] == [(1,)] and "PartitionFilters: [isnotnull" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_toy_densities(spark):
+    made = {name: np.array([r.point for r in densities.points(spark, name, 1000).orderBy("i").collect()]) for name in [*densities.DENSITIES, *densities.JOINT]}
+    assert all(x.shape == (1000, 1 if name == "1normal" else {"2": 2, "4": 4, "8": 8}[name[0]] * 2 if "spirals-" in name else 2) and np.isfinite(x).all() for name, x in made.items()) or {k: v.shape for k, v in made.items()}
+    centres = np.array(densities.EIGHT) / 1.414
+    gaps = np.linalg.norm(made["8gaussians"][:, None] - centres[None], axis=2)
+    assert (gaps.min(axis=1) < 1.6).all() and np.bincount(gaps.argmin(axis=1), minlength=8).min() > 80
+    assert np.allclose(made["line"][:, 0], made["line"][:, 1]) and abs(made["1normal"].mean() - 2) < 0.1 and abs(made["1normal"].std() - 0.5) < 0.05
+    assert {round(r / 0.75) for r in np.linalg.norm(made["rings"], axis=1)} == {1, 2, 3, 4}
+    x = made["checkerboard"]
+    assert ((np.floor(x[:, 0] / 2) + np.floor(x[:, 1] / 2)) % 2 == 0).all()
+    joint = made["4-2spirals-8gaussians"]
+    assert not np.allclose(joint[:, :2], joint[:, 4:6])
