@@ -264,3 +264,33 @@ def test_toy_densities(spark):
     assert ((np.floor(x[:, 0] / 2) + np.floor(x[:, 1] / 2)) % 2 == 0).all()
     joint = made["4-2spirals-8gaussians"]
     assert not np.allclose(joint[:, :2], joint[:, 4:6])
+
+
+def test_archives_spreadsheets_and_arrays(spark, tmp_path):
+    import io
+    import zipfile
+    import zlib
+
+    from loadscape.sources import archives
+
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("good.csv", "a;b\n1;2\n")
+        z.writestr("bad.csv", "x" * 50)
+    broken = raw.getvalue().replace(b"x" * 50, b"x" * 49 + b"y")
+    (tmp_path / "two.zip").write_bytes(broken)
+    got = {r.name: r for r in archives.zip_members(spark, str(tmp_path / "two.zip")).collect()}
+    assert got["good.csv"].intact and got["good.csv"].content == b"a;b\n1;2\n" and got["good.csv"].crc == zlib.crc32(b"a;b\n1;2\n")
+    assert not got["bad.csv"].intact and got["bad.csv"].size == 50
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "book.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {space}><si><t>meter</t></si><si><r><t>Li</t></r><r><t>\xe8ge</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {space}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="AB1" t="inlineStr"><is><t>in</t></is></c></row><row r="3"><c r="A3" t="s"><v>1</v></c><c r="B3"><v>42370.25</v></c><c r="C3"/></row></sheetData></worksheet>')
+    cells = archives.spreadsheet_cells(spark, str(tmp_path / "book.xlsx"))
+    assert sorted((r.row, r.column, r.value) for r in cells.where("value is not null").collect()) == [(1, 0, "meter"), (1, 27, "in"), (3, 0, "Li\xe8ge"), (3, 1, "42370.25")]
+    stamp = cells.where("`column` = 1 and row = 3").select(dialects.excel_serial(F.col("value").cast("double"))).first()[0]
+    assert str(stamp) == "2016-01-01 06:00:00"
+    np.savez(tmp_path / "a.npz", x=np.arange(6).reshape(2, 3), y=np.ones((1, 2, 2)))
+    np.save(tmp_path / "b.npy", np.array([1.5, 2.5]))
+    rows = {(r.name, r.row): r.vals for r in archives.numpy_rows(spark, str(tmp_path / "*.np*")).collect()}
+    assert rows == {("x", 0): [0, 1, 2], ("x", 1): [3, 4, 5], ("y", 0): [1, 1, 1, 1], ("", 0): [1.5], ("", 1): [2.5]}
