@@ -86,16 +86,28 @@ def pairs_with_queries(df: DataFrame, queries: DataFrame, key: str, vals: str, d
 BLOCKS = 4
 
 
+def _block_pairs(df: DataFrame, shared: list[str], key: str, cols: dict[str, str], blocks: int) -> DataFrame:
+    """Pairs i < j of rows that agree in ``shared``; each of ``cols`` comes as name_a and name_b."""
+    own, every = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = df.select(*shared, F.col(key).alias("i"), *[F.col(c).alias(f"{n}_a") for n, c in cols.items()], own.alias("_x"), every.alias("_y"))
+    b = df.select(*shared, F.col(key).alias("j"), *[F.col(c).alias(f"{n}_b") for n, c in cols.items()], every.alias("_x"), own.alias("_y"))
+    return a.join(b, [*shared, "_x", "_y"]).where("i < j")
+
+
 def pairs_within(df: DataFrame, group: str, key: str, vals: str, distance) -> DataFrame:
     """(group, i, j, d) for i < j of the same group: the lower triangle of each group's distance matrix.
 
     Each group is dealt into blocks by hash, and a row goes to every pair of blocks with its own, so a large group's
     pairs are made by many tasks. The result has a row for each pair, so it grows with the square of a group.
     """
-    own, every = F.pmod(F.xxhash64(key), F.lit(BLOCKS)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
-    a = df.select(F.col(group), F.col(key).alias("i"), F.col(vals).alias("_a"), own.alias("_x"), every.alias("_y"))
-    b = df.select(F.col(group), F.col(key).alias("j"), F.col(vals).alias("_b"), every.alias("_x"), own.alias("_y"))
-    return a.join(b, [group, "_x", "_y"]).where("i < j").select(group, "i", "j", distance(F.col("_a"), F.col("_b")).alias("d"))
+    pairs = _block_pairs(df, [group], key, {"v": vals}, BLOCKS)
+    return pairs.select(group, "i", "j", distance(F.col("v_a"), F.col("v_b")).alias("d"))
+
+
+def pairs_of_groups(df: DataFrame, group: str, key: str, vals: str, distance, blocks: int = 4 * BLOCKS) -> DataFrame:
+    """(group_a, group_b, d) for every pair of rows of one sample, each pair once, dealt into blocks by hash."""
+    pairs = _block_pairs(df, [], key, {"group": group, "v": vals}, blocks)
+    return pairs.select(F.least("group_a", "group_b").alias("group_a"), F.greatest("group_a", "group_b").alias("group_b"), distance(F.col("v_a"), F.col("v_b")).alias("d"))
 
 
 def nearest(pairs: DataFrame, k: int) -> DataFrame:

@@ -35,16 +35,18 @@ def uniform(picks: DataFrame) -> DataFrame:
 def temperature_band(queries: DataFrame, train: DataFrame, reach: float) -> DataFrame:
     """Days within ``reach`` degrees of the same day kind; else the same weekday and month; else the same month.
 
-    Temperatures are cut into cells as wide as the reach, so the band is an equality join on the cell and its neighbours.
+    Only days of other years are picked. Temperatures are cut into cells as wide as the reach, so the band is an equality
+    join on the cell and its neighbours.
     """
     cell = F.floor(F.col("t") / reach)
-    q = queries.select(F.col("date").alias("test"), "weekend", "dow", "month", F.col("t").alias("tq"), cell.alias("cell"))
+    q = queries.select(F.col("date").alias("test"), "weekend", "dow", "month", F.col("t").alias("tq"), F.col("y").alias("yq"), cell.alias("cell"))
     near = q.withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
-    t = train.select(F.col("date").alias("pick"), "weekend", "dow", "month", "t", cell.alias("cell"))
-    band = near.join(t.select("pick", "weekend", "t", "cell"), ["weekend", "cell"]).where(F.abs(F.col("tq") - F.col("t")) <= reach).select("test", "pick")
+    t = train.select(F.col("date").alias("pick"), "weekend", "dow", "month", "t", "y", cell.alias("cell"))
+    apart = F.col("yq") != F.col("y")
+    band = near.join(t.select("pick", "weekend", "t", "y", "cell"), ["weekend", "cell"]).where(apart & (F.abs(F.col("tq") - F.col("t")) <= reach)).select("test", "pick")
     left = q.join(band.select("test").distinct(), "test", "left_anti")
-    second = left.join(t.select("pick", "dow", "month"), ["dow", "month"]).select("test", "pick")
-    third = left.join(second.select("test").distinct(), "test", "left_anti").join(t.select("pick", "month"), "month").select("test", "pick")
+    second = left.join(t.select("pick", "y", "dow", "month"), ["dow", "month"]).where(apart).select("test", "pick")
+    third = left.join(second.select("test").distinct(), "test", "left_anti").join(t.select("pick", "y", "month"), "month").where(apart).select("test", "pick")
     return uniform(band.union(second).union(third))
 
 

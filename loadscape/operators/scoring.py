@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loadscape.operators.distance import euclidean, meet
+from loadscape.operators.distance import euclidean, meet, pairs_of_groups, squared
 
 
 def energy_score(samples: DataFrame, observed: DataFrame) -> DataFrame:
@@ -78,6 +78,18 @@ def mmd2(x: DataFrame, y: DataFrame, vals: str, sigma: float) -> DataFrame:
     return rows.select((F.col("t1") / off("n1") + F.col("t2") / off("n2") - 2 * F.col("t3") / F.col("n3")).alias("mmd2"))
 
 
+def mmd2_of_groups(df: DataFrame, group: str, key: str, vals: str, sigma: float) -> DataFrame:
+    """(x, y, mmd2) for x < y: as ``mmd2`` between every two groups of a sample; all pairs of its rows are made once."""
+    near = F.sum(F.exp(-F.col("d") / (2 * sigma * sigma))).alias("t")
+    sums = pairs_of_groups(df, group, key, vals, squared).groupBy("group_a", "group_b").agg(near)
+    sizes = df.groupBy(F.col(group).alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    own = sizes.join(sums.where("group_a = group_b"), F.col("g") == F.col("group_a"), "left")
+    own = own.select("g", "n", ((2 * F.coalesce("t", F.lit(0.0)) + F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("own"))
+    x, y = (own.select(F.col("g").alias(s), F.col("n").alias(f"n_{s}"), F.col("own").alias(f"own_{s}")) for s in "xy")
+    apart = sums.where("group_a < group_b").select(F.col("group_a").alias("x"), F.col("group_b").alias("y"), "t")
+    return apart.join(x, "x").join(y, "y").select("x", "y", (F.col("own_x") + F.col("own_y") - 2 * F.col("t") / (F.col("n_x") * F.col("n_y"))).alias("mmd2"))
+
+
 def diebold_mariano(losses: DataFrame, a: str, b: str, by: str | None = None) -> DataFrame:
     """mean_d, n and statistic of the one-sided test that losses ``a`` exceed ``b``; NULL where they never differ."""
     d = F.col(a) - F.col(b)

@@ -49,26 +49,28 @@ def j18_key_differences(spark, sf_dir):
     return both.agg(F.count_if(F.col("k") == 1).alias("only_meters"), F.count_if(F.col("k") == 2).alias("only_readings"))
 
 
-_TEMPERATURE = """temps AS (SELECT date, dayofyear(date) % 40 + (year(date) % 3) * 0.7 AS t, isodow(date) >= 6 AS weekend, isodow(date) - 1 AS dow, month(date) AS month, year(date) AS y FROM days)"""
+_TEMPERATURE = """temps AS (SELECT date, dayofyear(date) % 40 + (year(date) % 3) * 0.7 + CASE WHEN dayofyear(date) % 97 = 0 THEN (year(date) - 1990) * 100 ELSE 0 END AS t, isodow(date) >= 6 AS weekend, isodow(date) - 1 AS dow, month(date) AS month, year(date) AS y FROM days)"""
 
 
 def _temperatures(spark, sf_dir):
     d = F.col("date")
     t = (F.dayofyear(d) % 40).cast("decimal(10,1)") + (F.year(d) % 3) * F.lit(0.7).cast("decimal(2,1)")
+    t = t + F.when(F.dayofyear(d) % 97 == 0, (F.year(d) - 1990) * 100).otherwise(0).cast("decimal(10,1)")
     return days(spark, sf_dir).select("date", t.cast("double").alias("t"), (F.weekday(d) >= 5).alias("weekend"), F.weekday(d).alias("dow"), F.month(d).alias("month"), F.year(d).alias("y"))
 
 
 @query(with_tables("days") + ", " + _TEMPERATURE + """,
-q AS (SELECT * FROM temps WHERE y = 2000), train AS (SELECT * FROM temps WHERE y IN (1996, 1998) AND t < 36),
-band AS (SELECT q.date AS test, train.date AS pick FROM q JOIN train ON q.weekend = train.weekend AND abs(q.t - train.t) <= 2.5),
-second AS (SELECT q.date AS test, train.date AS pick FROM q JOIN train ON q.dow = train.dow AND q.month = train.month WHERE q.date NOT IN (SELECT test FROM band)),
-third AS (SELECT q.date AS test, train.date AS pick FROM q JOIN train ON q.month = train.month WHERE q.date NOT IN (SELECT test FROM band) AND q.date NOT IN (SELECT test FROM second)),
+q AS (SELECT * FROM temps), train AS (SELECT * FROM temps),
+band AS (SELECT q.date AS test, train.date AS pick FROM q JOIN train ON q.weekend = train.weekend AND q.y <> train.y AND abs(q.t - train.t) <= 2.5),
+second AS (SELECT q.date AS test, train.date AS pick FROM q JOIN train ON q.dow = train.dow AND q.month = train.month AND q.y <> train.y WHERE q.date NOT IN (SELECT test FROM band)),
+third AS (SELECT q.date AS test, train.date AS pick FROM q JOIN train ON q.month = train.month AND q.y <> train.y WHERE q.date NOT IN (SELECT test FROM band) AND q.date NOT IN (SELECT test FROM second)),
 picks AS (SELECT * FROM band UNION ALL SELECT * FROM second UNION ALL SELECT * FROM third)
 SELECT test, pick, 1 / CAST(count(*) OVER (PARTITION BY test) AS DOUBLE) AS p FROM picks""")
 def j12_temperature_band(spark, sf_dir):
-    """Training days of like temperature and day kind, else of like weekday and month, else of the month, equally likely."""
+    """For every day: days of other years of like temperature and day kind, else of like weekday and month, else of the
+    month, equally likely. A few days are made too warm for any other."""
     rows = _temperatures(spark, sf_dir)
-    return samplers.temperature_band(rows.where("y = 2000"), rows.where("y IN (1996, 1998) AND t < 36"), 2.5)
+    return samplers.temperature_band(rows, rows, 2.5)
 
 
 @query(with_tables("readings") + "SELECT meter_id, date_trunc('hour', ts) AS ts, coalesce(sum(value) FILTER (kind = 'purchase'), 0) AS offtake, sum(value) FILTER (kind = 'error') AS injection FROM readings GROUP BY 1, 2")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadscape.operators import densities, generators, matching, samplers
-from loadscape.operators.distance import euclidean
+from loadscape.operators.distance import euclidean, meet
 from loadscape.plans.registry import query
 from loadscape.sources.tables import days, profiles, readings, slots, table, with_tables
 
@@ -43,13 +43,13 @@ def m8_renormalise_years(spark, sf_dir):
 
 
 @query(with_tables("days") + """, t AS (SELECT date, year(date) AS y, dayofyear(date) % 40 AS t FROM days),
-c AS (SELECT q.date AS test, p.date AS pick, abs(q.t - p.t) AS d FROM t q JOIN t p ON p.y = 1998 WHERE q.y = 2000)
+c AS (SELECT q.date AS test, p.date AS pick, abs(q.t - p.t) AS d FROM t q JOIN t p ON p.y <> q.y WHERE dayofyear(q.date) % 20 = 0)
 SELECT test, pick FROM c QUALIFY row_number() OVER (PARTITION BY test ORDER BY d, pick) <= 5""")
 def j14_similar_days(spark, sf_dir):
-    """The five days of another year nearest in temperature; the year's days are few and sent to the queries."""
+    """The five days of all other years nearest in temperature to each query day (days of the year divisible by 20)."""
     t = days(spark, sf_dir).select("date", F.year("date").alias("y"), (F.dayofyear("date") % 40).alias("t"))
-    train = F.broadcast(t.where("y = 1998").select(F.col("date").alias("pick"), F.col("t").alias("tp")))
-    c = t.where("y = 2000").select(F.col("date").alias("test"), "t").join(train).withColumn("d", F.abs(F.col("t") - F.col("tp")))
+    q = t.where(F.dayofyear("date") % 20 == 0).select(F.col("date").alias("test"), F.col("y").alias("yq"), F.col("t").alias("tq"))
+    c = meet(t.withColumnRenamed("date", "pick"), q).where("y <> yq").withColumn("d", F.abs(F.col("t") - F.col("tq")))
     return c.withColumn("k", F.row_number().over(Window.partitionBy("test").orderBy("d", "pick"))).where("k <= 5").select("test", "pick")
 
 

@@ -73,13 +73,12 @@ def g8_diebold_mariano(spark, sf_dir):
     return scoring.diebold_mariano(losses, "a", "b", "meter_id").select("meter_id", F.round("mean_d", 6).alias("mean_d"), "n", F.round("statistic", 6).alias("statistic"))
 
 
-@query(with_tables("profiles") + """, k AS (SELECT a.cluster AS x, b.cluster AS y, exp(-list_sum(list_transform(list_zip(a.vals, b.vals), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / 2) AS k FROM profiles a, profiles b WHERE a.cluster IN (0, 1) AND b.cluster IN (0, 1)),
-t AS (SELECT sum(k) FILTER (x = 0 AND y = 0) AS t1, sqrt(count(*) FILTER (x = 0 AND y = 0)) AS n, sum(k) FILTER (x = 1 AND y = 1) AS t2, sqrt(count(*) FILTER (x = 1 AND y = 1)) AS m, sum(k) FILTER (x = 0 AND y = 1) AS t3 FROM k)
-SELECT round(t1 / (n * (n - 1)) + t2 / (m * (m - 1)) - 2 * t3 / (n * m), 9) AS mmd2 FROM t""")
+@query(with_tables("profiles") + """, k AS (SELECT a.cluster AS x, b.cluster AS y, sum(exp(-list_sum(list_transform(list_zip(a.vals, b.vals), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / 2)) AS t FROM profiles a, profiles b GROUP BY 1, 2),
+n AS (SELECT cluster, count(*) AS n FROM profiles GROUP BY 1), own AS (SELECT x, t / (n * (n - 1)) AS own, n FROM k JOIN n ON cluster = x WHERE x = y)
+SELECT k.x, k.y, round(a.own + b.own - 2 * t / (a.n * b.n), 9) AS mmd2 FROM k JOIN own a ON a.x = k.x JOIN own b ON b.x = k.y WHERE k.x < k.y""")
 def g9_mmd(spark, sf_dir):
-    """Between the profiles of clusters 0 and 1."""
-    p = profiles(spark, sf_dir)
-    return scoring.mmd2(p.where("cluster = 0"), p.where("cluster = 1"), "vals", 1.0).select(F.round("mmd2", 9).alias("mmd2"))
+    """Between the profiles of every two clusters."""
+    return scoring.mmd2_of_groups(profiles(spark, sf_dir), "cluster", "profile_id", "vals", 1.0).select("x", "y", F.round("mmd2", 9).alias("mmd2"))
 
 
 @query(_CASES + "SELECT s, round(avg((value - y) * (value - y)), 6) AS mse, round(avg(abs(value - y)), 6) AS mae, round(sqrt(avg((value - y) * (value - y))), 6) AS rmse FROM scen JOIN obs USING (day, slot) GROUP BY 1")

@@ -294,3 +294,19 @@ def test_archives_spreadsheets_and_arrays(spark, tmp_path):
     np.save(tmp_path / "b.npy", np.array([1.5, 2.5]))
     rows = {(r.name, r.row): r.vals for r in archives.numpy_rows(spark, str(tmp_path / "*.np*")).collect()}
     assert rows == {("x", 0): [0, 1, 2], ("x", 1): [3, 4, 5], ("y", 0): [1, 1, 1, 1], ("", 0): [1.5], ("", 1): [2.5]}
+
+
+def test_strategies_by_name(spark):
+    from loadscape.operators import strategies
+
+    df, x = blobs(spark)
+    for name, fit in strategies.ESTIMATORS.items():
+        found = fit(df, "id", "vals", 3)
+        labels, centers = {r.id: r.cluster for r in found.labels.collect()}, {r.cluster: r.center for r in found.centers.collect()}
+        assert len(labels) == 180 and {*labels.values()} == {*centers}
+        want = {c: x[[i for i, k in labels.items() if k == c]].mean(0) if name == "kmeans" else x[c] for c in centers}
+        assert all(np.allclose(centers[c], want[c]) for c in centers)
+    q = df.where("id % 60 = 0")
+    for name in strategies.METRICS:
+        near = strategies.nearest_by(df, q, "id", "vals", name, 2).collect()
+        assert len(near) == 6 and all(r.query // 60 == r.other // 60 for r in near)
