@@ -71,12 +71,12 @@ def j16_listed_pairs(spark, sf_dir):
 
 
 @query(with_tables("slots") + """, d AS (SELECT profile_id, cluster, slot // 16 AS day, slot % 16 AS k, value FROM slots), q AS (SELECT * FROM d WHERE profile_id % 20 = 0),
-c AS (SELECT q.profile_id AS query, d.profile_id AS other, d.day, sqrt(sum((q.value - d.value) * (q.value - d.value))) AS c FROM q JOIN d ON q.cluster = d.cluster AND q.day = d.day AND q.k = d.k AND q.profile_id <> d.profile_id WHERE d.day >= 1 GROUP BY 1, 2, 3)
+c AS (SELECT q.profile_id AS query, d.profile_id AS other, d.day, sqrt(sum((q.value - d.value) * (q.value - d.value))) AS c FROM q JOIN d ON q.day = d.day AND q.k = d.k AND q.profile_id <> d.profile_id WHERE d.day >= 1 GROUP BY 1, 2, 3)
 SELECT query, other, round(sum(c), 6) AS d FROM c GROUP BY 1, 2""")
 def d8_one_to_one_days(spark, sf_dir):
-    """Days matched by ordinal, the first left out as in the source, summed."""
+    """Days matched by ordinal, the first left out as in the source, summed; queries (ids divisible by 20) against all."""
     p = profiles(spark, sf_dir)
-    return matching.one_to_one(p.where("profile_id % 20 = 0"), p, "cluster", "profile_id", "vals", 16).select("query", "other", F.round("d", 6).alias("d"))
+    return matching.one_to_one(p.where("profile_id % 20 = 0"), p, "profile_id", "vals", 16).select("query", "other", F.round("d", 6).alias("d"))
 
 
 _MATCHINGS = ", ".join(" + ".join(f"max(c) FILTER (i = {i} AND j = {j})" for i, j in enumerate(p)) for p in permutations(range(4)))

@@ -8,7 +8,7 @@ from loadscape.plans.catalog import QUERIES
 from loadscape.sources.tables import profiles
 
 
-@pytest.mark.parametrize("name", ["d4_dynamic_time_warping", "d5_masked_time_warping", "d6_assigned_days", "d13_direction_similarity"])
+@pytest.mark.parametrize("name", ["d4_dynamic_time_warping", "d5_masked_time_warping", "d6_assigned_days", "d8_one_to_one_days", "d13_direction_similarity"])
 def test_query_profiles_meet_all_clusters(spark, name):
     p = profiles(spark, DATA)
     rows = [(r.profile_id, float(sum(r.vals))) for r in p.select("profile_id", "vals").collect()]
