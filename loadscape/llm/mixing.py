@@ -51,23 +51,25 @@ def rates(sizes: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS
 ADDED = ("_llm_size", "_llm_source_size", "_llm_target", "_llm_copies")
 
 
-def assign_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, max_rate: int = MAX_RATE, added: tuple[str, str, str, str] = ADDED) -> DataFrame:
+def assign_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, max_rate: int = MAX_RATE, added: tuple[str, str, str, str] = ADDED, size_col: str | None = None) -> DataFrame:
     """``docs`` with the columns ``added`` (in place of any so called): size, source size, target, copies (0 to ``max_rate``).
 
     rate = target / source size; a document is taken floor(rate) times, and once more if a number decided by seed and id
     lies below the fraction. Reruns agree, rows that repeat an id fare alike. Null texts have size 0; null ids share one
     number; a null source is a source. Sources without a word get no copies, an empty table stays empty. Sizes are
     summed per source before the shuffle, and documents stay where they are unless there are too many sources to send.
+    Where words are already counted, ``size_col`` holds them and no text is read.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     size, source_size, target, copies = added
     (own,) = free(docs, "_llm_source")
-    by = docs.groupBy(named(source_col).cast("string").alias("source")).agg(F.sum(size_of(named(text_col))).alias("source_size"))
+    words = F.coalesce(named(size_col).cast("long"), F.lit(0)) if size_col else size_of(named(text_col))
+    by = docs.groupBy(named(source_col).cast("string").alias("source")).agg(F.sum(words).alias("source_size"))
     table = scratch.table(rates(by, scratch, weights, max_rate))
     n, bytes_ = table.agg(F.count(F.lit(1)), F.sum(F.octet_length("source"))).first()
     small = n <= SENT_SOURCES and (bytes_ or 0) <= SENT_BYTES
     table = table.select(F.col("source").alias(own), F.col("source_size").alias(source_size), F.col("target").alias(target))
-    sized = docs.select(*map(named, others(docs, added)), size_of(named(text_col)).alias(size))
+    sized = docs.select(*map(named, others(docs, added)), words.alias(size))
     joined = sized.join(F.broadcast(table) if small else table, named(source_col).cast("string").eqNullSafe(F.col(own)))
     rate = F.coalesce(F.try_divide(F.col(target), F.col(source_size).cast("double")), F.lit(0.0))
     extra = uniform(seed, named(id_col)) < rate - F.floor(rate)

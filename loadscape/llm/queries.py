@@ -46,7 +46,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target and the words that the mix takes, of every document."""
-    docs = mixing.assign_copies(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    sized = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.size_of(F.col("text")).alias("words"))
+    docs = mixing.assign_copies(Scratch(spark, "sizes").table(sized), size_col="words")
     taken = F.col("_llm_size") * F.col("_llm_copies")
     return docs.select("doc_id", F.col("_llm_size").alias("size"), F.col("_llm_source_size").alias("source_size"), F.col("_llm_target").alias("target"), taken.alias("taken"))
 
