@@ -224,7 +224,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     space. Null, empty and blank texts have fingerprint zero and are linked like any other; fewer than 3 words are
     hashed as one sequence. Equal texts share a fingerprint, so copies never meet pair by pair; repeated rows stay
     repeated. A null id is kept and is never a component_id unless its group has no other. Other columns are not read.
-    An empty table gives an empty result.
+    An empty table gives an empty result. A fingerprint that a third of all rows share, such as that of empty texts, is
+    one row of the classes; Spark's skew handling (spark.sql.adaptive.skewJoin, on by default) splits its rows where they
+    meet.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.table(fingerprints(docs, id_col, text_col))
