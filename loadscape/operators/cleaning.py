@@ -65,11 +65,13 @@ def complete_grid(df: DataFrame, key: str, ts: str, start: str, end: str, step:
 
 
 def between_percentiles(df: DataFrame, cols: Sequence[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Outliers go column by column; each column's limits are taken from what the ones before left."""
+    """Outliers go column by column; each column's limits are taken from what the ones before left.
+
+    Two numbers a column reach the driver, so the filters of all columns are pushed to the scan.
+    """
     for c in cols:
-        at = lambda q: F.max(F.when(F.col("level") == q, F.col("value")))
-        limits = quantiles(df, c, [low, high]).agg(at(low).alias("_lo"), at(high).alias("_hi"))
-        df = df.join(F.broadcast(limits)).where(F.col(c).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+        limit = {r.level: r.value for r in quantiles(df, c, [low, high]).collect()}
+        df = df.where(F.col(c).between(F.lit(limit.get(low)), F.lit(limit.get(high))))
     return df
 
 

@@ -1,8 +1,8 @@
 """Ranks and exact quantiles from counts of distinct values, without a task that sees all values.
 
 Values are counted first, so what is ordered is one row a distinct value. These rows are dealt into ranges by bounds that
-come from a fixed-size sample of the distinct values (those with the smallest hash, so reruns agree); each range is
-ordered on its own, and the rows of the ranges before it are added. Bounds only spread the work: any bounds give the same
+come from a sample of the distinct values of about a fixed size (by hash, so reruns agree); each range is ordered on its
+own, and the rows of the ranges before it are added. Bounds only spread the work: any bounds give the same
 result.
 """
 
@@ -20,9 +20,11 @@ SAMPLED = 20
 def range_of(values: DataFrame, col: str) -> Column:
     """The number of the range in which a value of ``col`` lies: as many ranges as shuffle partitions."""
     parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sample = values.select(F.col(col).alias("x")).where("x is not null").distinct().orderBy(F.xxhash64("x"), "x").limit(SAMPLED * parts)
+    x = values.select(F.col(col).alias("x")).where("x is not null")
+    one_in = max(1, (x.agg(F.approx_count_distinct("x")).first()[0] or 0) // (SAMPLED * parts))
+    sample = x.where(F.pmod(F.xxhash64("x"), F.lit(one_in)) == 0).distinct()
     found = [r[0] for r in sample.orderBy("x").collect()]
-    bounds = [F.lit(x).cast(values.schema[col].dataType) for x in sorted({*found[SAMPLED::SAMPLED]})]
+    bounds = [F.lit(x).cast(values.schema[col].dataType) for x in found[SAMPLED::SAMPLED]]
 
     def at(lo: int, hi: int) -> Column:
         """How many of bounds[lo:hi] are at or below the value, by halving."""
