@@ -75,7 +75,7 @@ def cross_validated_centroids(df: DataFrame, key: str, cluster: str, x: str, fol
     means = all_.where("_tn > _n").select(fold, F.struct(F.col(cluster).alias("c"), ((F.col("_ts") - F.col("_s")) / (F.col("_tn") - F.col("_n"))).alias("m")).alias("_c"))
     means = means.groupBy(fold).agg(F.collect_list("_c").alias("_all"))
     best = F.array_min(F.transform("_all", lambda c: F.struct(F.round(F.abs(F.col(x) - c["m"]), 12).alias("r"), c["c"].alias("c"), F.abs(F.col(x) - c["m"]).alias("d"))))
-    return df.join(F.broadcast(means), fold).withColumn("_best", best).withColumns({"guess": F.col("_best.c"), "d": F.col("_best.d")}).drop("_all", "_best")
+    return df.join(means, fold).withColumn("_best", best).withColumns({"guess": F.col("_best.c"), "d": F.col("_best.d")}).drop("_all", "_best")
 
 
 def draw(queries: DataFrame, train: DataFrame, n: int, seed: str) -> DataFrame:
