@@ -15,7 +15,10 @@ START, END, HOURS = "2024-01-01 00:00:00", "2024-01-30 23:00:00", 720
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(meter_id, pos, value): every meter and hour, NULL where nothing was read."""
+    """(meter_id, pos, value): every meter and hour of the period START to END, NULL where nothing was read.
+
+    The tables' readings all lie in that period (tests/test_whole_plans.py); others would not be in the grid.
+    """
     hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
     rows = readings(spark, sf_dir).groupBy("meter_id", hour.alias("ts")).agg(F.round(F.sum("value"), 4).alias("value"))
     grid = cleaning.complete_grid(rows, "meter_id", "ts", START, END, "1 HOUR")

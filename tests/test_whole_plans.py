@@ -18,3 +18,13 @@ def test_query_profiles_meet_all_clusters(spark, name):
     assert len(got) == len(want) and {*got} == want
     labels = p.select(F.count_distinct("cluster")).first()[0]
     assert labels > 1
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_the_hourly_grid_holds_every_reading(spark, sf):
+    from loadscape.plans.series import HOURS, START
+    from loadscape.sources.tables import readings
+
+    hour = F.timestamp_diff("HOUR", F.lit(START).cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    lo, hi = readings(spark, f"/root/testdata/{sf}").agg(F.min(hour), F.max(hour)).first()
+    assert 0 <= lo and hi < HOURS
