@@ -1,5 +1,6 @@
 """Columns of any name, links of both kinds, and the models against versions that use nothing of the library."""
 
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -64,10 +65,14 @@ def test_names_of_other_columns_may_be_parameters(spark):
     assert simhash.keep_one(df, "my.id", "my.text").count() == 1 and sharding.assign_shards(df, "my.id").count() == 1
 
 
-def test_scratch_is_shared_or_local(spark):
+def test_scratch_is_shared_or_local(spark, monkeypatch):
     made = Scratch(spark, "probe")
     made.table(spark.range(3))
     assert made.base.startswith(scratch.scratch_dir(spark)) and made.base in scratch._written
+    monkeypatch.setattr(scratch, "_written", [made.base])
+    assert os.path.isdir(made.base)
+    scratch.clean(spark)
+    assert not os.path.exists(made.base) and not scratch._written
 
     class Far:
         class conf:
@@ -289,3 +294,27 @@ def test_parts_of_a_conversation_by_turns(spark):
     assert sorted(chat.read_back(mixed, ordered=False).collect()) == whole
     with pytest.raises(Exception, match="does not follow"):
         chat.read_back(mixed).collect()
+
+
+@pytest.mark.parametrize("kind", ["path", "star", "tree", "pairs", "none"])
+def test_components_of_shapes(spark, kind):
+    from loadscape.llm.components import connected_components
+
+    rng = random.Random(3)
+    edges = {
+        "path": [(i, i + 1) for i in range(60)], "star": [(0, i) for i in range(1, 40)] + [(100, i) for i in range(101, 120)],
+        "tree": [(rng.randrange(i), i) for i in range(1, 80)], "pairs": [(2 * i, 2 * i + 1) for i in range(20)] + [(3, 3), (None, 5)], "none": [(7, 7)],
+    }[kind]
+    ids = [*range(130)]
+    rng.shuffle(ids)
+    named_ = [(a if a is None else ids[a], ids[b]) for a, b in edges]
+    parent = {x: x for e in named_ for x in e}
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for a, b in named_:
+        if a is not None:
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(named_, "a int, b int"), "a", "b", Scratch(spark, "shapes")).collect()}
+    assert got == {x: find(x) for x in parent if x is not None and find(x) != x}
