@@ -30,7 +30,7 @@ def rates(sizes: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS
 
     Sources in code point order, null last, weigh ``weights`` in turn and share the total of all sizes. Targets stop at
     ``max_rate`` times their source's size; what is cut off goes to the others by weight until none is above. Only sums
-    reach the driver, once per round.
+    reach the driver, once per round. Sources are numbered in one task, so they have to be far fewer than documents.
     """
     turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*map(F.lit, weights)), (turn % len(weights) + 1).cast("int"))
