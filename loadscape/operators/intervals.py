@@ -29,18 +29,15 @@ def mask(df: DataFrame, found: DataFrame, keys: Sequence[str], pos: str, value:
 def mask_long_runs(df: DataFrame, keys: Sequence[str], pos: str, value: str, flag: Column, least: int) -> DataFrame:
     """As ``mask`` for runs of ``least`` flagged positions or more, in one pass over each key's positions.
 
-    Positions follow each other without a gap. The length of a row's run is known from the last unflagged positions
-    before and after it.
+    Positions follow each other without a gap. The number of unflagged positions so far names a run; frames grow row by
+    row, so the work is in proportion to the positions.
     """
     w = Window.partitionBy(*keys).orderBy(pos)
-    off = F.when(~F.coalesce(flag, F.lit(False)), F.col(pos))
-    before = F.last(off, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(off, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    all_ = Window.partitionBy(*keys)
-    length = F.coalesce(after, F.max(pos).over(all_) + 1) - F.coalesce(before, F.min(pos).over(all_) - 1) - 1
-    rows = df.withColumn("_long", off.isNull() & (length >= least))
+    rows = df.withColumn("_on", F.coalesce(flag, F.lit(False)).cast("int"))
+    rows = rows.withColumn("_run", F.sum(1 - F.col("_on")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_long", (F.col("_on") == 1) & (F.sum("_on").over(Window.partitionBy(*keys, "_run")) >= least))
     hit = F.col("_long") | F.coalesce(F.lag("_long").over(w), F.lit(False))
-    return rows.withColumn(value, F.when(~hit, F.col(value))).drop("_long")
+    return rows.withColumn(value, F.when(~hit, F.col(value))).drop("_on", "_run", "_long")
 
 
 def boxplot_peaks(df: DataFrame, key: str, value: str, multiplier: float = 1.5, least_iqr: float = 0.25) -> DataFrame:
