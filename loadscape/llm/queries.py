@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadscape.llm import chat, decontam, langid, linededup, mixing, quality, sharding, simhash, toxicity, urlfilter
+from loadscape.llm import chat, decontam, fillmiddle, langid, linededup, mixing, piecebpe, quality, sharding, simhash, toxicity, urlfilter, vectorcodes
 from loadscape.llm.scratch import Scratch
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -93,9 +93,65 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(docs, _table(spark, sf_dir, "benchmark"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of the text decoded from them, of every document."""
+    vocabulary = piecebpe.load(VOCABULARY)
+    docs = piecebpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).drop("text")
+    docs = piecebpe.decode(docs, vocabulary)
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary")
+    return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, code, error, label_error, codebooks_sha256 of every kept vector."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return vectorcodes.compress(vectors).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n, form, prefix_chars, middle_chars and digests of output and restored text, of every document."""
+    docs = fillmiddle.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = fillmiddle.restored(F.col("form"), F.col("output"))
+    digests = [F.sha2(x.cast("binary"), 256).alias(c) for c, x in (("output_sha256", F.col("output")), ("restored_sha256", restored))]
+    return docs.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_toxicity, op3_url_filter, op4_line_dedup, op5_mixing, op6_langid, op7_sharding, op8_simhash, op9_quality, op10_decontamination)
-}
+    f.__name__: f
+    for f in (
+        op1_chat_format, op2_toxicity, op3_url_filter, op4_line_dedup, op5_mixing, op6_langid, op7_sharding, op8_simhash, op9_quality, op10_decontamination,
+        op11_sentencepiece, op12_vector_codes, op13_fill_middle,
+    )
+}
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Codebooks round by round, each one table of (part, entry, components)."""
+    square = "list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - c[i]) * (v[i] - c[i])))"
+    sql = """
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS whole FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, p, whole[len(whole) * p // 4 + 1 : len(whole) * (p + 1) // 4] AS v FROM kept, range(4) AS r(p)),
+book0 AS (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v AS c FROM parts
+  WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 256)),"""
+    for r in range(rounds + 1):
+        sql += f"""
+near{r} AS MATERIALIZED (SELECT vec_id, p, min({square} * 256 + e) AS best FROM parts JOIN book{r} USING (p) GROUP BY vec_id, p),"""
+        if r < rounds:
+            sql += f"""
+mean{r} AS (
+  SELECT p, e, list(m ORDER BY i) AS c FROM (
+    SELECT p, best % 256 AS e, i, CAST(floor(CAST(sum(v[i]) AS DOUBLE) / count(*)) AS BIGINT) AS m
+    FROM parts JOIN near{r} USING (vec_id, p), unnest(range(1, len(v) + 1)) AS u(i) GROUP BY ALL) GROUP BY p, e),
+book{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(mean{r}.c, book{r}.c) AS c FROM book{r} LEFT JOIN mean{r} USING (p, e)),"""
+    return sql + f"""
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds}),
+coded AS (
+  SELECT vec_id, label, string_agg(lower(printf('%02x', CAST(best % 256 AS INTEGER))), '' ORDER BY p) AS code, CAST(sum(best // 256) AS BIGINT) AS error
+  FROM near{rounds} JOIN kept USING (vec_id) GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, books"""
 
 
 ORACLE_SQL: dict[str, str] = {
@@ -148,4 +204,19 @@ rated AS (
     CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS u
   FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source)
 SELECT doc_id, size, source_size, target, size * CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken FROM rated""",
+    "op12_vector_codes": _codes_sql(),
+    "op13_fill_middle": r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || CAST(doc_id AS VARCHAR)) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+seeded AS (
+  SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM cut),
+formed AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM seeded),
+parts AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM formed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM parts""",
 }
