@@ -34,8 +34,9 @@ ROWS_PER_LANG, ROUNDS, SMOOTH = 1000, 2, 0.1
 #: that are any letter of the vocabulary alike. In unknown text a piece is at least so many times as likely as in a
 #: language that never uses it.
 LONE, UNKNOWN_LONE, ANY_LETTER, UNSEEN = 1e-7, 1e-4, 0.1, 10
-#: Numbers (runs times languages) that a task remembers or computes at once; letters of a text that are read at once.
-CACHED, AT_ONCE, BLOCK = 1_000_000, 1 << 17, 1 << 20
+#: Numbers (runs times languages) and letters of runs that a task remembers; numbers that it computes at once; letters of
+#: a text that are read at once, and of a run over LONG letters that are looked up at once.
+CACHED, CACHED_LETTERS, AT_ONCE, BLOCK, LOOKED_UP = 1_000_000, 4_000_000, 1 << 17, 1 << 20, 4096
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -104,21 +105,30 @@ class Lattice:
                 out[i, j] = self.find(h)
         return out
 
-    def ending(self, codes: np.ndarray) -> np.ndarray:
-        """For one run: row j - 1 holds the pieces of 1, 2, ... letters that end after letter j."""
+    def ending(self, codes: np.ndarray, begin: int = 0) -> np.ndarray:
+        """For one run: row j holds the pieces of 1, 2, ... letters that end with letter ``begin + j``."""
         n = len(codes)
         out, h = np.full((n, self.longest), self.n, np.int32), np.zeros(n, np.uint64)
         for k in range(min(n, self.longest)):
             h = self._step(h[: n - k], codes[k:])
             out[k:, k] = self.find(h)
-        return out
+        return out[begin:]
+
+    def blocks(self, run: str, backward: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+        """(first letter, ``ending`` of the letters from there) of a marked run, so many letters at a time."""
+        starts = range(0, len(run), LOOKED_UP)
+        for at in reversed(starts) if backward else starts:
+            begin = max(0, at - self.longest + 1)
+            yield at, self.ending(_codes(run[begin : at + LOOKED_UP]), at - begin)
 
 
-def _by_length(runs: list[str], rows: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, code points) of the runs, marked at the start, of each length, so many at a time; a long one alone."""
+def _by_length(runs: list[str], rows: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray | str]]:
+    """(places, code points) of the runs of each length, marked at the start, so many at a time; a long one alone, as text."""
     lengths = np.fromiter(map(len, runs), np.int64, len(runs))
-    for n in np.unique(lengths):
-        for at in np.array_split(found := np.flatnonzero(lengths == n), -(-len(found) // (rows if n <= LONG else 1))):
+    for i in np.flatnonzero(lengths > LONG):
+        yield np.array([i]), START + runs[i]
+    for n in np.unique(lengths[lengths <= LONG]):
+        for at in np.array_split(found := np.flatnonzero(lengths == n), -(-len(found) // rows)):
             yield at, _codes("".join([START + runs[i] for i in at.tolist()])).reshape(len(at), -1)
 
 
@@ -143,31 +153,42 @@ def _log_sum(x: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(x - top).sum(axis=0))
 
 
-def _log_forward(ending: np.ndarray, logs: np.ndarray, none: int, lone: np.ndarray) -> np.ndarray:
-    """As _forward, for one run of any length, in logarithms: row j is the sum up to letter j."""
-    n, longest = ending.shape
-    out = np.zeros((n + 1, logs.shape[1]))
-    for j in range(1, n + 1):
-        lo = max(0, j - longest)
-        step = logs[ending[j - 1, : j - lo]]
-        if ending[j - 1, 0] == none:
-            step[0] = lone
-        out[j] = _log_sum(out[lo:j][::-1] + step)
-    return out
-
-
-def _log_backward(ending: np.ndarray, logs: np.ndarray, none: int, lone: np.ndarray) -> np.ndarray:
-    """Row i is the sum over what follows letter i."""
-    n, longest = ending.shape
-    out = np.zeros((n + 1, logs.shape[1]))
-    for i in range(n - 1, -1, -1):
-        k = np.arange(min(longest, n - i))
-        piece = ending[i + k, k]
-        step = logs[piece]
-        if piece[0] == none:
-            step[0] = lone
-        out[i] = _log_sum(out[i + 1 + k] + step)
-    return out
+def _log_forward(lattice: Lattice, run: str, logs: np.ndarray, lone: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray:
+    """As _forward, for one marked run of any length, in logarithms. Only the sums up to the last letters are held, the
+    latest first; ``keep``, if given, takes the sum up to every letter by the only column."""
+    last = np.zeros((1, logs.shape[1]))
+    for at, ending in lattice.blocks(run):
+        for j, pieces in enumerate(ending, at + 1):
+            step = logs[pieces[: len(last)]]
+            if pieces[0] == lattice.n:
+                step[0] = lone
+            now = _log_sum(last + step)
+            last = np.concatenate((now[None], last[: lattice.longest - 1]))
+            if keep is not None:
+                keep[j] = now[0]
+    return last[0]
+
+
+def _log_expected(lattice: Lattice, run: str, logs: np.ndarray, lone: float) -> np.ndarray:
+    """Expected uses of each piece in one marked run of any length by one language (forward, then backward sums)."""
+    n, uses = len(run), np.zeros(lattice.n + 1)
+    alpha = np.zeros(n + 1)
+    whole = _log_forward(lattice, run, logs[:, None], np.array([lone]), alpha)[0]
+    beta = np.full(n + 1, -np.inf)
+    beta[n] = 0.0
+    for at, ending in lattice.blocks(run, backward=True):
+        steps = logs[ending]
+        steps[ending[:, 0] == lattice.n, 0] = lone
+        for j in range(at + len(ending), at, -1):
+            k = min(lattice.longest, j)
+            before = beta[j - k : j]
+            np.logaddexp(before, (beta[j] + steps[j - at - 1, :k])[::-1], out=before)
+        for k in range(ending.shape[1]):
+            row = np.flatnonzero(ending[:, k] < lattice.n)
+            end = at + row + 1
+            piece = ending[row, k]
+            uses += np.bincount(piece, np.exp(alpha[end - k - 1] + logs[piece] + beta[end] - whole), lattice.n + 1)
+    return uses
 
 
 @dataclass
@@ -207,17 +228,17 @@ class Scorer:
 
     def clear(self) -> None:
         self.seen: dict[str, int] = {}
+        self.letters = 0
         self.logs = np.empty((0, self.table.shape[1]), np.float32)
 
     def log_probabilities(self, runs: list[str]) -> np.ndarray:
         """Of each run by each language (and unknown text), summed over all segmentations."""
         out = np.empty((len(runs), self.table.shape[1]), np.float32)
         for at, codes in _by_length(runs, max(64, AT_ONCE // self.width // 4)):
-            n = codes.shape[1]
-            if n > LONG + 1:
-                out[at] = _log_forward(self.lattice.ending(codes[0]), self.log_table, self.lattice.n, self.log_lone)[n]
+            if isinstance(codes, str):
+                out[at] = _log_forward(self.lattice, codes, self.log_table, self.log_lone)
             else:
-                out[at] = np.log(np.maximum(_forward(self.lattice, self.lattice.edges(codes), n, len(at), self.table, self.lone), 1e-320))
+                out[at] = np.log(np.maximum(_forward(self.lattice, self.lattice.edges(codes), codes.shape[1], len(at), self.table, self.lone), 1e-320))
         return out
 
     def judged(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
@@ -238,7 +259,7 @@ class Scorer:
                 total[i] += n @ self.logs[place].astype(np.float64)
                 count[i] += len(at)
             waiting.clear()
-            if len(self.seen) > self.most:
+            if len(self.seen) > self.most or self.letters > CACHED_LETTERS:
                 self.clear()
 
         for i, text in enumerate(texts):
@@ -250,10 +271,11 @@ class Scorer:
                         for r in part:
                             if r not in seen:
                                 seen[r] = len(seen)
+                                self.letters += len(r)
                                 new.append(r)
                         at = list(map(seen.get, part))
                     waiting.append((i, np.array(at, np.int64)))
-                    if len(new) > self.most:
+                    if len(new) > self.most or self.letters > CACHED_LETTERS:
                         settle()
         settle()
         langs, scores, evidence = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
@@ -287,16 +309,10 @@ def expected_uses(model: Model, lattice: Lattice, runs: list[str], langs: np.nda
         logs, lone = np.log(probs), np.log(model.lone)
     uses = np.zeros((len(model.langs), lattice.n + 1))
     for at, codes in _by_length(runs):
-        n, lang = codes.shape[1], langs[at]
-        if n > LONG + 1:
-            ending, own = lattice.ending(codes[0]), logs[:, lang]
-            alpha, beta = (f(ending, own, lattice.n, np.array([lone])) for f in (_log_forward, _log_backward))
-            for k in range(min(n, lattice.longest)):
-                piece = ending[k:, k]
-                hit = np.flatnonzero(piece < lattice.n)
-                gamma = np.exp(alpha[hit, 0] + own[piece[hit], 0] + beta[hit + k + 1, 0] - alpha[n, 0]) * weight[at[0]]
-                uses[lang[0]] += np.bincount(piece[hit], gamma, lattice.n + 1)
+        if isinstance(codes, str):
+            uses[langs[at[0]]] += _log_expected(lattice, codes, logs[:, langs[at[0]]], lone) * weight[at[0]]
             continue
+        n, lang = codes.shape[1], langs[at]
         edges = lattice.edges(codes)
         chance = {k: np.where(p == lattice.n, model.lone if k[1] - k[0] == 1 else 0.0, probs[p, lang]) for k, p in edges.items()}
         alpha = [np.ones(len(at))]
@@ -316,8 +332,9 @@ def letter_counts(lattice: Lattice, runs: list[str], weight: np.ndarray) -> np.n
     """Uses of each piece of one letter, and of the start mark, when every run is written in single letters."""
     out = np.zeros(lattice.n + 1)
     for at, codes in _by_length(runs):
-        piece = lattice.find(lattice._step(np.zeros(codes.size, np.uint64), codes.ravel()))
-        out += np.bincount(piece, np.repeat(weight[at], codes.shape[1]), lattice.n + 1)
+        for part in (_codes(codes[k : k + BLOCK])[None] for k in range(0, len(codes), BLOCK)) if isinstance(codes, str) else (codes,):
+            piece = lattice.find(lattice._step(np.zeros(part.size, np.uint64), part.ravel()))
+            out += np.bincount(piece, np.repeat(weight[at], part.shape[1]), lattice.n + 1)
     return out
 
 

@@ -37,13 +37,22 @@ def plain(word: bytes) -> str:
 
 
 class Known(dict):
-    """What ``make`` says of each word, kept for at most ``most`` words."""
+    """What ``make`` says of each word, kept for at most ``most`` words of LONGEST bytes each and ``most_bytes`` in all.
 
-    def __init__(self, make: Callable[[bytes], int], most: int = 300_000):
-        self.make, self.most = make, most
+    A longer word is made anew each time it comes: such words hardly repeat, and texts of them would fill the memory.
+    """
+
+    LONGEST = 100
+
+    def __init__(self, make: Callable[[bytes], int], most: int = 300_000, most_bytes: int = 8 << 20):
+        self.make, self.most, self.most_bytes, self.bytes = make, most, most_bytes, 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
+        if len(word) > self.LONGEST:
+            return self.make(word)
+        if len(self) >= self.most or self.bytes + len(word) > self.most_bytes:
             self.clear()
+            self.bytes = 0
         self[word] = out = self.make(word)
+        self.bytes += len(word)
         return out

@@ -31,6 +31,8 @@ BLOCK = 100
 MAX_ROWS, MIN_G2, MIN_SHARE = 20_000, 15.0, 0.6
 #: Toxic rows with so many toxic words or more have the next grade.
 GRADE_AT = 3
+#: Groups of features that a task remembers from one text to the next.
+MAX_GROUPS = 100_000
 STEPS, RATE, L2 = 600, 0.1, 1e-4
 #: Clean texts lie near 0 and one toxic word is rare, so a text is flagged well before toxic is the likelier grade.
 FLAG_AT = 0.25
@@ -93,6 +95,9 @@ class Features:
 
     def __init__(self, buckets: list[int]):
         self.place = {b: i for i, b in enumerate(buckets)}
+        self.clear()
+
+    def clear(self) -> None:
         self.groups: list[list[int]] = [[]]
         self.numbers: dict[tuple[int, ...], int] = {(): 0}
         self.known = Known(lambda word: self._group(buckets_of(word)))
@@ -106,6 +111,8 @@ class Features:
 
     def __call__(self, text: bytes | None) -> tuple[list[int], list[int], int]:
         """(features in the text, count of each, number of words with a feature)."""
+        if len(self.groups) > MAX_GROUPS:
+            self.clear()
         out: Counter[int] = Counter()
         for words in word_chunks(text or b""):
             words, long = split_long(words)

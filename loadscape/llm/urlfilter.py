@@ -56,8 +56,11 @@ def _without_dots(path: Column) -> Column:
 
 
 def node_of(url: Column) -> Column:
-    """What tells a resource: host, path (dots resolved) and query, without scheme and fragment; null without a host."""
-    return F.when(host_of(url) != "", F.concat(host_of(url), _without_dots(path_of(url)), _query_of(url)))
+    """What tells a resource: host, path (dots resolved) and query, without scheme, its default port and fragment; null
+    without a host."""
+    host = F.regexp_replace(host_of(url), ":$", "")
+    host = F.when(url.rlike("(?i)^http://"), F.regexp_replace(host, ":80$", "")).when(url.rlike("(?i)^https://"), F.regexp_replace(host, ":443$", "")).otherwise(host)
+    return F.when(host != "", F.concat(host, _without_dots(path_of(url)), _query_of(url)))
 
 
 def _compiled(rules: Sequence[Rule], host: Column, path: Column) -> Column:
@@ -88,38 +91,85 @@ def match_rules(rows: DataFrame, rules: Sequence[Rule], host_col: str, path_col:
     return rows.join(found, (host == F.col(own_host)) & (path == F.col(own_path)), "left").drop(own_host, own_path)
 
 
+#: What is no markup: comments, and elements whose content is plain text.
+_PLAIN = r"(?is)<!--.*?(?:-->|$)|<(script|style|textarea|title|xmp|iframe|noembed|noframes)(?=[\s/>]).*?(?:</\1(?=[\s/>])|$)"
+#: A tag ends at the first > outside quotes; where quotes do not close, at the first of all. With < outside quotes it is none.
+_TAG = r"""(?is)(<(?:link|meta|base)(?=[\s/])(?:(?:[^<>"']++|"[^"]*+"|'[^']*+'){0,300}+>|[^<>]*+>))"""
+_ATTRIBUTE = r"""([^\s"'<>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+))?"""
+_ENTITY = r"&(?:#\d{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z]{2,6};)"
+#: Named characters that occur in addresses.
+NAMED = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "colon": ":", "sol": "/", "period": ".", "quest": "?", "equals": "=", "num": "#",
+    "percnt": "%", "commat": "@", "semi": ";", "comma": ",", "lowbar": "_", "plus": "+", "excl": "!", "dollar": "$", "ast": "*", "lpar": "(", "rpar": ")", "Tab": "\t",
+}
+
+
+def _decoded(value: Column) -> Column:
+    """The value with its character references replaced, each once."""
+
+    def sign(entity: Column) -> Column:
+        number = F.when(entity.rlike("^&#[xX]"), F.conv(F.regexp_extract(entity, "^&#[xX]([0-9a-fA-F]+)", 1), 16, 10)).otherwise(F.regexp_extract(entity, r"^&#(\d+)", 1))
+        code = F.when(entity.startswith("&#"), number.cast("int"))
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        out = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        for name, char in NAMED.items():
+            out = out.when(entity == f"&{name};", F.lit(char))
+        return out.otherwise(entity)
+
+    between, found = F.split(value, _ENTITY, -1), F.regexp_extract_all(value, F.lit(f"({_ENTITY})"), F.lit(1))
+    whole = F.array_join(F.zip_with(between, F.transform(found, sign), lambda x, e: F.concat(x, F.coalesce(e, F.lit("")))), "")
+    return F.when(value.contains("&"), whole).otherwise(value)
+
+
 def _attribute(tag: Column, name: str) -> Column:
-    """The value of an attribute of a tag, in double, single or no quotes; empty without it."""
-    pattern = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])
+    """The value of the first attribute of that name, without quotes; empty without it."""
+    names = F.transform(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(1)), F.lower)
+    values = F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(2))
+    value = F.coalesce(F.try_element_at(values, F.nullif(F.array_position(names, name).cast("int"), F.lit(0))), F.lit(""))
+    return F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2")
 
 
 def _resolved(target: Column, url: Column) -> Column:
     """The absolute form of a link on the page ``url``; null for a link to the page itself or of another kind of scheme."""
-    root = F.concat(F.lit("http://"), host_of(url))
+    scheme = F.coalesce(F.nullif(F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*):", 1)), F.lit("")), F.lit("http"))
+    root = F.concat(scheme, F.lit("://"), host_of(url))
     folder = F.coalesce(F.nullif(F.regexp_extract(path_of(url), r"^(.*/)", 1), F.lit("")), F.lit("/"))
-    out = F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.startswith("//"), F.concat(F.lit("http:"), target))
+    out = F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
     out = out.when((target == "") | target.startswith("#") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None)).when(target.startswith("/"), F.concat(root, target))
     return out.when(target.startswith("?"), F.concat(root, path_of(url), target)).otherwise(F.concat(root, folder, target))
 
 
-def aliases_of(url: Column, html: Column) -> Column:
-    """The nodes that a page's canonical links and refresh redirects name, all of them.
+#: Where a refresh leads: after the seconds, with or without url=, in quotes or not.
+_REFRESH = r"""(?is)^\s*(?:[\d.]+\s*(?:[;,]\s*|\s)(?:url\s*=\s*)?|(?:.*?[;,\s])?url\s*=\s*)(?:"([^"]*)|'([^']*)|([^"'].*))"""
 
-    Absolute targets, targets without scheme, from the host's root and relative to the page are followed; a base element
-    is not read.
-    """
 
-    def target(tag: Column) -> Column:
-        canonical = tag.rlike("(?i)^<link") & F.lower(_attribute(tag, "rel")).rlike(r"(^|\s)canonical(\s|$)")
-        refresh = tag.rlike("(?i)^<meta") & (F.lower(F.trim(_attribute(tag, "http-equiv"))) == "refresh")
-        moved = F.regexp_extract(_attribute(tag, "content"), r"""(?i)\burl\s*=\s*["']?\s*([^"'\s]+)""", 1)
-        link = F.when(canonical, F.trim(_attribute(tag, "href"))).when(refresh, moved)
-        return node_of(_resolved(F.replace(link, F.lit("&amp;"), F.lit("&")), url))
+def telling_tags(html: Column) -> Column:
+    """The link, meta and base tags that may tell of an alias, outside comments and plain text."""
+    bare = F.when(html.rlike(r"(?i)<!--|<(?:script|style|textarea|title|xmp|iframe|noembed|noframes)"), F.regexp_replace(html, _PLAIN, " ")).otherwise(html)
+    tags = F.regexp_extract_all(bare, F.lit(_TAG), F.lit(1))
+    return F.when(html.rlike("(?i)canonical|refresh|&"), F.filter(tags, lambda tag: tag.rlike("(?i)^<base|canonical|refresh|&"))).otherwise(F.array().cast("array<string>"))
+
 
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link|meta)\s[^>]*>)"), F.lit(1))
-    telling = F.filter(tags, lambda tag: tag.rlike("(?i)canonical|refresh"))
-    return F.array_compact(F.transform(telling, target))
+def alias_edges(rows: DataFrame) -> DataFrame:
+    """(a, b): from the node of each row of (node, url, tags) to the nodes that its canonical links and refreshes name.
+
+    Absolute targets, targets without scheme, from the host's root and relative to the page, or to its first base
+    element, are followed. Each step is a column of its own, so that no expression is repeated within the next.
+    """
+    is_base = lambda tag: tag.rlike("(?i)^<base")
+    bases = F.filter(F.transform(F.filter("tags", is_base), lambda tag: F.trim(_attribute(tag, "href"))), lambda x: x != "")
+    tags = rows.where(F.size("tags") > 0).select("node", "url", "tags", F.try_element_at(bases, F.lit(1)).alias("base"))
+    tags = tags.select("node", "url", "tags", _decoded(F.col("base")).alias("base"))
+    tags = tags.select("node", "tags", F.coalesce(_resolved(F.col("base"), F.col("url")), "url").alias("base"))
+    tags = tags.select("node", "base", F.explode("tags").alias("tag")).where(~is_base(F.col("tag")))
+    canonical = F.col("tag").rlike("(?i)^<link") & F.lower(_attribute(F.col("tag"), "rel")).rlike(r"(^|\s)canonical(\s|$)")
+    refresh = F.col("tag").rlike("(?i)^<meta") & (F.lower(F.trim(_attribute(F.col("tag"), "http-equiv"))) == "refresh")
+    named_ = F.when(canonical, _attribute(F.col("tag"), "href")).when(refresh, _attribute(F.col("tag"), "content"))
+    links = tags.select("node", "base", canonical.alias("canonical"), named_.alias("said")).where("said is not null")
+    links = links.select("node", "base", "canonical", _decoded(F.col("said")).alias("said"))
+    moved = F.concat(*[F.regexp_extract("said", _REFRESH, k) for k in (1, 2, 3)])
+    links = links.select("node", "base", F.regexp_replace(F.when(F.col("canonical"), F.col("said")).otherwise(moved), r"^\s+|\s+$|[\t\n\r]", "").alias("target"))
+    return links.select("node", _resolved(F.col("target"), F.col("base")).alias("to")).select(F.col("node").alias("a"), node_of(F.col("to")).alias("b"))
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", redirects: DataFrame | None = None) -> DataFrame:
@@ -130,13 +180,13 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_
     unless a member is explicitly allowed. All else is allowed. component is the group's smallest node (host, path and
     query), null for a page without aliases. A null URL, or one without a host, has no rule and no alias; null or empty
     HTML names none; repeated rows are judged alike; an empty table gives no rows. Other columns are not read. HTML is
-    read once and never shuffled.
+    read once and never shuffled: only addresses and the tags that tell of aliases are written.
     """
     scratch = Scratch(pages.sparkSession, "urlfilter")
     url, html = named(url_col).cast("string"), named(html_col).cast("string")
-    rows = pages.select(named(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"), aliases_of(url, html).alias("targets"))
+    rows = pages.select(named(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"), url.alias("url"), telling_tags(html).alias("tags"))
     rows = scratch.table(rows)
-    edges = rows.select(F.col("node").alias("a"), F.explode("targets").alias("b"))
+    edges = scratch.table(alias_edges(rows))
     if redirects is not None:
         edges = edges.union(redirects.select(node_of(F.col("from_url").cast("string")), node_of(F.col("to_url").cast("string"))))
     groups = connected_components(edges, "a", "b", scratch)
@@ -147,6 +197,6 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_
     blocked = F.coalesce(F.max(F.col("found.verdict") == "block"), F.lit(False))
     decided = ruled.groupBy("component").agg(F.when(blocked & ~allowed, "block").otherwise("allow").alias("group_verdict"))
     decided = members.join(decided, "component").select("node", "component", "group_verdict")
-    out = match_rules(rows, rules, "host", "path", "found").join(decided, "node", "left")
+    out = match_rules(rows.drop("url", "tags"), rules, "host", "path", "found").join(decided, "node", "left")
     verdict = F.coalesce("found.verdict", "group_verdict", F.lit("allow"))
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), "component")
