@@ -35,6 +35,45 @@ def wasserstein_1d(a: Column, b: Column) -> Column:
     return squared(F.array_sort(a), F.array_sort(b)) / F.size(a)
 
 
+def transport_1d(a: Column, b: Column) -> Column:
+    """Transport cost, squared, between two samples of any sizes: their sorted values meet where their running shares do.
+
+    In units of 1 / (n m) the shares of n values end at multiples of m, those of m values at multiples of n; between two
+    such ends one value of each is moved onto the other. Nulls are left out; null where a sample is empty.
+    """
+    known = lambda x: F.array_sort(F.filter(x, lambda v: v.isNotNull()))
+    both = F.struct(known(a).alias("x"), known(b).alias("y"))
+
+    def cost(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        n, m = F.size(x).cast("bigint"), F.size(y).cast("bigint")
+        ends = F.array_sort(F.array_distinct(F.concat(F.transform(x, lambda _, i: (i + 1) * m), F.transform(y, lambda _, j: (j + 1) * n))))
+
+        def step(s: Column, end: Column) -> Column:
+            gap = F.element_at(x, (s["at"] / m).cast("int") + 1) - F.element_at(y, (s["at"] / n).cast("int") + 1)
+            return F.struct(end.alias("at"), (s["total"] + (end - s["at"]) * gap * gap).alias("total"))
+
+        moved = F.aggregate(ends, F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0.0).alias("total")), step, lambda s: s["total"])
+        return F.when((n > 0) & (m > 0), moved / (n * m))
+
+    return F.transform(F.array(both), cost)[0]
+
+
+def bins_of_days(vals: Column, day: int, bin_: int) -> Column:
+    """An array of bins, each with one sample a day: the sum of the bin's values on that day, null if one is missing."""
+    n = F.floor(F.size(vals) / day).cast("int")
+    add = lambda at: F.aggregate(F.slice(vals, at, F.lit(bin_)), F.lit(0.0), lambda s, x: s + x)
+    days = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    samples = lambda k: F.transform(days, lambda d: add(d * day + k * bin_ + 1))
+    return F.array(*[samples(k) for k in range(day // bin_)])
+
+
+def binned_transport(a: Column, b: Column) -> Column:
+    """The costs of the bins of two profiles (``bins_of_days``) added; a bin that one of them never has counts nothing."""
+    costs = F.zip_with(a, b, transport_1d)
+    return F.aggregate(costs, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+
+
 def banded(x: np.ndarray, y: np.ndarray, window: int) -> np.ndarray:
     """Dynamic time warping distances of the rows of x and y, all pairs at once: a step for each cell of the band."""
     n = x.shape[1]
