@@ -85,8 +85,9 @@ def summary(df: DataFrame, col: str) -> DataFrame:
 
 
 def wall_clock(df: DataFrame, periods: DataFrame, key: str, ts: str, value: str) -> DataFrame:
-    """Readings moved one hour on within their year's (start, end) period, duplicates averaged."""
+    """Readings moved one hour on within their year's (start, end) period, duplicates averaged; those of a year without a
+    period stay as they are, and a null timestamp stays null."""
     p = F.broadcast(periods.select(F.col("year").alias("_y"), F.col("start").cast("timestamp_ntz").alias("_s"), F.col("end").cast("timestamp_ntz").alias("_e")))
     inside = (F.col(ts) >= F.col("_s")) & (F.col(ts) < F.col("_e"))
-    moved = df.join(p, F.year(ts) == F.col("_y")).withColumn(ts, F.when(inside, F.col(ts) + F.expr("INTERVAL 1 HOUR")).otherwise(F.col(ts)))
+    moved = df.join(p, F.year(ts) == F.col("_y"), "left").withColumn(ts, F.when(inside, F.col(ts) + F.expr("INTERVAL 1 HOUR")).otherwise(F.col(ts)))
     return moved.groupBy(key, ts).agg(F.avg(value).alias(value))

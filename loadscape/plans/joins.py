@@ -230,11 +230,11 @@ def m5_random_sampler(spark, sf_dir):
 
 @query(with_tables("days") + """, kinds AS (SELECT date, year(date) AS y, CASE WHEN month(date) BETWEEN 3 AND 5 THEN 'spring' WHEN month(date) BETWEEN 6 AND 8 THEN 'summer' WHEN month(date) BETWEEN 9 AND 11 THEN 'autumn' ELSE 'winter' END AS season,
   CASE WHEN isodow(date) >= 6 THEN 'weekend' ELSE 'weekday' END AS kind FROM days)
-SELECT q.date AS test, count(*) AS days, 1 / CAST(count(*) AS DOUBLE) AS p FROM kinds q JOIN kinds t ON q.season = t.season AND q.kind = t.kind WHERE q.y = 2000 AND t.y < 2000 GROUP BY 1""")
+SELECT q.date AS test, count(*) AS days, 1 / CAST(count(*) AS DOUBLE) AS p FROM kinds q JOIN kinds t ON q.season = t.season AND q.kind = t.kind WHERE q.y = 2000 AND t.y <> 2000 GROUP BY 1""")
 def m10_day_type_sampler(spark, sf_dir):
-    """Training days of the same season and day type, equally likely."""
+    """Days of every other year of the same season and day type, equally likely, for the days of 2000."""
     d = F.col("date")
     kinds = days(spark, sf_dir).select("date", F.year(d).alias("y"), cal.meteorological_season(d).alias("season"), cal.day_type(d, holidays=False).alias("kind"))
     q = kinds.where("y = 2000").select(F.col("date").alias("test"), "season", "kind")
-    picks = samplers.by_key(q, kinds.where("y < 2000").select(d.alias("pick"), "season", "kind"), ["season", "kind"])
+    picks = samplers.by_key(q, kinds.where("y <> 2000").select(d.alias("pick"), "season", "kind"), ["season", "kind"])
     return picks.groupBy("test").agg(F.count(F.lit(1)).alias("days"), F.first("p").alias("p"))

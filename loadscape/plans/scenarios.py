@@ -91,6 +91,15 @@ def d6_assigned_days(spark, sf_dir):
     return matching.assigned(p.where("profile_id % 20 = 0"), p, "profile_id", "vals", 16).select("query", "other", F.round("d", 6).alias("d"))
 
 
+@query(with_tables("slots") + """, d AS (SELECT profile_id, slot // 16 AS day, slot % 16 AS k, value FROM slots),
+c AS (SELECT q.profile_id AS query, d.profile_id AS other, q.day AS i, d.day AS j, sqrt(sum((q.value - d.value) * (q.value - d.value))) AS c FROM d q JOIN d ON q.k = d.k AND q.profile_id <> d.profile_id WHERE q.profile_id % 20 = 0 GROUP BY 1, 2, 3, 4)
+SELECT query, other, round(365 / 4::DOUBLE * least(""" + _MATCHINGS + """), 6) AS d FROM c GROUP BY 1, 2""")
+def d6_assigned_days_of_a_year(spark, sf_dir):
+    """The same scaled to a year: times 365 over the days of the profile that has fewer."""
+    p = profiles(spark, sf_dir)
+    return matching.assigned(p.where("profile_id % 20 = 0"), p, "profile_id", "vals", 16, year=365.0).select("query", "other", F.round("d", 6).alias("d"))
+
+
 @query(with_tables("slots") + """, e AS (SELECT min(value) AS a, max(value) AS b FROM slots), h AS (SELECT cluster, least(CAST(floor((value - a) / (b - a) * 10) AS INT), 9) AS bin, count(*) AS n FROM slots, e GROUP BY 1, 2),
 s AS (SELECT c.cluster, b.bin, coalesce(h.n, 0) / CAST(sum(coalesce(h.n, 0)) OVER (PARTITION BY c.cluster) AS DOUBLE) AS w FROM (SELECT DISTINCT cluster FROM slots) c CROSS JOIN (SELECT CAST(unnest(range(10)) AS INT) AS bin) b LEFT JOIN h ON h.cluster = c.cluster AND h.bin = b.bin),
 f AS (SELECT cluster, bin, sum(w) OVER (PARTITION BY cluster ORDER BY bin) AS f FROM s)

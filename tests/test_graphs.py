@@ -105,7 +105,7 @@ def test_label_distances(spark):
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.tuples(st.lists(st.one_of(st.none(), st.integers(-5, 5)), max_size=7), st.lists(st.one_of(st.none(), st.integers(-5, 5)), max_size=7)), min_size=1, max_size=5))
 def test_transport_of_samples_of_any_size(spark, pairs):
-    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "id int, a array<double>, b array<double>") if False else spark.createDataFrame([(i, [None if v is None else float(v) for v in a], [None if v is None else float(v) for v in b]) for i, (a, b) in enumerate(pairs)], "id int, a array<double>, b array<double>")
+    df = spark.createDataFrame([(i, [None if v is None else float(v) for v in a], [None if v is None else float(v) for v in b]) for i, (a, b) in enumerate(pairs)], "id int, a array<double>, b array<double>")
     got = {r.id: r.d for r in df.select("id", distance.transport_1d(F.col("a"), F.col("b")).alias("d")).collect()}
     for i, (a, b) in enumerate(pairs):
         x, y = (sorted(v for v in p if v is not None) for p in (a, b))
