@@ -61,8 +61,8 @@ def test_shape_distance_and_shape():
 def test_shifted_and_scaled_copies_fall_together(spark):
     rng = np.random.default_rng(3)
     t = np.arange(48)
-    kinds = [np.exp(-((t - 20) ** 2) / 8), np.exp(-((t - 15) ** 2) / 4) + np.exp(-((t - 35) ** 2) / 4), ((t > 12) & (t < 32)) * 1.0]
-    rows = [(i, (3 + i * np.roll(kinds[i % 3], int(rng.integers(-6, 7))) + rng.normal(size=48) * 0.01 * i).tolist()) for i in range(1, 91)]
+    kinds = [np.exp(-((t - 20) ** 2) / 8), np.exp(-((t - 15) ** 2) / 4) + np.exp(-((t - 35) ** 2) / 4), np.exp(-((t - 20) ** 2) / 6) - np.exp(-((t - 27) ** 2) / 6)]
+    rows = [(i, (3 + i * np.roll(kinds[i % 3], int(rng.integers(-5, 6))) + rng.normal(size=48) * 0.01 * i).tolist()) for i in range(1, 91)]
     rows += [(-1, None), (500, [1.0]), (501, [None] * 48), (502, [2.0] * 48)]
     df = spark.createDataFrame([(i, v) for i, v in rows if i != -1] + [(1000, None)], "id int, x array<double>")
     got = {r.id: r for r in shapes.k_shape(df.repartition(3), "id", "x", 3).collect()}
