@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans, PowerIterationClustering
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadscape.operators.matching import k_medoids
@@ -32,8 +35,8 @@ def classified_sampler(train: DataFrame, queries: DataFrame, key: str, vals: str
     features = array_to_vector(F.array(*[F.col(c).cast("double") for c in info]))
     forest = RandomForestClassifier(labelCol="_c", featuresCol="_x", seed=seed, numTrees=20).fit(clusters.withColumn("_x", features))
     found = forest.transform(queries.withColumn("_x", features)).select(F.col(key).alias("test"), F.posexplode(vector_to_array("probability")).alias("_c", "p")).where("p > 0")
-    members = clusters.select("_c", F.col(key).alias("pick")).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_c")))
-    return found.join(members, "_c").select("test", "pick", (F.col("p") / F.col("_n")).alias("p"))
+    sizes = clusters.groupBy("_c").agg(F.count(F.lit(1)).alias("_n"))
+    return found.join(sizes, "_c").join(clusters.select("_c", F.col(key).alias("pick")), "_c").select("test", "pick", (F.col("p") / F.col("_n")).alias("p"))
 
 
 def pca(df: DataFrame, vals: str, k: int) -> DataFrame:
@@ -67,6 +70,90 @@ def validated_tree(train: DataFrame, held: DataFrame, info: Sequence[str], label
     return best
 
 
+@dataclass
+class Node:
+    """A node of a tree: class counts of the training rows in it, its leaf numbers, and its children if it has any."""
+
+    counts: np.ndarray
+    leaves: list[int]
+    children: tuple[Node, Node] | tuple[()] = ()
+
+    def risk(self, total: float) -> float:
+        """Gini impurity times the share of all rows."""
+        n = self.counts.sum()
+        return float((1 - ((self.counts / n) ** 2).sum()) * n / total) if n else 0.0
+
+
+def ends(root: Node, cut: frozenset[int]) -> list[Node]:
+    """The leaves of the tree once the nodes in ``cut`` (by id) have lost what is below them."""
+    if not root.children or id(root) in cut:
+        return [root]
+    return [e for child in root.children for e in ends(child, cut)]
+
+
+def pruning_sequence(root: Node) -> list[tuple[float, frozenset[int]]]:
+    """(alpha, nodes that are cut) of the subtrees that are best at some price alpha of a leaf, the whole tree first.
+
+    Each step cuts the nodes below which a leaf saves least; those that save equally go together.
+    """
+    total = float(root.counts.sum()) or 1.0
+    found, cut, alpha = [(0.0, frozenset())], frozenset(), 0.0
+
+    def links(node: Node) -> Iterator[tuple[float, Node]]:
+        if node.children and id(node) not in cut:
+            below = ends(node, cut)
+            yield (node.risk(total) - sum(e.risk(total) for e in below)) / (len(below) - 1), node
+            for child in node.children:
+                yield from links(child)
+
+    while weakest := [*links(root)]:
+        least = min(g for g, _ in weakest)
+        alpha = max(alpha, least)
+        cut = cut | {id(node) for g, node in weakest if g <= least + 1e-12}
+        if found and alpha <= found[-1][0] + 1e-12:
+            found[-1] = alpha, cut
+        else:
+            found.append((alpha, cut))
+    return found
+
+
+def pruned_tree(train: DataFrame, held: DataFrame, info: Sequence[str], label: str, depth: int = 8, seed: int = 1):
+    """(model, root, steps, best): a tree grown to ``depth`` and pruned at the price of a leaf that does best on held-out rows.
+
+    steps are (alpha, leaves, log loss, nodes cut) of the weakest-link sequence, best the place of the least loss (of equal
+    ones the smaller tree). Rows are counted by leaf and label once, for training and held-out rows; what comes to the
+    driver is one number for each of these, and every subtree is judged from them. Labels are 0, 1, ...; null labels are
+    left out.
+    """
+    features = array_to_vector(F.array(*[F.col(c).cast("double") for c in info]))
+    rows = [d.where(F.col(label).isNotNull()).withColumn("_x", features) for d in (train, held)]
+    model = DecisionTreeClassifier(labelCol=label, featuresCol="_x", maxDepth=depth, seed=seed, minInfoGain=0.0).fit(rows[0]).setLeafCol("_leaf")
+    counted = [{(int(a), int(b)): n for a, b, n in model.transform(d).groupBy("_leaf", label).count().collect()} for d in rows]
+    classes = 1 + max((b for c in counted for _, b in c), default=0)
+    numbers = itertools.count()
+
+    def read(node) -> Node:
+        if node.subtreeDepth() == 0:
+            leaf = next(numbers)
+            return Node(np.array([counted[0].get((leaf, c), 0) for c in range(classes)], float), [leaf])
+        a, b = read(node.leftChild()), read(node.rightChild())
+        return Node(a.counts + b.counts, a.leaves + b.leaves, (a, b))
+
+    root = read(model._java_obj.rootNode())
+    size = max(1, sum(counted[1].values()))
+
+    def loss(cut: frozenset[int]) -> float:
+        total = 0.0
+        for end in ends(root, cut):
+            p = np.maximum(end.counts / max(1.0, end.counts.sum()), 1e-12)
+            total -= sum(counted[1].get((leaf, c), 0) * np.log(p[c]) for leaf in end.leaves for c in range(classes))
+        return float(total / size)
+
+    steps = [(alpha, len(ends(root, cut)), loss(cut), cut) for alpha, cut in pruning_sequence(root)]
+    best = min(range(len(steps)), key=lambda i: (steps[i][2], -i))
+    return model, root, steps, best
+
+
 def power_iteration(pairs: DataFrame, k: int, scale: float) -> DataFrame:
     """(id, cluster): power iteration clustering of distances (i, j, d), as similarities exp(-d / scale)."""
     edges = pairs.select(F.col("i").cast("long").alias("src"), F.col("j").cast("long").alias("dst"), F.exp(-F.col("d") / scale).alias("weight"))

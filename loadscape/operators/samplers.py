@@ -51,9 +51,9 @@ def temperature_band(queries: DataFrame, train: DataFrame, reach: float) -> Data
 
 
 def share_out(probs: DataFrame, members: DataFrame, cluster: str) -> DataFrame:
-    """Probabilities of clusters shared equally by their members."""
-    sized = members.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(cluster)))
-    return probs.join(sized, cluster).withColumn("p", F.col("p") / F.col("_n")).drop(cluster, "_n")
+    """Probabilities of clusters shared equally by their members. Sizes are joined, so a large cluster stays spread."""
+    sizes = members.groupBy(cluster).agg(F.count(F.lit(1)).alias("_n"))
+    return probs.join(sizes, cluster).join(members, cluster).withColumn("p", F.col("p") / F.col("_n")).drop(cluster, "_n")
 
 
 def nearest_centroid(queries: DataFrame, train: DataFrame, x: str) -> DataFrame:
@@ -113,5 +113,5 @@ def weighted_draws(queries: DataFrame, train: DataFrame, group: str, weight: str
 
 def two_level(cluster_probs: DataFrame, members: DataFrame, cluster: str, same: Sequence[str]) -> DataFrame:
     """(test, pick, p): a cluster's probability times an equal share among its members that agree in ``same``."""
-    sized = members.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(cluster, *same)))
-    return cluster_probs.join(sized, [cluster, *same]).select("test", "pick", (F.col("p") / F.col("_n")).alias("p"))
+    sizes = members.groupBy(cluster, *same).agg(F.count(F.lit(1)).alias("_n"))
+    return cluster_probs.join(sizes, [cluster, *same]).join(members, [cluster, *same]).select("test", "pick", (F.col("p") / F.col("_n")).alias("p"))

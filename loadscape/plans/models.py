@@ -178,3 +178,15 @@ def m15_validated_tree(spark, sf_dir):
     info = [f"x{i}" for i in range(4)]
     model, loss = models.validated_tree(p.where("fold > 0"), p.where("fold = 0"), info, "y", [2, 4, 6])
     return spark.createDataFrame([(model.depth, loss)], "depth int, log_loss double")
+
+
+@query()
+def m15_pruned_tree(spark, sf_dir):
+    """The weakest-link subtrees of a tree of clusters by the means of the profile's quarters, judged on held-out rows."""
+    from loadscape.operators.samplers import fold_of
+
+    p = profiles(spark, sf_dir).withColumn("q", fold(F.col("vals"), 16)).withColumn("fold", fold_of(F.col("profile_id"), "tree", 5))
+    info = [f"x{i}" for i in range(4)]
+    p = p.select("profile_id", F.col("cluster").cast("double").alias("y"), "fold", *[F.col("q")[i].alias(c) for i, c in enumerate(info)])
+    _, _, steps, best = models.pruned_tree(p.where("fold > 0"), p.where("fold = 0"), info, "y")
+    return spark.createDataFrame([(alpha, n, loss, i == best) for i, (alpha, n, loss, _) in enumerate(steps)], "alpha double, leaves int, log_loss double, chosen boolean")

@@ -104,3 +104,50 @@ def test_assigned_days_are_scaled_to_a_year(spark):
     plain = {r.other: r.d for r in matching.assigned(df.where("id = 0"), df, "id", "v", 2).collect()}
     year = {r.other: r.d for r in matching.assigned(df.where("id = 0"), df, "id", "v", 2, year=365.0).collect()}
     assert np.isclose(year[1], 365 * plain[1]) and np.isclose(year[2], 365 / 2 * plain[2])
+
+
+def test_weakest_link_subtrees_are_best_at_their_price(spark):
+    from loadscape.operators import models
+
+    rng = np.random.default_rng(9)
+
+    def grown(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return models.Node(rng.integers(0, 9, 3).astype(float), [0])
+        a, b = grown(depth - 1), grown(depth - 1)
+        return models.Node(a.counts + b.counts, a.leaves + b.leaves, (a, b))
+
+    def subtrees(node):
+        yield [node]
+        if node.children:
+            yield from (a + b for a in subtrees(node.children[0]) for b in subtrees(node.children[1]))
+
+    for _ in range(12):
+        root = grown(3)
+        total = root.counts.sum()
+        risk = lambda t: sum(e.risk(total) for e in t)
+        sequence = models.pruning_sequence(root)
+        sizes = [len(models.ends(root, cut)) for _, cut in sequence]
+        assert sizes == sorted(sizes, reverse=True) and sizes[-1] == 1
+        alphas = [a for a, _ in sequence] + [sequence[-1][0] + 1]
+        for (_, cut), low, high in zip(sequence, alphas, alphas[1:]):
+            price = (low + high) / 2
+            best = min(subtrees(root), key=lambda t: (round(risk(t) + price * len(t), 9), len(t)))
+            own = models.ends(root, cut)
+            assert abs(risk(own) + price * len(own) - risk(best) - price * len(best)) < 1e-9
+
+
+def test_pruned_tree_on_rows(spark):
+    from loadscape.operators import models
+
+    rng = np.random.default_rng(10)
+    x = rng.random((400, 2))
+    y = (x[:, 0] > 0.5).astype(float)
+    y = np.where(rng.random(400) < 0.25, 1 - y, y)
+    df = spark.createDataFrame([(float(a), float(b), float(c), i) for i, ((a, b), c) in enumerate(zip(x, y))], "a double, b double, y double, i int")
+    train, held = df.where("i % 4 <> 0"), df.where("i % 4 = 0")
+    model, root, steps, best = models.pruned_tree(train, held, ["a", "b"], "y", depth=5)
+    assert steps[0][1] == len(root.leaves) and steps[best][1] < steps[0][1] and steps[best][2] <= min(s[2] for s in steps)
+    found = model.transform(held.withColumn("_x", models.array_to_vector(F.array("a", "b")))).collect()
+    loss = -np.mean([np.log(max(r.probability[int(r.y)], 1e-12)) for r in found])
+    assert np.isclose(loss, steps[0][2])
