@@ -36,23 +36,38 @@ def range_of(values: DataFrame, col: str) -> Column:
     return at(0, len(bounds))
 
 
-def counted(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by, value, n, below, total): each distinct value of ``col`` with how many rows hold it, hold less, and are there.
+def running(rows: DataFrame, order: str, measures: Sequence[str], by: Sequence[str] = (), seen: DataFrame | None = None) -> DataFrame:
+    """``rows`` with ``<m>_below`` and ``<m>_total`` for each measure: its sum over the rows of smaller ``order``, and over all.
 
-    Within each group of ``by``; null values are left out.
+    Within each group of ``by``. ``order`` is unique there and not null; bounds of the ranges come from ``seen``, rows of that
+    column which are cheaper to read, if given. A group is dealt into ranges like everything else, so
+    a group that holds most of the rows is ordered by many tasks.
     """
-    counts = df.select(*by, F.col(col).alias("value")).where("value is not null").groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"))
-    dealt = counts.withColumn("_part", range_of(df, col) if col == "value" else range_of(df.select(F.col(col).alias("value")), "value"))
-    sums = dealt.groupBy(*by, "_part").agg(F.sum("n").alias("_n"))
+    dealt = rows.withColumn("_part", range_of(rows if seen is None else seen, order))
+    sums = dealt.groupBy(*by, "_part").agg(*[F.sum(m).alias(f"_{m}") for m in measures])
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    start = F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_part").alias("_own"), start.alias("_start"), F.sum("_n").over(group).alias("total"))
-    inside = Window.partitionBy(*by, "_part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda m: F.lit(0).cast(rows.schema[m].dataType)
+    starts = [F.coalesce(F.sum(f"_{m}").over(before), zero(m)).alias(f"_{m}_start") for m in measures]
+    totals = [F.sum(f"_{m}").over(group).alias(f"{m}_total") for m in measures]
+    sums = sums.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_part").alias("_own"), *starts, *totals)
+    inside = Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     same = F.col("_part") == F.col("_own")
     for c in by:
         same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
-    rows = dealt.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(sums, same)
-    return rows.select(*by, "value", "n", (F.col("_start") + F.col("_inside")).alias("below"), "total")
+    within = {f"_{m}_inside": F.coalesce(F.sum(m).over(inside), zero(m)) for m in measures}
+    found = dealt.withColumns(within).join(sums, same)
+    below = [(F.col(f"_{m}_start") + F.col(f"_{m}_inside")).alias(f"{m}_below") for m in measures]
+    return found.select(*rows.columns, *below, *[f"{m}_total" for m in measures])
+
+
+def counted(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, value, n, below, total): each distinct value of ``col`` with how many rows hold it, hold less, and are there.
+
+    Within each group of ``by``; null values are left out.
+    """
+    counts = df.select(*by, F.col(col).alias("value")).where("value is not null").groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"))
+    return running(counts, "value", ["n"], by, df.select(F.col(col).alias("value"))).select(*by, "value", "n", F.col("n_below").alias("below"), F.col("n_total").alias("total"))
 
 
 def quantiles(df: DataFrame, col: str, levels: Sequence[float], by: Sequence[str] = ()) -> DataFrame:

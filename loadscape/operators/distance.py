@@ -121,13 +121,20 @@ def pairs_with_queries(df: DataFrame, queries: DataFrame, key: str, vals: str, d
     return meet(df, q).where(F.col("query") != F.col(key)).select("query", F.col(key).alias("other"), distance(F.col("_q"), F.col(vals)).alias("d"))
 
 
-#: Blocks into which the rows of each group are dealt.
-BLOCKS = 4
+#: Least number of blocks into which the rows of a group are dealt, and rows of a block beyond that.
+BLOCKS, BLOCK_ROWS = 4, 1_000
 
 
-def _block_pairs(df: DataFrame, shared: list[str], key: str, cols: dict[str, str], blocks: int) -> DataFrame:
+def with_blocks(df: DataFrame, shared: list[str]) -> DataFrame:
+    """Adds ``_blocks``: how many blocks the row's group is dealt into, so that a block stays small whatever the group's size."""
+    sizes = df.groupBy(*[F.col(c).alias(f"_{c}") for c in shared]).agg(F.greatest(F.lit(BLOCKS), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS)).cast("int").alias("_blocks"))
+    same = [df[c].eqNullSafe(sizes[f"_{c}"]) for c in shared]
+    return df.join(sizes, same).drop(*[f"_{c}" for c in shared])
+
+
+def block_pairs(df: DataFrame, shared: list[str], key: str, cols: dict[str, str], blocks: Column) -> DataFrame:
     """Pairs i < j of rows that agree in ``shared``; each of ``cols`` comes as name_a and name_b."""
-    own, every = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    own, every = F.pmod(F.xxhash64(key), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
     a = df.select(*shared, F.col(key).alias("i"), *[F.col(c).alias(f"{n}_a") for n, c in cols.items()], own.alias("_x"), every.alias("_y"))
     b = df.select(*shared, F.col(key).alias("j"), *[F.col(c).alias(f"{n}_b") for n, c in cols.items()], every.alias("_x"), own.alias("_y"))
     return a.join(b, [*shared, "_x", "_y"]).where("i < j")
@@ -136,16 +143,17 @@ def _block_pairs(df: DataFrame, shared: list[str], key: str, cols: dict[str, str
 def pairs_within(df: DataFrame, group: str, key: str, vals: str, distance) -> DataFrame:
     """(group, i, j, d) for i < j of the same group: the lower triangle of each group's distance matrix.
 
-    Each group is dealt into blocks by hash, and a row goes to every pair of blocks with its own, so a large group's
-    pairs are made by many tasks. The result has a row for each pair, so it grows with the square of a group.
+    Each group is dealt into blocks by hash, as many as its size asks for, and a row goes to every pair of blocks with its
+    own, so a large group's pairs are made by many tasks, each of two blocks of about BLOCK_ROWS rows. The result has a row
+    for each pair, so it grows with the square of a group.
     """
-    pairs = _block_pairs(df, [group], key, {"v": vals}, BLOCKS)
+    pairs = block_pairs(with_blocks(df.select(group, key, vals), [group]), [group], key, {"v": vals}, F.col("_blocks"))
     return pairs.select(group, "i", "j", distance(F.col("v_a"), F.col("v_b")).alias("d"))
 
 
 def pairs_of_groups(df: DataFrame, group: str, key: str, vals: str, distance, blocks: int = 4 * BLOCKS) -> DataFrame:
     """(group_a, group_b, d) for every pair of rows of one sample, each pair once, dealt into blocks by hash."""
-    pairs = _block_pairs(df, [], key, {"group": group, "v": vals}, blocks)
+    pairs = block_pairs(df, [], key, {"group": group, "v": vals}, F.lit(blocks))
     return pairs.select(F.least("group_a", "group_b").alias("group_a"), F.greatest("group_a", "group_b").alias("group_b"), distance(F.col("v_a"), F.col("v_b")).alias("d"))
 
 

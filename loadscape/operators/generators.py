@@ -6,15 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadscape.operators.counted import quantiles as exact_quantiles
+from loadscape.operators.counted import running
 
 
 def random_scenarios(df: DataFrame, group: str, key: str, n: int, seed: str) -> DataFrame:
-    """(day, s, pick): n members of each group drawn with replacement, decided by hash."""
-    members = df.select(F.col(group).alias("day"), F.col(key).alias("pick"), (F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1).alias("k"))
+    """(day, s, pick): n members of each group drawn with replacement, decided by hash. Members are numbered range by range."""
+    members = running(df.select(F.col(group).alias("day"), F.col(key).alias("pick"), F.lit(1).alias("_one")), "pick", ["_one"], ["day"])
+    members = members.select("day", "pick", F.col("_one_below").alias("k"))
     sizes = df.groupBy(F.col(group).alias("day")).agg(F.count(F.lit(1)).alias("_n"))
     draws = sizes.select("day", "_n", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("s"))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("day").cast("string"), F.lit(":"), F.col("s").cast("string")).cast("binary"))

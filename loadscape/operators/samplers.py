@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loadscape.operators.counted import running
 from loadscape.operators.distance import meet
 
 
@@ -95,10 +96,11 @@ def weighted_draws(queries: DataFrame, train: DataFrame, group: str, weight: str
     """(test, n, pick): n draws with replacement per test among the training rows of its group, by weight.
 
     Each draw is a number decided by hash, which falls into one pick's share of the group's running weights. Shares and
-    draws meet in cells of the group's total, so a draw sees the picks of its cell only.
+    draws meet in cells of the group's total, so a draw sees the picks of its cell only; weights run up range by range, so
+    no task sees a whole group.
     """
-    w = Window.partitionBy(group).orderBy("pick")
-    shares = train.select("pick", group, F.col(weight).alias("_w"), F.sum(weight).over(w).alias("_hi"), F.sum(weight).over(Window.partitionBy(group)).alias("_total"))
+    rows = running(train.select("pick", group, F.col(weight).alias("_w")), "pick", ["_w"], [group])
+    shares = rows.select("pick", group, "_w", (F.col("_w_below") + F.col("_w")).alias("_hi"), F.col("_w_total").alias("_total"))
     draws = queries.select("test", group, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("n"))
     key = F.concat(F.col("test").cast("string"), F.lit(":"), F.col("n").cast("string"))
     u = F.conv(F.substring(_digest(key, seed), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))

@@ -6,21 +6,24 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loadscape.operators.distance import euclidean, meet, pairs_of_groups, squared
+from loadscape.operators.counted import counted
+from loadscape.operators.counted import quantiles as counted_quantiles
+from loadscape.operators.distance import block_pairs, euclidean, meet, pairs_of_groups, squared, with_blocks
 
 
 def energy_score(samples: DataFrame, observed: DataFrame) -> DataFrame:
     """(test_id, es) from samples (test_id, s, p, vals) and observed (test_id, y).
 
-    Sum of p |x - y| less half the sum of p p' |x - x'|. Samples meet only within their test.
+    Sum of p |x - y| less half the sum of p p' |x - x'|. Samples meet only within their test, dealt into blocks by its size,
+    so the pairs of a large test are made by many tasks.
     """
     near = samples.join(observed, "test_id").groupBy("test_id").agg(F.sum(F.col("p") * euclidean(F.col("vals"), F.col("y"))).alias("a"))
-    other = samples.select("test_id", F.col("s").alias("s2"), F.col("p").alias("p2"), F.col("vals").alias("v2"))
-    spread = samples.join(other, "test_id").where("s < s2").groupBy("test_id").agg(F.sum(F.col("p") * F.col("p2") * euclidean(F.col("vals"), F.col("v2"))).alias("b"))
+    pairs = block_pairs(with_blocks(samples, ["test_id"]), ["test_id"], "s", {"p": "p", "v": "vals"}, F.col("_blocks"))
+    spread = pairs.groupBy("test_id").agg(F.sum(F.col("p_a") * F.col("p_b") * euclidean(F.col("v_a"), F.col("v_b"))).alias("b"))
     return near.join(spread, "test_id", "left").select("test_id", (F.col("a") - F.coalesce("b", F.lit(0.0))).alias("es"))
 
 
@@ -36,17 +39,29 @@ def variogram_score(scenarios: DataFrame, observed: DataFrame, beta: float = 0.5
 
 
 def crps(scenarios: DataFrame, observed: DataFrame) -> DataFrame:
-    """(day, slot, crps): mean |x - y| less the mean pair gap, from the order of the scenarios instead of their pairs."""
-    w = Window.partitionBy("day", "slot")
-    rows = scenarios.withColumn("_i", F.row_number().over(w.orderBy("value", "s"))).withColumn("_n", F.count(F.lit(1)).over(w))
-    spread = F.sum((2 * F.col("_i") - F.col("_n") - 1) * F.col("value") / (F.col("_n") * F.col("_n")))
-    return rows.join(observed, ["day", "slot"]).groupBy("day", "slot").agg((F.avg(F.abs(F.col("value") - F.col("y"))) - spread).alias("crps"))
+    """(day, slot, crps): mean |x - y| less the mean pair gap, from the order of the scenarios instead of their pairs.
+
+    Equal values are counted first and ordered range by range, so a day of very many scenarios is the work of many tasks.
+    """
+    rows = counted(scenarios, "value", ["day", "slot"])
+    n, total = F.col("n"), F.col("total").cast("double")
+    spread = F.sum(n * (2 * F.col("below") + n - F.col("total")) * F.col("value") / (total * total))
+    near = F.sum(n * F.abs(F.col("value") - F.col("y")) / total)
+    return rows.join(observed, ["day", "slot"]).groupBy("day", "slot").agg((near - spread).alias("crps"))
 
 
 def quantiles(scenarios: DataFrame, levels: Sequence[float]) -> DataFrame:
-    """(day, slot, q, value) with linear quantiles of the scenarios."""
-    found = scenarios.groupBy("day", "slot").agg(F.percentile("value", F.array(*map(F.lit, levels))).alias("v"))
-    return found.select("day", "slot", F.posexplode("v").alias("k", "value")).select("day", "slot", F.element_at(F.array(*map(F.lit, levels)), F.col("k") + 1).alias("q"), "value")
+    """(day, slot, q, value) with linear quantiles of the scenarios, from counts ordered range by range."""
+    return counted_quantiles(scenarios, "value", levels, ["day", "slot"]).withColumnRenamed("level", "q")
+
+
+def empirical_cdf(df: DataFrame, col: str, by: Sequence[str], out: str) -> DataFrame:
+    """Adds the share of the group's rows that lie at or below the row's value; NULL where the value is null."""
+    found = counted(df, col, by).select(*[F.col(c).alias(f"_{c}") for c in by], F.col("value").alias("_x"), ((F.col("below") + F.col("n")) / F.col("total")).alias(out))
+    same = F.col(col) == F.col("_x")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return df.join(found, same, "left").drop("_x", *[f"_{c}" for c in by])
 
 
 def pinball(quantile_rows: DataFrame, observed: DataFrame, by: str = "q") -> DataFrame:

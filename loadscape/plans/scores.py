@@ -1,6 +1,5 @@
 """Queries on scenario scores. A cluster is a day, its first profile the observation and the others the scenarios."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loadscape.operators import scoring
@@ -100,5 +99,4 @@ def g11_quantile_band_share(spark, sf_dir):
 
 @query("""WITH d AS (SELECT c_nationkey, c_acctbal, cume_dist() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) AS u FROM customer) SELECT c_nationkey, c_acctbal, round(u, 9) AS u FROM d""")
 def h2_empirical_cdf(spark, sf_dir):
-    w = Window.partitionBy("c_nationkey").orderBy("c_acctbal")
-    return table(spark, sf_dir, "customer").select("c_nationkey", "c_acctbal", F.round(F.cume_dist().over(w), 9).alias("u"))
+    return scoring.empirical_cdf(table(spark, sf_dir, "customer").select("c_nationkey", "c_acctbal"), "c_acctbal", ["c_nationkey"], "u").withColumn("u", F.round("u", 9))
