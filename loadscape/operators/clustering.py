@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,6 +39,22 @@ def inertias(df: DataFrame, vals: str, ks: Sequence[int], repeats: int = 2, seed
     return df.sparkSession.createDataFrame(found, "k int, inertia double")
 
 
+def silhouette_search(df: DataFrame, vals: str, ks: Sequence[int], seed: int = 1) -> DataFrame:
+    """(k, silhouette, chosen): k-means for every k from 2, the mean silhouette over squared distances, the best k chosen.
+
+    The mean distance of a row to a cluster follows from the cluster's sums, so no pairs are made. Ties go to the smaller k;
+    no k above the number of different rows is tried. One row a k reaches the driver.
+    """
+    vectors = df.where(F.col(vals).isNotNull()).select(array_to_vector(vals).alias("features"))
+    most = vectors.select(vector_to_array("features").alias("x")).distinct().count()
+    found = []
+    for k in sorted({k for k in ks if 2 <= k <= most}):
+        fitted = KMeans(k=k, seed=seed).fit(vectors).transform(vectors)
+        found.append((k, float(ClusteringEvaluator(metricName="silhouette").evaluate(fitted))))
+    best = max(found, key=lambda x: (x[1], -x[0]))[0] if found else None
+    return df.sparkSession.createDataFrame([(k, s, k == best) for k, s in found], "k int, silhouette double, chosen boolean")
+
+
 def standardised(df: DataFrame, col: str) -> DataFrame:
     """A short curve's column less its mean over its population deviation."""
     s = F.broadcast(df.agg(F.avg(col).alias("_m"), F.stddev_pop(col).alias("_s")))

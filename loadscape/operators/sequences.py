@@ -91,6 +91,26 @@ def interpolate(df: DataFrame, keys: Sequence[str], pos: str, value: str, out: s
     return df.withColumn(out, F.coalesce(F.col(value), line))
 
 
+def interpolate_cubic(df: DataFrame, keys: Sequence[str], pos: str, value: str, out: str) -> DataFrame:
+    """NULLs between two values on the polynomial through the two known values before and the two after; outer NULLs stay.
+
+    Near an end, where a side has only one value, the polynomial is of the degree that its points allow.
+    """
+    w = Window.partitionBy(*keys).orderBy(pos)
+    point = F.when(F.col(value).isNotNull(), F.struct(F.col(pos).cast("double").alias("p"), F.col(value).cast("double").alias("v")))
+    # at a known value: it and the known one before (or after) it
+    before = F.last(point, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(point, True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    pairs = df.withColumns({"_b": F.when(point.isNotNull(), F.struct(point.alias("x"), before.alias("y"))), "_a": F.when(point.isNotNull(), F.struct(point.alias("x"), after.alias("y")))})
+    sides = pairs.withColumns({"_b": F.last("_b", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_a": F.first("_a", True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    points = sides.withColumn("_points", F.filter(F.array("_b.y", "_b.x", "_a.x", "_a.y"), lambda x: x.isNotNull()))
+    at, all_ = F.col(pos).cast("double"), F.col("_points")
+    share = lambda x: F.aggregate(F.filter(all_, lambda y: y["p"] != x["p"]), F.lit(1.0), lambda m, y: m * (at - y["p"]) / (x["p"] - y["p"]))
+    curve = F.aggregate(all_, F.lit(0.0), lambda s, x: s + x["v"] * share(x))
+    inside = F.col("_b").isNotNull() & F.col("_a").isNotNull()
+    return points.withColumn(out, F.coalesce(F.col(value), F.when(inside, curve))).drop("_a", "_b", "_points")
+
+
 def forward_fill(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(out, F.last(value, True).over(w))

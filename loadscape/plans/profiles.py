@@ -67,6 +67,12 @@ def c11_centroid_silhouette(spark, sf_dir):
     return clustering.silhouette(d).select("id", F.round("s", 6).alias("s"))
 
 
+@query()
+def c11_silhouette_search(spark, sf_dir):
+    """Mean silhouettes of k-means for two to eight clusters of all profiles, the best marked."""
+    return clustering.silhouette_search(profiles(spark, sf_dir), "vals", range(2, 9)).select("k", F.round("silhouette", 6).alias("silhouette"), "chosen")
+
+
 @query(_PAIRS + """, r AS (SELECT * FROM sym QUALIFY row_number() OVER (PARTITION BY cluster, i ORDER BY d, j) <= 5), kd AS (SELECT i, max(d) AS kd FROM r GROUP BY 1),
 lrd AS (SELECT r.i, 1 / avg(greatest(d, kd)) AS lrd FROM r JOIN kd ON kd.i = r.j GROUP BY 1)
 SELECT r.cluster, r.i, round(avg(b.lrd) / any_value(a.lrd), 6) AS lof FROM r JOIN lrd b ON b.i = r.j JOIN lrd a ON a.i = r.i GROUP BY 1, 2""")

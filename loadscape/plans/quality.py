@@ -139,6 +139,45 @@ def g15_classification_scores(spark, sf_dir):
     return rows.agg(F.round(F.avg(hit), 9).alias("accuracy"), F.round(F.avg(loss), 9).alias("log_loss"))
 
 
+_CURVE = with_tables("readings") + """, c AS (SELECT value AS threshold, count(*) FILTER (kind = 'purchase') AS positives, count(*) AS n FROM readings WHERE value IS NOT NULL GROUP BY 1),
+r AS (SELECT threshold, positives, sum(positives) OVER w AS hit, sum(n) OVER w AS taken, sum(positives) OVER () AS p, sum(n) OVER () AS t FROM c WINDOW w AS (ORDER BY threshold DESC))"""
+
+
+@query(_CURVE + "SELECT threshold, positives, round(hit / taken, 9) AS precision, round(hit / p, 9) AS recall, round((taken - hit - 0.0) / (t - p), 9) AS fall_out FROM r")
+def g13_threshold_curve(spark, sf_dir):
+    """Precision, recall and fall-out at every value of the readings, purchases being the positives."""
+    from loadscape.operators.statistics import threshold_curve
+
+    rows = readings(spark, sf_dir).select("value", (F.col("kind") == "purchase").cast("int").alias("y"))
+    return threshold_curve(rows, "value", "y").select("threshold", "positives", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "fall_out")])
+
+
+@query(_CURVE + "SELECT round(sum(positives * hit / taken) / max(p), 9) AS average_precision FROM r")
+def g13_average_precision(spark, sf_dir):
+    from loadscape.operators.statistics import average_precision
+
+    rows = readings(spark, sf_dir).select("value", (F.col("kind") == "purchase").cast("int").alias("y"))
+    return average_precision(rows, "value", "y").select(F.round("average_precision", 9).alias("average_precision"))
+
+
+@query(with_tables("slots") + """, c AS (SELECT cluster AS cls, slot, avg(value) AS m FROM slots GROUP BY 1, 2), d AS (SELECT profile_id, cluster AS truth, cls, exp(-10 * sqrt(sum((value - m) * (value - m)))) AS e FROM slots JOIN c USING (slot) GROUP BY 1, 2, 3),
+s AS (SELECT profile_id, truth, cls, round(e / sum(e) OVER (PARTITION BY profile_id), 9) AS p FROM d),
+g AS (SELECT profile_id, truth, arg_max(cls, (p, -cls)) AS guess, max(p) FILTER (cls = truth) AS own FROM s GROUP BY 1, 2), b AS (SELECT truth, avg(CASE WHEN guess = truth THEN 1.0 ELSE 0 END) AS r FROM g GROUP BY 1),
+u AS (SELECT x.cls, y.truth AS other, sum(CASE WHEN x.p > y.p THEN 1.0 WHEN x.p = y.p THEN 0.5 ELSE 0 END) AS s, count(*) AS n FROM s x JOIN s y ON x.cls = x.truth AND y.cls = x.cls AND y.truth <> x.cls GROUP BY 1, 2), a AS (SELECT cls, sum(s) / sum(n) AS ovr FROM u GROUP BY 1)
+SELECT (SELECT round(avg(CASE WHEN guess = truth THEN 1.0 ELSE 0 END), 6) FROM g) AS accuracy, (SELECT round(avg(r), 6) FROM b) AS balanced_accuracy, (SELECT round(avg(-ln(greatest(own, 1e-15))), 6) FROM g) AS log_loss, (SELECT round(avg(ovr), 6) FROM a) AS auc_ovr, (SELECT round(avg(s / n), 6) FROM u) AS auc_ovo""")
+def g15_classifier_inspection(spark, sf_dir):
+    """Clusters given to profiles by how near their centres are, and how well those chances tell the clusters apart."""
+    from loadscape.operators.statistics import inspection
+
+    s = slots(spark, sf_dir)
+    centres = s.groupBy(F.col("cluster").alias("cls"), "slot").agg(F.avg("value").alias("m"))
+    gap = F.col("value") - F.col("m")
+    d = s.join(F.broadcast(centres), "slot").groupBy("profile_id", F.col("cluster").alias("truth"), "cls").agg(F.exp(-10 * F.sqrt(F.sum(gap * gap))).alias("e"))
+    scores = d.withColumn("p", F.round(F.col("e") / F.sum("e").over(Window.partitionBy("profile_id")), 9)).drop("e")
+    classes = sorted(r[0] for r in s.select("cluster").where("cluster is not null").distinct().collect())
+    return inspection(scores, "profile_id", classes).select(*[F.round(c, 6).alias(c) for c in ("accuracy", "balanced_accuracy", "log_loss", "auc_ovr", "auc_ovo")])
+
+
 @query(with_tables("readings") + ", d AS (SELECT meter_id, kind, round(sum(value), 4) AS v FROM readings GROUP BY 1, 2), r AS (SELECT kind, row_number() OVER (PARTITION BY meter_id ORDER BY v DESC, kind) AS place FROM d), c AS (SELECT kind, place, count(*) AS n FROM r GROUP BY 1, 2) SELECT kind, place, n, CAST(sum(n) OVER (PARTITION BY kind ORDER BY place) AS BIGINT) AS up_to FROM c")
 def w10_rank_histogram(spark, sf_dir):
     """How often each kind comes first, second, ... among a meter's totals, and cumulated."""

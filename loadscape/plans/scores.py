@@ -1,10 +1,12 @@
 """Queries on scenario scores. A cluster is a day, its first profile the observation and the others the scenarios."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loadscape.operators import scoring
 from loadscape.operators.counted import quantiles
 from loadscape.plans.registry import query
+from loadscape.plans.series import HOURLY, hourly
 from loadscape.sources.tables import profiles, readings, slots, table, with_tables
 
 
@@ -72,6 +74,49 @@ def g8_diebold_mariano(spark, sf_dir):
     return scoring.diebold_mariano(losses, "a", "b", "meter_id").select("meter_id", F.round("mean_d", 6).alias("mean_d"), "n", F.round("statistic", 6).alias("statistic"))
 
 
+def _tail_sql(z: str) -> str:
+    """1 - normal CDF of a column in SQL."""
+    polynomial = lambda cs: "".join("(" for _ in cs[1:]) + repr(cs[0]) + "".join(f" * abs({z}) + {c!r})" for c in cs[1:])
+    far = f"(abs({z}) + 1 / (abs({z}) + 2 / (abs({z}) + 3 / (abs({z}) + 4 / (abs({z}) + 0.65::DOUBLE)))))"
+    density = f"exp(-{z} * {z} / 2)"
+    tail = f"CASE WHEN abs({z}) < 7.07106781186547 THEN {density} * {polynomial(scoring.HART_TOP)} / {polynomial(scoring.HART_BOTTOM)} ELSE {density} / {far} / sqrt(2 * pi()) END"
+    return f"CASE WHEN {z} >= 0 THEN {tail} ELSE 1 - {tail} END"
+
+
+_MODELS = ["hour", "day", "level"]
+_LOSSES = HOURLY + """, lagged AS (SELECT meter_id, pos, value, lag(value) OVER w AS h, lag(value, 24) OVER w AS d, avg(value) OVER (PARTITION BY meter_id) AS l FROM hourly WINDOW w AS (PARTITION BY meter_id ORDER BY pos)),
+losses AS (SELECT meter_id, pos, abs(value - h) AS hour, abs(value - d) AS day, abs(value - l) AS level FROM lagged WHERE value IS NOT NULL),
+pairs(a, b) AS (VALUES ('hour', 'day'), ('hour', 'level'), ('day', 'hour'), ('day', 'level'), ('level', 'hour'), ('level', 'day'))"""
+_TEST = """, d AS (SELECT a, b, CASE a WHEN 'hour' THEN hour WHEN 'day' THEN day ELSE level END - CASE b WHEN 'hour' THEN hour WHEN 'day' THEN day ELSE level END AS d FROM cases, pairs),
+z AS (SELECT a, b, avg(d) AS m, count(d) AS n, avg(d) / sqrt(var_pop(d) / count(d)) AS z FROM d GROUP BY 1, 2)
+SELECT a, b, round(m, 6) AS mean_d, n, round(z, 5) AS statistic, round(""" + _tail_sql("z") + """, 7) AS p FROM z"""
+
+
+def _losses(spark, sf_dir):
+    """(meter_id, pos, hour, day, level): how far the value of the hour or day before, or the mean, is from each reading."""
+    w = Window.partitionBy("meter_id").orderBy("pos")
+    mean = F.avg("value").over(Window.partitionBy("meter_id"))
+    rows = hourly(spark, sf_dir).withColumns({"hour": F.lag("value").over(w), "day": F.lag("value", 24).over(w), "level": mean}).where("value is not null")
+    return rows.select("meter_id", "pos", *[F.abs(F.col("value") - F.col(m)).alias(m) for m in _MODELS])
+
+
+def _tested(losses):
+    return scoring.diebold_mariano_pairs(losses, _MODELS).select("a", "b", F.round("mean_d", 6).alias("mean_d"), "n", F.round("statistic", 5).alias("statistic"), F.round("p", 7).alias("p"))
+
+
+@query(_LOSSES + ", cases AS (SELECT * FROM losses)" + _TEST)
+def g8_model_pairs(spark, sf_dir):
+    """Every two of three simple forecasts, tested hour by hour over all meters."""
+    return _tested(_losses(spark, sf_dir))
+
+
+@query(_LOSSES + ", cases AS (SELECT meter_id, pos // 24 AS on_day, avg(hour) AS hour, avg(day) AS day, avg(level) AS level FROM losses GROUP BY 1, 2)" + _TEST)
+def g8_model_pairs_of_days(spark, sf_dir):
+    """The same forecasts, tested by the mean loss of each meter's days."""
+    losses = _losses(spark, sf_dir).withColumn("on_day", F.floor(F.col("pos") / 24))
+    return _tested(scoring.losses_of_cases(losses, ["meter_id", "on_day"], _MODELS))
+
+
 @query(with_tables("profiles") + """, k AS (SELECT a.cluster AS x, b.cluster AS y, sum(exp(-list_sum(list_transform(list_zip(a.vals, b.vals), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / 2)) AS t FROM profiles a, profiles b GROUP BY 1, 2),
 n AS (SELECT cluster, count(*) AS n FROM profiles GROUP BY 1), own AS (SELECT x, t / (n * (n - 1)) AS own, n FROM k JOIN n ON cluster = x WHERE x = y)
 SELECT k.x, k.y, round(a.own + b.own - 2 * t / (a.n * b.n), 9) AS mmd2 FROM k JOIN own a ON a.x = k.x JOIN own b ON b.x = k.y WHERE k.x < k.y""")

@@ -107,6 +107,18 @@ def w12_interpolate(spark, sf_dir):
     return ops.interpolate(hourly(spark, sf_dir), ["meter_id"], "pos", "value", "filled").select("meter_id", "pos", F.round(F.col("filled") + 1e-9, 6).alias("filled"))
 
 
+@query(HOURLY + """,
+known AS (SELECT meter_id, pos, value, lag(pos) OVER w AS pb, lag(value) OVER w AS vb, lead(pos) OVER w AS pa, lead(value) OVER w AS va FROM hourly WHERE value IS NOT NULL WINDOW w AS (PARTITION BY meter_id ORDER BY pos)),
+sides AS (SELECT h.meter_id, h.pos, h.value, b.pb AS p1, b.vb AS v1, b.pos AS p2, b.value AS v2, a.pos AS p3, a.value AS v3, a.pa AS p4, a.va AS v4 FROM hourly h ASOF LEFT JOIN known b ON b.meter_id = h.meter_id AND b.pos <= h.pos ASOF LEFT JOIN known a ON a.meter_id = h.meter_id AND a.pos >= h.pos),
+points AS (SELECT meter_id, pos, p, v FROM sides, LATERAL (SELECT unnest([p1, p2, p3, p4]) AS p, unnest([v1, v2, v3, v4]) AS v) WHERE value IS NULL AND p2 IS NOT NULL AND p3 IS NOT NULL AND p IS NOT NULL),
+shares AS (SELECT x.meter_id, x.pos, x.p, any_value(x.v) * product((x.pos - y.p) / CAST(x.p - y.p AS DOUBLE)) AS s FROM points x JOIN points y ON x.meter_id = y.meter_id AND x.pos = y.pos AND x.p <> y.p GROUP BY 1, 2, 3),
+curve AS (SELECT meter_id, pos, sum(s) AS c FROM shares GROUP BY 1, 2)
+SELECT meter_id, pos, round(coalesce(value, c) + 1e-9, 5) AS filled FROM hourly LEFT JOIN curve USING (meter_id, pos)""")
+def w12_cubic(spark, sf_dir):
+    """Missing hours on the cubic through the two readings before and the two after."""
+    return ops.interpolate_cubic(hourly(spark, sf_dir), ["meter_id"], "pos", "value", "filled").select("meter_id", "pos", F.round(F.col("filled") + 1e-9, 5).alias("filled"))
+
+
 @query(HOURLY + """,
 near AS (SELECT *, last_value(value IGNORE NULLS) OVER b AS x, first_value(value IGNORE NULLS) OVER a AS y FROM (SELECT *, pos % 24 AS phase, pos // 24 AS day FROM hourly)
   WINDOW b AS (PARTITION BY meter_id, phase ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY meter_id, phase ORDER BY day ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
