@@ -73,21 +73,25 @@ def rare_values(df: DataFrame, key: str, value: str, width: float, least: float)
     return df.withColumn("_cell", cell).join(share, [key, "_cell"]).withColumn("rare", F.col("_share") < least).drop("_cell", "_share")
 
 
+def density_region(df: DataFrame, key: str, value: str, width: float, bandwidth: float, reach: int, mass: float) -> DataFrame:
+    """(key, _cell, outside) of the cells of ``width`` in which values lie, see ``outside_density``."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, F.floor(F.col(value) / width).alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+    offset = F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("_o")
+    given = counts.select(key, "_cell", "_n", offset).select(key, (F.col("_cell") + F.col("_o")).alias("_cell"), (F.col("_n") * F.exp(-0.5 * F.pow(F.col("_o") * width / bandwidth, F.lit(2)))).alias("_k"))
+    density = counts.join(given, [key, "_cell"]).groupBy(key, "_cell", "_n").agg(F.round(F.sum("_k"), 6).alias("_f"))
+    by = Window.partitionBy(key)
+    denser = F.sum("_n").over(by.orderBy(F.desc("_f"), "_cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    return density.select(key, "_cell", (denser >= mass * F.sum("_n").over(by)).alias("outside"))
+
+
 def outside_density(df: DataFrame, key: str, value: str, width: float, bandwidth: float, reach: int, mass: float) -> DataFrame:
     """Adds ``outside``: the value lies outside its key's densest cells, which together hold a share ``mass`` of its values.
 
     Density is a Gaussian kernel over cells of ``width``, cut off ``reach`` cells away. Cells are counted before they meet
     their neighbours, so the work grows with cells, not with pairs of values.
     """
-    cell = F.floor(F.col(value) / width)
-    counts = df.where(F.col(value).isNotNull()).groupBy(key, cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
-    offset = F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("_o")
-    given = counts.select(key, "_cell", "_n", offset).select(key, (F.col("_cell") + F.col("_o")).alias("_cell"), (F.col("_n") * F.exp(-0.5 * F.pow(F.col("_o") * width / bandwidth, F.lit(2)))).alias("_k"))
-    density = counts.join(given, [key, "_cell"]).groupBy(key, "_cell", "_n").agg(F.round(F.sum("_k"), 6).alias("_f"))
-    by = Window.partitionBy(key)
-    denser = F.sum("_n").over(by.orderBy(F.desc("_f"), "_cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-    region = density.select(key, "_cell", (denser >= mass * F.sum("_n").over(by)).alias("outside"))
-    return df.withColumn("_cell", cell).join(region, [key, "_cell"]).drop("_cell")
+    region = density_region(df, key, value, width, bandwidth, reach, mass)
+    return df.withColumn("_cell", F.floor(F.col(value) / width)).join(region, [key, "_cell"]).drop("_cell")
 
 
 def real_or_cumulative(df: DataFrame, found: DataFrame, key: str, pos: str, value: str, period: int, days: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadscape.operators.counted import running
-from loadscape.operators.distance import meet
+from loadscape.operators.distance import euclidean, meet
 
 
 #: Cells of a group's running weights.
@@ -79,6 +79,27 @@ def cross_validated_centroids(df: DataFrame, key: str, cluster: str, x: str, fol
     return df.join(means, fold).withColumn("_best", best).withColumns({"guess": F.col("_best.c"), "d": F.col("_best.d")}).drop("_all", "_best")
 
 
+def cross_validated_energy(df: DataFrame, key: str, cluster: str, x: str, fold: str, vals: str, n: int, seed: str) -> DataFrame:
+    """(key, fold, guess, es): each row's energy score under the cluster that a model fitted without its fold gives it.
+
+    The model is ``cross_validated_centroids`` on ``x``; its scenarios are ``n`` members of the guessed cluster outside the
+    fold, those with the smallest hashes. How far these lie apart depends on fold and cluster alone, so it is summed once for
+    each, not once a row. What a row meets is n scenarios, however large its cluster; NULL where the cluster has none.
+    """
+    guessed = cross_validated_centroids(df.select(key, cluster, x, fold, vals), key, cluster, x, fold)
+    least = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy("_h", "_s"))
+    rows = df.select(F.col(cluster).alias("_c"), F.col(fold).alias("_own"), F.col(key).alias("_s"), F.col(vals).alias("_v"), _digest(F.col(key), seed).alias("_h"))
+    few = rows.withColumn("_r", least(["_c", "_own"])).where(F.col("_r") <= n)
+    folds = df.select(F.col(fold).alias("_f")).distinct()
+    drawn = few.join(F.broadcast(folds), F.col("_own") != F.col("_f")).withColumn("_r", least(["_f", "_c"])).where(F.col("_r") <= n).select("_f", "_c", "_s", "_v")
+    other = drawn.select("_f", "_c", F.col("_s").alias("_s2"), F.col("_v").alias("_v2"))
+    apart = drawn.join(other, ["_f", "_c"]).groupBy("_f", "_c").agg((F.sum(euclidean(F.col("_v"), F.col("_v2"))) / (2 * F.count(F.lit(1)))).alias("_apart"))
+    near = guessed.join(drawn, (F.col(fold) == F.col("_f")) & (F.col("guess") == F.col("_c")), "left")
+    near = near.groupBy(key, fold, "guess").agg(F.avg(euclidean(F.col(vals), F.col("_v"))).alias("_near"))
+    found = near.join(F.broadcast(apart), (F.col(fold) == F.col("_f")) & (F.col("guess") == F.col("_c")), "left")
+    return found.select(key, fold, "guess", (F.col("_near") - F.col("_apart")).alias("es"))
+
+
 def draw(queries: DataFrame, train: DataFrame, n: int, seed: str) -> DataFrame:
     """n picks without replacement per test, by hash of both keys. Tests are a stated query set, held against all rows."""
     key = F.concat(F.col("test").cast("string"), F.lit(":"), F.col("pick").cast("string"))

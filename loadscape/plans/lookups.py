@@ -197,6 +197,40 @@ def m16_cross_validated_fits(spark, sf_dir):
     return scored.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.round(hit, 6).alias("accuracy"), F.round(F.avg("d"), 6).alias("error"))
 
 
+@query(with_tables("profiles") + """, p AS (SELECT profile_id, cluster, vals, list_avg(vals) AS x, CAST(('0x' || substr(md5('fit:' || profile_id), 1, 8)) AS BIGINT) % 5 AS fold FROM profiles),
+f AS (SELECT a.fold, b.cluster, avg(b.x) AS m FROM (SELECT DISTINCT fold FROM p) a JOIN p b ON b.fold <> a.fold GROUP BY 1, 2),
+g AS (SELECT p.profile_id, p.fold, p.vals, f.cluster AS guess FROM p JOIN f USING (fold) QUALIFY row_number() OVER (PARTITION BY p.profile_id ORDER BY round(abs(p.x - f.m), 12), f.cluster) = 1),
+drawn AS (SELECT a.fold, cluster, profile_id AS s, vals FROM (SELECT DISTINCT fold FROM p) a JOIN p ON p.fold <> a.fold QUALIFY row_number() OVER (PARTITION BY a.fold, cluster ORDER BY md5('energy:' || profile_id), profile_id) <= 25),
+away AS (SELECT a.fold, a.cluster, avg(sqrt(list_sum(list_transform(list_zip(a.vals, b.vals), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) / 2 AS d FROM drawn a JOIN drawn b ON a.fold = b.fold AND a.cluster = b.cluster GROUP BY 1, 2),
+near AS (SELECT g.profile_id, g.fold, g.guess, avg(sqrt(list_sum(list_transform(list_zip(g.vals, d.vals), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) AS d FROM g JOIN drawn d ON d.fold = g.fold AND d.cluster = g.guess GROUP BY 1, 2, 3)
+SELECT CAST(near.fold AS INT) AS fold, count(*) AS n, round(avg(near.d - away.d), 6) AS energy FROM near JOIN away ON away.fold = near.fold AND away.cluster = near.guess GROUP BY 1""")
+def m16_cross_validated_energy(spark, sf_dir):
+    """Energy scores of held-out profiles under 25 scenarios from the cluster that the other folds' means give them."""
+    mean = F.aggregate("vals", F.lit(0.0), lambda a, x: a + x) / F.size("vals")
+    p = profiles(spark, sf_dir).select("profile_id", "cluster", "vals", mean.alias("x"), samplers.fold_of(F.col("profile_id"), "fit", 5).alias("fold"))
+    scored = samplers.cross_validated_energy(p, "profile_id", "cluster", "x", "fold", "vals", 25, "energy")
+    return scored.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("es"), 6).alias("energy"))
+
+
+@query(GAPS + """, asked AS (SELECT meter_id, start, "end", before, after, d FROM gaps CROSS JOIN (SELECT unnest(range(-3, 4)) AS d) WHERE d <> 0 AND after IS NOT NULL),
+seen AS (SELECT a.meter_id, start, "end", after, d, max(CASE WHEN h.pos - d * 24 = "end" THEN h.value END) AS real, coalesce(round(sum(h.value), 6), 0) AS total FROM asked a JOIN hourly h ON h.meter_id = a.meter_id AND h.pos BETWEEN start + d * 24 AND "end" + d * 24 GROUP BY 1, 2, 3, 4, 5 HAVING count(*) = "end" - start + 1),
+alike AS (SELECT meter_id, start, "end", min(round(abs(after - total), 6)) < min(round(abs(after - real), 6)) AS cumulative FROM seen GROUP BY 1, 2, 3),
+c AS (SELECT meter_id, CAST(floor(value / 5) AS BIGINT) AS cell, count(*) AS n FROM hourly WHERE value IS NOT NULL GROUP BY 1, 2),
+d AS (SELECT a.meter_id, a.cell, a.n, round(sum(b.n * exp(-0.5 * o * o)), 6) AS f FROM c a CROSS JOIN (SELECT unnest(range(-3, 4)) AS o) JOIN c b ON b.meter_id = a.meter_id AND b.cell = a.cell + o GROUP BY 1, 2, 3),
+r AS (SELECT *, sum(n) OVER (PARTITION BY meter_id ORDER BY f DESC, cell ROWS UNBOUNDED PRECEDING) - n AS denser, sum(n) OVER (PARTITION BY meter_id) AS total FROM d)
+SELECT g.meter_id, g.start, g."end", CASE WHEN g.after > 95 THEN true WHEN a.cumulative IS NOT NULL THEN a.cumulative WHEN r.denser >= 0.95 * r.total THEN true WHEN abs(g.before) < 10 AND abs(g.after) < 10 THEN false END AS error
+FROM gaps g LEFT JOIN alike a USING (meter_id, start, "end") LEFT JOIN r ON r.meter_id = g.meter_id AND r.cell = CAST(floor(g.after / 5) AS BIGINT)""")
+def q15_density_ensemble(spark, sf_dir):
+    """As ``q15_detector_ensemble``, with the region outside 95 % of the meter's kernel density as third detector."""
+    rows = hourly(spark, sf_dir)
+    near = seq.runs_of_kinds(rows, ["meter_id"], "pos", "value", F.when(F.col("value").isNull(), 1))
+    alike = rules.real_or_cumulative(rows, near.select("meter_id", "start", "end"), "meter_id", "pos", "value", 24, 3)
+    region = rules.density_region(rows, "meter_id", "value", width=5.0, bandwidth=5.0, reach=3, mass=0.95)
+    all_ = near.join(alike, ["meter_id", "start", "end"], "left").withColumn("_cell", F.floor(F.col("value_after") / 5)).join(region, ["meter_id", "_cell"], "left")
+    verdict = F.coalesce(F.when(F.col("value_after") > 95, True), F.col("cumulative"), F.when(F.col("outside"), True), rules.low_sides(F.col("value_before"), F.col("value_after"), 10.0))
+    return all_.select("meter_id", "start", "end", verdict.alias("error"))
+
+
 @query("SELECT 'c_custkey' AS name, count(c_custkey) AS known FROM customer UNION ALL SELECT 'c_name', count(c_name) FROM customer UNION ALL SELECT 'c_acctbal', count(c_acctbal) FROM customer")
 def p14_known_per_column(spark, sf_dir):
     """How many values each column has; columns without any are the ones to drop."""

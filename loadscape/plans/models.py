@@ -154,12 +154,10 @@ def o2_first_row_per_meter(spark, sf_dir):
 @query()
 def d13_direction_similarity(spark, sf_dir):
     """Principal directions of each query profile (ids divisible by 20) against those of all other profiles."""
-    from loadscape.operators.matching import direction_similarity
+    from loadscape.operators.matching import principal_directions, shared_directions
 
-    p = profiles(spark, sf_dir)
-    q = p.where("profile_id % 20 = 0").select(F.col("profile_id").alias("query"), F.col("vals").alias("q"))
-    pairs = distance.meet(p, q).where("query <> profile_id").withColumnRenamed("profile_id", "other")
-    return direction_similarity(pairs, "q", "vals", 8, 2, "similarity").select("query", "other", "similarity")
+    p = principal_directions(profiles(spark, sf_dir), "vals", 8, 2, "v").select("profile_id", "v")
+    return distance.pairs_with_queries(p, p.where("profile_id % 20 = 0"), "profile_id", "v", lambda a, b: shared_directions(a, b, 2)).withColumnRenamed("d", "similarity")
 
 
 @query()
