@@ -1,9 +1,9 @@
 """Ranks and exact quantiles from counts of distinct values, without a task that sees all values.
 
-Values are counted first, so what is ordered is one row a distinct value. These rows are dealt into ranges by bounds that
-come from a sample of the distinct values of about a fixed size (by hash, so reruns agree); each range is ordered on its
-own, and the rows of the ranges before it are added. Bounds only spread the work: any bounds give the same
-result.
+Values are counted first, so what is ordered is one row a distinct value. These counts are written once in the shared folder
+and read from there. They are dealt into ranges of about RANGE_ROWS rows by bounds from a sample (by hash, so reruns agree);
+each range is ordered on its own, and the rows of the ranges before it are added. Bounds only spread the work: any bounds
+give the same result, and what one range can hold needs none.
 """
 
 from __future__ import annotations
@@ -13,49 +13,65 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sampled values for each range.
-SAMPLED = 20
+from loadscape.operators.graph import cut
 
+#: Rows that a range holds at least, on average, and sampled values for each range.
+RANGE_ROWS, SAMPLED = 20_000, 20
 
-def range_of(values: DataFrame, col: str) -> Column:
-    """The number of the range in which a value of ``col`` lies: as many ranges as shuffle partitions."""
-    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = values.select(F.col(col).alias("x")).where("x is not null")
-    one_in = max(1, (x.agg(F.approx_count_distinct("x")).first()[0] or 0) // (SAMPLED * parts))
-    sample = x.where(F.pmod(F.xxhash64("x"), F.lit(one_in)) == 0).distinct()
-    found = [r[0] for r in sample.orderBy("x").collect()]
-    bounds = [F.lit(x).cast(values.schema[col].dataType) for x in found[SAMPLED::SAMPLED]]
 
-    def at(lo: int, hi: int) -> Column:
-        """How many of bounds[lo:hi] are at or below the value, by halving."""
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(col) < bounds[mid], at(lo, mid)).otherwise(at(mid + 1, hi))
+def bounds_of(rows: DataFrame, col: str) -> list:
+    """Ascending values that deal ``rows`` into ranges: at most one range a shuffle partition, none below RANGE_ROWS rows."""
+    n = rows.count()
+    parts = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // RANGE_ROWS)
+    if parts <= 1:
+        return []
+    x = rows.select(F.col(col).alias("x")).where("x is not null")
+    one_in = max(1, n // (SAMPLED * parts))
+    hashed = F.pmod(F.xxhash64("x"), F.lit(one_in)) == 0
+    found = [r[0] for r in x.where(hashed).distinct().orderBy("x").collect()]
+    return sorted({found[len(found) * k // parts] for k in range(1, parts)} - {*found[:1]}) if found else []
 
-    return at(0, len(bounds))
 
+def range_of(value: Column, bounds: list, kind) -> Column:
+    """How many of the ascending ``bounds`` are at or below a value, by halving an array that is one literal of the plan."""
+    if not bounds:
+        return F.lit(0)
+    all_ = F.array(*map(F.lit, bounds)).cast(f"array<{kind.simpleString()}>")
 
-def running(rows: DataFrame, order: str, measures: Sequence[str], by: Sequence[str] = (), seen: DataFrame | None = None) -> DataFrame:
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        low = F.get(all_, mid) <= value
+        open_ = s["lo"] < s["hi"]
+        return F.struct(F.when(open_ & low, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~low, mid).otherwise(s["hi"]).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+    return F.aggregate(F.array_repeat(F.lit(0), len(bounds).bit_length()), start, halve, lambda s: s["lo"])
+
+
+def running(rows: DataFrame, order: str, measures: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """``rows`` with ``<m>_below`` and ``<m>_total`` for each measure: its sum over the rows of smaller ``order``, and over all.
 
-    Within each group of ``by``. ``order`` is unique there and not null; bounds of the ranges come from ``seen``, rows of that
-    column which are cheaper to read, if given. A group is dealt into ranges like everything else, so
-    a group that holds most of the rows is ordered by many tasks.
+    Within each group of ``by``. ``order`` is unique there and not null. ``rows`` are written once, and bounds and sums read
+    that table. A group is dealt into ranges like everything else, so a group that holds most of the rows is ordered by many
+    tasks.
     """
-    dealt = rows.withColumn("_part", range_of(rows if seen is None else seen, order))
-    sums = dealt.groupBy(*by, "_part").agg(*[F.sum(m).alias(f"_{m}") for m in measures])
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    rows = cut(rows)
+    bounds = bounds_of(rows, order)
     zero = lambda m: F.lit(0).cast(rows.schema[m].dataType)
-    starts = [F.coalesce(F.sum(f"_{m}").over(before), zero(m)).alias(f"_{m}_start") for m in measures]
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    earlier = lambda w, col, m: F.coalesce(F.sum(col).over(w.rowsBetween(Window.unboundedPreceding, -1)), zero(m))
+    if not bounds:
+        sums = {f"{m}_below": earlier(group.orderBy(order), m, m) for m in measures} | {f"{m}_total": F.sum(m).over(group) for m in measures}
+        return rows.select("*", *[c.alias(n) for n, c in sums.items()])
+    dealt = rows.withColumn("_part", range_of(F.col(order), bounds, rows.schema[order].dataType))
+    sums = dealt.groupBy(*by, "_part").agg(*[F.sum(m).alias(f"_{m}") for m in measures])
+    starts = [earlier(group.orderBy("_part"), f"_{m}", m).alias(f"_{m}_start") for m in measures]
     totals = [F.sum(f"_{m}").over(group).alias(f"{m}_total") for m in measures]
     sums = sums.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_part").alias("_own"), *starts, *totals)
-    inside = Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     same = F.col("_part") == F.col("_own")
     for c in by:
         same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
-    within = {f"_{m}_inside": F.coalesce(F.sum(m).over(inside), zero(m)) for m in measures}
+    within = {f"_{m}_inside": earlier(Window.partitionBy(*by, "_part").orderBy(order), m, m) for m in measures}
     found = dealt.withColumns(within).join(sums, same)
     below = [(F.col(f"_{m}_start") + F.col(f"_{m}_inside")).alias(f"{m}_below") for m in measures]
     return found.select(*rows.columns, *below, *[f"{m}_total" for m in measures])
@@ -67,7 +83,7 @@ def counted(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     Within each group of ``by``; null values are left out.
     """
     counts = df.select(*by, F.col(col).alias("value")).where("value is not null").groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"))
-    return running(counts, "value", ["n"], by, df.select(F.col(col).alias("value"))).select(*by, "value", "n", F.col("n_below").alias("below"), F.col("n_total").alias("total"))
+    return running(counts, "value", ["n"], by).select(*by, "value", "n", F.col("n_below").alias("below"), F.col("n_total").alias("total"))
 
 
 def quantiles(df: DataFrame, col: str, levels: Sequence[float], by: Sequence[str] = ()) -> DataFrame:

@@ -36,7 +36,7 @@ def threshold_curve(df: DataFrame, score: str, label: str) -> DataFrame:
     """
     known = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     counts = known.groupBy(F.col(score).alias("threshold")).agg(F.sum(label).alias("pos"), F.count(F.lit(1)).alias("n"))
-    rows = running(counts, "threshold", ["pos", "n"], seen=known.select(F.col(score).alias("threshold")))
+    rows = running(counts, "threshold", ["pos", "n"])
     hit, taken = F.col("pos_total") - F.col("pos_below"), F.col("n_total") - F.col("n_below")
     share = lambda a, b: F.try_divide(a.cast("double"), b)
     return rows.select("threshold", F.col("pos").alias("positives"), share(hit, taken).alias("precision"), share(hit, F.col("pos_total")).alias("recall"), share(taken - hit, F.col("n_total") - F.col("pos_total")).alias("fall_out"))
@@ -56,7 +56,7 @@ def class_aucs(scores: DataFrame, classes: Sequence) -> DataFrame:
     """
     held = {f"c{k}": F.count_if(F.col("truth") == c) for k, c in enumerate(classes)}
     counts = scores.where("p is not null").groupBy("cls", "p").agg(*[n.alias(c) for c, n in held.items()])
-    rows = running(counts, "p", list(held), ["cls"], scores.select("p"))
+    rows = running(counts, "p", list(held), ["cls"])
     own = reduce(lambda acc, kc: F.when(F.col("cls") == kc[1], F.col(f"c{kc[0]}")).otherwise(acc), enumerate(classes), F.lit(0))
     sums = rows.groupBy("cls").agg(*[F.sum(own * (F.col(f"{c}_below") + F.col(c) / 2)).alias(f"s_{c}") for c in held], *[F.max(f"{c}_total").alias(f"n_{c}") for c in held])
     pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"s_c{k}").alias("s"), F.col(f"n_c{k}").cast("double").alias("n")) for k, c in enumerate(classes)])

@@ -1,10 +1,18 @@
 """Groups that hold most of the rows: counted ranges and blocks give what a whole group in one task would."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from loadscape.operators import counted, distance, generators, samplers, scoring
 
 
+@pytest.fixture(autouse=True)
+def _short_ranges(monkeypatch):
+    """Ranges of a few rows, so that small tables have as many as shuffle partitions."""
+    monkeypatch.setattr(counted, "RANGE_ROWS", 25)
+
+
 def _hot(n=600, seed=4):
     """(g, key, w): a third of all rows in one group, and a group that is null."""
     r = np.random.default_rng(seed)
@@ -20,6 +28,29 @@ def test_running_sums(spark):
         assert r.w_below == sum(x[2] for x in own if x[1] < r.key) and r.w_total == sum(x[2] for x in own)
 
 
+def test_one_range_gives_what_many_give(spark, monkeypatch):
+    df = spark.createDataFrame(_hot(), "g string, key long, w long")
+    many = {*counted.running(df, "key", ["w"], ["g"]).collect()}
+    monkeypatch.setattr(counted, "RANGE_ROWS", 1000)
+    assert counted.bounds_of(df, "key") == [] and {*counted.running(df, "key", ["w"], ["g"]).collect()} == many
+
+
+@pytest.mark.parametrize("kind", ["bigint", "double", "string", "date", "decimal(12,2)"])
+def test_ranges_by_bounds_of_any_type(spark, kind):
+    value = "date_add(date '2000-01-01', cast(id as int))" if kind == "date" else f"cast(id as {kind})"
+    df = spark.range(2000).selectExpr(f"{value} as x")
+    bounds = counted.bounds_of(df, "x")
+    assert 1 <= len(bounds) <= 3 and bounds == sorted(bounds)
+    got = df.select("x", counted.range_of(F.col("x"), bounds, df.schema["x"].dataType).alias("part")).collect()
+    assert all(r.part == sum(b <= r.x for b in bounds) for r in got) and {r.part for r in got} == {*range(len(bounds) + 1)}
+
+
+def test_two_thousand_bounds(spark):
+    bounds = [*range(10, 20_010, 10)]
+    got = spark.range(0, 20_100, 7).select("id", counted.range_of(F.col("id"), bounds, spark.range(1).schema["id"].dataType).alias("part")).collect()
+    assert all(r.part == min(2000, r.id // 10) for r in got)
+
+
 def test_draws_of_a_hot_group(spark):
     rows = [(k, g, float(w)) for g, k, w in _hot()]
     train = spark.createDataFrame(rows, "pick long, g string, w double")
