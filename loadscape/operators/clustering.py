@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from loadscape.operators.distance import both_ways
 
+#: Least mean distance to neighbours, so that copies have a density.
+LEAST_REACH = 1e-10
+
 
 def kmeans(df: DataFrame, vals: str, k: int, seed: int = 1) -> DataFrame:
     """``df`` with a cluster number from 0."""
@@ -96,10 +99,18 @@ def mark_small(df: DataFrame, label: str, least: int, out: str) -> DataFrame:
 
 def local_outlier_factor(pairs: DataFrame, group: str, k: int) -> DataFrame:
     """(group, i, lof) from all pairs within groups: neighbours' density over the member's own, by k-th distances."""
-    ranked = both_ways(pairs, group).withColumn("_r", F.row_number().over(Window.partitionBy(group, "i").orderBy("d", "j"))).where(F.col("_r") <= k)
+    return outlier_factors(both_ways(pairs, group), group, k)
+
+
+def outlier_factors(pairs: DataFrame, group: str, k: int) -> DataFrame:
+    """(group, i, lof) from pairs (group, i, j, d) of each row with those that may be its neighbours, each of which is an i too.
+
+    Neighbours that are all copies of a row lie LEAST_REACH away, so copies have factor 1.
+    """
+    ranked = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(group, "i").orderBy("d", "j"))).where(F.col("_r") <= k)
     reach = ranked.groupBy(group, "i").agg(F.max("d").alias("kd"))
     named = reach.select(group, F.col("i").alias("j"), F.col("kd").alias("kd_j"))
-    density = ranked.join(named, [group, "j"]).groupBy(group, "i").agg((1 / F.avg(F.greatest("d", "kd_j"))).alias("lrd"))
+    density = ranked.join(named, [group, "j"]).groupBy(group, "i").agg((1 / F.greatest(F.avg(F.greatest("d", "kd_j")), F.lit(LEAST_REACH))).alias("lrd"))
     near = density.select(group, F.col("i").alias("j"), F.col("lrd").alias("lrd_j"))
     return ranked.join(near, [group, "j"]).join(density, [group, "i"]).groupBy(group, "i").agg((F.avg("lrd_j") / F.first("lrd")).alias("lof"))
 

@@ -1,9 +1,9 @@
 """Ranks and exact quantiles from counts of distinct values, without a task that sees all values.
 
 Values are counted first, so what is ordered is one row a distinct value. These counts are written once in the shared folder
-and read from there. They are dealt into ranges of about RANGE_ROWS rows by bounds from a sample (by hash, so reruns agree);
-each range is ordered on its own, and the rows of the ranges before it are added. Bounds only spread the work: any bounds
-give the same result, and what one range can hold needs none.
+and read from there. They are dealt into ranges, of about RANGE_ROWS rows of the largest group, by bounds from a sample (by
+hash, so reruns agree); each range is ordered on its own, and the rows of the ranges before it are added. Bounds only spread
+the work: any bounds give the same result, and where one range can hold every group there are none.
 """
 
 from __future__ import annotations
@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 
 from loadscape.operators.graph import cut
 
-#: Rows that a range holds at least, on average, and sampled values for each range.
-RANGE_ROWS, SAMPLED = 20_000, 20
+#: Rows of a group that one range holds, and sampled values for each range.
+RANGE_ROWS, SAMPLED = 100_000, 20
 
 
-def bounds_of(rows: DataFrame, col: str) -> list:
-    """Ascending values that deal ``rows`` into ranges: at most one range a shuffle partition, none below RANGE_ROWS rows."""
-    n = rows.count()
-    parts = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // RANGE_ROWS)
+def bounds_of(rows: DataFrame, col: str, by: Sequence[str] = ()) -> list:
+    """Ascending values that deal ``rows`` into as many ranges as the largest group of ``by`` asks for, one a shuffle
+    partition at most. A group up to RANGE_ROWS rows asks for none."""
+    n, most = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    parts = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(most or 0) // RANGE_ROWS))
     if parts <= 1:
         return []
     x = rows.select(F.col(col).alias("x")).where("x is not null")
@@ -56,7 +57,7 @@ def running(rows: DataFrame, order: str, measures: Sequence[str], by: Sequence[s
     tasks.
     """
     rows = cut(rows)
-    bounds = bounds_of(rows, order)
+    bounds = bounds_of(rows, order, by)
     zero = lambda m: F.lit(0).cast(rows.schema[m].dataType)
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     earlier = lambda w, col, m: F.coalesce(F.sum(col).over(w.rowsBetween(Window.unboundedPreceding, -1)), zero(m))

@@ -157,6 +157,29 @@ def pairs_of_groups(df: DataFrame, group: str, key: str, vals: str, distance, bl
     return pairs.select(F.least("group_a", "group_b").alias("group_a"), F.greatest("group_a", "group_b").alias("group_b"), distance(F.col("v_a"), F.col("v_b")).alias("d"))
 
 
+def landmarks(df: DataFrame, group: str, key: str, n: int, seed: str) -> DataFrame:
+    """At most ``n`` rows of each group, those with the smallest hash of their key; no task orders more than that of a group."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    w = Window.partitionBy(group).orderBy("_h", key)
+    return df.withColumn("_h", digest).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_h", "_r")
+
+
+def pairs_with_landmarks(df: DataFrame, marks: DataFrame, group: str, key: str, vals: str, distance) -> DataFrame:
+    """(group, i, j, d): every row with the landmarks of its group but itself, so the work grows with rows, not their square.
+
+    Up to SENT_ROWS landmarks are sent to the rows; more are joined by group. Rows without a group meet none.
+    """
+    m = marks.select(group, F.col(key).alias("j"), F.col(vals).alias("_m"))
+    m = F.broadcast(m) if m.count() <= SENT_ROWS else m
+    return df.join(m, group).where(F.col(key) != F.col("j")).select(group, F.col(key).alias("i"), "j", distance(F.col(vals), F.col("_m")).alias("d"))
+
+
+def landmark_medoids(pairs: DataFrame, group: str) -> DataFrame:
+    """(group, medoid, total) from ``pairs_with_landmarks``: the landmark with the smallest sum of distances to its whole group."""
+    sums = pairs.groupBy(group, F.col("j").alias("i")).agg(F.round(F.sum("d"), 6).alias("total"))
+    return sums.groupBy(group).agg(F.min(F.struct("total", "i")).alias("m")).select(group, F.col("m.i").alias("medoid"), F.col("m.total").alias("total"))
+
+
 def nearest(pairs: DataFrame, k: int) -> DataFrame:
     """The k nearest others of each query, ties by id."""
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d", "other"))).where(F.col("rank") <= k)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadscape.operators.counted import nearest_quantiles
+from loadscape.operators.counted import nearest_quantiles, running
 
 
 def split_days(df: DataFrame, vals: str, width: int) -> DataFrame:
@@ -22,6 +22,18 @@ def to_array(df: DataFrame, keys: Sequence[str], slot: str, value: str, out: str
     return df.groupBy(*keys).agg(F.transform(pairs, lambda x: x[value]).alias(out))
 
 
+def in_parts(df: DataFrame, group: str, key: str, size: int) -> DataFrame:
+    """(group, part, members): the keys of each group in order, joined by commas, ``size`` a part from 0.
+
+    Keys are unique; places come range by range, so neither a task nor a row holds a whole group. Null keys are left out,
+    rows without a group are one.
+    """
+    rows = running(df.select(group, key, F.lit(1).alias("_one")).where(F.col(key).isNotNull()), key, ["_one"], [group])
+    part = F.floor(F.col("_one_below") / size).alias("part")
+    members = F.array_join(F.array_sort(F.collect_list(key)).cast("array<string>"), ",")
+    return rows.groupBy(group, part).agg(members.alias("members"))
+
+
 def quantile_bands(df: DataFrame, key: str, value: str, lowers: Sequence[int]) -> DataFrame:
     """(key, band, lower, upper) with nearest-rank quantiles of lo and 100 - lo percent."""
     found = nearest_quantiles(df, value, sorted({p for lo in lowers for p in (lo, 100 - lo)}), [key])

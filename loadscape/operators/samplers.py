@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadscape.operators.counted import running
+from loadscape.operators.counted import numbered, running
 from loadscape.operators.distance import euclidean, meet
 
 
@@ -108,6 +108,28 @@ def draw(queries: DataFrame, train: DataFrame, n: int, seed: str) -> DataFrame:
     return uniform(rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).select("test", "pick"))
 
 
+def numbered_draws(queries: DataFrame, train: DataFrame, n: int, seed: str) -> DataFrame:
+    """(test, pick, p): n different picks per test, every set of n as likely, without meeting all rows: the work grows with tests.
+
+    Picks are numbered in their order. Of N numbers, step j from N - n to N - 1 draws one of 0 to j by hash of test and
+    step, and takes j itself if that one is taken (Floyd's sampling). Fewer than n rows are all picked; repeated picks count
+    once, null ones and tests over an empty table give nothing.
+    """
+    rows = numbered(train.where("pick is not null"), "pick").select(F.col("value").alias("pick"), F.col("number").alias("_k"))
+    size = rows.agg(F.count(F.lit(1)).alias("_n"))
+
+    def step(taken: Column, j: Column) -> Column:
+        key = F.concat(F.col("test").cast("string"), F.lit(":"), j.cast("string"))
+        u = F.conv(F.substring(_digest(key, seed), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+        at = F.floor(u * (j + 1))
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, at), j).otherwise(at)))
+
+    steps = F.sequence(F.greatest(F.col("_n") - n, F.lit(0)), F.col("_n") - 1)
+    asked = queries.select("test").join(F.broadcast(size.where("_n > 0")))
+    drawn = asked.select("test", F.aggregate(steps, F.array().cast("array<bigint>"), step).alias("_all"))
+    return drawn.select("test", (1 / F.size("_all").cast("double")).alias("p"), F.explode("_all").alias("_k")).join(rows, "_k").select("test", "pick", "p")
+
+
 def by_key(queries: DataFrame, train: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All training rows that share the query's keys."""
     return uniform(queries.join(train, list(keys)).select("test", "pick"))

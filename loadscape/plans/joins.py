@@ -228,6 +228,16 @@ def m5_random_sampler(spark, sf_dir):
     return samplers.draw(c.where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("test")), c.select(F.col("c_custkey").alias("pick")), 10, "pick")
 
 
+@query("""WITH RECURSIVE n AS (SELECT count(*) AS n FROM customer), f AS (SELECT c_custkey AS test, greatest(n - 10, 0) AS j, CAST([] AS BIGINT[]) AS s, n FROM customer, n WHERE c_custkey % 20 = 0 UNION ALL
+  SELECT test, j + 1, list_append(s, CASE WHEN list_contains(s, t) THEN j ELSE t END), n FROM (SELECT *, CAST(floor(CAST(('0x' || substr(md5('number:' || test || ':' || j), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE * (j + 1)) AS BIGINT) AS t FROM f WHERE j < n)),
+r AS (SELECT c_custkey AS pick, row_number() OVER (ORDER BY c_custkey) - 1 AS k FROM customer)
+SELECT test, pick, p FROM (SELECT test, 1 / CAST(len(s) AS DOUBLE) AS p, unnest(s) AS k FROM f WHERE j = n) JOIN r USING (k)""")
+def m5_numbered_draws(spark, sf_dir):
+    """Ten members of the whole training set for each query, drawn by number, so that no query meets all rows."""
+    c = table(spark, sf_dir, "customer")
+    return samplers.numbered_draws(c.where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("test")), c.select(F.col("c_custkey").alias("pick")), 10, "number")
+
+
 @query(with_tables("days") + """, kinds AS (SELECT date, year(date) AS y, CASE WHEN month(date) BETWEEN 3 AND 5 THEN 'spring' WHEN month(date) BETWEEN 6 AND 8 THEN 'summer' WHEN month(date) BETWEEN 9 AND 11 THEN 'autumn' ELSE 'winter' END AS season,
   CASE WHEN isodow(date) >= 6 THEN 'weekend' ELSE 'weekday' END AS kind FROM days)
 SELECT q.date AS test, count(*) AS days, 1 / CAST(count(*) AS DOUBLE) AS p FROM kinds q JOIN kinds t ON q.season = t.season AND q.kind = t.kind WHERE q.y = 2000 AND t.y <> 2000 GROUP BY 1""")

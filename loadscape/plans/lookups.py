@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loadscape.operators import clustering, distance, intervals, matching, rules, samplers, scoring
+from loadscape.operators import clustering, distance, intervals, matching, reshape, rules, samplers, scoring
 from loadscape.operators import sequences as seq
 from loadscape.plans.quality import _HOLES, _holes
 from loadscape.plans.registry import query
@@ -48,6 +48,12 @@ def a28_cluster_members(spark, sf_dir):
     return profiles(spark, sf_dir).groupBy("cluster").agg(F.array_join(F.array_sort(F.collect_list("profile_id")).cast("array<string>"), ",").alias("members"))
 
 
+@query("""SELECT cluster, part, array_to_string(list(vec_id ORDER BY vec_id), ',') AS members FROM (SELECT label AS cluster, vec_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 100 AS part FROM embeddings) GROUP BY 1, 2""")
+def a28_cluster_member_parts(spark, sf_dir):
+    """Members of each cluster in order, a hundred a row, so that no row grows with its cluster."""
+    return reshape.in_parts(profiles(spark, sf_dir), "cluster", "profile_id", 100)
+
+
 @query("SELECT k, x FROM (SELECT c_nationkey AS k, c_acctbal AS x FROM customer UNION ALL SELECT s_nationkey, s_acctbal FROM supplier)")
 def o12_union_of_common_columns(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_acctbal").alias("x"), "c_name")

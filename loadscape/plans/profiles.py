@@ -57,6 +57,22 @@ def c7_medoids(spark, sf_dir):
     return distance.medoids(_pairs(spark, sf_dir), "cluster")
 
 
+_MARKS = with_tables("profiles") + """, marks AS (SELECT cluster, profile_id, vals FROM profiles QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY md5('mark:' || profile_id), profile_id) <= 50),
+near AS (SELECT p.cluster, p.profile_id AS i, m.profile_id AS j, sqrt(list_sum(list_transform(list_zip(p.vals, m.vals), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM profiles p JOIN marks m ON p.cluster = m.cluster AND p.profile_id <> m.profile_id)"""
+
+
+def _near_landmarks(spark, sf_dir):
+    p = profiles(spark, sf_dir)
+    return distance.pairs_with_landmarks(p, distance.landmarks(p, "cluster", "profile_id", 50, "mark"), "cluster", "profile_id", "vals", distance.euclidean)
+
+
+@query(_MARKS + """, sums AS (SELECT cluster, j, round(sum(d), 6) AS total FROM near GROUP BY 1, 2)
+SELECT cluster, j AS medoid, total FROM sums QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY total, j) = 1""")
+def c7_landmark_medoids(spark, sf_dir):
+    """The best of fifty candidates of each cluster, judged by all its members."""
+    return distance.landmark_medoids(_near_landmarks(spark, sf_dir), "cluster")
+
+
 @query(with_tables("profiles", "slots") + """, c AS (SELECT cluster AS k, slot, avg(value) AS m FROM slots GROUP BY 1, 2), d AS (SELECT profile_id AS id, cluster AS own, k, sqrt(sum((value - m) * (value - m))) AS d FROM slots JOIN c USING (slot) GROUP BY 1, 2, 3),
 ab AS (SELECT id, max(d) FILTER (own = k) AS a, min(d) FILTER (own <> k) AS b FROM d GROUP BY 1) SELECT id, round((b - a) / greatest(a, b), 6) AS s FROM ab""")
 def c11_centroid_silhouette(spark, sf_dir):
@@ -80,6 +96,14 @@ def c12_local_outlier_factor(spark, sf_dir):
     return clustering.local_outlier_factor(_pairs(spark, sf_dir), "cluster", 5).select("cluster", "i", F.round("lof", 6).alias("lof"))
 
 
+@query(_MARKS + """, r AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY cluster, i ORDER BY d, j) <= 5), kd AS (SELECT cluster, i, max(d) AS kd FROM r GROUP BY 1, 2),
+lrd AS (SELECT r.cluster, r.i, 1 / greatest(avg(greatest(d, kd)), 1e-10) AS lrd FROM r JOIN kd ON kd.i = r.j AND kd.cluster = r.cluster GROUP BY 1, 2)
+SELECT r.cluster, r.i, round(avg(b.lrd) / any_value(a.lrd), 6) AS lof FROM r JOIN lrd b ON b.i = r.j AND b.cluster = r.cluster JOIN lrd a ON a.i = r.i AND a.cluster = r.cluster GROUP BY 1, 2""")
+def c12_landmark_outlier_factor(spark, sf_dir):
+    """Every profile's outlier factor among fifty landmarks of its cluster."""
+    return clustering.outlier_factors(_near_landmarks(spark, sf_dir), "cluster", 5).select("cluster", "i", F.round("lof", 6).alias("lof"))
+
+
 @query("""WITH l AS (SELECT label AS a, vec_id % 10 AS b, count(*) AS n FROM embeddings GROUP BY 1, 2), ij AS (SELECT sum(n * (n - 1) / 2) AS ij, sum(n) AS t FROM l),
 i AS (SELECT sum(n * (n - 1) / 2) AS i FROM (SELECT sum(n) AS n FROM l GROUP BY a)), j AS (SELECT sum(n * (n - 1) / 2) AS j FROM (SELECT sum(n) AS n FROM l GROUP BY b))
 SELECT round((ij - i * j / (t * (t - 1) / 2)) / ((i + j) / 2 - i * j / (t * (t - 1) / 2)), 9) AS ari FROM ij, i, j""")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loadscape.operators import cleaning, intervals
 from loadscape.operators import sequences as ops
 from loadscape.plans.registry import query
-from loadscape.sources.tables import readings, slots, table, with_tables
+from loadscape.sources.tables import profiles, readings, slots, table, with_tables
 
 START, END, HOURS = "2024-01-01 00:00:00", "2024-01-30 23:00:00", 720
 
@@ -149,6 +149,12 @@ def w18_running_average(spark, sf_dir):
     return ops.moving_average(readings(spark, sf_dir), ["meter_id"], "row_id", "value", "mean").select("row_id", F.round(F.col("mean") + 1e-9, 5).alias("mean"))
 
 
+@query(with_tables("profiles") + "SELECT profile_id, round(list_reduce(vals, lambda a, x: a * 0.9::DOUBLE + x * (1 - 0.9::DOUBLE)), 9) AS state FROM profiles")
+def w18_exponential_state(spark, sf_dir):
+    """The exponential moving average of each profile after its last slot."""
+    return profiles(spark, sf_dir).select("profile_id", F.round(ops.ema(F.col("vals"), 0.9), 9).alias("state"))
+
+
 @query(with_tables("slots") + """
 SELECT profile_id, slot, value FROM slots WINDOW w AS (PARTITION BY profile_id ORDER BY slot) QUALIFY value > lag(value) OVER w AND value > lead(value) OVER w""")
 def q26_strict_peaks(spark, sf_dir):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loadscape.operators import counted, distance, generators, samplers, scoring
+from loadscape.operators import clustering, counted, distance, generators, reshape, samplers, scoring
 
 
 @pytest.fixture(autouse=True)
@@ -97,3 +97,52 @@ def test_blocks_follow_the_size_of_a_group(spark, monkeypatch):
         y = np.array([0.0 if row.test_id == "hot" else 1.0, 0, 0])
         apart = np.linalg.norm(x[:, None] - x[None, :], axis=2)
         assert abs(row.es - (0.5 * np.linalg.norm(x - y, axis=1).sum() - 0.125 * apart.sum())) < 1e-6
+
+
+def test_members_in_parts(spark):
+    rows = [(g, k) for g, k, _ in _hot()]
+    df = spark.createDataFrame([*rows, ("hot", None)], "g string, key long")
+    got = {(r.g, r.part): [*map(int, r.members.split(","))] for r in reshape.in_parts(df, "g", "key", 20).collect()}
+    for g in {g for g, _ in rows}:
+        own = sorted(k for h, k in rows if h == g)
+        assert [got.pop((g, p)) for p in range(-(-len(own) // 20))] == [own[at : at + 20] for at in range(0, len(own), 20)]
+    assert not got and reshape.in_parts(df.limit(0), "g", "key", 20).count() == 0
+
+
+def test_numbered_draws(spark):
+    asked, train = spark.range(3000).selectExpr("id as test"), spark.range(12).selectExpr("id * 7 as pick")
+    seen = np.zeros(12)
+    for r in samplers.numbered_draws(asked, train, 5, "s").groupBy("test").agg(F.collect_list("pick").alias("picks"), F.sum("p").alias("p")).collect():
+        assert len({*r.picks}) == 5 and abs(r.p - 1) < 1e-12
+        seen[[x // 7 for x in r.picks]] += 1
+    assert seen.sum() == 15_000 and abs(seen - 1250).max() < 130
+    few = samplers.numbered_draws(asked.limit(2), train.union(train).union(spark.sql("select cast(null as bigint)")), 50, "s").collect()
+    assert len(few) == 24 and {r.pick for r in few} == {i * 7 for i in range(12)}
+    assert samplers.numbered_draws(asked, train.limit(0), 5, "s").count() == 0
+
+
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_landmarks_of_a_hot_group(spark, monkeypatch, sent):
+    monkeypatch.setattr(distance, "SENT_ROWS", sent)
+    r = np.random.default_rng(7)
+    rows = [(g, k, r.normal(size=3).tolist()) for g, k, _ in _hot(300)] + [("hot", 1000 + i, [9.0, 9.0, 9.0]) for i in range(40)] + [("copies", 2000 + i, [1.0, 2.0, 3.0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "g string, key long, vals array<double>")
+    marks = distance.landmarks(df, "g", "key", 30, "seed")
+    pairs = distance.pairs_with_landmarks(df, marks, "g", "key", "vals", distance.euclidean)
+    held = {k: v for _, k, v in rows}
+    chosen = {g: [k for h, k in marks.select("g", "key").collect() if h == g] for g in {g for g, _, _ in rows}}
+    assert len(chosen["hot"]) == 30 and all(len(v) <= 30 for v in chosen.values())
+    for m in distance.landmark_medoids(pairs, "g").collect():
+        total = {j: sum(np.linalg.norm(np.subtract(held[j], v)) for g, _, v in rows if g == m.g) for j in chosen[m.g]}
+        assert abs(m.total - min(total.values())) < 1e-5 and abs(total[m.medoid] - m.total) < 1e-5
+    factors = {(x.g, x.i): x.lof for x in clustering.outlier_factors(pairs, "g", 5).collect()}
+    assert factors.keys() == {(g, k) for g, k, _ in rows if g is not None}
+    assert all(abs(v - 1) < 1e-9 for (g, _), v in factors.items() if g == "copies")
+
+    def nearest(g, i):
+        return sorted((np.linalg.norm(np.subtract(held[i], held[j])), j) for j in chosen[g] if j != i)[:5]
+
+    density = lambda g, i: 1 / max(np.mean([max(d, nearest(g, j)[-1][0]) for d, j in nearest(g, i)]), 1e-10)
+    for i in [k for g, k, _ in rows if g == "hot"][::9]:
+        want = np.mean([density("hot", j) for _, j in nearest("hot", i)]) / density("hot", i)
+        assert abs(factors["hot", i] / want - 1) < 1e-6
