@@ -10,9 +10,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loadscape.operators.distance import with_blocks
+
 
 def cut(df: DataFrame) -> DataFrame:
     """The rows as a table written in the session's spark.checkpoint.dir; only a local master may leave that unset.
@@ -76,6 +80,51 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     return live.select("i", "j", "d") if forest is None else cut(forest), parts, rounds
 
 
+def _tree(x: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """(rows - 1, 3) of (rank, larger rank, d): the spanning tree of points by their distances, ties by ranks, grown point by point."""
+    n, at, found = len(x), 0, []
+    open_, d, lo, hi = np.ones(n, bool), np.full(n, np.inf), np.full(n, n), np.full(n, n)
+    for _ in range(n - 1):
+        open_[at] = False
+        away = np.sqrt(((x - x[at]) ** 2).sum(axis=1))
+        a, b = np.minimum(rank, rank[at]), np.maximum(rank, rank[at])
+        nearer = open_ & ((away < d) | ((away == d) & ((a < lo) | ((a == lo) & (b < hi)))))
+        d[nearer], lo[nearer], hi[nearer] = away[nearer], a[nearer], b[nearer]
+        left = np.flatnonzero(open_)
+        ties = left[d[left] == d[left].min()]
+        at = ties[np.lexsort((hi[ties], lo[ties]))[0]]
+        found.append((lo[at], hi[at], d[at]))
+    return np.array(found).reshape(-1, 3)
+
+
+def euclidean_forests(df: DataFrame, group: str, key: str, vals: str) -> DataFrame:
+    """(group, i, j, d): edges among which lies the spanning forest of all pairs of each group, without a table of the pairs.
+
+    A group is dealt into blocks of about BLOCK_ROWS rows (``distance.with_blocks``); each two blocks give the edges of their
+    own spanning tree. An edge that is dropped there is the longest of a cycle, so the whole group's tree does without it
+    too. A task holds two blocks; the distances are still as many as pairs. Rows without a group, without values, or
+    with a value that is null or NaN have no edges, nor have profiles of different width.
+    """
+    bad = F.exists(vals, lambda v: v.isNull() | F.isnan(v))
+    known = df.where(F.col(group).isNotNull() & F.col(key).isNotNull() & F.col(vals).isNotNull()).where(~bad)
+    known = known.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(vals).cast("array<double>").alias("v"), F.size(vals).alias("w"))
+    own = F.pmod(F.xxhash64("k"), F.col("_blocks")).cast("int")
+    others = F.array_except(F.sequence(F.lit(0), F.col("_blocks") - 1), F.array("own"))
+    dealt = with_blocks(known, ["g", "w"]).withColumn("own", own).withColumn("other", F.explode(others))
+    dealt = dealt.select("g", "k", "v", "w", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+
+    def tree(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, rank = np.unique(rows["k"].to_numpy(), return_inverse=True)
+        found = _tree(np.stack(rows["v"].to_numpy()).astype(float), rank)
+        i, j = (keys[found[:, c].astype(int)] for c in (0, 1))
+        out = {"g": rows["g"].to_numpy()[:1].repeat(len(found)), "i": i, "j": j, "d": found[:, 2]}
+        return pd.DataFrame({n: pd.Series(v, dtype=v.dtype) for n, v in out.items()})
+
+    kind = lambda c: known.schema[c].dataType.simpleString()
+    edges = dealt.groupBy("g", "w", "x", "y").applyInPandas(tree, f"g {kind('g')}, i {kind('k')}, j {kind('k')}, d double")
+    return edges.where("i <> j").select(F.col("g").alias(group), "i", "j", "d")
+
+
 def single_linkage(nodes: DataFrame, edges: DataFrame, group: str, key: str, k: int) -> DataFrame:
     """(group, key, part): the rows of each group in at most ``k`` parts that single linkage gives.
 

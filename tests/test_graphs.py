@@ -184,3 +184,24 @@ def test_a_spike_moves_neither_trend_nor_season():
     assert weights[1, 100] == 0 and np.abs(trend[0] - trend[1]).max() < 0.1 and np.abs(season[0] - season[1]).max() < 0.2
     trend, season, _ = loess.stl(both, 12, 7, outer=0)
     assert np.abs(season[0] - season[1]).max() > 5
+
+
+def test_forests_of_blocks_hold_the_spanning_forest(spark, monkeypatch):
+    monkeypatch.setattr(distance, "BLOCK_ROWS", 12)
+    r = np.random.default_rng(11)
+    rows = [("hot" if i % 3 else "small", i, r.integers(0, 4, 3).astype(float).tolist()) for i in range(150)]
+    odd = [(None, 900, [0.0, 0.0, 0.0]), ("hot", 901, None), ("hot", 902, [0.0, None, 0.0]), ("hot", 903, [0.0, float("nan"), 0.0]), ("hot", 904, [0.0, 0.0]), ("one", 905, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows + odd, "g string, key long, vals array<double>")
+    edges = graph.euclidean_forests(df, "g", "key", "vals").cache()
+    every = [(a[1], b[1], float(np.linalg.norm(np.subtract(a[2], b[2])))) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1]]
+    assert edges.distinct().count() < len(every) / 3
+    got = {(e.i, e.j): e.d for e in graph.spanning_forest(edges)[0].collect()}
+    part, want = {k: k for _, k, _ in rows}, {}
+    for i, j, d in sorted(every, key=lambda e: (round(e[2], 9), e[0], e[1])):
+        if part[i] != part[j]:
+            want[i, j] = d
+            part = {k: part[i] if p == part[j] else p for k, p in part.items()}
+    assert got.keys() == want.keys() and all(abs(got[e] - want[e]) < 1e-9 for e in want)
+    assert graph.euclidean_forests(df.limit(0), "g", "key", "vals").count() == 0
+    named = df.selectExpr("g", "concat('k', key) as key", "vals")
+    assert graph.spanning_forest(graph.euclidean_forests(named, "g", "key", "vals"))[0].count() == len(want)
