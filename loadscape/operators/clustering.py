@@ -11,6 +11,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loadscape.operators import blocks
 from loadscape.operators.distance import both_ways
 
 #: Least mean distance to neighbours, so that copies have a density.
@@ -102,12 +103,17 @@ def local_outlier_factor(pairs: DataFrame, group: str, k: int) -> DataFrame:
     return outlier_factors(both_ways(pairs, group), group, k)
 
 
+def local_outlier_factors(df: DataFrame, group: str, key: str, vals: str, k: int) -> DataFrame:
+    """As ``local_outlier_factor`` by Euclidean distance; of all pairs, each two blocks keep a row's k nearest only."""
+    return outlier_factors(blocks.within(df, group, key, vals, blocks.euclidean, k), group, k)
+
+
 def outlier_factors(pairs: DataFrame, group: str, k: int) -> DataFrame:
     """(group, i, lof) from pairs (group, i, j, d) of each row with those that may be its neighbours, each of which is an i too.
 
     Neighbours that are all copies of a row lie LEAST_REACH away, so copies have factor 1.
     """
-    ranked = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(group, "i").orderBy("d", "j"))).where(F.col("_r") <= k)
+    ranked = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(group, "i").orderBy(F.asc_nulls_last("d"), "j"))).where(F.col("_r") <= k)
     reach = ranked.groupBy(group, "i").agg(F.max("d").alias("kd"))
     named = reach.select(group, F.col("i").alias("j"), F.col("kd").alias("kd_j"))
     density = ranked.join(named, [group, "j"]).groupBy(group, "i").agg((1 / F.greatest(F.avg(F.greatest("d", "kd_j")), F.lit(LEAST_REACH))).alias("lrd"))
