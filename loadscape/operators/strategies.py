@@ -16,13 +16,13 @@ METRICS: dict[str, Metric] = {
     "squared": distance.squared,
     "missing_aware": distance.missing_aware,
     "wasserstein": distance.wasserstein_1d,
-    "warping": lambda a, b: distance.dtw(a, b, F.lit(4)),
+    "warping": distance.warping,
 }
 
 
 def nearest_by(df: DataFrame, queries: DataFrame, key: str, vals: str, metric: str, k: int) -> DataFrame:
     """(query, other, d, rank): the k nearest of all rows to each query by a metric of METRICS."""
-    return distance.nearest(distance.pairs_with_queries(df, queries, key, vals, METRICS[metric]), k)
+    return distance.nearest_to_queries(df, queries, key, vals, METRICS[metric], k)
 
 
 @dataclass(frozen=True)
