@@ -58,10 +58,23 @@ def drop_by_count(df: DataFrame, key: str, flag: Column, most: int) -> DataFrame
 
 
 def complete_grid(df: DataFrame, key: str, ts: str, start: str, end: str, step: str) -> DataFrame:
-    """Every key with every step from start to end inclusive, left-joined to what was read."""
-    stamps = F.explode(F.sequence(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"), F.expr(f"INTERVAL {step}"))).alias(ts)
-    grid = df.select(key).distinct().select(key, stamps)
-    return grid.join(df, [key, ts], "left")
+    """Every key with every step from start to end inclusive, and what was read then.
+
+    Each row gives the steps up to the next row of its key, so only what was read is shuffled and the grid is made where it
+    is needed: a join of the grid would shuffle all of it, or send it to all tasks, as Spark takes it to be no larger than
+    the keys.
+    """
+    all_ = F.sequence(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"), F.expr(f"INTERVAL {step}"))
+    others = [c for c in df.columns if c not in (key, ts)]
+    steps = df.sparkSession.range(1).select(F.posexplode(all_).alias("_at", "_ts"))
+    rows = df.join(F.broadcast(steps), F.col(ts) == F.col("_ts"), "left")
+    # -1: a row without a place in the grid, which only tells that its key is there
+    rows = rows.withColumn("_at", F.when(F.col(key).isNotNull() & F.col("_at").isNotNull(), F.col("_at")).otherwise(-1))
+    w = Window.partitionBy(key).orderBy("_at")
+    first = F.lag(F.lit(1)).over(w).isNull()
+    rows = rows.withColumn("_to", F.greatest(F.coalesce(F.lead("_at").over(w), F.size(all_)) - 1, F.col("_at"))).withColumn("_from", F.when(first, 0).otherwise(F.greatest("_at", F.lit(0))))
+    rows = rows.where("_to >= _from").select(key, *others, "_at", F.explode(F.sequence("_from", "_to")).alias("_i"))
+    return rows.select(key, F.element_at(all_, F.col("_i") + 1).alias(ts), *[F.when(F.col("_i") == F.col("_at"), F.col(c)).alias(c) for c in others])
 
 
 def between_percentiles(df: DataFrame, cols: Sequence[str], low: float = 0.01, high: float = 0.99) -> DataFrame:

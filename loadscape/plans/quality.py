@@ -49,7 +49,7 @@ FROM n JOIN b USING (meter_id)""")
 def q6_cumulative_rules(spark, sf_dir):
     """Capacity first, then a rising second value clears, then the box plot convicts."""
     rows = hourly(spark, sf_dir)
-    found = seq.runs(rows, ["meter_id"], "pos", F.col("value").isNull())
+    found = seq.runs_of_kinds(rows, ["meter_id"], "pos", "value", F.when(F.col("value").isNull(), 1))
     return rules.cumulative(rows, found, "meter_id", "pos", "value", capacity=95.0)
 
 
