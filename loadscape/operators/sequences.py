@@ -181,7 +181,11 @@ def decompose_robust(df: DataFrame, keys: Sequence[str], pos: str, value: str, p
 
 
 def context(df: DataFrame, keys: Sequence[str], day: str, value: str, reach: int, k: int) -> DataFrame:
-    """(keys, day, other, gap): for each row the k most alike values of its keys within ``reach`` days, ties by day."""
-    other = df.select(*keys, F.col(day).alias("other"), F.col(value).alias("_v"))
-    pairs = df.join(other, list(keys)).where((F.col(day) != F.col("other")) & (F.abs(F.col(day) - F.col("other")) <= reach)).withColumn("gap", F.abs(F.col(value) - F.col("_v")))
-    return pairs.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, day).orderBy("gap", "other"))).where(F.col("_k") <= k).drop("_k", "_v")
+    """(keys, day, other, gap): for each row the k most alike values of its keys within ``reach`` days, ties by day.
+
+    A row sees the days around it in one ordered pass; nothing is joined.
+    """
+    near = F.collect_list(F.struct(F.col(day).alias("other"), F.col(value).alias("v"))).over(Window.partitionBy(*keys).orderBy(day).rangeBetween(-reach, reach))
+    gaps = F.transform(F.filter(near, lambda x: x["other"] != F.col(day)), lambda x: F.struct(F.abs(F.col(value) - x["v"]).alias("gap"), x["other"].alias("other")))
+    rows = df.withColumn("_x", F.slice(F.array_sort(gaps), 1, k)).withColumn("_x", F.explode("_x"))
+    return rows.select(*df.columns, F.col("_x.other").alias("other"), F.col("_x.gap").alias("gap"))
