@@ -9,9 +9,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loadscape.operators import blocks
 from loadscape.operators.counted import counted
 from loadscape.operators.counted import quantiles as counted_quantiles
-from loadscape.operators.distance import block_pairs, euclidean, meet, pairs_of_groups, squared, with_blocks
+from loadscape.operators.distance import euclidean, meet
 
 
 def energy_score(samples: DataFrame, observed: DataFrame) -> DataFrame:
@@ -21,8 +22,7 @@ def energy_score(samples: DataFrame, observed: DataFrame) -> DataFrame:
     so the pairs of a large test are made by many tasks.
     """
     near = samples.join(observed, "test_id").groupBy("test_id").agg(F.sum(F.col("p") * euclidean(F.col("vals"), F.col("y"))).alias("a"))
-    pairs = block_pairs(with_blocks(samples, ["test_id"]), ["test_id"], "s", {"p": "p", "v": "vals"}, F.col("_blocks"))
-    spread = pairs.groupBy("test_id").agg(F.sum(F.col("p_a") * F.col("p_b") * euclidean(F.col("v_a"), F.col("v_b"))).alias("b"))
+    spread = blocks.sums_within(samples, "test_id", "s", "vals", blocks.euclidean, "p").groupBy("test_id").agg((F.sum("total") / 2).alias("b"))
     return near.join(spread, "test_id", "left").select("test_id", (F.col("a") - F.coalesce("b", F.lit(0.0))).alias("es"))
 
 
@@ -94,8 +94,7 @@ def mmd2(x: DataFrame, y: DataFrame, vals: str, sigma: float) -> DataFrame:
 
 def mmd2_of_groups(df: DataFrame, group: str, key: str, vals: str, sigma: float) -> DataFrame:
     """(x, y, mmd2) for x < y: as ``mmd2`` between every two groups of a sample; all pairs of its rows are made once."""
-    near = F.sum(F.exp(-F.col("d") / (2 * sigma * sigma))).alias("t")
-    sums = pairs_of_groups(df, group, key, vals, squared).groupBy("group_a", "group_b").agg(near)
+    sums = blocks.kernel_sums(df, group, key, vals, sigma)
     sizes = df.groupBy(F.col(group).alias("g")).agg(F.count(F.lit(1)).alias("n"))
     own = sizes.join(sums.where("group_a = group_b"), F.col("g") == F.col("group_a"), "left")
     own = own.select("g", "n", ((2 * F.coalesce("t", F.lit(0.0)) + F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("own"))
