@@ -63,13 +63,15 @@ def collective(found: DataFrame, least: int, within: int) -> DataFrame:
 def disconnected(found: DataFrame, keys: Sequence[str], least: int, within: int) -> DataFrame:
     """Adds ``disconnected``: start and end together are within so much of a pair that ``least`` intervals share.
 
-    Shared pairs are spread over the starts near theirs, so the search is an equality join.
+    Intervals are counted by (start, end) first, and shared pairs are spread over the pairs near theirs, so what meets is
+    different pairs, however many intervals have them.
     """
-    common = found.groupBy("start", "end").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") >= least)
-    shift = F.explode(F.sequence(F.lit(-within), F.lit(within)))
-    near = common.select(F.col("start").alias("_s"), F.col("end").alias("_e"), shift.alias("_k")).select((F.col("_s") + F.col("_k")).alias("start"), "_s", "_e")
-    hit = found.join(near, "start").where(F.abs(F.col("start") - F.col("_s")) + F.abs(F.col("end") - F.col("_e")) <= within).select(*keys, "start", "end").distinct().withColumn("_hit", F.lit(True))
-    return found.join(hit, [*keys, "start", "end"], "left").withColumn("disconnected", F.col("_hit").isNotNull()).drop("_hit")
+    counts = found.groupBy("start", "end").agg(F.count(F.lit(1)).alias("_c"))
+    steps = [(i, j) for i in range(-within, within + 1) for j in range(-within, within + 1) if abs(i) + abs(j) <= within]
+    near = F.explode(F.array(*[F.struct((F.col("start") + i).alias("s"), (F.col("end") + j).alias("e")) for i, j in steps])).alias("_x")
+    hit = counts.where(F.col("_c") >= least).select(near).select(F.col("_x.s").alias("_s"), F.col("_x.e").alias("_e")).distinct()
+    met = found.join(hit, (F.col("start") == F.col("_s")) & (F.col("end") == F.col("_e")), "left")
+    return met.select(*[F.col(c) for c in found.columns], F.col("_s").isNotNull().alias("disconnected"))
 
 
 def combine(*verdicts: Column) -> Column:
