@@ -58,10 +58,15 @@ def share_out(probs: DataFrame, members: DataFrame, cluster: str) -> DataFrame:
 
 
 def nearest_centroid(queries: DataFrame, train: DataFrame, x: str) -> DataFrame:
-    """(test, cluster, p): the nearest cluster mean; p is the chance of each of its members. Centroids are few."""
-    centres = F.broadcast(train.groupBy("cluster").agg(F.avg(x).alias("_c"), F.count(F.lit(1)).alias("_n")))
-    best = F.min(F.struct(F.abs(F.col(x) - F.col("_c")).alias("d"), F.col("cluster"), F.col("_n")))
-    hit = queries.select(F.col("id").alias("test"), x).join(centres).groupBy("test").agg(best.alias("b"))
+    """(test, cluster, p): the nearest cluster mean; p is the chance of each of its members.
+
+    Centroids are few: all of them come to each row as one array, so a row is not multiplied by them; of a test's rows the
+    nearest counts.
+    """
+    centres = train.groupBy("cluster").agg(F.avg(x).alias("_c"), F.count(F.lit(1)).alias("_n")).agg(F.collect_list(F.struct("_c", "cluster", "_n")).alias("_all"))
+    best = F.array_min(F.transform("_all", lambda c: F.struct(F.abs(F.col(x) - c["_c"]).alias("d"), c["cluster"].alias("cluster"), c["_n"].alias("_n"))))
+    hit = queries.select(F.col("id").alias("test"), x).join(F.broadcast(centres)).select("test", best.alias("b")).where("b is not null")
+    hit = hit.groupBy("test").agg(F.min("b").alias("b"))
     return hit.select("test", F.col("b.cluster").alias("cluster"), (1 / F.col("b._n").cast("double")).alias("p"))
 
 
