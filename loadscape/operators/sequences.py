@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def runs(df: DataFrame, keys: Sequence[str], pos: str, flag: Column) -> DataFrame:
@@ -83,10 +86,11 @@ def find_pattern(df: DataFrame, keys: Sequence[str], order: str, value: str, pat
 def interpolate(df: DataFrame, keys: Sequence[str], pos: str, value: str, out: str) -> DataFrame:
     """NULLs between two values on the straight line between them; outer NULLs stay."""
     w = Window.partitionBy(*keys).orderBy(pos)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # what comes after is what came before in the other order: a frame up to the end would be read anew for each row
+    back, ahead = (x.rowsBetween(Window.unboundedPreceding, 0) for x in (w, Window.partitionBy(*keys).orderBy(F.desc(pos))))
     known = F.when(F.col(value).isNotNull(), F.col(pos))
-    p0, p1 = F.last(known, True).over(back), F.first(known, True).over(ahead)
-    v0, v1 = F.last(value, True).over(back), F.first(value, True).over(ahead)
+    p0, p1 = (F.last(known, True).over(x) for x in (back, ahead))
+    v0, v1 = (F.last(value, True).over(x) for x in (back, ahead))
     line = v0 + (v1 - v0) * (F.col(pos) - p0) / (p1 - p0)
     return df.withColumn(out, F.coalesce(F.col(value), line))
 
@@ -96,19 +100,32 @@ def interpolate_cubic(df: DataFrame, keys: Sequence[str], pos: str, value: str,
 
     Near an end, where a side has only one value, the polynomial is of the degree that its points allow.
     """
-    w = Window.partitionBy(*keys).orderBy(pos)
-    point = F.when(F.col(value).isNotNull(), F.struct(F.col(pos).cast("double").alias("p"), F.col(value).cast("double").alias("v")))
-    # at a known value: it and the known one before (or after) it
-    before = F.last(point, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(point, True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    pairs = df.withColumns({"_b": F.when(point.isNotNull(), F.struct(point.alias("x"), before.alias("y"))), "_a": F.when(point.isNotNull(), F.struct(point.alias("x"), after.alias("y")))})
-    sides = pairs.withColumns({"_b": F.last("_b", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_a": F.first("_a", True).over(w.rowsBetween(0, Window.unboundedFollowing))})
-    points = sides.withColumn("_points", F.filter(F.array("_b.y", "_b.x", "_a.x", "_a.y"), lambda x: x.isNotNull()))
-    at, all_ = F.col(pos).cast("double"), F.col("_points")
-    share = lambda x: F.aggregate(F.filter(all_, lambda y: y["p"] != x["p"]), F.lit(1.0), lambda m, y: m * (at - y["p"]) / (x["p"] - y["p"]))
-    curve = F.aggregate(all_, F.lit(0.0), lambda s, x: s + x["v"] * share(x))
-    inside = F.col("_b").isNotNull() & F.col("_a").isNotNull()
-    return points.withColumn(out, F.coalesce(F.col(value), F.when(inside, curve))).drop("_a", "_b", "_points")
+    # what comes after is what came before in the other order: a frame up to the end would be read anew for each row
+    known, rows, points = F.col(value).isNotNull(), df, []
+    for side, order in (("b", F.asc(pos)), ("a", F.desc(pos))):
+        w = Window.partitionBy(*keys).orderBy(order)
+        own = {f"_{side}p": F.when(known, F.col(pos).cast("double")), f"_{side}v": F.when(known, F.col(value).cast("double"))}
+        # at a known value the one before it, which no other known value lacks once one has it
+        last = {f"{c}2": F.when(known, F.last(x, True).over(w.rowsBetween(Window.unboundedPreceding, -1))) for c, x in own.items()}
+        rows = rows.withColumns(own | last)
+        rows = rows.withColumns({c: F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in (*own, *last)})
+        near, far = ({"p": F.col(f"_{side}p{n}"), "v": F.col(f"_{side}v{n}")} for n in ("", "2"))
+        points += [far, near] if side == "b" else [near, far]
+    at = F.col(pos).cast("double")
+
+    def share(x: dict[str, Column]) -> Column:
+        out = F.lit(1.0)
+        for y in points:
+            skip = y["p"].isNull() | (y["p"] == x["p"])
+            out = out * F.when(skip, 1.0).otherwise(at - y["p"]) / F.when(skip, 1.0).otherwise(x["p"] - y["p"])
+        return out
+
+    curve = F.lit(0.0)
+    for x in points:
+        curve = curve + F.when(x["p"].isNull(), 0.0).otherwise(x["v"] * share(x))
+    inside = F.col("_bp").isNotNull() & F.col("_ap").isNotNull()
+    found = rows.withColumn(out, F.coalesce(F.col(value), F.when(inside, curve)))
+    return found.drop(*[f"_{side}{c}{n}" for side in "ba" for c in "pv" for n in ("", "2")])
 
 
 def forward_fill(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str) -> DataFrame:
@@ -170,14 +187,50 @@ def decompose(df: DataFrame, keys: Sequence[str], pos: str, value: str, period:
     return rows.withColumn("rest", F.col(value) - F.col("trend") - F.col("season")).drop("_phase")
 
 
+def _medians(at: np.ndarray, v: np.ndarray, known: np.ndarray, period: int, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(values, whether there) of trend and season of one ordered series."""
+    half, n = period // 2, len(v)
+    day = lambda x, edge: np.lib.stride_tricks.sliding_window_view(np.pad(x, half, constant_values=edge), 2 * half + 1)
+    inside = np.flatnonzero((at >= half) & (at <= length - half - 1) & (day(known, False).sum(axis=1) > half))
+    trend, season, has = np.full(n, np.nan), np.full(n, np.nan), np.zeros((2, n), bool)
+    # NaN and unknown values come last in that order, and only places among the known ones are asked for
+    trend[inside], has[0, inside] = np.partition(day(np.where(known, v, np.nan), np.nan)[inside], half, axis=1)[:, half], True
+    phase, used = np.fmod(at, period), np.flatnonzero(has[0] & known)
+    gaps = (v - trend)[used]
+    order = np.lexsort((gaps, phase[used]))
+    phases, start, count = np.unique(phase[used][order], return_index=True, return_counts=True)
+    if len(phases):
+        middle = (gaps[order][start + (count - 1) // 2] + gaps[order][start + count // 2]) / 2
+        place = np.minimum(np.searchsorted(phases, phase), len(phases) - 1)
+        has[1] = phases[place] == phase
+        season = middle[place]
+    return [(trend, has[0]), (season, has[1])]
+
+
 def decompose_robust(df: DataFrame, keys: Sequence[str], pos: str, value: str, period: int, length: int) -> DataFrame:
-    """As ``decompose`` with medians instead of means, so that single peaks move neither trend nor season; period is even."""
-    half = period // 2
-    around = F.array_sort(F.collect_list(value).over(Window.partitionBy(*keys).orderBy(pos).rowsBetween(-half, half)))
-    rows = df.withColumn("trend", F.when(F.col(pos).between(half, length - half - 1), around[half])).withColumn("_phase", F.col(pos) % period)
-    season = rows.groupBy(*keys, "_phase").agg(F.median(F.col(value) - F.col("trend")).alias("season"))
-    rows = rows.join(season, [*keys, "_phase"])
-    return rows.withColumn("rest", F.col(value) - F.col("trend") - F.col("season")).drop("_phase")
+    """As ``decompose`` with medians instead of means, so that single peaks move neither trend nor season; period is even.
+
+    A key's rows meet as arrays, so one shuffle brings them together and numpy takes the medians. Nulls are left out of a
+    day: its trend is the same place among the known values, NULL where they are too few. Rows without a key go.
+    """
+    parts = T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("trend", "season")])
+
+    @F.arrow_udf(parts)
+    def medians(at: pa.Array, v: pa.Array) -> pa.Array:
+        ends, places, values = at.offsets.to_numpy(), at.values.to_numpy(), v.values
+        known, numbers = ~values.is_null().to_numpy(zero_copy_only=False), values.to_numpy(zero_copy_only=False).astype(float)
+        series = [slice(a, b) for a, b in zip(ends[:-1], ends[1:])]
+        found = [_medians(places[x], numbers[y], known[y], period, length) for x, y in zip(series, (slice(a, b) for a, b in zip(v.offsets.to_numpy()[:-1], v.offsets.to_numpy()[1:])))]
+        whole = lambda k, c: np.concatenate([np.zeros(0, bool if c else float), *[x[k][c] for x in found]])
+        columns = [pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(whole(k, 0), mask=~whole(k, 1))) for k in (0, 1)]
+        return pa.StructArray.from_arrays(columns, names=parts.names)
+
+    rest = [pos, *[c for c in df.columns if c not in (*keys, pos)]]
+    series = df.where(" and ".join(f"{c} is not null" for c in keys)).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("_rows"))
+    series = series.withColumn("_found", medians(F.col(f"_rows.{pos}").cast("array<bigint>"), F.col(f"_rows.{value}").cast("array<double>")))
+    rows = series.select(*keys, F.col("_rows"), *[F.col(f"_found.{c}").alias(f"_{c}") for c in parts.names]).select(*keys, F.explode(F.arrays_zip("_rows", "_trend", "_season")).alias("_x"))
+    rows = rows.select(*[F.col(c) if c in keys else F.col(f"_x._rows.{c}").alias(c) for c in df.columns], F.col("_x._trend").alias("trend"), F.col("_x._season").alias("season"))
+    return rows.withColumn("rest", F.col(value) - F.col("trend") - F.col("season"))
 
 
 def context(df: DataFrame, keys: Sequence[str], day: str, value: str, reach: int, k: int) -> DataFrame:
