@@ -67,6 +67,24 @@ def after_gap(df: DataFrame, found: DataFrame, key: str, pos: str, value: str, w
     return rows.groupBy(key, "start", "gap").agg(at(F.col("_k") == 0).alias("v1"), at(F.col("_k") == 1).alias("v2"), F.round(F.avg(rest), 4).alias("mean"), F.max(rest).alias("hi"))
 
 
+def after_null_runs(df: DataFrame, key: str, pos: str, value: str, width: int) -> DataFrame:
+    """As ``after_gap`` for all runs of nulls at consecutive positions, in one pass over each key's positions, without a join.
+
+    The last row of a run sees the ``width`` positions after it; a run without any row there gives none.
+    """
+    w = Window.partitionBy(key).orderBy(pos)
+    none, step = F.col(value).isNull(), F.col(pos)
+    begins = none & F.coalesce((F.lag(pos).over(w) != step - 1) | F.lag(value).over(w).isNotNull(), F.lit(True))
+    ends = none & F.coalesce((F.lead(pos).over(w) != step + 1) | F.lead(value).over(w).isNotNull(), F.lit(True))
+    ahead = lambda a, b: w.rangeBetween(a, b)
+    rest = F.when(F.lit(width > 1), F.avg(value).over(ahead(2, max(2, width)))), F.when(F.lit(width > 1), F.max(value).over(ahead(2, max(2, width))))
+    seen = {"v1": F.max(value).over(ahead(1, 1)), "v2": F.when(F.lit(width > 1), F.max(value).over(ahead(2, 2))), "mean": F.round(rest[0], 4), "hi": rest[1], "_rows": F.count(F.lit(1)).over(ahead(1, width))}
+    rows = df.select(key, pos, F.when(begins, step).alias("_start"), ends.alias("_ends"), *[c.alias(n) for n, c in seen.items()])
+    rows = rows.withColumn("_start", F.last("_start", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    found = rows.where(F.col("_ends") & (F.col("_rows") > 0) & F.col(key).isNotNull())
+    return found.select(key, F.col("_start").alias("start"), (step + 1 - F.col("_start")).alias("gap"), "v1", "v2", "mean", "hi")
+
+
 def rare_values(df: DataFrame, key: str, value: str, width: float, least: float) -> DataFrame:
     """Adds ``rare``: the value's histogram cell holds less than a share ``least`` of its key's values.
 

@@ -100,9 +100,7 @@ f AS (SELECT h.meter_id, r.start, r."end" - r.start AS gap, h.value, h.pos - r."
 SELECT meter_id, start, gap, max(value) FILTER (k = 0) AS v1, max(value) FILTER (k = 1) AS v2, round(avg(value) FILTER (k > 0), 4) AS mean, max(value) FILTER (k > 0) AS hi FROM f GROUP BY 1, 2, 3""")
 def q25_features_after_gap(spark, sf_dir):
     """The first two values after a gap, and mean and maximum of the five after the first."""
-    rows = hourly(spark, sf_dir)
-    found = seq.runs(rows, ["meter_id"], "pos", F.col("value").isNull())
-    return rules.after_gap(rows, found, "meter_id", "pos", "value", 6)
+    return rules.after_null_runs(hourly(spark, sf_dir), "meter_id", "pos", "value", 6)
 
 
 @query(with_tables("slots") + ", p AS (SELECT profile_id, avg(value) AS x, max(value) AS y FROM slots GROUP BY 1), r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM p) SELECT round(corr(rx, ry), 9) AS rho FROM r")

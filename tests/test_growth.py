@@ -80,3 +80,22 @@ def test_a_row_is_not_multiplied_by_centroids(spark):
     assert "array_min" in _plan(out)
     got = {r.test: (r.cluster, round(1 / r.p)) for r in out.collect()}
     assert got == {1: ("a", 2), 2: ("a", 2), 3: ("b", 3), 4: ("b", 3), 5: ("c", 1), 6: ("a", 2), 7: ("c", 1)}
+
+
+def test_what_follows_a_gap_needs_no_join(spark):
+    df, _ = _series(spark)
+    out = rules.after_null_runs(df, "k", "pos", "v", 4)
+    assert "Join" not in _plan(out)
+    want = rules.after_gap(df, sequences.runs(df, ["k"], "pos", F.col("v").isNull()), "k", "pos", "v", 4)
+    read = lambda d: sorted(map(str, d.select("k", "start", "gap", "v1", "v2", "mean", "hi").collect()))
+    assert read(out) == read(want) and out.columns == want.columns and out.count() > 10
+
+
+def test_shared_starts_are_sent_to_the_intervals(spark):
+    draw = random.Random(6)
+    rows = [(m, draw.randint(0, 4), draw.randint(5, 9), draw.choice([None, False])) for m in range(90)]
+    found = spark.createDataFrame(rows, "m int, start int, end int, normal boolean")
+    out = intervals.collective_rest(found, F.col("normal").isNull(), 8, 1)
+    assert _plan(out).count("Join") == 1 and "broadcast" in _plan(out)
+    old = intervals.collective(found.where("normal is null").select("m", "start", "end"), 8, 1).where("collective")
+    assert {r.m for r in out.where("shared").collect()} == {r.m for r in old.collect()} and out.count() == 90
