@@ -60,6 +60,18 @@ def collective(found: DataFrame, least: int, within: int) -> DataFrame:
     return sized.join(modal, "start").withColumn("collective", (F.col("_same") >= least) & (F.abs(F.col("_n") - F.col("_mode")) <= within)).drop("_n", "_same", "_mode")
 
 
+def collective_rest(found: DataFrame, open_: Column, least: int, within: int) -> DataFrame:
+    """Adds ``shared``: TRUE where ``collective`` holds among the intervals that are ``open_``, else NULL.
+
+    Starts are places of a grid, so what their intervals share is small: it is sent to the intervals, which stay put.
+    """
+    size = F.col("end") - F.col("start")
+    counts = found.where(open_).groupBy("start", size.alias("_n")).agg(F.count(F.lit(1)).alias("_c"))
+    modal = counts.groupBy(F.col("start").alias("_s")).agg(F.sum("_c").alias("_same"), F.max_by("_n", F.struct("_c", -F.col("_n"))).alias("_mode")).where(F.col("_same") >= least)
+    met = found.join(F.broadcast(modal), F.col("start") == F.col("_s"), "left")
+    return met.withColumn("shared", F.when(open_ & (F.abs(size - F.col("_mode")) <= within), True)).drop("_s", "_same", "_mode")
+
+
 def disconnected(found: DataFrame, keys: Sequence[str], least: int, within: int) -> DataFrame:
     """Adds ``disconnected``: start and end together are within so much of a pair that ``least`` intervals share.
 
