@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadscape.operators.matching import k_medoids
+from loadscape.operators.samplers import spread_join
 from loadscape.operators.statistics import roc_auc
 
 
@@ -36,7 +37,7 @@ def classified_sampler(train: DataFrame, queries: DataFrame, key: str, vals: str
     forest = RandomForestClassifier(labelCol="_c", featuresCol="_x", seed=seed, numTrees=20).fit(clusters.withColumn("_x", features))
     found = forest.transform(queries.withColumn("_x", features)).select(F.col(key).alias("test"), F.posexplode(vector_to_array("probability")).alias("_c", "p")).where("p > 0")
     sizes = clusters.groupBy("_c").agg(F.count(F.lit(1)).alias("_n"))
-    return found.join(sizes, "_c").join(clusters.select("_c", F.col(key).alias("pick")), "_c").select("test", "pick", (F.col("p") / F.col("_n")).alias("p"))
+    return spread_join(found.join(F.broadcast(sizes), "_c"), clusters.select("_c", F.col(key).alias("pick")), ["_c"]).select("test", "pick", (F.col("p") / F.col("_n")).alias("p"))
 
 
 def pca(df: DataFrame, vals: str, k: int) -> DataFrame:

@@ -161,7 +161,24 @@ def weighted_draws(queries: DataFrame, train: DataFrame, group: str, weight: str
     return met.where((at >= F.col("_hi") - F.col("_w")) & (at < F.col("_hi"))).select("test", "n", "pick")
 
 
+#: Parts into which the tests of a join are dealt, so that the rows of a few large clusters are made by many tasks.
+PARTS = 64
+
+
+def spread_join(asked: DataFrame, members: DataFrame, on: Sequence[str], pick: str = "pick") -> DataFrame:
+    """``asked`` joined with ``members``: members are dealt into PARTS and each asked row goes to all of them.
+
+    What is asked is few beside its members or what comes of them; a cluster's pairs are then made by as many tasks.
+    """
+    own = F.pmod(F.xxhash64(pick), F.lit(PARTS)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    # as many partitions as are named: by their few bytes Spark would take a handful of tasks for all that comes of them
+    sides = (d.withColumn("_part", part).repartition(2 * PARTS, *on, "_part") for d, part in ((asked, every), (members, own)))
+    return next(sides).join(next(sides).hint("shuffle_hash"), [*on, "_part"]).drop("_part")
+
+
 def two_level(cluster_probs: DataFrame, members: DataFrame, cluster: str, same: Sequence[str]) -> DataFrame:
     """(test, pick, p): a cluster's probability times an equal share among its members that agree in ``same``."""
     sizes = members.groupBy(cluster, *same).agg(F.count(F.lit(1)).alias("_n"))
-    return cluster_probs.join(sizes, [cluster, *same]).join(members, [cluster, *same]).select("test", "pick", (F.col("p") / F.col("_n")).alias("p"))
+    asked = cluster_probs.join(sizes, [cluster, *same])
+    return spread_join(asked, members, [cluster, *same]).select("test", "pick", (F.col("p") / F.col("_n")).alias("p"))

@@ -99,3 +99,12 @@ def test_shared_starts_are_sent_to_the_intervals(spark):
     assert _plan(out).count("Join") == 1 and "broadcast" in _plan(out)
     old = intervals.collective(found.where("normal is null").select("m", "start", "end"), 8, 1).where("collective")
     assert {r.m for r in out.where("shared").collect()} == {r.m for r in old.collect()} and out.count() == 90
+
+
+def test_a_large_clusters_pairs_are_made_by_many_tasks(spark):
+    members = spark.range(3000).select(F.when(F.col("id") < 2990, 1).otherwise(F.lit(2)).alias("c"), F.col("id").alias("pick"), (F.col("id") % 2).alias("kind"))
+    asked = spark.createDataFrame([(0, 1, 0, 0.75), (0, 2, 0, 0.25), (20, 1, 1, 1.0), (40, 3, 1, 1.0), (60, None, 1, 1.0)], "test int, c int, kind long, p double")
+    out = samplers.two_level(asked, members, "c", ["kind"])
+    sizes = [r.n for r in out.groupBy(F.spark_partition_id().alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 3000 - 5 and len(sizes) > 32 and max(sizes) < 300
+    assert {r.test: round(r.p, 9) for r in out.groupBy("test").agg(F.sum("p").alias("p")).collect()} == {0: 1.0, 20: 1.0}
