@@ -68,6 +68,32 @@ def merged(symbols: list[str], rank: dict[str, int]) -> list[str]:
     return [x for x in text if x]
 
 
+#: Beyond all ranks.
+NEVER = 1 << 62
+
+
+def kept_apart(a: str, b: str, rank: dict[str, int]) -> bool:
+    """Whether the letters of a and b merge into just these two, as ``merged`` would: over once a merge joins both.
+
+    Tokens are short, so the lowest rank is looked for in a list; among equals that gives the leftmost.
+    """
+    parts, edge, get = [*a, *b], len(a) - 1, rank.get
+    ranks = [get(x + y, NEVER) for x, y in zip(parts, parts[1:])]
+    while (least := min(ranks)) < NEVER:
+        i = ranks.index(least)
+        if i == edge:
+            return False
+        parts[i] += parts.pop(i + 1)
+        del ranks[i]
+        if i < edge:
+            edge -= 1
+        if i < len(ranks):
+            ranks[i] = get(parts[i] + parts[i + 1], NEVER)
+        if i:
+            ranks[i - 1] = get(parts[i - 1] + parts[i], NEVER)
+    return len(parts) == 2
+
+
 @dataclass
 class Vocabulary:
     """What a vocabulary file says; small enough to be sent to every task (about a megabyte for 32,000 pieces).
@@ -146,7 +172,7 @@ class Encoder:
         a, b = self.text[left], self.text[right]
         if len(self.pairs) >= CACHE_PAIRS:
             self.pairs.clear()
-        known = self.pairs[left << 32 | right] = a[-1] + b[0] not in self.bigrams or merged([*a, *b], self.v.rank) == [a, b]
+        known = self.pairs[left << 32 | right] = a[-1] + b[0] not in self.bigrams or kept_apart(a, b, self.v.rank)
         return known
 
     def tokens(self, run: str) -> list[int]:
@@ -197,7 +223,10 @@ class Encoder:
                 whole = (" " if self.v.prefix else "") + text.replace(MARK, " ")
                 runs = self.runs.findall(whole)
                 seen = self.seen
-                found = np.fromiter((seen[r] if r in seen else self._number(r) for r in runs), np.int64, len(runs))
+                places = [*map(seen.get, runs)]
+                if None in places:
+                    places = [(seen[r] if r in seen else self._number(r)) if p is None else p for p, r in zip(places, runs)]
+                found = np.array(places, np.int64)
                 numbers.append(found)
                 total += len(found)
             ends[i + 1] = total

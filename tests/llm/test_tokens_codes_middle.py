@@ -247,3 +247,17 @@ def test_selected_numbers(numbers):
 def test_token_ends(text):
     ends = np.cumsum([len(x) for x in TOKEN.findall(text)]).tolist()
     assert fillmiddle.token_ends(text).tolist() == ends
+
+
+def test_pairs_kept_apart_equal_merging():
+    """Two tokens stay two exactly where merging all their letters gives them, equal ranks too; a long list needs no heap."""
+    import random as _random
+
+    from loadscape.llm import piecebpe
+
+    draw = _random.Random(11)
+    for _ in range(300):
+        rank = {"".join(draw.choices("abc", k=draw.randint(2, 5))): draw.randint(0, 8) for _ in range(draw.randint(1, 25))}
+        for _ in range(40):
+            a, b = ("".join(draw.choices("abc", k=draw.randint(1, 5))) for _ in "ab")
+            assert piecebpe.kept_apart(a, b, rank) == (piecebpe.merged([*a, *b], rank) == [a, b])
