@@ -310,3 +310,31 @@ def test_strategies_by_name(spark):
     for name in strategies.METRICS:
         near = strategies.nearest_by(df, q, "id", "vals", name, 2).collect()
         assert len(near) == 6 and all(r.query // 60 == r.other // 60 for r in near)
+
+
+def test_draws_meet_by_blocks_and_equal_the_smallest_digests(spark, monkeypatch):
+    import hashlib
+
+    from loadscape.operators import samplers
+    from loadscape.operators.digests import Tails
+
+    texts = [str(i * 37 - 500).encode() for i in range(3000)] + [b"", b"z" * 60]
+    for head in (b"pick:7:", b"pick:12:", b"abc:-9:", b"", b"x" * 50):
+        want = sorted((hashlib.md5(head + x).digest(), i) for i, x in enumerate(texts))
+        assert sorted(Tails(texts).least(head, 10))[:10] == want[:10]
+        assert Tails(texts).first_words(head).tolist() == [int(hashlib.md5(head + x).hexdigest()[:8], 16) for x in texts]
+    monkeypatch.setattr(samplers, "DRAWN_ROWS", 50)
+    monkeypatch.setattr(samplers, "DRAWING_TESTS", 3)
+    rows = spark.createDataFrame([(i * 7 - 300,) for i in range(400)] + [(None,)], "pick bigint")
+    asked = spark.createDataFrame([(t,) for t in (-20, 0, 5, 40, 60, 80, 100)], "test bigint")
+    found = samplers.draw(asked, rows, 10, "pick")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    got: dict[int, set] = {}
+    for r in found.collect():
+        assert r.p == 0.1
+        got.setdefault(r.test, set()).add(r.pick)
+    keys = [i * 7 - 300 for i in range(400)]
+    assert got == {t: set(sorted(keys, key=lambda x: hashlib.md5(f"pick:{t}:{x}".encode()).hexdigest())[:10]) for t in (-20, 0, 5, 40, 60, 80, 100)}
+    few = spark.createDataFrame([(1,), (None,), (2,)], "pick bigint")
+    assert {r.pick for r in samplers.draw(asked, few, 2, "pick").collect()} == {1, 2}
