@@ -205,3 +205,30 @@ def test_forests_of_blocks_hold_the_spanning_forest(spark, monkeypatch):
     assert graph.euclidean_forests(df.limit(0), "g", "key", "vals").count() == 0
     named = df.selectExpr("g", "concat('k', key) as key", "vals")
     assert graph.spanning_forest(graph.euclidean_forests(named, "g", "key", "vals"))[0].count() == len(want)
+
+
+def test_label_moves_of_many_pairs_at_once():
+    """As moving one pair's labels at a time, few and many labels, with and without a metric."""
+    r = np.random.default_rng(5)
+    p = r.random((7, 3))
+    metric = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2))
+    for cost in (metric, r.random((7, 7))):
+        for most in (1, 3, 9):
+            x, y = r.integers(0, most + 1, (120, 7)), r.integers(0, most + 1, (120, 7))
+            x[:5], y[5:10] = 0, 0
+            common = np.minimum(x, y)
+            want = [matching.transports(cost, a[None], b[None])[0] for a, b in zip(x - common, y - common)]
+            assert np.allclose(matching.moves(cost, x - common, y - common), want, atol=1e-9)
+            units = [i for i in range(120) if 0 < min((x - common)[i].sum(), (y - common)[i].sum()) <= 6]
+            for i in units[:20]:
+                a, b = (np.repeat(np.arange(7), z) for z in ((x - common)[i], (y - common)[i]))
+                c = cost[np.ix_(a, b)] if len(a) <= len(b) else cost[np.ix_(a, b)].T
+                assert np.isclose(matching.least_assignment(c), want[i])
+
+
+def test_label_distances_leave_no_pair_to_the_jvm(spark):
+    df = spark.createDataFrame([(i, (i * k) % 4) for i in range(30) for k in range(5)], "id bigint, label int")
+    apart = spark.createDataFrame([(a, b, float(abs(a - b))) for a in range(4) for b in range(4)], "a int, b int, d double")
+    found = matching.label_distances(df.where("id % 20 = 0"), df, "id", "label", apart, 6)
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 2 * 29
