@@ -14,25 +14,39 @@ def loess(y: np.ndarray, q: int, at: np.ndarray, weights: np.ndarray) -> np.ndar
     """Local lines through the rows of y (series, n) at the places ``at``, which may lie outside 0 to n - 1.
 
     The q nearest places count (all, over a wider band, if q is more), by tricube weights times ``weights``. Where no place
-    has a weight, the nearest value stands.
+    has a weight, the nearest value stands. Sums over the q places are added a place at a time, for all of ``at`` together.
     """
     n = y.shape[1]
     size = min(q, n)
     left = np.clip(at - size // 2, 0, n - size)
-    index = left[:, None] + np.arange(size)
-    x = (index - at[:, None]).astype(float)
+    x = (left[:, None] + np.arange(size) - at[:, None]).astype(float)
     reach = np.maximum(np.abs(x[:, 0]), np.abs(x[:, -1]))[:, None] + max(0, q - n) // 2
     near = np.where(np.abs(x) <= 0.999 * reach, (1 - np.minimum(np.abs(x) / np.maximum(reach, 1e-12), 1) ** 3) ** 3, 0.0)
-    w = near[None] * weights[:, index]
-    total = w.sum(axis=2)
-    found = total > 0
-    w /= np.where(found, total, 1)[:, :, None]
-    mean = (w * x).sum(axis=2)
-    off = x[None] - mean[:, :, None]
-    spread = (w * off**2).sum(axis=2)
-    slope = np.where(np.sqrt(spread) > 0.001 * (n - 1), -mean / np.where(spread > 0, spread, 1), 0.0)
-    fitted = (w * (1 + slope[:, :, None] * off) * y[:, index]).sum(axis=2)
-    return np.where(found, fitted, y[:, np.clip(at, 0, n - 1)])
+    # places by series, so that a place's values lie together; weights may be one row for all series
+    wy, weights = np.ascontiguousarray((weights * y).T), np.ascontiguousarray(weights.T)
+    w, w_x, w_xx = (np.zeros((len(at), weights.shape[1])) for _ in range(3))
+    v, v_x = (np.zeros((len(at), len(y))) for _ in range(2))
+    for k in range(size):
+        tricube, gap = near[:, k, None], x[:, k, None]
+        own = np.take(weights, left + k, axis=0)
+        own *= tricube
+        w += own
+        own *= gap
+        w_x += own
+        own *= gap
+        w_xx += own
+        value = np.take(wy, left + k, axis=0)
+        value *= tricube
+        v += value
+        value *= gap
+        v_x += value
+    found = w > 0
+    total = np.where(found, w, 1)
+    for z in (w_x, w_xx, v, v_x):
+        z /= total
+    spread = np.maximum(w_xx - w_x * w_x, 0)
+    slope = np.where(np.sqrt(spread) > 0.001 * (n - 1), (v_x - w_x * v) / np.where(spread > 0, spread, 1), 0.0)
+    return np.ascontiguousarray(np.where(found, v - w_x * slope, y.T[np.clip(at, 0, n - 1)]).T)
 
 
 def _moving(y: np.ndarray, n: int) -> np.ndarray:
@@ -54,7 +68,7 @@ def stl(y: np.ndarray, period: int, seasonal: int, inner: int = 2, outer: int =
     """
     n, all_ = y.shape[1], np.arange(y.shape[1])
     slow, wide = odd_from(period + 1), odd_from(1.5 * period / (1 - 1.5 / seasonal))
-    trend, season, weights, even = np.zeros_like(y), np.zeros_like(y), np.ones_like(y), np.ones_like(y)
+    trend, season, weights, even = np.zeros_like(y), np.zeros_like(y), np.ones_like(y), np.ones((1, n))
     for _ in range(max(1, outer)):
         for _ in range(inner):
             cycle = np.empty((len(y), n + 2 * period))

@@ -232,3 +232,18 @@ def test_label_distances_leave_no_pair_to_the_jvm(spark):
     found = matching.label_distances(df.where("id % 20 = 0"), df, "id", "label", apart, 6)
     assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == 2 * 29
+
+
+def test_local_regression_holds_no_cube_of_series_places_and_neighbours():
+    """What it holds at once goes by series and places, however wide the band; weights may be one row for all series."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    y, at = rng.random((32, 720)), np.arange(720)
+    tracemalloc.start()
+    found = loess.loess(y, 201, at, np.ones((1, 720)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * y.nbytes
+    assert np.allclose(found, loess.loess(y, 201, at, np.ones_like(y)), atol=1e-12)
+    assert np.allclose(found[3], plain_loess(y[3], 201, range(720), np.ones(720)), atol=1e-9)
