@@ -35,10 +35,22 @@ def reach_of(marks: np.ndarray, near: int) -> float:
     return float(np.median(d[:, min(near, len(marks) - 1)])) or 1.0
 
 
+#: Distances of rows to landmarks that are held at once (4 MB).
+AT_ONCE = 500_000
+
+
+def tied(x: pd.Series, marks: np.ndarray, near: int, sigma: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As ``ties`` for a batch of arrays, so many rows at a time that their distances stay bounded, whatever the batch holds."""
+    step = max(1, AT_ONCE // max(1, len(marks)))
+    for k in range(0, len(x), step):
+        yield ties(np.stack(x.iloc[k : k + step].to_numpy()).astype(float), marks, near, sigma)
+
+
 def ties(x: np.ndarray, marks: np.ndarray, near: int, sigma: float) -> tuple[np.ndarray, np.ndarray]:
     """(landmarks, weights): each row's nearest landmarks, ties to the lower number, and weights that add up to one."""
     d = apart(x, marks)
-    at = np.argsort(d, axis=1, kind="stable")[:, :near]
+    # a copy, since a view would keep the whole order of the landmarks
+    at = np.argsort(d, axis=1, kind="stable")[:, :near].copy()
     d = np.take_along_axis(d, at, axis=1)
     w = np.exp((d[:, :1] - d) / (2 * sigma * sigma))
     return at, w / w.sum(axis=1, keepdims=True)
@@ -72,8 +84,7 @@ def embedded(df: DataFrame, key: str, vals: str, k: int, landmarks: int = 500, n
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((m, m))
         for pdf in batches:
-            if len(pdf):
-                at, w = ties(np.stack(pdf[vals].to_numpy()).astype(float), marks, near, sigma)
+            for at, w in tied(pdf[vals], marks, near, sigma):
                 for a in range(near):
                     for b in range(near):
                         np.add.at(total, (at[:, a], at[:, b]), w[:, a] * w[:, b])
@@ -92,10 +103,11 @@ def embedded(df: DataFrame, key: str, vals: str, k: int, landmarks: int = 500, n
         known = x.notna().to_numpy()
         found = pd.Series([None] * len(x), dtype=object, index=x.index)
         if known.any():
-            at, w = ties(np.stack(x[known].to_numpy()).astype(float), marks, near, sigma)
-            p = (project[at] * w[:, :, None]).sum(axis=1)
-            p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-300)
-            found[known] = pd.Series(list(p), index=x.index[known])
+            parts = []
+            for at, w in tied(x[known], marks, near, sigma):
+                p = (project[at] * w[:, :, None]).sum(axis=1)
+                parts.append(p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-300))
+            found[known] = pd.Series(list(np.concatenate(parts)), index=x.index[known])
         return found
 
     return df.withColumn(out, place(F.when(whole, F.col(vals))))

@@ -47,3 +47,21 @@ def test_odd_rows(spark):
     assert spectral.spectral(spark.createDataFrame([], "id bigint, v array<double>"), "id", "v", 2).count() == 0
     same = spark.createDataFrame([(i, [1.0]) for i in range(9)], "id bigint, v array<double>")
     assert {r.part for r in spectral.spectral(same, "id", "v", 3).collect()} == {0}
+
+
+def test_ties_of_a_large_batch_are_held_in_part_only():
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(6)
+    x, marks = rng.random((10_000, 8)), rng.random((500, 8))
+    batch = pd.Series(list(x))
+    tracemalloc.start()
+    parts = [*spectral.tied(batch, marks, 5, 0.5)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
+    at, w = (np.concatenate(z) for z in zip(*parts))
+    want_at, want_w = spectral.ties(x[:200], marks, 5, 0.5)
+    assert len(at) == 10_000 and np.array_equal(at[:200], want_at) and np.array_equal(w[:200], want_w)
