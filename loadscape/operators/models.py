@@ -14,6 +14,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loadscape.operators.blocks import similar_sums
+from loadscape.operators.graph import cut
 from loadscape.operators.matching import k_medoids
 from loadscape.operators.samplers import spread_join
 from loadscape.operators.statistics import roc_auc
@@ -159,3 +161,34 @@ def power_iteration(pairs: DataFrame, k: int, scale: float) -> DataFrame:
     """(id, cluster): power iteration clustering of distances (i, j, d), as similarities exp(-d / scale)."""
     edges = pairs.select(F.col("i").cast("long").alias("src"), F.col("j").cast("long").alias("dst"), F.exp(-F.col("d") / scale).alias("weight"))
     return PowerIterationClustering(k=k, maxIter=20, weightCol="weight").assignClusters(edges)
+
+
+def power_iteration_within(df: DataFrame, group: str, key: str, vals: str, k: int, scale: float, rounds: int = 20) -> DataFrame:
+    """(id, cluster): as ``power_iteration`` of all pairs of a group, without a row for any pair.
+
+    Each round multiplies the values with the similarities, which are measured again where two blocks of rows meet, and
+    divides by a row's own sum of them; rounds end once the change of values hardly changes, as MLlib's do. Starts are decided
+    by the key, so reruns agree. Rows without a neighbour are in no cluster, as without a pair.
+    """
+    rows = df.select(F.col(group).alias("_group"), F.col(key).cast("long").alias("id"), F.col(vals).alias("_vals")).where("_group is not null and id is not null")
+    start = F.pmod(F.xxhash64(F.lit("power"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 29)) - 1
+    now, last, count = rows.select("id", start.alias("_x")), None, 1
+    norm = now.agg(F.sum(F.abs("_x"))).first()[0]
+    if not norm:
+        return rows.select("id", F.lit(None).cast("int").alias("cluster")).limit(0)
+    now = now.withColumn("_x", F.col("_x") / norm)
+    for _ in range(rounds):
+        met = similar_sums(rows.join(now, "id"), "_group", "id", "_vals", "_x", scale).where("degree > 0")
+        after = cut(met.join(now, "id").select("id", (F.col("total") / F.col("degree")).alias("_raw"), "_x"))
+        count, norm = after.agg(F.count(F.lit(1)), F.sum(F.abs("_raw"))).first()
+        if not norm:
+            break
+        after = after.select("id", (F.col("_raw") / norm).alias("_now"), "_x")
+        moved = after.agg(F.sum(F.abs(F.col("_now") - F.col("_x")))).first()[0]
+        now = after.select("id", F.col("_now").alias("_x"))
+        if last is not None and abs(moved - last) <= max(1e-5 / count, 1e-8):
+            break
+        last = moved
+    # values add up to one: by their number, so that what k-means takes for no move does not hang on how many there are
+    v = now.withColumn("_v", array_to_vector(F.array(F.col("_x") * count)))
+    return KMeans(k=k, seed=0, featuresCol="_v", predictionCol="cluster").fit(v).transform(v).select("id", "cluster")

@@ -160,8 +160,7 @@ def d13_direction_similarity(spark, sf_dir):
 
 @query()
 def c9_power_iteration(spark, sf_dir):
-    pairs = distance.pairs_within(profiles(spark, sf_dir), "cluster", "profile_id", "vals", distance.euclidean)
-    return models.power_iteration(pairs, 3, 1.0)
+    return models.power_iteration_within(profiles(spark, sf_dir), "cluster", "profile_id", "vals", 3, 1.0)
 
 
 @query()

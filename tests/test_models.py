@@ -338,3 +338,16 @@ def test_draws_meet_by_blocks_and_equal_the_smallest_digests(spark, monkeypatch)
     assert got == {t: set(sorted(keys, key=lambda x: hashlib.md5(f"pick:{t}:{x}".encode()).hexdigest())[:10]) for t in (-20, 0, 5, 40, 60, 80, 100)}
     few = spark.createDataFrame([(1,), (None,), (2,)], "pick bigint")
     assert {r.pick for r in samplers.draw(asked, few, 2, "pick").collect()} == {1, 2}
+
+
+def test_power_iteration_without_pairs_finds_blobs_and_sums_all_pairs(spark, monkeypatch):
+    from loadscape.operators import blocks
+
+    monkeypatch.setattr(blocks, "SUMMED_ROWS", 5)
+    small, x = blobs(spark, 12, 2)
+    rows = small.withColumn("g", F.lit(0)).withColumn("value", (F.col("id") % 5).cast("double"))
+    got = {r.id: (r.total, r.degree) for r in blocks.similar_sums(rows, "g", "id", "vals", "value", 0.7).collect()}
+    near = np.exp(-np.linalg.norm(x[:24, None] - x[None, :24], axis=2) / 0.7) * (1 - np.eye(24))
+    assert all(np.allclose(got[i], (near[i] @ (np.arange(24) % 5), near[i].sum())) for i in range(24))
+    found = models.power_iteration_within(rows, "g", "id", "vals", 2, 1.0).join(small, "id")
+    assert found.count() == 24 and clustering.adjusted_rand(found, "truth", "cluster").first()[0] == 1.0
