@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadscape.operators import blocks
@@ -93,14 +93,18 @@ def mmd2(x: DataFrame, y: DataFrame, vals: str, sigma: float) -> DataFrame:
 
 
 def mmd2_of_groups(df: DataFrame, group: str, key: str, vals: str, sigma: float) -> DataFrame:
-    """(x, y, mmd2) for x < y: as ``mmd2`` between every two groups of a sample; all pairs of its rows are made once."""
+    """(x, y, mmd2) for x < y: as ``mmd2`` between every two groups of a sample; all pairs of its rows are made once.
+
+    What a group has within itself comes by windows over the sums: joined with them, they would be made again for each side.
+    """
     sums = blocks.kernel_sums(df, group, key, vals, sigma)
+    within = lambda c: F.coalesce(F.max(F.when(F.col("group_a") == F.col("group_b"), F.col("t"))).over(Window.partitionBy(c)), F.lit(0.0))
+    sums = sums.withColumns({"t_x": within("group_a"), "t_y": within("group_b")}).where("group_a < group_b")
     sizes = df.groupBy(F.col(group).alias("g")).agg(F.count(F.lit(1)).alias("n"))
-    own = sizes.join(sums.where("group_a = group_b"), F.col("g") == F.col("group_a"), "left")
-    own = own.select("g", "n", ((2 * F.coalesce("t", F.lit(0.0)) + F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("own"))
-    x, y = (own.select(F.col("g").alias(s), F.col("n").alias(f"n_{s}"), F.col("own").alias(f"own_{s}")) for s in "xy")
-    apart = sums.where("group_a < group_b").select(F.col("group_a").alias("x"), F.col("group_b").alias("y"), "t")
-    return apart.join(x, "x").join(y, "y").select("x", "y", (F.col("own_x") + F.col("own_y") - 2 * F.col("t") / (F.col("n_x") * F.col("n_y"))).alias("mmd2"))
+    x, y = (sizes.select(F.col("g").alias(s), F.col("n").alias(f"n_{s}")) for s in "xy")
+    own = lambda s: (2 * F.col(f"t_{s}") + F.col(f"n_{s}")) / (F.col(f"n_{s}") * (F.col(f"n_{s}") - 1))
+    apart = sums.select(F.col("group_a").alias("x"), F.col("group_b").alias("y"), "t", "t_x", "t_y").join(x, "x").join(y, "y")
+    return apart.select("x", "y", (own("x") + own("y") - 2 * F.col("t") / (F.col("n_x") * F.col("n_y"))).alias("mmd2"))
 
 
 def diebold_mariano(losses: DataFrame, a: str, b: str, by: str | None = None) -> DataFrame:
