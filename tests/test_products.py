@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loadscape.operators import blocks, clustering, distance, scoring
+from loadscape.operators import blocks, clustering, distance, matching, scoring
 
 SCHEMA = "g int, k long, v array<double>"
 
@@ -75,3 +75,24 @@ def test_kernel_sums_are_made_once(odd, monkeypatch):
     """Sums within groups and between them come from one product, whose sums no filter splits."""
     monkeypatch.setattr(blocks, "GROUPED_ROWS", 20)
     assert _plan(MAKES["mmd"](odd)).count("CartesianProduct") == 1
+
+
+def test_copies_of_label_counts_are_measured_once(spark, monkeypatch):
+    """Profiles of the same counts lie in the same blocks, and one of them is measured; each still has a row of its own."""
+    draw, measured = random.Random(2), []
+    kinds = [[draw.randint(0, 3) for _ in range(draw.randint(1, 6))] for _ in range(6)] + [[3] * 5]
+    days = [(k, x) for k in range(120) for x in (kinds[-1] if k % 2 else draw.choice(kinds))]
+    df = spark.createDataFrame(days, "id long, label int")
+    apart = spark.createDataFrame([(a, b, abs(a - b) / 3) for a in range(4) for b in range(4)], "a int, b int, d double")
+    make = lambda: matching.label_distances(df.where("id % 10 < 3"), df, "id", "label", apart, 6)
+    _same(*_both(monkeypatch, make, _rows))
+    assert "rangepartitioning(_v" in _plan(make()) and make().count() == 36 * 119
+    counts = np.array([[own.count(x) for x in range(4)] for own in kinds] * 30, float)
+    cost, moves = np.abs(np.subtract.outer(np.arange(4), np.arange(4))) / 3, matching.moves
+    monkeypatch.setattr(matching, "moves", lambda c, s, d: measured.append(len(s)) or moves(c, s, d))
+    block = blocks.Block(np.arange(len(counts)), counts, np.ones(counts.shape, bool))
+    got = matching.labels_moved(cost, 6)(block, block)[0]
+    different = len({tuple(x) for x in counts.tolist()})
+    assert sum(measured) == different**2
+    gap = (counts[:, None, :] - counts[None, :, :]).reshape(-1, 4)
+    assert np.allclose(got.ravel(), matching.transports(cost, np.maximum(gap, 0), np.maximum(-gap, 0)), rtol=0, atol=1e-6)
