@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import DATA
 from loadscape.operators import blocks, clustering, distance, matching, scoring
+from loadscape.plans.catalog import QUERIES
 
 SCHEMA = "g int, k long, v array<double>"
 
@@ -96,3 +98,10 @@ def test_copies_of_label_counts_are_measured_once(spark, monkeypatch):
     assert sum(measured) == different**2
     gap = (counts[:, None, :] - counts[None, :, :]).reshape(-1, 4)
     assert np.allclose(got.ravel(), matching.transports(cost, np.maximum(gap, 0), np.maximum(-gap, 0)), rtol=0, atol=1e-6)
+
+
+@pytest.mark.parametrize("name", ["d6_assigned_days", "d6_assigned_days_of_a_year", "d8_one_to_one_days", "d9_wasserstein_bins"])
+def test_searches_round_where_they_measure(spark, name):
+    """No decimal is made of each pair's distance in the JVM, and keys are no column that may be null."""
+    got = QUERIES[name](spark, DATA)
+    assert "round(" not in _plan(got).lower() and [f.nullable for f in got.schema] == [False, False, True]
